@@ -106,10 +106,9 @@ def _scan(batches, block: _Block, seed: int, least: float):
             row, owner, place = row[order], owner[order], place[order]
             cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (owner[1:] != owner[:-1])])) if len(row) else np.zeros(0, np.int64)
             out = []
-            for a, b in zip(cut, np.append(cut[1:], len(row)), strict=True):
+            for a, b in zip(cut, np.append(cut, len(row))[1:], strict=True):
                 item = block.words[owner[a]]
                 text = hashes[first[row[a]] : first[row[a] + 1]]
-                tiles = []
                 # words farther from every seed than the item is long cannot belong to a tile
                 parts = [np.arange(x, y) for x, y in _near(place[a:b] - at[row[a]], len(item) + seed, len(text))]
                 where = np.concatenate(parts)

@@ -1,8 +1,13 @@
 """The eleven registered queries of this folder: each applies one operator to its whole table."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, mixing, simhash
+from quire.llm import chat, decontaminate, mixing, quality, simhash, topk, toxicity, urls, warc
+from quire.llm._scratch import stored
+
+#: (verdict, host, path)
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,6 +18,35 @@ def op2_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark, sf_dir):
+    return warc.archive(_table(spark, sf_dir, "pages"))[1].drop("record")
+
+
+def op4_url_filters(spark, sf_dir):
+    return urls.judge(_table(spark, sf_dir, "pages"), RULES)
+
+
+def op5_exact_top_k(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings").withColumn("vector", topk.whole_numbers(F.col("embedding")))
+    return topk.top_k(rows, F.col("vec_id") % 50 == 0)
+
+
+def op6_quality_classifier(spark, sf_dir):
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark, sf_dir):
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_chat_formatting(spark, sf_dir):
+    said = f"{chat.END}{chat.START}assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    packs = stored(chat.pack(chat.conversations(rows)), "packs")
+    return chat.read_back(packs)
+
+
 def op9_benchmark_decontamination(spark, sf_dir):
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("tiles")
 
@@ -22,7 +56,7 @@ def op10_mixing(spark, sf_dir):
 
 
 def queries() -> dict:
-    named = (op2_simhash_near_dedup, op9_benchmark_decontamination, op10_mixing)
+    named = (op2_simhash_near_dedup, op3_warc, op4_url_filters, op5_exact_top_k, op6_quality_classifier, op7_toxicity, op8_chat_formatting, op9_benchmark_decontamination, op10_mixing)
     return {f.__name__: f for f in named}
 
 
