@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, mixing, quality, simhash, topk, toxicity, urls, warc
+from quire.llm import chat, decontaminate, lm, mixing, oracles, quality, simhash, topk, toxicity, urls, warc
 from quire.llm._scratch import stored
 
 #: (verdict, host, path)
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark, sf_dir):
+    return lm.pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -56,9 +60,9 @@ def op10_mixing(spark, sf_dir):
 
 
 def queries() -> dict:
-    named = (op2_simhash_near_dedup, op3_warc, op4_url_filters, op5_exact_top_k, op6_quality_classifier, op7_toxicity, op8_chat_formatting, op9_benchmark_decontamination, op10_mixing)
+    named = (op1_lm_scoring, op2_simhash_near_dedup, op3_warc, op4_url_filters, op5_exact_top_k, op6_quality_classifier, op7_toxicity, op8_chat_formatting, op9_benchmark_decontamination, op10_mixing)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(oracles.SQL)

@@ -308,6 +308,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     kept = placed.groupBy("root").agg(F.min(F.struct("low", "node")).alias("kept"))
     name = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     kept = kept.select(F.col("kept.node").alias("_node"), name(F.col("kept.low.key")).alias("_name"))
-    found = docs.withColumns({"_node": digest, "_name": name(F.col(key))}).join(kept, ["_node", "_name"], "left_semi")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), digest.alias("_node"), name(F.col(key)).alias("_name"))
+    found = whole.join(kept, ["_node", "_name"], "left_semi")
     once = found.withColumn("_n", F.row_number().over(Window.partitionBy("_node", "_name").orderBy("_name")))
-    return once.where("_n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return once.where("_n = 1").select("row.*")
