@@ -51,16 +51,20 @@ def fit(column: pa.Array, y: np.ndarray, steps: int = 150, errors: float = 3.0,
     N-grams in fewer than ``least`` texts, and those whose log-count ratio is less than ``errors`` standard errors from
     none, are left out. The regression is fitted by ``steps`` AdaGrad steps over all texts of the bounded sample.
     """
-    parts = [features(column.slice(i, 256)) for i in range(0, len(column), 256)]
-    code = np.concatenate([c for c, _ in parts])
-    row = np.repeat(np.arange(len(y)), np.concatenate([np.diff(a) for _, a in parts]))
     width = 1 << _BITS
-    p, q = np.bincount(code[y[row] == 1], minlength=width), np.bincount(code[y[row] == 0], minlength=width)
+    p, q = np.zeros(width, np.int64), np.zeros(width, np.int64)
+    pieces = lambda: slices(pa.RecordBatch.from_arrays([column, pa.array(y)], ["text", "y"]), "text", 1 << 20)
+    for piece in pieces():
+        code, at = features(piece.column("text"))
+        toxic = np.repeat(piece.column("y").to_numpy() == 1, np.diff(at))
+        p += np.bincount(code[toxic], minlength=width)
+        q += np.bincount(code[~toxic], minlength=width)
     ratio = np.log((p + 1) / (p + 1).sum()) - np.log((q + 1) / (q + 1).sum())
     raw = np.log((p + 0.5) / max(p.sum(), 1)) - np.log((q + 0.5) / max(q.sum(), 1))
     used = (abs(raw) >= errors * np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))) & (p + q >= least)
-    kept = np.flatnonzero(used[code])
-    row, (ids, at) = row[kept], np.unique(code[kept], return_inverse=True)
+    found = [features(piece.column("text"), used) for piece in pieces()]  # only what is used is held for all texts
+    row = np.repeat(np.arange(len(y)), np.concatenate([np.diff(a) for _, a in found]))
+    ids, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
     x = ratio[ids][at]
     w, b, seen, seen_b = np.zeros(len(ids)), 0.0, np.full(len(ids), 1e-8), 1e-8
     for _ in range(steps):
