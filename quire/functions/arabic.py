@@ -5,6 +5,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions import text as tx
 
@@ -14,7 +15,7 @@ STOP_WORDS = ("من", "الي", "علي", "عن", "في", "ما", "هو", "هي"
 _SUFFIXES = ("كم", "كن", "هم", "هن", "ها", "نا", "ه", "ك", "ي")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
@@ -34,13 +35,12 @@ def search_forms(term: Column) -> Column:
     """The forms under which a term is indexed: with and without the article, suffixes and endings."""
     article = F.when(term.startswith("ال") & (F.length(term) > 4), F.substring(term, 3, 1 << 20)).when(~term.startswith("ال") & (F.length(term) > 3), F.concat(F.lit("ال"), term))
     forms = F.array_compact(F.array(term, article))
-    for suffix in _SUFFIXES:
-        shorter = F.transform(forms, lambda f, s=suffix: F.when((F.length(f) > len(s) + 3) & f.endswith(s), f.substr(F.lit(1), F.length(f) - len(s))))
-        forms = F.array_distinct(F.concat(forms, F.array_compact(shorter)))
-    cut = lambda f, n=1: f.substr(F.lit(1), F.length(f) - n)
+    shorter = lambda f, s: F.when((F.length(f) > F.length(s) + 3) & f.endswith(s), f.substr(F.lit(1), F.length(f) - F.length(s)))
+    forms = F.aggregate(F.array(*map(F.lit, _SUFFIXES)), forms, lambda held, s: F.array_distinct(F.concat(held, F.array_compact(F.transform(held, lambda f: shorter(f, s))))))
+    cut = lambda f, n: f.substr(F.lit(1), F.length(f) - n)
     long = lambda f, end: (F.length(f) > 4) & f.endswith(end)
     ends = F.flatten(
-        F.transform(forms, lambda f: F.array(F.when(long(f, "ات"), cut(f, 2)), F.when(long(f, "ه"), F.concat(cut(f), F.lit("ت"))).when(long(f, "ت"), F.concat(cut(f), F.lit("ه"))), F.when(long(f, "ه") | long(f, "ت"), cut(f))))
+        F.transform(forms, lambda f: F.array(F.when(long(f, "ات"), cut(f, 2)), F.when(long(f, "ه"), F.concat(cut(f, 1), F.lit("ت"))).when(long(f, "ت"), F.concat(cut(f, 1), F.lit("ه"))), F.when(long(f, "ه") | long(f, "ت"), cut(f, 1))))
     )
     return F.array_distinct(F.concat(forms, F.array_compact(ends)))
 

@@ -55,4 +55,4 @@ def without_repeated_blocks(words: DataFrame, width: int = 6) -> DataFrame:
     grams = words.withColumn("gram", F.when(full, gram)).withColumn("seen", F.min("at").over(Window.partitionBy("page", "gram")))
     later = F.col("gram").isNotNull() & (F.col("seen") < F.col("at"))
     covered = F.max(later.cast("int")).over(order.rowsBetween(-(width - 1), 0))
-    return grams.where(F.coalesce(covered, F.lit(0)) == 0).select("page", "at", "word")
+    return grams.withColumn("covered", F.coalesce(covered, F.lit(0))).where("covered = 0").select("page", "at", "word")
