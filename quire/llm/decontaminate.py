@@ -9,7 +9,7 @@ passage whose sentences were moved is still covered.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,25 +124,37 @@ def _scan(batches, block: _Block, seed: int, least: float):
                 yield [list(x) for x in zip(*out, strict=True)]
 
 
+def _blocks(items: DataFrame, most: int) -> tuple[DataFrame, list]:
+    """The items with their block, and the blocks: items are dealt by hash, more finely until no block but one item's has over ``most`` characters."""
+    held = stored(items.withColumn("size", F.length("text") + 1).withColumn("deal", F.xxhash64("item", "text")), "benchmark")
+    total, rows = held.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    parts = max(1, -(-2 * total // most))
+    while True:
+        dealt = held.withColumn("part", F.pmod("deal", F.lit(parts)))
+        sums = dealt.groupBy("part").agg(F.sum("size").alias("size"), F.count_distinct("deal").alias("items"))
+        if parts == 1 or parts > 64 * rows or sums.where((F.col("size") > most) & (F.col("items") > 1)).isEmpty():
+            return dealt, sorted(r["part"] for r in sums.select("part").toLocalIterator())
+        parts *= 2
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", seed: int = 5, least: float = 0.8, block_words: int = 1 << 18) -> DataFrame:
     """(key, item, covered, words, coverage, tiles) for every document that holds ``least`` of an item's words in tiles.
 
     Words are runs of letters and digits, lower-cased. Items of fewer than ``seed`` words cannot be tiled and never match;
     null and empty texts on either side match nothing. Repeated documents and items give a row each. tiles lists item_word,
-    doc_word and words of every tile. The benchmark may have any size: each block of at most ``block_words`` words (one
-    item at least) is sent to the tasks and costs one pass over ``docs``.
+    doc_word and words of every tile. The benchmark may have any size: each block of at most ``block_words`` characters (one
+    item at least, with its copies) is sent to the tasks and costs one pass over ``docs``.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     items = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where("text is not null")
-    size = F.length("text") + 1
-    bounded = stored(items.withColumn("part", F.floor((F.sum(size).over(Window.orderBy("item", "text")) - size) / block_words).cast("long")), "benchmark")
+    bounded, parts = _blocks(items, block_words)
     kind = T.StructType([
         T.StructField(key, docs.schema[key].dataType), T.StructField(item, benchmark.schema[item].dataType), T.StructField("covered", T.LongType()), T.StructField("words", T.LongType()),
         T.StructField("tiles", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("item_word", "doc_word", "words")]))),
     ])
     found = spark.createDataFrame([], kind)
-    for part in [r[0] for r in bounded.select("part").distinct().orderBy("part").toLocalIterator()]:
+    for part in parts:
         held = bounded.where(F.col("part") == part).orderBy("item", "text").collect()  # block_words characters, or one item
         sent = spark.sparkContext.broadcast(_Block([r["item"] for r in held], [r["text"] for r in held], seed))
 
