@@ -109,11 +109,12 @@ def write_archives(pages: DataFrame, out: str, key: str, url: str, html: str, ar
     return asked.mapInArrow(run, "archive string, seq long, page long, payload_bytes long, payload_digest string")
 
 
-def normalise(decided: DataFrame, source: str, out: str) -> DataFrame:
+def normalise(decided: DataFrame, source: str, out: str, parts: int) -> DataFrame:
     """Rewrite the archives of ``decided`` (archive, seq, refers); one row per archive with its number of records.
 
     Each archive is inflated once, as a stream. Record seq becomes a revisit of ``refers`` where that isn't null, and is kept as it is
     otherwise, also where ``decided`` has no row for it. Next to each archive lies its index of JSON lines: record, type, offset and length.
+    ``parts`` tasks share the archives; the number is given, as Spark would judge by the few rows here and not by the archives' bytes.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -139,7 +140,7 @@ def normalise(decided: DataFrame, source: str, out: str) -> DataFrame:
         _put(f"{out}/index/{archive}.json", lambda f: f.write("\n".join(index).encode()))
         return pa.table({"archive": [archive], "records": [len(index)]})
 
-    return decided.groupBy("archive").applyInArrow(run, "archive string, records long")
+    return decided.repartition(parts, "archive").groupBy("archive").applyInArrow(run, "archive string, records long")
 
 
 def read_index(spark: SparkSession, out: str) -> DataFrame:
@@ -190,7 +191,9 @@ def archive(pages: DataFrame, out: str | None = None, key: str = "page_id", url:
     same = written.join(first, "payload_digest", "left")
     target = F.concat(F.lit("urn:warc:"), F.col("first.archive"), F.lit(":"), F.col("first.seq"), F.lit(":"), F.coalesce(F.col("first.page").cast("string"), F.lit("")))
     moved = F.when((F.col("payload_bytes") >= SMALLEST) & (F.struct("archive", "seq") != F.struct("first.archive", "first.seq")), target)
-    done = stored(normalise(same.select("archive", "seq", moved.alias("refers")), raw, top), "normalised")
+    archives = written.where("seq = 0").count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), archives // 16)
+    done = stored(normalise(same.select("archive", "seq", moved.alias("refers")), raw, top, parts), "normalised")
     place = spark._jvm.org.apache.hadoop.fs.Path(raw)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     if done.isEmpty():
