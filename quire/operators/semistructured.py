@@ -71,7 +71,7 @@ _QUIZ = "array<struct<question:string,options:array<string>,answer:string>>"
 def quiz_questions(c: Column) -> Column:
     """The valid questions of a quiz: text, two options or more, and an answer that is an option or an option's index."""
     parsed = F.coalesce(F.from_json(F.get_json_object(c, "$.questions"), _QUIZ), F.from_json(c, _QUIZ))
-    place = lambda q: F.coalesce(F.expr("try_cast(1 as int)") * 0 + q["answer"].try_cast("int"), F.array_position(q["options"], q["answer"]).cast("int") - 1)
+    place = lambda q: F.coalesce(q["answer"].try_cast("int"), F.array_position(q["options"], q["answer"]).cast("int") - 1)
     ok = lambda q: (F.coalesce(q["question"], F.lit("")) != "") & (F.size(q["options"]) >= 2) & place(q).between(0, F.size(q["options"]) - 1)
     return F.transform(F.filter(parsed, ok), lambda q: F.struct(q["question"].alias("question"), q["options"].alias("options"), place(q).alias("answer_at")))
 

@@ -198,7 +198,7 @@ def _text(name, spark_expr, sql_expr, where="TRUE"):
 
 
 _T = lambda: F.col("text")
-_text("txt_normalize_digits", lambda: tx.normalise_digits(F.translate(F.substring(_T(), 1, 400), "aeiou", "٣۴٥۶٧")), "translate(substr(translate(substr(text, 1, 400), 'aeiou', '٣۴٥۶٧'), 1), '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789')")
+_text("txt_normalize_digits", lambda: tx.normalise_digits(F.translate(_T(), "aeiou", "٣۴٥۶٧")), "translate(translate(text, 'aeiou', '٣۴٥۶٧'), '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789')")
 _text("txt_clean", lambda: tx.clean(F.regexp_replace(_T(), "e", " \t")), s.clean(r"regexp_replace(text, 'e', ' ' || chr(9), 'g')"))
 _text("txt_fold_latin", lambda: tx.fold(_T()), s.fold("text"))
 _text("txt_tokens", lambda: F.array_join(tx.tokens(_T()), " "), f"array_to_string({s.tokens('text')}, ' ')")
@@ -218,8 +218,8 @@ _text(
         (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[mail]"), ("[0-9a-fA-F]{32,}", "[hex]"),
     ) + ", 1, 4000)",
 )
-_text("txt_strip_slab", lambda: tx.strip_slab(F.concat(F.lit("Book_1.indb 12\n3/4/2024  10:22 AM "), F.substring(_T(), 1, 200), F.lit(" _________ x"))),
-      s.strip(s.replaced(s.clean("'Book_1.indb 12' || chr(10) || '3/4/2024  10:22 AM ' || substr(text, 1, 200) || ' _________ x'"), (r"(?i)[A-Za-z0-9_]+\.indb[ \t]+[0-9]{1,4}", " "), (r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}[ \t]+[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?([ \t]*[AP]M)?", " "), ("_{6,}", "_"), (r"[ \t]{2,}", " "), ("\n{3,}", "chr(10) || chr(10)"))))
+_text("txt_strip_slab", lambda: tx.strip_slab(F.concat(F.lit("Book_1.indb 12\n3/4/2024  10:22 AM "), _T(), F.lit(" _________ x"))),
+      s.strip(s.replaced(s.clean("'Book_1.indb 12' || chr(10) || '3/4/2024  10:22 AM ' || text || ' _________ x'"), (r"(?i)[A-Za-z0-9_]+\.indb[ \t]+[0-9]{1,4}", " "), (r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}[ \t]+[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?([ \t]*[AP]M)?", " "), ("_{6,}", "_"), (r"[ \t]{2,}", " "), ("\n{3,}", "chr(10) || chr(10)"))))
 _text("txt_digit_claims", lambda: F.array_join(tx.digit_runs(_T()), " "), f"array_to_string({s.digit_runs('text')}, ' ')")
 _text("txt_rule_folds", lambda: tx.rule_fold(_T()), s.rule_fold("text"))
 _text("txt_fold_variants", lambda: tx.word_fold(_T()), s.word_fold("text"))
@@ -231,11 +231,11 @@ _text("txt_hours_older", lambda: tx.round_half_up((F.col("n_chars") * 1000000) /
 _text("txt_sentence_count", lambda: F.size(F.filter(F.split(tx.clean(_T()), "[.!؟?]"), lambda x: tx.flat(x) != "")), f"CAST(len(list_filter(regexp_split_to_array({s.clean('text')}, '[.!؟?]'), lambda e: {s.flat('e')} <> '')) AS INTEGER)")
 # not in SQL: lookaround, or built from other rules than one expression
 _text("txt_spread_summary", lambda: tx.spread_summary(_T()), None)
-_text("txt_damage", lambda: tx.is_damaged(_T()), None)
+_text("txt_damage", lambda: tx.is_damaged(_T()), s.damaged("text"))
 _text("txt_broken_years", lambda: F.size(tx.broken_years(_T())), None)
-_text("txt_evidence_status", lambda: tx.evidence_status(_T(), F.col("lang") == "de"), None)
+_text("txt_evidence_status", lambda: tx.evidence_status(_T(), F.col("lang") == "de"), f"CASE WHEN length({s.strip('text')}) < 1 THEN 'no-text' WHEN {s.damaged('text')} THEN 'damaged-text' WHEN lang = 'de' THEN 'ocr-text' ELSE 'clean-extracted-text' END")
 _text("txt_folio_values", lambda: F.concat(tx.folio_values(_T()), tx.folio_values(_T(), True)), None)
-_text("txt_folio_strip", lambda: tx.strip_folio(F.concat(F.lit("17 1 7 17 "), F.substring(_T(), 1, 100)), F.lit(17)), "CASE WHEN regexp_matches(text, '^(17|1[ \\t]+7)([ \\t\\n]|$)') THEN NULL ELSE regexp_replace(substr(text, 1, 100), '^[ \\t]*\\n*', '') END")
+_text("txt_folio_strip", lambda: tx.strip_folio(F.concat(F.lit("17 1 7 17 "), _T()), F.lit(17)), "CASE WHEN regexp_matches(text, '^(17|1[ \\t]+7)([ \\t\\n]|$)') THEN NULL ELSE regexp_replace(text, '^[ \\t]*\\n*', '') END")
 _text("txt_negative_sentences", lambda: semistructured.without_negative_sentences(_T(), "(?i)that"), None)
 
 
@@ -957,6 +957,6 @@ def json_salvage(spark, sf):
 
 @R.add()
 def layout_page_text(spark, sf):
-    words = table(spark, sf, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split(F.substring("text", 1, 600), "[ \n]+")).alias("at", "str"))
+    words = table(spark, sf, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "[ \n]+")).alias("at", "str"))
     items = words.select("page", "at", "str", ((F.col("at") % 8) * 60.0).alias("x"), (800.0 - F.floor(F.col("at") / 8) * 12).alias("y"), (F.length("str") * 5.0).alias("w"))
     return layout.page_text(layout.rows(layout.deduplicated(items)))

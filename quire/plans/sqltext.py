@@ -57,3 +57,16 @@ def digit_runs(x: str) -> str:
 def compact(x: str, most: int) -> str:
     text = flat(clean(x))
     return f"(SELECT CASE WHEN length(t) <= {most} THEN t ELSE {strip(f'CASE WHEN length(h) > {most} / 2.0 THEN h ELSE c END')} END FROM (SELECT t, substr(t, 1, {most}) AS c, regexp_extract(substr(t, 1, {most}), '^(.*)[ ،.؛؟!:,][^ ،.؛؟!:,]*$', 1) AS h FROM (SELECT {text} AS t)))"
+
+
+def escaped(pattern: str) -> str:
+    """A pattern inside a SQL string."""
+    return pattern.replace("'", "''")
+
+
+def damaged(x: str) -> str:
+    """What ``text.is_damaged`` finds at its default limits."""
+    noise = r"[^\x21-\x7E\x{00A0}-\x{024F}\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}\x{2000}-\x{22FF}\x{E000}-\x{F8FF}]"
+    mixed = f"len(list_filter(regexp_split_to_array(t, '{SPACE}+'), lambda w: regexp_matches(w, '[\\x{{0621}}-\\x{{064A}}]') AND regexp_matches(w, '[A-Za-z]')))"
+    private = r"[\x{0621}-\x{064A}][\x{E000}-\x{F8FF}]|[\x{E000}-\x{F8FF}][\x{0621}-\x{064A}]"
+    return f"(SELECT contains(t, chr(65533)) OR regexp_matches(t, '{private}') OR {mixed} >= 2 OR (length(v) >= 40 AND len(regexp_extract_all(v, '{noise}')) / greatest(length(v), 1) >= 0.02) FROM (SELECT t, regexp_replace(t, '{SPACE}+', '', 'g') AS v FROM (SELECT {x} AS t)))"
