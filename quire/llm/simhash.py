@@ -133,10 +133,17 @@ def _compare(codes, a, b, c, d, budget, at_once: int = 1 << 20):
         begin = stop
 
 
-def _forest(n: int, pairs) -> np.ndarray:
-    """The smallest index that links reach, for each of n rows."""
+def _forest(n: int, pairs, holds=None, at_once: int = 1024) -> np.ndarray:
+    """The smallest index that links reach, for each of n rows; with ``holds``, only by links for which it is true."""
     label = np.arange(n)
+    if holds is not None:
+        pairs = ((x[i : i + at_once], y[i : i + at_once]) for x, y in pairs for i in range(0, len(x), at_once))
     for left, right in pairs:
+        if holds is not None:  # what is connected already needs no proof
+            apart = label[left] != label[right]
+            left, right = left[apart], right[apart]
+            true = holds(left, right)
+            left, right = left[true], right[true]
         while True:
             x, y = label[left], label[right]
             apart = x != y
@@ -149,7 +156,35 @@ def _forest(n: int, pairs) -> np.ndarray:
     return label
 
 
-def _unit_links(table: pa.Table, budget: int, far: int | None):
+def _alike(hashes: np.ndarray, at: np.ndarray, similarity: float, at_once: int = 1 << 20):
+    """A function of index arrays (left, right): whether the Jaccard similarity of two rows' sets is ``similarity`` or more."""
+    ids = np.unique(hashes, return_inverse=True)[1].astype(np.int64)
+    size, kinds = np.diff(at), int(ids.max(initial=0)) + 1
+
+    def members(rows):
+        n = size[rows]
+        pair = np.repeat(np.arange(len(rows)), n)
+        return pair * kinds + ids[np.repeat(at[:-1][rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+    def holds(left, right):
+        small, large = np.minimum(size[left], size[right]), np.maximum(size[left], size[right])
+        out = large == 0
+        open_ = np.flatnonzero((large > 0) & (small >= similarity * large * (1 - 1e-9)))
+        ends = np.cumsum((small + large)[open_])
+        begin = 0
+        while begin < len(open_):
+            stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + at_once, "right")))
+            pick = open_[begin:stop]
+            both = np.sort(np.concatenate([members(left[pick]), members(right[pick])]))
+            shared = np.bincount(both[1:][both[1:] == both[:-1]] // kinds, minlength=len(pick))
+            out[pick] = shared / (small[pick] + large[pick] - shared) >= similarity
+            begin = stop
+        return out
+
+    return holds
+
+
+def _unit_links(table: pa.Table, budget: int, far: int | None, exact: tuple[int, float] | None = None):
     """Star links (node, root) of every unit in a table that holds whole units, sorted by unit, side and fingerprint."""
     codes = table.column("fp").to_numpy().view(np.uint64)
     unit, side = table.column("unit").to_numpy(), table.column("side").to_numpy()
@@ -165,21 +200,24 @@ def _unit_links(table: pa.Table, budget: int, far: int | None):
         flat = pa.chunked_array(table.column("sig").chunks, table.column("sig").type).combine_chunks()
         signature = np.frombuffer(b"".join(flat.to_pylist()), np.uint64).reshape(len(codes), -1)
         pairs = ((x[ok], y[ok]) for x, y in pairs for ok in [np.bitwise_count(signature[x] ^ signature[y]).sum(1) <= far])
-    label = _forest(len(codes), pairs)
+    holds = _alike(*_sets(table.column("text").combine_chunks(), exact[0]), exact[1]) if exact else None
+    label = _forest(len(codes), pairs, holds)
     moved = np.flatnonzero(label != np.arange(len(codes)))
     node = table.column("node")
     return pa.table({"a": node.take(pa.array(moved)), "b": node.take(pa.array(label[moved]))})
 
 
-def trie_links(nodes: DataFrame, budget: int = 3, blocks: int = 4, unit_rows: int = 1024, far: int | None = None, given: str | None = None) -> DataFrame:
+def trie_links(nodes: DataFrame, budget: int = 3, blocks: int = 4, unit_rows: int = 1024, far: int | None = None, given: str | None = None, exact: tuple[int, float] | None = None, unit_size: int = 1 << 20) -> DataFrame:
     """Links (a, b) that connect all nodes whose fingerprints differ in ``budget`` bits or fewer.
 
     nodes: node (any type), fp long and, with ``far``, sig binary: then a link also needs signatures that differ in at
     most ``far`` bits. given: a column with the unit of each row; only rows of one unit are compared, with no blocks. Of
     ``blocks`` blocks at most ``budget`` can differ, so two linked fingerprints agree on blocks - budget of them: each such choice is a table.
+    With ``exact`` (width, similarity), text string and size long a link also needs that Jaccard similarity of the two texts'
+    sets of ``width``-word shingles, and a group is also dealt out if its sizes sum to more than ``unit_size``.
     More blocks make smaller groups and more tables. Two rows of a hot group meet in exactly one pair of chunks.
     """
-    carried = ["node", "fp", *(["sig"] if far is not None else [])]
+    carried = ["node", "fp", *(["sig"] if far is not None else []), *(["text", "size"] if exact else [])]
     if given:
         keyed = nodes.select(*carried, F.col(given).alias("unit"))
     else:
@@ -188,8 +226,9 @@ def trie_links(nodes: DataFrame, budget: int = 3, blocks: int = 4, unit_rows: in
         masks = [sum(part[i] for i in chosen) for chosen in combinations(range(blocks), blocks - budget)]
         signed = [m - (1 << 64) if m >> 63 else m for m in masks]
         keyed = nodes.select(*carried, F.explode(F.array(*(F.xxhash64(F.lit(0), F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)))).alias("unit"))
-    hot = stored(keyed.groupBy("unit").agg(F.count("*").alias("n")).where(F.col("n") > unit_rows), "hot")
-    chunks = F.coalesce(F.ceil(F.col("n") / unit_rows), F.lit(1)).cast("int")
+    parts = F.greatest(F.ceil(F.count("*") / unit_rows), F.ceil(F.sum("size") / unit_size)) if exact else F.ceil(F.count("*") / unit_rows)
+    hot = stored(keyed.groupBy("unit").agg(parts.cast("int").alias("n")).where("n > 1"), "hot")
+    chunks = F.coalesce("n", F.lit(1))
     dealt = keyed.join(hot, "unit", "left").withColumn("k", chunks).withColumn("c", F.pmod(F.xxhash64("node", F.lit(7)), F.col("k")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     unit = F.when(F.col("k") == 1, F.col("unit")).otherwise(F.xxhash64("unit", F.least("c", "j"), F.greatest("c", "j")))
@@ -204,10 +243,10 @@ def trie_links(nodes: DataFrame, budget: int = 3, blocks: int = 4, unit_rows: in
             unit = held.column("unit").to_numpy()
             turns = np.flatnonzero(unit[1:] != unit[:-1])
             if len(turns):
-                yield from _unit_links(held.slice(0, turns[-1] + 1), budget, far).to_batches()
+                yield from _unit_links(held.slice(0, turns[-1] + 1), budget, far, exact).to_batches()
                 held = held.slice(turns[-1] + 1)
         if held is not None and held.num_rows:
-            yield from _unit_links(held, budget, far).to_batches()
+            yield from _unit_links(held, budget, far, exact).to_batches()
 
     kind = nodes.schema["node"].dataType
     return sorted_units.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).distinct()
@@ -318,12 +357,13 @@ def bits_apart(similarity: float, length: int) -> int:
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, margin: float = 0.3, bands: int = 20, rows: int = 4, length: int = 8, budget: int = 26, unit_rows: int = 1024) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the smallest key stays, all columns with it.
 
-    Equal texts are one group. Others are linked if their SimHashes of 64 * length bits over distinct ``width``-word
-    shingles are as close as a Jaccard similarity of ``similarity - margin`` makes them on average. Candidates come from the
-    same shingles: texts that share one of ``bands`` hashes of ``rows`` minima meet, and walk as a trie within ``budget``
-    bits of 64. Of pairs at 0.8 the bands miss 1 in 38000, and the bits are 4.5 standard errors wider than the worst case
+    Equal texts are one group. Others are linked if the Jaccard similarity of their sets of ``width``-word shingles, lower-cased,
+    is ``similarity`` or more. Candidates come from the same shingles: texts that share one of ``bands`` hashes of ``rows``
+    minima meet, walk as a trie within ``budget`` bits of 64, and need SimHashes of 64 * length bits as close as a similarity
+    of ``similarity - margin`` makes them on average. Texts that candidates connect then meet once more, with their texts, and
+    each link is proved by the exact similarity before groups are formed. Of pairs at 0.8 the bands miss 1 in 38000, and the bits are 4.5 standard errors wider than the worst case
     (four shingles against five). Null texts count as empty, and blank texts are copies of each other. Of rows with equal
-    keys and texts one stays; a null key comes first. ``docs`` is read twice.
+    keys and texts one stays; a null key comes first. ``docs`` is read three times.
     """
     digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
     marked = stored(_signatures(docs.select(F.col(key).alias("key"), digest.alias("node"), F.col(text).alias("text")), width, bands, rows, length), "signatures")
@@ -331,7 +371,11 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     coded = groups.withColumn("fp", F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long"))
     far = bits_apart(similarity - margin, length)
     spread = coded.select("node", "fp", "sig", F.posexplode("units").alias("band", "unit")).withColumn("unit", F.xxhash64("band", "unit"))
-    roots = components(trie_links(spread, budget, unit_rows=unit_rows, far=far, given="unit"))
+    loose = stored(components(trie_links(spread, budget, unit_rows=unit_rows, far=far, given="unit")), "candidates")
+    loose = loose.union(loose.select("root", "root").distinct())
+    texts = docs.select(digest.alias("node"), F.col(text).alias("text")).join(loose.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    near = stored(coded.select("node", "fp", "sig", "size").join(loose, "node").join(texts, "node").withColumn("unit", F.xxhash64("root")), "near")
+    roots = components(trie_links(near, budget, unit_rows=unit_rows, far=far, given="unit", exact=(width, similarity)))
     placed = groups.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = placed.groupBy("root").agg(F.min(F.struct("low", "node")).alias("kept"))
     name = lambda c: F.coalesce(c.cast("string"), F.lit("null"))

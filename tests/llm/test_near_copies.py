@@ -51,3 +51,35 @@ def test_recall_of_the_smallest_texts_at_the_threshold(spark):
         rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(words[:8]))]
     kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {2 * n for n in range(300)}
+
+
+def test_pairs_below_the_threshold_stay(spark):
+    rows = []
+    for n in range(100):
+        words = [f"w{n}x{i}" for i in range(30)]
+        rows += [(10 * n, " ".join(words)), (10 * n + 1, " ".join(words[:15] + ["other"] + words[16:]))]  # 21 of 31
+        rows += [(10 * n + 2, " ".join(f"s{n}x{i}" for i in range(8))), (10 * n + 3, " ".join(f"s{n}x{i}" for i in range(7)) + " other")]  # 3 of 5
+        base = [f"v{n}x{i}" for i in range(100)]
+        rows += [(10 * n + 4, " ".join(base)), (10 * n + 5, " ".join(base + [f"u{n}x{i}" for i in range(25)]))]  # 96 of 121
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {k for k, _ in rows}
+
+
+@pytest.mark.parametrize("unit_rows", [1024, 8])
+def test_against_exact_components(spark, unit_rows):
+    rng, rows = random.Random(5), []
+    base = [f"w{i}" for i in range(60)]
+    for n in range(60):  # chains and near misses in one hot group
+        words = list(base)
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(60)] = f"x{rng.randrange(6)}"
+        rows.append((n, " ".join(words)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(56)} for _, t in rows]
+    root = list(range(60))
+    for _ in range(60):
+        for a in range(60):
+            for b in range(60):
+                if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                    root[a] = root[b] = min(root[a], root[b])
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), unit_rows=unit_rows).collect()}
+    assert 1 < len(set(root)) < 60 and kept == set(root)
