@@ -6,7 +6,7 @@ others share classes of like mass, in which a bucket's probability is its share
 A text's score is the sum of the conditional log-probabilities of all its words.
 
 Counts come from all words of all texts. Each task trains a copy of the network by numpy on a fixed share of the positions
-of its own texts, from the same start, and the copies are averaged, weighted by positions: what is gathered grows with the input.
+of its own texts (all of them, unless asked otherwise), from the same start, and the copies are averaged, weighted by positions: what is gathered grows with the input.
 """
 
 import numpy as np
@@ -122,8 +122,8 @@ class Trainer:
         self.positions += n
 
 
-def train(docs: DataFrame, net: dict, of: np.ndarray, every: int = 16, batch: int = 512, groups: int = 64) -> dict:
-    """The average of the copies that the tasks train, each on every ``every``-th position of its texts.
+def train(docs: DataFrame, net: dict, of: np.ndarray, every: int = 1, batch: int = 512, groups: int = 64) -> dict:
+    """The average of the copies that the tasks train, each on every ``every``-th position of each of its texts, the first one included.
 
     Copies are averaged in ``groups`` groups of tasks first, so that no task reads the copies of all others.
     """
@@ -136,7 +136,8 @@ def train(docs: DataFrame, net: dict, of: np.ndarray, every: int = 16, batch: in
         for part in batches:
             for piece in slices(part, "text"):
                 word, first = buckets(piece.column("text"))
-                around, target = windows(word, first)[::every], classes_of[word][::every]
+                chosen = (np.arange(len(word)) - np.repeat(first[:-1], np.diff(first))) % every == 0
+                around, target = windows(word, first)[chosen], classes_of[word][chosen]
                 for i in range(0, len(target), batch):
                     trainer.step(around[i : i + batch], target[i : i + batch])
         if trainer.positions:
@@ -171,7 +172,7 @@ def train(docs: DataFrame, net: dict, of: np.ndarray, every: int = 16, batch: in
     return out
 
 
-def fit(docs: DataFrame, text: str = "text", rounds: int = 1, every: int = 16) -> dict:
+def fit(docs: DataFrame, text: str = "text", rounds: int = 1, every: int = 1) -> dict:
     """Counts over all of ``docs`` and a network trained on it in ``rounds`` passes."""
     texts = docs.select(F.col(text).alias("text"))
     counts = count(texts)

@@ -62,3 +62,51 @@ def test_edge_cases(spark):
     assert sorted(r["n_tokens"] for r in got) == [0, 0, 0, 1, 1, 2, 100_000]
     assert all((r["mean_log_probability"] is None) == (r["n_tokens"] == 0) for r in got)
     assert lm.pseudo_likelihood(docs.limit(0)).count() == 0
+
+
+def test_every_word_is_a_training_target(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i))) for i in range(40)], "doc_id long, text string").coalesce(1)
+    log, step = str(tmp_path / "positions"), lm.Trainer.step
+
+    def counted(self, around, target):
+        with open(log, "a") as f:
+            f.write(f"{len(target)}\n")
+        step(self, around, target)
+
+    class Counted(lm.Trainer):
+        pass
+
+    Counted.step = counted
+    monkeypatch.setattr(lm, "Trainer", Counted)
+    texts = docs.select("text")
+    counts = lm.count(texts)
+    of, _ = lm.classes(counts)
+    seen = lambda f: (f(), sum(map(int, open(log).read().split())), open(log, "w").close())[1]
+    with_all = seen(lambda: learn_here(docs, lm.start(of, counts), of))
+    assert with_all == counts.sum()
+    assert seen(lambda: learn_here(docs, lm.start(of, counts), of, every=16)) == sum(-(-i // 16) for i in range(40))
+
+
+def learn_here(docs, net, of, **options):
+    """``lm.train``'s first step over all rows of ``docs``, in this process."""
+
+    class Held(Exception):
+        pass
+
+    class Texts:
+        class sparkSession:  # noqa: N801
+            class sparkContext:  # noqa: N801
+                @staticmethod
+                def broadcast(x):
+                    return type("Sent", (), {"value": x})
+
+        @staticmethod
+        def mapInArrow(run, kind):  # noqa: N802
+            Texts.run = run
+            raise Held
+
+    with pytest.raises(Held):
+        lm.train(Texts, net, of, **options)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lm.TaskContext, "get", classmethod(lambda _: type("Task", (), {"partitionId": lambda _: 0})()))
+        list(Texts.run(docs.select("text").toArrow().to_batches()))
