@@ -72,7 +72,8 @@ def batch(pages: DataFrame, queries: DataFrame, key: str, query: str, text: str
     """(page_key, key) for every page whose text holds the query's as a substring.
 
     Both sides are joined by the query's longest inner word (the smallest of the longest), which a page that holds the query must hold as well,
-    and verified by containment; so no page meets every query. Queries without an inner word are joined by the first eight characters.
+    and verified by containment; so no page meets every such query. Queries without an inner word (empty, or of one or two words) are
+    compared with every page, partition by partition.
     """
     words = lambda c: F.split(c, " ")
     asked = queries.select(F.col(key).alias("_q"), F.col(query).alias("_text"))
@@ -84,4 +85,6 @@ def batch(pages: DataFrame, queries: DataFrame, key: str, query: str, text: str
     seeds = asked.where("_word is not null and _word <> ''")
     pairs = near.select("_p", "_word").join(seeds.select("_q", "_word"), "_word").select("_p", "_q").distinct()
     found = pairs.join(held, "_p").join(asked, "_q").where(F.col("_body").contains(F.col("_text"))).select("_p", "_q")
-    return found.distinct().select(F.col("_p").alias(page_key), F.col("_q").alias(key))
+    rest = asked.where("_word is null or _word = ''").select("_q", "_text")
+    short = held.join(rest, F.col("_body").contains(F.col("_text"))).select("_p", "_q")
+    return found.union(short).distinct().select(F.col("_p").alias(page_key), F.col("_q").alias(key))

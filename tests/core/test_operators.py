@@ -166,3 +166,12 @@ def test_streamed_calls(spark, tmp_path):
         query.stop()
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert calls.activity(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_batch_search_of_short_queries(spark):
+    texts = [(1, "one two three four"), (2, "one\ntwo"), (3, ""), (4, None), (5, "threefour"), (6, "two three")]
+    asked = ["one", "two three", "one\ntwo", "", " ", "hree", "two three four", "one two three four", None, "a  b"]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    queries = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
+    got = sorted(map(tuple, search.batch(docs, queries, "item_id", "text").collect()))
+    assert got == sorted((d, i) for d, t in texts for i, q in enumerate(asked) if t is not None and q is not None and q in t)
