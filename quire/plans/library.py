@@ -649,8 +649,7 @@ def qc_review_queue(spark, sf):
     _FIND + f", v AS (SELECT summary, physical_page, text FROM p) SELECT (SELECT count(*) FROM find WHERE severity = 'critical') AS critical, CAST(0 AS BIGINT) AS unverified, (SELECT count(*) FROM find WHERE severity = 'critical') > 0 AS blocked"
 )
 def qc_gate(spark, sf):
-    verdicts = _numbers(spark, sf).where("verdict = 'none'")
-    return quality.gate(_findings(spark, sf), verdicts)
+    return quality.gate(_findings(spark, sf), _numbers(spark, sf))
 
 
 # ---- duplicates and drift ----

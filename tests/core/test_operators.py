@@ -175,3 +175,11 @@ def test_batch_search_of_short_queries(spark):
     queries = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
     got = sorted(map(tuple, search.batch(docs, queries, "item_id", "text").collect()))
     assert got == sorted((d, i) for d, t in texts for i, q in enumerate(asked) if t is not None and q is not None and q in t)
+
+
+def test_gate_counts_unverified_numbers(spark, monkeypatch):
+    from quire.plans import library
+
+    monkeypatch.setattr(library, "_findings", lambda *_: spark.createDataFrame([("a", "A1", "high")], "book_id string, code string, severity string"))
+    monkeypatch.setattr(library, "_numbers", lambda *_: spark.createDataFrame([("proven",), ("unverified",)], "verdict string"))
+    assert tuple(library.R.queries["qc_gate"](spark, "").first()) == (0, 1, True)
