@@ -4,6 +4,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,22 +17,38 @@ def held_out(key: str, folds: int, fold: int) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, key: str, label: str, out: Column, bound: int) -> DataFrame:
     """Columns of ``docs`` and ``_y`` for at most ``bound`` labelled keys that ``out`` doesn't hold out, the same at each run.
 
-    Of a key with several labels the highest counts, of a key with several rows one is taken.
+    Of a key with several labels the highest counts, of a key with several rows the one whose columns have the smallest hash.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).where(~out).groupBy(key).agg(F.max(label).alias("_y"))
     chosen = known.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(5)), key).limit(bound).select(F.col(key).alias("_k"), "_y")
-    return docs.join(F.broadcast(chosen), docs[key] == F.col("_k")).dropDuplicates([key]).drop("_k")  # bound rows at most
+    rows = docs.join(F.broadcast(chosen), docs[key] == F.col("_k"))  # bound rows at most
+    held = [c for c in docs.columns if c != key]
+    first = F.min(F.struct(F.xxhash64(*held).alias("_h"), F.struct(*held, "_y").alias("row"))).alias("first")
+    return rows.groupBy(key).agg(first).select(key, "first.row.*")
 
 
-def fitted(rows: DataFrame, fit):
-    """What ``fit`` makes of the bounded ``rows`` (an Arrow table), in one task; None if there are no rows."""
+def fitted(rows: DataFrame, fit, text: str, most_bytes: int = 256 << 20):
+    """What ``fit`` makes of the bounded ``rows`` (an Arrow table), in one task; None if there are no rows.
 
-    def run(batches):
-        tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-        if tables:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.concat_tables(tables)))])], ["model"])
+    The task takes the rows in order of a hash of their ``text`` while their texts fit into ``most_bytes``; a text that doesn't
+    fit any more is left out, as the sample is bounded in bytes as well.
+    """
 
-    got = rows.repartition(1).mapInArrow(run, "model binary").collect()  # one model of fixed size
+    def run(batches):
+        kept, room = [], most_bytes
+        for batch in batches:
+            size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+            take = []
+            for i, n in enumerate(size.tolist()):
+                if n <= room:
+                    room -= n
+                    take.append(i)
+            if take:
+                kept.append(pa.Table.from_batches([batch.take(pa.array(take))]))
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.concat_tables(kept)))])], ["model"])
+
+    got = rows.repartition(1).sortWithinPartitions(F.xxhash64(text), *rows.columns).mapInArrow(run, "model binary").collect()  # one model of fixed size
     return pickle.loads(got[0][0]) if got else None
 
 

@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         table = table.sort_by(key)
         return fit(table.column("_t").combine_chunks(), _metadata(table.combine_chunks().to_batches()[0], columns), table.column("_y").to_numpy())
 
-    return fitted(rows.select("_t", *columns, F.col("_y").cast("int").alias("_y"), key), run)
+    return fitted(rows.select("_t", *columns, F.col("_y").cast("int").alias("_y"), key), run, "_t")
 
 
 def score(docs: DataFrame, model: dict | None, key: str = "doc_id", text: str = "text", metadata: tuple = ("n_chars",), folds: int = 3, fold: int = 1) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A text's features are the distinct n-grams of its lower-cased code points, white space made one blank, hashed. Each is
 scaled by r = log((p + 1) / |p + 1|) - log((q + 1) / |q + 1|), where p and q count the toxic and the other labelled texts that
-hold it; logistic regression is fitted on the scaled features.
+hold it; logistic regression is fitted on the scaled features. A task holds one text's n-grams at a time, or those of several
+that make up a megabyte: about 40 bytes for each character of the longest text.
 """
 
 import numpy as np
@@ -90,7 +91,7 @@ def scores(column: pa.Array, model: dict | None) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, fold: int = 0, bound: int = 6000) -> dict | None:
     """A model of at most ``bound`` labelled rows, none of them held out; None if no row of ``docs`` is labelled."""
     rows = sample(docs.select(F.col(key), F.col(text).alias("text")), labels, key, label, held_out(key, folds, fold), bound)
-    return fitted(rows.select("text", F.col("_y").cast("int").alias("y"), key), lambda t: _fit_table(t.sort_by(key)))
+    return fitted(rows.select("text", F.col("_y").cast("int").alias("y"), key), lambda t: _fit_table(t.sort_by(key)), "text")
 
 
 def _fit_table(table: pa.Table) -> dict:
