@@ -1,7 +1,7 @@
 """Chat formatting over prefix trees.
 
-Conversations that begin with the same turns share the nodes of these turns. Sorted by the hashes of their turns they
-lie next to each other, and a task that reads them in this order builds one tree after the other depth-first: each shared
+Conversations that begin with the same turns share the nodes of these turns. Sorted by the hashes of all their turns, one after
+the other, those that share most lie next to each other, and a task that reads them in this order builds one tree after the other depth-first: each shared
 turn is written once per pack. A pack holds the tokens of a forest, position ids that count along each root-to-leaf path,
 the loss mask, and for each node the intervals of its ancestors, to which attention is limited. Packs are bounded in tokens
 and in members; a path that goes on in the next pack is written there again, so a first turn that a third of all
@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-_LEVELS = 16  # turns that the sort order looks at
 
 PACKS = (
     "tokens array<int>, positions array<int>, loss array<struct<start:int,end:int>>,"
@@ -103,11 +102,15 @@ class _Pack:
 
 
 def conversations(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, turns, path): each conversation's turns in order of turn, role and text; null role and text are empty, a null turn comes first."""
+    """(conv_id, turns, path): each conversation's turns in order of turn, role and text, and the hash of each turn.
+
+    Null role and text are empty, a null turn comes first, and a null key is a conversation of its own. Keys are cast to long: a
+    string that is no whole number raises an error.
+    """
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     grouped = rows.select(F.col(key).cast("long").alias("conv_id"), one.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     turns = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return grouped.select("conv_id", turns.alias("turns"), F.transform(F.slice(turns, 1, _LEVELS), lambda t: F.xxhash64(t["role"], t["text"])).alias("path"))
+    return grouped.select("conv_id", turns.alias("turns"), F.transform(turns, lambda t: F.xxhash64(t["role"], t["text"])).alias("path"))
 
 
 def pack(convs: DataFrame, tokenizer: str | None = None, pack_tokens: int = 1 << 16, pack_members: int = 1024) -> DataFrame:

@@ -180,7 +180,8 @@ def archive(pages: DataFrame, out: str | None = None, key: str = "page_id", url:
     The rows: key, payload_bytes, payload_digest, record_type, refers_to, archive record. Of records with equal payloads of at
     least 100 bytes, the one with the smallest key is a response and the others are revisits of it; a null key comes last, and rows
     with equal keys follow in archive order, so that exactly one is the response. A null payload is empty, a null URL is written as
-    an empty one. An empty table gives no archives and no rows. Other columns are not read.
+    an empty one. An empty table gives no archives and no rows. Other columns are not read. Keys are cast to long: a string that
+    is no whole number raises an error.
     """
     spark = pages.sparkSession
     top = out or folder(spark)

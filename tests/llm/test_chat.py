@@ -60,6 +60,14 @@ def test_shared_turns_are_written_once_and_attention_follows_the_path(spark):
     assert len(first["nodes"]) < len(rows)
 
 
+def test_conversations_that_part_after_forty_turns_share_them(spark):
+    shared = [(t, "assistant" if t % 2 else "user", f"turn {t} of all") for t in range(40)]
+    rows = [(c, *t) for c in range(60) for t in [*shared, (40, "user", f"branch {c % 3}"), (41, "assistant", f"own {c}")]]
+    (pack,) = chat.pack(chat.conversations(table(spark, rows)).coalesce(1)).collect()
+    assert len(pack["nodes"]) == 40 + 3 + 60
+    assert {r["conv_id"]: tuple(r) for r in chat.read_back(spark.createDataFrame([pack], chat.PACKS)).collect()} == expected(rows)
+
+
 def test_escaping_is_reversible_and_hides_control_strings():
     rng = random.Random(6)
     for _ in range(3000):
