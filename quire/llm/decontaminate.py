@@ -1,14 +1,15 @@
 """Benchmark decontamination by greedy string tiling.
 
-The benchmark is cut into blocks of bounded size, and every block meets all documents in one pass: its seeds (hashes of
-``seed`` consecutive words) are joined with the documents' rolling Karp-Rabin hashes inside the scan, so nothing of a
-document is shuffled. Every document and item that share a seed are tiled: the longest common runs of words that do not
+The benchmark's distinct texts are dealt to blocks of bounded size, one block unless it has over 16 million characters, and
+every block meets all documents in one pass: its seeds (hashes of ``seed`` consecutive words) are joined with the documents'
+rolling Karp-Rabin hashes inside the scan, so nothing of a document is shuffled. Every document and item that share a seed are tiled: the longest common runs of words that do not
 overlap earlier tiles are marked again and again until none of ``seed`` words is left. Tiles may lie in any order, so a
 passage whose sentences were moved is still covered.
 """
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +17,16 @@ from pyspark.sql import types as T
 from quire.llm._scratch import stored
 from quire.llm._text import PUNCTUATION, shingle_hashes, slices, word_hashes
 
-_FILTER_BITS = 20
+#: Signs beyond ASCII that divide words: Latin-1 marks, general and CJK punctuation.
+MARKS = "[\\x{00A0}-\\x{00A9}\\x{00AB}-\\x{00B1}\\x{00B4}-\\x{00B8}\\x{00BB}\\x{00BF}\\x{00D7}\\x{00F7}\\x{2000}-\\x{206F}\\x{3000}-\\x{303F}]+"
+
+
+def hashed_words(column: pa.Array):
+    """Hashes of the lower-cased words of every row and the rows' first words."""
+    odd = pc.fill_null(pc.match_substring_regex(column, MARKS), False)
+    if pc.any(odd).as_py():
+        column = pc.if_else(odd, pc.replace_substring_regex(column, MARKS, " "), column)
+    return word_hashes(column, PUNCTUATION)
 
 
 def tile(item: np.ndarray, doc: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
@@ -26,17 +36,18 @@ def tile(item: np.ndarray, doc: np.ndarray, seed: int) -> list[tuple[int, int, i
     """
     free_a, free_b = np.ones(len(item), bool), np.ones(len(doc), bool)
     tiles = []
-    length = min(len(item), len(doc))
-    while length >= seed:
-        best = _longest(item, doc, free_a, free_b, length, seed)
-        if not best:
-            break
-        length = best[0][2]
-        for a, b, n in best:
-            if free_a[a : a + n].all() and free_b[b : b + n].all():
-                tiles.append((a, b, n))
-                free_a[a : a + n] = False
-                free_b[b : b + n] = False
+    length = _longest(item, doc, free_a, free_b, min(len(item), len(doc)), seed)
+    while length:
+        for a, places in _matches(item, doc, free_a, free_b, length):
+            if not free_a[a : a + length].all():
+                continue
+            for b in places:
+                if free_b[b : b + length].all() and np.array_equal(item[a : a + length], doc[b : b + length]):
+                    tiles.append((int(a), int(b), length))
+                    free_a[a : a + length] = False
+                    free_b[b : b + length] = False
+                    break
+        length = _longest(item, doc, free_a, free_b, length - 1, seed)
     return tiles
 
 
@@ -50,19 +61,41 @@ def _runs(hashes: np.ndarray, free: np.ndarray, n: int):
     return rolled[place], place
 
 
-def _longest(item, doc, free_a, free_b, most, seed):
-    """All matches of the greatest length from seed to most, found by halving: a common run of n words holds one of n - 1."""
-    low, high, best = seed, most, []
+def _matches(item, doc, free_a, free_b, n):
+    """(place in item, its places in doc in order) of every run of n free words that both sides hold by their hash, in order of the item.
+
+    The places of one hash are walked on by all its items together: a place that is taken stays so.
+    """
+    ha, pa_ = _runs(item, free_a, n)
+    hb, pb = _runs(doc, free_b, n)
+    order = np.argsort(hb, kind="stable")
+    hb, pb = hb[order], pb[order]
+    begin, end = np.searchsorted(hb, ha, "left"), np.searchsorted(hb, ha, "right")
+    walked = {}
+    for i in np.flatnonzero(end > begin):
+        yield pa_[i], _untaken(walked, int(begin[i]), int(end[i]), pb, free_b, n)
+
+
+def _untaken(walked: dict, begin: int, end: int, places, free, n):
+    at = walked.get(begin, begin)
+    while at < end:
+        if free[places[at] : places[at] + n].all():
+            yield places[at]
+        elif at == walked.get(begin, begin):
+            walked[begin] = at + 1  # no longer free, and will not be again
+        at += 1
+
+
+def _longest(item, doc, free_a, free_b, most, seed) -> int:
+    """The length of the longest common run of free words, from seed to most, or 0; by halving, as a run of n words holds one of n - 1."""
+    low, high, best = seed, most, 0
     while low <= high:
         n = (low + high) // 2
         ha, pa_ = _runs(item, free_a, n)
         hb, pb = _runs(doc, free_b, n)
-        order = np.argsort(hb, kind="stable")
-        begin, end = np.searchsorted(hb[order], ha, "left"), np.searchsorted(hb[order], ha, "right")
-        hit = np.flatnonzero(end > begin)
-        found = [(int(pa_[i]), int(pb[order[j]]), n) for i in hit for j in range(begin[i], end[i]) if np.array_equal(item[pa_[i] : pa_[i] + n], doc[pb[order[j]] : pb[order[j]] + n])]
-        if found:
-            best, low = found, n + 1
+        both, at, to = np.intersect1d(ha, hb, return_indices=True)
+        if any(np.array_equal(item[pa_[i] : pa_[i] + n], doc[pb[j] : pb[j] + n]) for i, j in zip(at, to, strict=True)):
+            best, low = n, n + 1
         else:
             high = n - 1
     return best
@@ -77,26 +110,33 @@ def _near(places: np.ndarray, reach: int, total: int):
 
 
 class _Block:
-    """The word hashes and seeds of some benchmark items; bounded by the words of a block."""
+    """The word hashes and seeds of some benchmark texts; bounded by the characters of a block."""
 
     def __init__(self, items: list, texts: list, seed: int):
-        hashes, first = word_hashes(pa.array(texts, pa.string()), PUNCTUATION)
+        hashes, first = hashed_words(pa.array(texts, pa.string()))
         self.items = items
         self.words = [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        seeds = [(h, i) for i, w in enumerate(self.words) if len(w) >= seed for h in set(shingle_hashes(w, np.array([0, len(w)]), seed)[0].tolist())]
-        seeds.sort()
-        self.seeds, self.owner = np.array([h for h, _ in seeds], np.uint64), np.array([i for _, i in seeds], np.int64)
-        self.maybe = np.zeros(1 << _FILTER_BITS, bool)
-        self.maybe[self.seeds >> np.uint64(64 - _FILTER_BITS)] = True
+        rolled, at = shingle_hashes(hashes, first, seed)
+        owner = np.repeat(np.arange(len(texts)), np.diff(at))
+        whole = np.diff(first)[owner] >= seed  # shorter texts cannot be tiled
+        rolled, owner = rolled[whole], owner[whole]
+        order = np.lexsort((owner, rolled))
+        rolled, owner = rolled[order], owner[order]
+        new = np.ones(len(rolled), bool)
+        new[1:] = (rolled[1:] != rolled[:-1]) | (owner[1:] != owner[:-1])
+        self.seeds, self.owner = rolled[new], owner[new]
+        self.shift = np.uint64(64 - min(26, max(16, int(16 * len(self.seeds)).bit_length())))
+        self.maybe = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.maybe[self.seeds >> self.shift] = True
 
 
 def _scan(batches, block: _Block, seed: int, least: float):
     for batch in batches:
         for piece in slices(batch, "text"):
             keys = piece.column("key")
-            hashes, first = word_hashes(piece.column("text"), PUNCTUATION)
+            hashes, first = hashed_words(piece.column("text"))
             rolled, at = shingle_hashes(hashes, first, seed)
-            place = np.flatnonzero(block.maybe[rolled >> np.uint64(64 - _FILTER_BITS)])
+            place = np.flatnonzero(block.maybe[rolled >> block.shift])
             begin, end = np.searchsorted(block.seeds, rolled[place], "left"), np.searchsorted(block.seeds, rolled[place], "right")
             wide = end - begin
             place, spread = np.repeat(place, wide), np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
@@ -124,39 +164,46 @@ def _scan(batches, block: _Block, seed: int, least: float):
                 yield [list(x) for x in zip(*out, strict=True)]
 
 
-def _blocks(items: DataFrame, most: int) -> tuple[DataFrame, list]:
-    """The items with their block, and the blocks: items are dealt by hash, more finely until no block but one item's has over ``most`` characters."""
-    held = stored(items.withColumn("size", F.length("text") + 1).withColumn("deal", F.xxhash64("item", "text")), "benchmark")
-    total, rows = held.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    parts = max(1, -(-2 * total // most))
+def _blocks(items: DataFrame, most: int) -> tuple[DataFrame, DataFrame, list]:
+    """The rows (item, node), the distinct texts with their block, and the blocks.
+
+    Equal texts are one node, however many items have them. Texts are dealt by hash, more finely until no block of several texts
+    has over ``most`` characters.
+    """
+    node = F.unhex(F.md5("text"))
+    held = stored(items.select("item", node.alias("node"), "text"), "benchmark")
+    texts = held.groupBy("node").agg(F.first("text").alias("text")).withColumn("size", F.length("text") + 1)
+    total = texts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = 1 if total <= most else -(-2 * total // most)
     while True:
-        dealt = held.withColumn("part", F.pmod("deal", F.lit(parts)))
-        sums = dealt.groupBy("part").agg(F.sum("size").alias("size"), F.count_distinct("deal").alias("items"))
-        if parts == 1 or parts > 64 * rows or sums.where((F.col("size") > most) & (F.col("items") > 1)).isEmpty():
-            return dealt, sorted(r["part"] for r in sums.select("part").toLocalIterator())
+        dealt = texts.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)))
+        sums = dealt.groupBy("part").agg(F.sum("size").alias("size"), F.count("*").alias("texts"))
+        if sums.where((F.col("size") > most) & (F.col("texts") > 1)).isEmpty():
+            return held.select("item", "node"), dealt, sorted(r["part"] for r in sums.select("part").toLocalIterator())
         parts *= 2
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", seed: int = 5, least: float = 0.8, block_words: int = 1 << 18) -> DataFrame:
-    """(key, item, covered, words, coverage, tiles) for every document that holds ``least`` of an item's words in tiles.
+def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", seed: int = 5, least: float = 0.8, block_chars: int = 1 << 24) -> DataFrame:
+    """(key, item, covered, words, tiles, coverage) for every document that holds ``least`` of an item's words in tiles.
 
-    Words are runs of letters and digits, lower-cased. Items of fewer than ``seed`` words cannot be tiled and never match;
-    null and empty texts on either side match nothing. Repeated documents and items give a row each. tiles lists item_word,
-    doc_word and words of every tile. The benchmark may have any size: each block of at most ``block_words`` characters (one
-    item at least, with its copies) is sent to the tasks and costs one pass over ``docs``.
+    Words are what ASCII signs, blanks, controls and the ``MARKS`` leave between them, lower-cased. Items of fewer than ``seed``
+    words cannot be tiled and never match; null and empty texts on either side match nothing. Repeated documents and items
+    give a row each. tiles lists item_word, doc_word and words of every tile. The benchmark may have any size: each block of at
+    most ``block_chars`` characters of distinct texts (one text at least) is sent to the tasks, where it takes about 10 bytes a
+    character, and costs one pass over ``docs``.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     items = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where("text is not null")
-    bounded, parts = _blocks(items, block_words)
+    named, bounded, parts = _blocks(items, block_chars)
     kind = T.StructType([
-        T.StructField(key, docs.schema[key].dataType), T.StructField(item, benchmark.schema[item].dataType), T.StructField("covered", T.LongType()), T.StructField("words", T.LongType()),
+        T.StructField(key, docs.schema[key].dataType), T.StructField("node", T.BinaryType()), T.StructField("covered", T.LongType()), T.StructField("words", T.LongType()),
         T.StructField("tiles", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("item_word", "doc_word", "words")]))),
     ])
     found = spark.createDataFrame([], kind)
     for part in parts:
-        held = bounded.where(F.col("part") == part).orderBy("item", "text").collect()  # block_words characters, or one item
-        sent = spark.sparkContext.broadcast(_Block([r["item"] for r in held], [r["text"] for r in held], seed))
+        held = bounded.where(F.col("part") == part).select("node", "text").orderBy("node").collect()  # block_chars characters, or one text
+        sent = spark.sparkContext.broadcast(_Block([bytes(r["node"]) for r in held], [r["text"] for r in held], seed))
 
         def run(batches, sent=sent):
             from pyspark.sql.pandas.types import to_arrow_schema
@@ -166,10 +213,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
         found = found.union(rows.mapInArrow(run, kind))
-    return found.withColumn("coverage", F.col("covered") / F.col("words"))
+    # a text that many items share, found in many documents, is a product of both: each pair is a row of the result
+    out = found.join(named.withColumnRenamed("item", item), "node").withColumn("coverage", F.col("covered") / F.col("words"))
+    return out.select(key, item, "covered", "words", "tiles", "coverage")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the contaminated ones, all columns kept; a null key is matched like any other."""
+    """``docs`` without the contaminated ones, all columns kept; a null key is matched like any other.
+
+    A contaminated row goes with all rows of its key.
+    """
     bad = stored(contamination(docs, benchmark, key, **options).select(F.col(key).alias("_bad")).distinct(), "contaminated")
     return docs.join(bad, docs[key].eqNullSafe(bad["_bad"]), "left_anti")

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 
@@ -43,6 +44,22 @@ def test_tiles_against_the_definition():
         assert sum(n for _, _, n in tiles) == naive(item, doc, 3)
 
 
+def test_repeated_words_are_tiled_in_time():
+    item, doc = np.full(100, 7, np.uint64), np.full(20_000, 7, np.uint64)
+    began = time.time()
+    assert decontaminate.tile(item, doc, 5) == [(0, 0, 100)]
+    assert sum(n for _, _, n in decontaminate.tile(np.full(1000, 7, np.uint64), np.tile(np.array([7] * 50 + [8], np.uint64), 400), 5)) == 1000
+    assert time.time() - began < 5
+
+
+def test_marks_beyond_ascii_divide_words(spark):
+    bench = spark.createDataFrame([(1, "“one two” — three… four ¿five? «six»")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x one two three four five six y"), (2, "one\u00a0two three\u2014four (five) six"), (3, "one twö three four five")], "doc_id long, text string")
+    got = decontaminate.contamination(docs, bench)
+    assert got.columns == ["doc_id", "item_id", "covered", "words", "tiles", "coverage"]
+    assert sorted((r["doc_id"], r["covered"]) for r in got.collect()) == [(1, 6), (2, 6)]
+
+
 def words(text):
     return re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (text or "").lower())
 
@@ -59,8 +76,8 @@ def test_against_brute_force(spark):
                 covered = naive(w, text, 5)
                 if covered >= 0.8 * len(w):
                     want.add((d["doc_id"], i, covered))
-    for block in (1 << 18, 300):
-        got = decontaminate.contamination(docs, bench, block_words=block).collect()
+    for block in (1 << 24, 300):
+        got = decontaminate.contamination(docs, bench, block_chars=block).collect()
         assert want and {(r["doc_id"], r["item_id"], r["covered"]) for r in got} == want and len(got) == len(want)
 
 
