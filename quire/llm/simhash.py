@@ -289,9 +289,12 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, budget: int = 3, blocks: int = 4, unit_rows: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, budget: int = 3, blocks: int = 6, unit_rows: int = 1024) -> DataFrame:
     """(key, fingerprint, component_id) per row: component_id is the smallest key that links reach, itself included.
 
+    With six blocks of which three may differ there are 20 tables whose units agree on about 32 bits: a fingerprint that nothing
+    is near meets N / 2**32 others in each, so that the pair work stays small up to some 10**10 texts.
+
     Rows whose fingerprints differ in ``budget`` bits or fewer are linked, rows without words (fingerprint zero) like
     any other. Equal fingerprints are joined once, as one node. A null key has a row too and never is a component_id
     unless its component holds nothing else. Empty input gives an empty result; other columns are not read.
