@@ -2,16 +2,22 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[DataFrame] = []
+
 
 def folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests, a laptop) a local one is set first."""
+    """A new folder under spark.checkpoint.dir; with a local master, where that may be unset (tests, a laptop), a local one is set first."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quire-')}")
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         top = held.get()
@@ -24,6 +30,7 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._quire_path = path
+    _made.append(out)
     return out
 
 
@@ -32,3 +39,19 @@ def forget(df: DataFrame) -> None:
     spark, path = df.sparkSession, df._quire_path
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place.getParent(), True)
+    _made[:] = [x for x in _made if x is not df]
+
+
+@contextmanager
+def passing():
+    """Tables that are stored inside are deleted at the end; ``keep`` takes out the one whose rows are still wanted."""
+    before = {id(x) for x in _made}
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str = "table") -> DataFrame:
+        kept.append(stored(df, name))
+        return kept[-1]
+
+    yield keep
+    for x in [x for x in _made if id(x) not in before and all(x is not k for k in kept)]:
+        forget(x)

@@ -1,3 +1,6 @@
+import math
+import random
+import re
 import zlib
 
 import numpy as np
@@ -5,6 +8,8 @@ import pyarrow as pa
 import pytest
 
 from quire.llm import quality, toxicity
+from quire.llm._fit import fitted, held_out, sample
+from quire.llm._text import mix
 
 DATA = "/root/testdata/sf0.1"
 
@@ -58,8 +63,62 @@ def test_sum_of_squares_identity():
         assert got[i] == pytest.approx(want, rel=1e-4, abs=1e-4)
 
 
-def test_character_grams_are_distinct_and_whole():
-    code, at = toxicity.features(pa.array(["abcd abcd", "", None, "ABCD  abcd", "é"]))
-    grams = lambda t: {t[i : i + n] for n in (3, 4, 5, 6, 7) for i in range(len(t) - n + 1)}
-    assert np.diff(at).tolist() == [len(grams(t)) for t in (" abcd abcd ", "  ", "  ", " abcd abcd ", " é ")] or np.diff(at).tolist()[:1] == [len(grams(" abcd abcd "))]
-    assert code[at[0] : at[1]].tolist() == code[at[3] : at[4]].tolist()
+def plain_grams(text):
+    """The distinct hashed n-grams of one text, by the definition."""
+    line = re.sub("[\t-\r ]+", " ", f" {(text or '').lower()} ")
+    out = set()
+    for n in (3, 4, 5, 6, 7):
+        for i in range(len(line) - n + 1):
+            h = 0
+            for c in line[i : i + n]:
+                h = (h * 0x100000001B3 + ord(c)) % 2**64
+            out.add(int(mix(np.array([h], np.uint64), n)[0]) >> 44)
+    return out
+
+
+def test_character_grams_against_the_definition():
+    texts = ["abcd abcd", "", None, "ABCD  abcd", "é", "a\n\tb", "x" * 40, "naïve 漢字 \U0001f600 text", "ab"]
+    code, at = toxicity.features(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert code[at[i] : at[i + 1]].tolist() == sorted(plain_grams(t))
+
+
+def test_log_count_ratios_and_training_against_the_definition():
+    rng = random.Random(9)
+    said = {0: "calm kind word river stone house".split(), 1: "vile rude hateful stone house nasty".split()}
+    rows = [(" ".join(rng.choice(said[i % 2]) for _ in range(6)), i % 2) for i in range(160)]
+    y = np.array([v for _, v in rows])
+    model = toxicity.fit(pa.array([t for t, _ in rows]), y, steps=20)
+    sets = [plain_grams(t) for t, _ in rows]
+    width = 1 << 20
+    p, q = (np.bincount([g for s, v in zip(sets, y, strict=True) if v == k for g in s], minlength=width) for k in (1, 0))
+    ratio = np.log((p + 1) / (p + 1).sum()) - np.log((q + 1) / (q + 1).sum())
+    sure = abs(np.log((p + 0.5) / p.sum()) - np.log((q + 0.5) / q.sum())) >= 3 * np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
+    used = {g for g in range(width) if (p[g] + q[g] >= 3) and sure[g]}
+    assert used and used == set(np.flatnonzero(model["used"]).tolist())
+    w, seen, b, seen_b = dict.fromkeys(used, 0.0), dict.fromkeys(used, 1e-8), 0.0, 1e-8
+    for _ in range(20):
+        error = [(1 / (1 + math.exp(-sum(w[g] * ratio[g] for g in s & used) - b)) - v) / len(y) for s, v in zip(sets, y, strict=True)]
+        for g in used:
+            slope = sum(e * ratio[g] for e, s in zip(error, sets, strict=True) if g in s) + 1e-5 * w[g]
+            seen[g] += slope**2
+            w[g] -= 0.1 * slope / math.sqrt(seen[g])
+        seen_b += sum(error) ** 2
+        b -= 0.1 * sum(error) / math.sqrt(seen_b)
+    new = [" ".join(said[1]), " ".join(said[0]), ""]
+    want = [1 / (1 + math.exp(-sum(w[g] * ratio[g] for g in plain_grams(t) & used) - b)) for t in new]
+    assert toxicity.scores(pa.array(new), model) == pytest.approx(want, rel=1e-4)
+    assert want[0] > want[1]
+
+
+def test_samples_agree_at_any_partitioning(spark):
+    docs = spark.createDataFrame([(i % 40, f"text {i}", i) for i in range(400)], "doc_id long, text string, n long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    one, two = (sorted(map(tuple, sample(docs.repartition(n), labels, "doc_id", "toxic", held_out("doc_id", 5, 0), 20).collect())) for n in (1, 7))
+    assert one == two and len(one) == len({r[0] for r in one}) <= 20
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    rows = spark.createDataFrame([(f"{i:03d}" * 100, i) for i in range(50)], "text string, y int")
+    kept = fitted(rows, lambda t: sorted(t.column("y").to_pylist()), "text", 3000)
+    assert len(kept) == 10 and kept == fitted(rows.repartition(9), lambda t: sorted(t.column("y").to_pylist()), "text", 3000)

@@ -1,35 +1,116 @@
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
 import corpus_pipeline
-from quire.llm import decontaminate, quality, toxicity
+import duckdb
+import pytest
+
+from quire.llm import oracles, quality, toxicity
 
 DIR = "/root/testdata/sf0.01"
 
 
-def test_each_stage_follows_its_operator(spark, tmp_path):
-    docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    labels = spark.read.parquet(f"{DIR}/labels.parquet")
-    columns, kept = docs.columns, {}
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """Every stage's name, input rows and output rows."""
+    top, docs, out = tmp_path_factory.mktemp("stages"), spark.read.parquet(f"{DIR}/documents.parquet"), {}
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, DIR)
-        out.write.parquet(f"{tmp_path}/{name}")
-        after = spark.read.parquet(f"{tmp_path}/{name}")
-        kept[name] = {r["doc_id"] for r in after.select("doc_id").collect()}
-        if name == "toxicity":
-            bad = {r["doc_id"] for r in toxicity.classify(docs, labels).where("predicted = 1").collect()}
-        elif name == "quality":
-            bad = {r["doc_id"] for r in quality.classify(docs, labels).where("predicted = 0").collect()}
-        elif name == "decontamination":
-            bad = {r["doc_id"] for r in decontaminate.contamination(docs, spark.read.parquet(f"{DIR}/benchmark.parquet")).collect()}
-        else:
-            bad = None
-        before = {r["doc_id"] for r in docs.select("doc_id").collect()}
-        if bad is not None:
-            assert bad and kept[name] == before - bad
-        if name != "mixing":
-            assert after.columns == columns
-            assert Counter(map(tuple, after.collect())) <= Counter(map(tuple, docs.collect()))
-        else:
-            assert kept[name] == before
+        stage(spark, docs, DIR).write.parquet(f"{top}/{name}")
+        after = spark.read.parquet(f"{top}/{name}")
+        out[name] = docs, after, f"{top}/{name}"
         docs = after
-    assert {r["doc_id"] for r in corpus_pipeline.run(spark, DIR).collect()} == kept["mixing"]
+    return out
+
+
+def ids(df):
+    return {r["doc_id"] for r in df.select("doc_id").collect()}
+
+
+def test_columns_stay_and_rows_are_whole(stages):
+    for name, (before, after, _) in stages.items():
+        if name != "mixing":
+            assert after.columns == before.columns
+            assert Counter(map(tuple, after.collect())) <= Counter(map(tuple, before.collect()))
+
+
+def test_run_equals_the_stages(spark, stages):
+    assert Counter(map(tuple, corpus_pipeline.run(spark, DIR).collect())) == Counter(map(tuple, stages["mixing"][1].collect()))
+
+
+@pytest.mark.parametrize(("name", "module", "rejects"), [("toxicity", toxicity, 1), ("quality", quality, 0)])
+def test_classifiers_decide(spark, stages, name, module, rejects):
+    before, after, _ = stages[name]
+    bad = ids(module.classify(before, spark.read.parquet(f"{DIR}/labels.parquet")).where(f"predicted = {rejects}"))
+    assert bad and ids(after) == ids(before) - bad
+
+
+def test_near_duplicates_against_all_pairs(stages):
+    """Pairs that share a shingle of five words, by exact Jaccard similarity; one of each component stays."""
+    before, after, _ = stages["near duplicates"]
+    sets, holders = {}, defaultdict(list)
+    for r in before.collect():
+        words = re.findall("[^\\x20\\x09-\\x0D]+", (r["text"] or "").lower())
+        sets[r["doc_id"]] = {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+        for s in sets[r["doc_id"]]:
+            holders[s].append(r["doc_id"])
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    links = 0
+    for a, s in sets.items():
+        shared = Counter(b for x in s for b in holders[x] if b > a)
+        for b, n in shared.items():
+            if n / (len(s) + len(sets[b]) - n) >= 0.8:
+                links += 1
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    assert links > 20 and ids(after) == {find(d) for d in sets}
+
+
+def tiled(item, doc, seed=5):
+    """Words of ``item`` that greedy string tiling covers, by its definition."""
+    used_a, used_b, total = set(), set(), 0
+    while True:
+        most, best = seed, []
+        for a in range(len(item)):
+            for b in range(len(doc)):
+                n = 0
+                while a + n < len(item) and b + n < len(doc) and item[a + n] == doc[b + n] and a + n not in used_a and b + n not in used_b:
+                    n += 1
+                if n >= most:
+                    best = [*(best if n == most else []), (a, b)]
+                    most = n
+        if not best:
+            return total
+        for a, b in best:
+            if not used_a & set(range(a, a + most)) and not used_b & set(range(b, b + most)):
+                used_a |= set(range(a, a + most))
+                used_b |= set(range(b, b + most))
+                total += most
+
+
+def test_decontamination_against_the_definition(spark, stages):
+    before, after, _ = stages["decontamination"]
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    items = [words(b["text"]) for b in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
+    bad = set()
+    for d in before.collect():
+        text = words(d["text"])
+        seen = {tuple(text[i : i + 5]) for i in range(len(text) - 4)}
+        for w in items:
+            if sum(tuple(w[k : k + 5]) in seen for k in range(len(w) - 4)) and tiled(w, text) >= 0.8 * len(w):
+                bad.add(d["doc_id"])
+                break
+    assert bad and ids(after) == ids(before) - bad
+
+
+def test_mixing_equals_its_sql(stages):
+    _, after, _ = stages["mixing"]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{stages['decontamination'][2]}/*.parquet'")
+    want = con.sql(oracles.SQL["op10_mixing"])
+    assert Counter(tuple(r[c] for c in want.columns) for r in after.collect()) == Counter(want.fetchall())
