@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import decontaminate, mixing, quality, simhash, toxicity
-from quire.llm._scratch import stored
+from quire.llm._scratch import passing
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,8 +42,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; every result but the last is written to the shared folder."""
+    """All stages over ``documents``; every result but the last is written to the shared folder, and what a stage stored for itself is deleted after it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        with passing() as keep:
+            docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return STAGES[-1][1](spark, docs, sf_dir)
