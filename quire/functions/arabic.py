@@ -20,8 +20,13 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+#: Whatever lies outside these ranges may change under NFKC; plain ASCII, Latin-1 and Arabic letters and digits don't.
+_MAY_CHANGE = "[^\\x00-\\x9F\\u00A1-\\u00A7\\u00A9\\u00AB-\\u00AE\\u00B0\\u00B1\\u00B6\\u00B7\\u00BB\\u00BF-\\u00FF\\u0621-\\u0652\\u0660-\\u0669]"
+
+
 def fold_nfkc(c: Column) -> Column:
-    return tx.fold(nfkc(c))
+    """``fold`` of the NFKC form; only values that NFKC may change are handed to Python."""
+    return tx.fold(F.coalesce(nfkc(F.when(c.rlike(_MAY_CHANGE), c)), c))
 
 
 def normalise(c: Column) -> Column:
@@ -31,18 +36,23 @@ def normalise(c: Column) -> Column:
     return tx.flat(F.regexp_replace(united, "[^\\u0621-\\u063A\\u0641-\\u064Aa-z0-9]+", " "))
 
 
+# fixed values: endings that may take another's place, and the length that a word must exceed for it
+_ENDINGS = (("ات", "", 4), ("ه", "ت", 4), ("ت", "ه", 4), ("ه", "", 4), ("ت", "", 4))
+
+
 def search_forms(term: Column) -> Column:
-    """The forms under which a term is indexed: with and without the article, suffixes and endings."""
-    article = F.when(term.startswith("ال") & (F.length(term) > 4), F.substring(term, 3, 1 << 20)).when(~term.startswith("ال") & (F.length(term) > 3), F.concat(F.lit("ال"), term))
-    forms = F.array_compact(F.array(term, article))
-    shorter = lambda f, s: F.when((F.length(f) > F.length(s) + 3) & f.endswith(s), f.substr(F.lit(1), F.length(f) - F.length(s)))
-    forms = F.aggregate(F.array(*map(F.lit, _SUFFIXES)), forms, lambda held, s: F.array_distinct(F.concat(held, F.array_compact(F.transform(held, lambda f: shorter(f, s))))))
-    cut = lambda f, n: f.substr(F.lit(1), F.length(f) - n)
-    long = lambda f, end: (F.length(f) > 4) & f.endswith(end)
-    ends = F.flatten(
-        F.transform(forms, lambda f: F.array(F.when(long(f, "ات"), cut(f, 2)), F.when(long(f, "ه"), F.concat(cut(f, 1), F.lit("ت"))).when(long(f, "ت"), F.concat(cut(f, 1), F.lit("ه"))), F.when(long(f, "ه") | long(f, "ت"), cut(f, 1))))
-    )
-    return F.array_distinct(F.concat(forms, F.array_compact(ends)))
+    """The forms under which a term is indexed.
+
+    A term stands beside the form with or without the article; each of these may lose one suffix after the other, in their
+    order; and every form has its variants by ``_ENDINGS``. A suffix goes only if more than three letters stay.
+    """
+    swap = lambda f, old, new, over: F.when((F.length(f) > over) & f.endswith(old), F.concat(F.left(f, F.length(f) - len(old)), F.lit(new)))
+    other = F.when(~term.startswith("ال"), F.when(F.length(term) > 3, F.concat(F.lit("ال"), term))).otherwise(F.when(F.length(term) > 4, F.right(term, F.length(term) - 2)))
+    forms = F.array_compact(F.array(term, other))
+    grown = lambda rules: lambda held: F.array_union(held, F.array_compact(F.flatten(F.transform(held, lambda f: F.array(*(swap(f, *rule) for rule in rules))))))
+    for rules in (*([(suffix, "", len(suffix) + 3)] for suffix in _SUFFIXES), _ENDINGS):
+        forms = tx.once(forms, grown(rules))
+    return forms
 
 
 def search_tokens(c: Column, stop: tuple = STOP_WORDS) -> Column:

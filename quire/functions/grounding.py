@@ -17,9 +17,21 @@ def numbers_of(c: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(RUN), 0), _bare))
 
 
+_MARKS = "،,;:"
+
+
 def tidy(c: Column) -> Column:
-    """Without what removed numbers leave behind: empty brackets, doubled marks and blanks, marks at the ends."""
-    return tx.flat(tx.replaced(c, ("[ \\t]{2,}", " "), ("\\([ \\t]*\\)|\\[[ \\t]*\\]|\\{[ \\t]*\\}", ""), ("[ \\t]+([،,;:])", "$1"), ("([،,;:])[ \\t\\n]*([،,.;:])", "$1"), ("^[ \\t\\n–—:;,.-]+", ""), ("[ \\t\\n–—:;,.-]+$", "")))
+    """A text from which numbers were taken out, mended: no empty pair of brackets, one mark where several met, none at the ends.
+
+    It is read as pieces between marks. A piece without a letter or digit is dropped with the mark before it.
+    """
+    bare = c
+    for pair in ("()", "[]", "{}"):
+        bare = F.regexp_replace(bare, f"\\{pair[0]}{tx.SPACE}*\\{pair[1]}", "")
+    pieces = F.filter(F.regexp_extract_all(bare, F.lit(f"[{_MARKS}]?[^{_MARKS}]+"), 0), lambda x: x.rlike("[\\p{L}\\p{N}]"))
+    whole = F.array_join(F.transform(pieces, lambda x: F.regexp_replace(tx.flat(x), f"^([{_MARKS}]) +$", "$1")), "")
+    spaced = tx.flat(F.regexp_replace(F.regexp_replace(whole, f"([{_MARKS}])(?=[\\p{{L}}\\p{{N}}])", "$1 "), f" +([{_MARKS}]|\\.(?= |$))", "$1"))
+    return F.btrim(spaced, F.lit(tx.BLANKS + "–—:;,.-،"))
 
 
 def grounded(c: Column, evidence: Column, allowed: Column) -> Column:

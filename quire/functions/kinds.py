@@ -55,26 +55,41 @@ def lines_of(c: Column) -> Column:
     return F.filter(F.transform(F.split(tx.clean(c), "\n"), tx.strip), lambda x: x != "")
 
 
-def page_type(c: Column) -> Column:
-    """One of eight types by a page's lines, the first rule that holds; an empty or null text is a divider."""
-    lines = lines_of(c)
-    text = F.array_join(lines, "\n")
-    first = F.array_join(F.slice(lines, 1, 3), " ")
+#: Types by what a page's lines show, the first that holds; each rule reads the features of ``features_of``.
+PAGE_RULES = (
+    ("divider", lambda f: f["size"] < 12),
+    ("contents", lambda f: f["head"].rlike(CONTENTS) | (f["leaders"] > 3) | ((f["folios"] > 5) & (f["rest"] <= 6))),
+    ("exercises", lambda f: (f["numbered"] > 3) | (F.least(f["numbered"], F.lit(2)) + F.least(f["words"], F.lit(3)) >= 4) & (f["numbered"] > 0) & (f["words"] > 1)),
+    ("boxed_recap", lambda f: f["text"].rlike(RECAP)),
+    ("matching", lambda f: (f["numbered"] > 0) & f["text"].rlike(MATCHING)),
+    ("glossary", lambda f: f["head"].rlike(GLOSSARY) | (f["terms"] > 3)),
+    ("parallel_text", lambda f: f["mixed"] > 3),
+    ("divider", lambda f: F.when(f["opens"], f["size"] < 420).otherwise(False) | ((f["size"] < 180) & (f["lines"] < 5))),
+)
+
+
+def features_of(lines: Column) -> Column:
+    """struct of what ``PAGE_RULES`` look at: texts, and counts of lines and words of each kind."""
     count = lambda *patterns: F.size(F.filter(lines, lambda x: _all(x, patterns)))
-    size = F.length(F.replace(tx.compact_key(text), F.lit("ـ"), F.lit("")))
-    folios, numbered, words = count(FOLIO), count(NUMBERED), F.regexp_count(text, F.lit(EXERCISE_WORDS))
-    opens = F.exists(F.slice(lines, 1, 2), lambda x: x.rlike(CHAPTER))
-    return (
-        F.when(size < 12, "divider")
-        .when(first.rlike(CONTENTS) | (count(LEADERS) >= 4) | ((folios >= 6) & (F.size(lines) <= folios + 6)), "contents")
-        .when((numbered >= 4) | ((words >= 3) & (numbered >= 1)) | ((words >= 2) & (numbered >= 2)), "exercises")
-        .when(text.rlike(RECAP), "boxed_recap")
-        .when(text.rlike(MATCHING) & (numbered >= 1), "matching")
-        .when((count(TERMS) >= 4) | first.rlike(GLOSSARY), "glossary")
-        .when(count(ARABIC, "[A-Za-z]") >= 4, "parallel_text")
-        .when((opens & (size < 420)) | ((size < 180) & (F.size(lines) <= 4)), "divider")
-        .otherwise("lesson_content")
-    )
+    text = F.array_join(lines, "\n")
+    folios = count(FOLIO)
+    return F.struct(
+        text.alias("text"), F.array_join(F.slice(lines, 1, 3), " ").alias("head"), F.size(lines).alias("lines"), folios.alias("folios"), (F.size(lines) - folios).alias("rest"), count(NUMBERED).alias("numbered"),
+        count(LEADERS).alias("leaders"), count(TERMS).alias("terms"), count(ARABIC, "[A-Za-z]").alias("mixed"), F.regexp_count(text, F.lit(EXERCISE_WORDS)).alias("words"),
+        F.length(F.translate(tx.compact_key(text), "ـ", "")).alias("size"), F.exists(F.slice(lines, 1, 2), lambda x: x.rlike(CHAPTER)).alias("opens"),
+    )
+
+
+def page_type(c: Column) -> Column:
+    """One of eight types by a page's lines; an empty or null text is a divider, what no rule claims is lesson content."""
+
+    def decided(f: Column) -> Column:
+        out = F.lit("lesson_content")
+        for kind, holds in reversed(PAGE_RULES):
+            out = F.when(holds(f), kind).otherwise(out)
+        return out
+
+    return tx.once(lines_of(c), lambda lines: tx.once(features_of(lines), decided))
 
 
 def _all(x: Column, patterns: tuple) -> Column:
@@ -84,6 +99,11 @@ def _all(x: Column, patterns: tuple) -> Column:
     return ok
 
 
+#: What a line gains or loses as a title, by pattern; the rest depends on its place, length and letters.
+TITLE_SIGNS = ((HEADING, 4.0), ("\ufffd", -4.0))
+_LETTER, _DIGIT, _ACCENTED = "\\p{L}", "[0-9٠-٩۰-۹]", "[\\x{00A0}-\\x{024F}]"
+
+
 def title_line(c: Column) -> Column:
     """The line that reads most like a title, the first of equals, in 140 characters; null if no line qualifies.
 
@@ -93,13 +113,13 @@ def title_line(c: Column) -> Column:
     good = F.filter(lines_of(c), lambda x: F.length(x).between(4, 140) & ~x.rlike(FOLIO) & x.rlike("\\p{L}|[0-9٠-٩۰-۹]"))
 
     def scored(x: Column, i: Column) -> Column:
-        letters, arabic = F.regexp_count(x, F.lit("\\p{L}")), F.regexp_count(x, F.lit(ARABIC))
-        points = (
-            F.when(x.rlike(HEADING), 4.0).otherwise(0.0) + F.when(i < 3, 2 - i * 0.5).otherwise(0.0) + F.when(F.length(x) <= 90, 1.0).otherwise(0.0)
-            - F.when(x.rlike(SENTENCE_END) & (F.length(x) > 40), 3.0).otherwise(0.0) - F.when(x.rlike("[0-9٠-٩۰-۹]") & (arabic == 0), 2.0).otherwise(0.0)
-            - F.when(letters < 4, 3.0).otherwise(0.0) - F.when(x.contains("\ufffd"), 4.0).otherwise(0.0) - F.when(F.regexp_count(x, F.lit("[\\x{00A0}-\\x{024F}]")) >= 2, 3.0).otherwise(0.0)
-            - F.when((arabic > 0) & (arabic / F.greatest(letters, F.lit(1)) < 0.4), 2.0).otherwise(0.0)
-        )
+        letters, arabic, size = F.regexp_count(x, F.lit(_LETTER)), F.regexp_count(x, F.lit(ARABIC)), F.length(x)
+        signs = [(x.rlike(p), n) for p, n in TITLE_SIGNS]
+        shape = [(size <= 90, 1.0), ((size > 40) & x.rlike(SENTENCE_END), -3.0), (letters < 4, -3.0), (F.regexp_count(x, F.lit(_ACCENTED)) > 1, -3.0)]
+        script = [((arabic == 0) & x.rlike(_DIGIT), -2.0), ((arabic > 0) & (arabic < 0.4 * F.greatest(letters, F.lit(1))), -2.0)]
+        points = F.greatest(F.lit(0.0), F.when(i < 3, 2 - i / 2).otherwise(0.0))
+        for holds, n in (*signs, *shape, *script):
+            points = points + F.when(holds, n).otherwise(0.0)
         return F.struct((-points).alias("s"), i.alias("i"), x.alias("t"))
 
     return F.array_min(F.transform(good, scored))["t"]
@@ -124,14 +144,31 @@ def evidence_label(evidence: Column, status: Column, quotation: Column, source:
     clean, gone = st.isin("clean-extracted-text", "clean-text"), st.isin("no-text", "unavailable")
     none = gone | hidden | (~found & ~clean & (q != "outline-description"))
     proven = (e == "pdf-text") & ~hidden & yes(reliable) & ~gone & ((q == "pdf-text") | (src == "curriculum"))
-    label = (
-        F.when(web & yes(official), "web-official").when(web, "web")
-        .when((q == "outline-description") | (e == "outline-description"), "description")
-        .when(broken, "damaged").when(image, "image").when(ocr & yes(reliable), "ocr-checked").when(ocr, "ocr-unreliable").when(proven, "text-checked")
-        .when(clean & found & yes(reliable), "text-clean").when(clean & found, "text-unproven").when(q == "unreliable", "unreliable")
-        .when(e == "summary", "summary").when((src == "pdf-fallback") & found, "stored-text").when(src == "pdf-fallback", "stored-no-text")
-        .when(none, "no-text").otherwise("check-page")
+    table = (
+        ("web-official", web & yes(official)), ("web", web), ("description", (q == "outline-description") | (e == "outline-description")), ("damaged", broken), ("image", image),
+        ("ocr-checked", ocr & yes(reliable)), ("ocr-unreliable", ocr), ("text-checked", proven), ("text-clean", clean & found & yes(reliable)), ("text-unproven", clean & found),
+        ("unreliable", q == "unreliable"), ("summary", e == "summary"), ("stored-text", (src == "pdf-fallback") & found), ("stored-no-text", src == "pdf-fallback"), ("no-text", none),
     )
+    label = F.lit("check-page")
+    for name, holds in reversed(table):
+        label = F.when(holds, name).otherwise(label)
     warning = F.when(label == "description", broken).when(label.isin("damaged", "image", "ocr-unreliable", "text-unproven", "unreliable", "stored-no-text"), True).when(label.isin("no-text", "check-page"), ~yes(reliable)).otherwise(False)
     visual = label.isin("image", "ocr-checked", "ocr-unreliable", "stored-no-text") | (~web & ~ocr & ~image & yes(needs_ocr))
     return F.struct(label.alias("label"), warning.alias("warning"), visual.alias("visual"))
+
+
+def needs_ocr(text: Column, asked: Column, corrupt_book: Column, status: Column, parser: Column, flagged: Column) -> Column:
+    """Whether a page is to be read from its picture, and why: the first reason that holds, null if none does.
+
+    forced, corrupt-book, empty, contaminated, rejected, other-parser, corrupt, flagged. Nulls of flags are false.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    t = F.coalesce(text, F.lit(""))
+    reasons = (
+        ("forced", yes(asked)), ("corrupt-book", yes(corrupt_book)), ("empty", tx.strip(t) == ""), ("contaminated", tx.contamination(t).isNotNull()), ("rejected", yes(status == "rejected")),
+        ("other-parser", yes((parser != "json") & (parser != ""))), ("corrupt", tx.corruption_reason(t).isNotNull()), ("flagged", yes(flagged)),
+    )
+    out = F.lit(None).cast("string")
+    for reason, holds in reversed(reasons):
+        out = F.when(holds, reason).otherwise(out)
+    return out

@@ -48,13 +48,22 @@ def probe_positions(pages: DataFrame, least_pages: int = 12, least_text: int = 2
     return hit.select("book_id", "physical_page", F.col("w.position").alias("position"), F.col("n").alias("page_total"))
 
 
-def fact_sentence(text: Column, least: int = 40, most: int = 240) -> Column:
-    """The sentence with the most distinct long words, the first of equals; null if none has two."""
-    good = F.filter(tx.sentences(text), lambda s: F.length(s).between(least, most))
-    words = lambda s: F.size(F.array_distinct(F.filter(F.split(tx.word_fold(s), " "), lambda w: F.length(w) >= 5)))
-    ranked = F.transform(good, lambda s, i: F.struct((-words(s)).alias("n"), i.alias("at"), s.alias("s")))
-    best = F.array_min(ranked)
-    return F.when(best["n"] <= -2, best["s"])
+# fixed values: damaged forms of words; a sentence that has one measures the damage, not the search
+SUSPECT = "اال|هللا|االق|واال|حلل|االقتصاد"
+
+
+def fact_sentence(text: Column, least: int = 60, most: int = 320, page: int = 260, letters: int = 5) -> Column:
+    """The sentence with the most distinct long words, and up to 3 points for its length, the first of equals.
+
+    Sentences end in a sentence mark or a line end, and have ``least`` to ``most`` characters; those with damaged signs or
+    words, or with fewer than two long words, don't count. Null for texts of less than ``page`` characters and without such a sentence.
+    """
+    parts = F.split(F.coalesce(text, F.lit("")), "\\n+|(?<=[.!؟?؛;])[ \\t]+")
+    good = F.filter(F.transform(parts, tx.flat), lambda s: F.length(s).between(least, most) & ~s.rlike(f"\ufffd|{tx.PRIVATE}"))
+    terms = F.transform(good, lambda s, i: F.struct(F.array_distinct(F.filter(F.split(tx.word_fold(s), " "), lambda w: F.length(w) >= letters)).alias("w"), i.alias("at"), s.alias("s")))
+    fit = F.filter(terms, lambda x: (F.size(x["w"]) >= 2) & ~F.exists(x["w"], lambda w: w.rlike(SUSPECT)))
+    points = F.transform(fit, lambda x: F.struct((-F.size(x["w"]) - F.least(F.lit(3), F.floor(F.length(x["s"]) / 110))).alias("minus"), x["at"].alias("at"), x["s"].alias("s")))
+    return F.when(F.length(text) >= page, F.array_min(points)["s"])
 
 
 def probe_hits(cases: DataFrame, citations: DataFrame) -> DataFrame:

@@ -28,8 +28,45 @@ def truncated(source: DataFrame, index: DataFrame, kept: float = 0.98, line: int
     return both.select(*KEYS, F.length("expected_text").alias("expected"), F.length("indexed_text").alias("indexed"), gone.alias("lost_lines")).where("lost_lines > 0")
 
 
-def loss_severity(lost: Column) -> Column:
-    return F.when(lost > 0.15, "high").when(lost > 0.05, "medium").otherwise("low")
+def losses(source: DataFrame, index: DataFrame, kept: float = 0.98, line: int = 25, head: int = 40) -> DataFrame:
+    """(book_id, pages, lost, expected, share): per book the pages that lost lines, the characters of these, and their share of all expected ones.
+
+    A line of ``line`` characters is lost if the indexed text doesn't hold its first ``head``. Pages of fewer than 20 characters don't count.
+    """
+    both = source.select(*KEYS, tx.flat(F.col("text")).alias("expected"), F.transform(F.split("text", "\n"), tx.flat).alias("lines")).join(index.select(*KEYS, tx.flat(F.col("text")).alias("indexed")), KEYS)
+    gone = F.filter("lines", lambda x: (F.length(x) >= line) & ~F.contains(F.col("indexed"), F.substring(x, 1, head)))
+    short = F.length("indexed") < F.length("expected") * kept
+    lost = F.when(short, F.aggregate(gone, F.lit(0), lambda n, x: n + F.length(x))).otherwise(0)
+    rows = both.where(F.length("expected") >= 20).select("book_id", F.length("expected").alias("size"), lost.alias("lost"))
+    sums = rows.groupBy("book_id").agg(F.count_if(F.col("lost") > 0).alias("pages"), F.sum("lost").alias("lost"), F.sum("size").alias("expected"))
+    return sums.withColumn("share", F.col("lost") / F.col("expected"))
+
+
+# fixed values: what an outline says of a page without text
+NO_TEXT_CLAIM = "لا يمكن الإجابة|لا نص مستخرج|لا يوجد نص|صفحة مصورة|تحتاج قراءة بصرية"
+
+
+def contradicted(outline: DataFrame, docs: DataFrame, least: int = 20, claim: str = NO_TEXT_CLAIM) -> DataFrame:
+    """(keys): pages whose outline (keys, description) claims that there is no text, and that have ``least`` characters of it."""
+    says = outline.where(F.col("description").rlike(claim)).select(*KEYS).distinct()
+    return docs.where(F.length(tx.strip(F.col("text"))) >= least).select(*KEYS).join(says, KEYS, "left_semi")
+
+
+def dead_layers(layers: DataFrame, readers: DataFrame) -> DataFrame:
+    """(layer): layers that exist and that no reader names. layers: layer; readers: layer, reader."""
+    return layers.select("layer").distinct().join(readers.select("layer"), "layer", "left_anti")
+
+
+def guessed_pages(source: DataFrame, index: DataFrame, rules: DataFrame) -> DataFrame:
+    """(keys): pages whose printed number the source lacks and whose indexed one is what a constant shift gives.
+
+    rules: book_id, first, last, shift; the shift of the stretch of physical pages from first to last.
+    """
+    bare = source.where("printed_page is null").select(*KEYS)
+    stretch = rules.select("book_id", "first", "last", "shift")
+    numbered = index.where("printed_page is not null").select(*KEYS, "printed_page").join(bare, KEYS, "left_semi").join(stretch, "book_id")
+    page = F.col("physical_page")
+    return numbered.where(page.between(F.col("first"), F.col("last")) & (F.col("printed_page") == page + F.col("shift"))).select(*KEYS).distinct()
 
 
 def differing(left: DataFrame, right: DataFrame, columns: list[str], keys: list[str] = KEYS) -> DataFrame:

@@ -33,34 +33,41 @@ def printed_source(parsed: Column, footer: Column, own: Column) -> tuple[Column,
     return F.coalesce(parsed, footer, own), source
 
 
-def best_title(candidates: list[tuple[Column, float]], text: Column) -> Column:
-    """The candidate with the highest score, the first of equals; null if none scores above 0.
-
-    A score is the candidate's weight, raised for three words or more, letters, and words of the title that the text holds;
-    lowered for single words, page numbers at the ends, and titles that are too short or too long.
+# fixed values: what a title gains or loses by each feature, and the words of titles that stand for none
+TITLE_POINTS = {"folio": -3.0, "one_word": -2.5, "three_words": 2.0, "short": -3.0, "long": -2.0, "patch": -6.0}
+NO_TITLE = "(?i)^(تكملة|تابع|لا عنوان|بدون عنوان|continued|untitled|no title)"
+
+
+def title_points(title: Column, weight: float, body: Column) -> Column:
+    """Points of a cleaned title: its weight, its features, up to 2 for letters and up to 4 for words that the folded body holds."""
+    words = F.filter(F.split(title, " "), lambda w: w.rlike("\\p{L}"))
+    long = F.array_distinct(F.filter(F.split(tx.word_fold(title), " "), lambda w: F.length(w) >= 4))
+    features = {
+        "folio": title.rlike("^[0-9]{1,4}( |$)|[ ][0-9]{1,4}$"), "one_word": F.size(words) == 1, "three_words": F.size(words) >= 3,
+        "short": F.length(title) < 8, "long": F.length(title) > 140, "patch": title.rlike(NO_TITLE),
+    }
+    points = F.lit(float(weight)) + F.least(F.regexp_count(title, F.lit("\\p{L}")), F.lit(60)) / 30
+    for name, holds in features.items():
+        points = points + F.when(holds, TITLE_POINTS[name]).otherwise(0.0)
+    covered = tx.once(long, lambda ws: F.when((F.size(ws) > 0) & (body != ""), F.size(F.filter(ws, lambda w: F.contains(body, w))) / F.size(ws) * 4).otherwise(0.0))
+    return F.when(F.size(words) > 0, points + covered).otherwise(-1.0)
+
+
+def best_title(candidates: list[tuple[Column, float]], text: Column, furniture: Column | None = None) -> Column:
+    """The candidate with the most points, the first of equals, cut at a word; null if none has more than 0.
+
+    furniture: an array of lower-cased lines that many pages bear; such a candidate is taken only where no other has points.
     """
+    held = F.coalesce(furniture, F.array().cast("array<string>")) if furniture is not None else F.array().cast("array<string>")
+    shown = F.array(*(F.struct(F.lit(float(w)).alias("w"), F.lit(i).alias("at"), tx.flat(F.coalesce(c, F.lit(""))).alias("t"), c.alias("title")) for i, (c, w) in enumerate(candidates)))
+
+    def chosen(page: Column) -> Column:
+        ranked = F.transform(shown, lambda x: F.struct(F.array_contains(page["lines"], F.lower(x["t"])).alias("furniture"), (-F.round(title_points(x["t"], 0.0, page["body"]) + x["w"], 9)).alias("minus"), x["at"].alias("at"), x["title"].alias("title")))
+        # the title without letters has -1 plus its weight; it never wins
+        return F.array_min(F.filter(ranked, lambda r: (r["minus"] < 0) & r["title"].rlike("\\p{L}")))["title"]
 
-    def score(value: Column, weight: float) -> Column:
-        title = tx.flat(F.coalesce(value, F.lit("")))
-        words = F.filter(F.split(title, " "), lambda w: w.rlike("\\p{L}"))
-        long = F.array_distinct(F.filter(F.split(tx.word_fold(title), " "), lambda w: F.length(w) >= 4))
-        body = tx.word_fold(text)
-        covered = F.size(F.filter(long, lambda w: F.contains(body, w))) / F.greatest(F.size(long), F.lit(1))
-        total = (
-            F.lit(float(weight))
-            - F.when(title.rlike("^[0-9]{1,4}( |$)|[ ][0-9]{1,4}$"), 3.0).otherwise(0.0)
-            - F.when(F.size(words) == 1, 2.5).otherwise(0.0)
-            + F.when(F.size(words) >= 3, 2.0).otherwise(0.0)
-            + F.least(F.regexp_count(title, F.lit("\\p{L}")), F.lit(60)) / 30
-            - F.when(F.length(title) < 8, 3.0).otherwise(0.0)
-            - F.when(F.length(title) > 140, 2.0).otherwise(0.0)
-            + F.when((F.size(long) > 0) & (body != ""), covered * 4).otherwise(0.0)
-        )
-        return F.when(F.size(words) > 0, total).otherwise(-1.0)
-
-    scored = F.array(*(F.struct((-score(c, w)).alias("s"), F.lit(i).alias("at"), c.alias("title")) for i, (c, w) in enumerate(candidates)))
-    best = F.array_min(scored)
-    return F.when(best["s"] < 0, tx.clip_at_word(best["title"]))
+    best = tx.once(F.struct(tx.word_fold(text).alias("body"), held.alias("lines")), chosen)
+    return tx.once(best, lambda title: F.when(title.isNotNull(), tx.clip_at_word(title)))
 
 
 def purpose(enriched: Column, raw: Column, is_template: Column, derived: Column, fallback: str = "not stated") -> tuple[Column, Column]:

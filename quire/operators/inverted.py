@@ -9,13 +9,14 @@ def document_frequency(docs: DataFrame, terms: Column) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def postings(docs: DataFrame, terms: Column, key: str = "doc_id") -> DataFrame:
+def postings(docs: DataFrame, terms: Column, key: str = "doc_id", span: int = 1 << 16) -> DataFrame:
     """(term, key): one row per posting, sorted within partitions by term and key.
 
-    A term's postings stay rows; range partitions by both columns split a frequent term's list over many tasks.
+    A term's postings stay rows; they are dealt out by the term and by stretches of ``span`` whole-number keys, so that a
+    frequent term's list lies in many tasks and the texts are read once.
     """
     rows = docs.select(F.explode(F.array_distinct(terms)).alias("term"), key)
-    return rows.repartitionByRange("term", key).sortWithinPartitions("term", key)
+    return rows.repartition("term", F.floor(F.col(key) / span)).sortWithinPartitions("term", key)
 
 
 def first_postings(docs: DataFrame, terms: Column, key: str = "doc_id") -> DataFrame:
@@ -36,25 +37,14 @@ def offsets(frequencies: DataFrame, prefix: int = 2) -> DataFrame:
     return keyed.withColumn("_inside", inside).join(before, "_k").select("term", "df", (F.col("_start") + F.col("_inside")).alias("start"))
 
 
-def keywords(docs: DataFrame, words: Column, count: int = 10, key: str = "doc_id") -> DataFrame:
-    """(key, keywords): each row's most frequent words, longer ones first among equals, then the one that comes first.
+def keywords_by_count(docs: DataFrame, words: Column, count: int = 10, key: str = "doc_id") -> DataFrame:
+    """(key, keyword, n, rank): each row's ``count`` most frequent words, longer ones first among equals, then the one that comes first.
 
-    Counted inside the row, so nothing is shuffled; words of digits alone go after the choice.
+    Words of digits alone go after the choice, so that such a row has fewer.
     """
-    distinct = F.array_distinct(F.col("_w"))
-    rows = docs.select(key, words.alias("_w"))
-    ranked = F.array_sort(
-        F.transform(distinct, lambda w, i: F.struct((-F.size(F.filter(F.col("_w"), lambda x: x == w))).alias("n"), (-F.length(w)).alias("len"), i.alias("at"), w.alias("word")))
-    )
-    chosen = F.filter(F.transform(F.slice(ranked, 1, count), lambda s: s["word"]), lambda w: ~w.rlike("^[0-9]+$"))
-    return rows.select(key, chosen.alias("keywords"))
-
-
-def keywords_by_count(docs: DataFrame, words: Column, count: int = 10, key: str = "doc_id") -> DataFrame:
-    """(key, keyword, n, rank): the same choice for long texts, where counting inside the row would be quadratic."""
     rows = docs.select(key, F.posexplode(words).alias("at", "keyword")).groupBy(key, "keyword").agg(F.count("*").alias("n"), F.min("at").alias("at"))
     order = Window.partitionBy(key).orderBy(F.desc("n"), F.desc(F.length("keyword")), "at")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count).select(key, "keyword", "n", "rank")
+    return rows.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= count) & ~F.col("keyword").rlike("^[0-9]+$")).select(key, "keyword", "n", "rank")
 
 
 def shard_pointers(rows: DataFrame, position: Column, size: int = 250) -> DataFrame:

@@ -10,24 +10,43 @@ from quire.operators.numbering import upper_medians
 
 # fixed values: penalty of a finding, share of the points of a check
 WEIGHTS = {"critical": 12.0, "high": 6.0, "medium": 2.5, "low": 1.0}
+# fixed values: broken forms of one word, and what broken brackets, roots and exponents look like
+BROKEN_NAMES = "هللا|هلالا|األله|األه|للهل|الهل|باهلل|اهلل"
+BROKEN_MATH = (
+    "[0-9٠-٩۰-۹]\\s+[0-9]{1,3}\\s*\\+\\s*[0-9]{1,3}\\s*[\\[(]?\\s*√|\\b[a-zA-Z]\\s*\\^\\s*[0-9]|√\\s*\\]\\s*[0-9]"
+    "|[0-9٠-٩۰-۹]\\s*\\^\\s*[0-9٠-٩۰-۹]\\s*\\]|[\\])]\\s*[^\\n]{0,6}?[0-9]{1,3}\\s*[\\[(]"
+)
 
 
 def corruption(pages: DataFrame, group: str = "book_id") -> DataFrame:
-    """Counts of replacement, private, Persian and out-of-range characters and their share of all, per book."""
+    """Counts of replacement, private, Persian and out-of-range characters and of broken names, and the share of those out of range, per book."""
     n = lambda pattern: F.sum(F.regexp_count("text", F.lit(pattern))).alias
-    out = "[^\\t\\n\\r\\x20-\\x7E\\u00A0-\\u024F\\u0600-\\u06FF\\u2000-\\u22FF]"
-    rows = pages.groupBy(group).agg(n("�")("replacement"), n(tx.PRIVATE)("private"), n("[پچژگکی]")("persian"), n(out)("out_of_range"), F.sum(F.length("text")).alias("characters"))
+    rows = pages.groupBy(group).agg(n("\ufffd")("replacement"), n(tx.PRIVATE)("private"), n("[پچژگکی]")("persian"), n(BROKEN_NAMES)("broken_names"), n(tx.OUT_OF_RANGE)("out_of_range"), F.sum(F.length("text")).alias("characters"))
     return rows.withColumn("share", tx.round_half_up(F.col("out_of_range") / F.greatest("characters", F.lit(1)), 4))
 
 
-def inner_duplication(pages: DataFrame, key: str = "doc_id", group: str = "book_id", least: int = 12) -> DataFrame:
-    """(group, mean_share, peak_share, pages_over): share of a page's characters in lines of ``least`` that it repeats.
+def broken_math(pages: DataFrame, group: str = "book_id") -> DataFrame:
+    """(group, hits, pages, share): broken brackets, roots and exponents, the pages that hold some, and their share of all pages."""
+    rows = pages.select(group, F.regexp_count("text", F.lit(BROKEN_MATH)).alias("n")).groupBy(group).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("hits"), F.count_if(F.col("n") > 0).alias("pages"), F.count("*").alias("all"))
+    return rows.select(group, "hits", "pages", tx.round_half_up(F.col("pages") / F.col("all"), 4).alias("share"))
 
-    The mean is over pages that repeat something. Lines are counted per page, before and after one shuffle by page and line.
+
+#: Pieces that a page may repeat: how it is cut, the least length of a piece, how many pieces it needs.
+PIECES = {"line": ("\n", 12, 4), "clause": ("[.!؟?\\n،؛;]", 30, 2)}
+
+
+def inner_duplication(pages: DataFrame, key: str = "doc_id", group: str = "book_id", least: int = 20) -> DataFrame:
+    """(group, mean_share, peak_share, pages_over): share of a page's characters in lines or clauses that it repeats, the greater of both.
+
+    Pages of fewer than ``least`` characters don't count, nor do kinds of pieces of which a page has too few. The mean is over
+    pages that repeat something. Pieces are counted per page, before and after one shuffle by page and piece.
     """
-    lines = pages.select(group, key, F.length("text").alias("size"), F.explode(F.split("text", "\n")).alias("line")).withColumn("line", tx.flat(F.col("line")))
-    again = lines.where(F.length("line") >= least).groupBy(group, key, "size", "line").agg(F.count("*").alias("n"))
-    shares = again.groupBy(group, key, "size").agg(F.sum((F.col("n") - 1) * F.length("line")).alias("extra")).withColumn("share", F.col("extra") / F.greatest("size", F.lit(1)))
+    fold = {"line": tx.flat, "clause": tx.rule_fold}
+    cut = F.array(*(F.struct(F.lit(kind).alias("kind"), F.transform(F.split("text", sign), fold[kind]).alias("all"), F.lit(size).alias("size"), F.lit(few).alias("few")) for kind, (sign, size, few) in PIECES.items()))
+    kinds = pages.where(F.length("text") >= least).select(group, key, F.length("text").alias("length"), F.explode(cut).alias("k"))
+    kept = kinds.select(group, key, "length", "k.kind", "k.few", F.expr("filter(k.all, x -> length(x) >= k.size)").alias("pieces")).where(F.size("pieces") >= F.col("few"))
+    again = kept.select(group, key, "length", "kind", F.explode("pieces").alias("piece")).groupBy(group, key, "length", "kind", "piece").agg(F.count("*").alias("n"))
+    shares = again.groupBy(group, key, "length", "kind").agg(F.sum((F.col("n") - 1) * F.length("piece")).alias("extra")).groupBy(group, key).agg(F.max(F.col("extra") / F.col("length")).alias("share"))
     some = shares.where("share > 0").groupBy(group)
     return some.agg(tx.round_half_up(F.avg("share"), 4).alias("mean_share"), tx.round_half_up(F.max("share"), 4).alias("peak_share"), F.count_if(F.col("share") > 0.1).alias("pages_over"))
 
@@ -111,14 +130,17 @@ def title_repetition(pages: DataFrame, books: DataFrame, exempt: tuple = ("divid
     return counts.withColumn("share", tx.round_half_up(F.col("most") / F.col("titled"), 4))
 
 
-def foreign_units(pages: DataFrame, proven: float = 0.8) -> DataFrame:
-    """(book_id, physical_page, unit, also_in): units that another book has too and whose words the page doesn't prove."""
-    owners = pages.where(tx.strip(F.col("unit")) != "").select("unit", "book_id").distinct()
+def foreign_units(pages: DataFrame, proven: float = 0.8, generic: str = "") -> DataFrame:
+    """(book_id, physical_page, unit, also_in): units that another book has too and whose words the page doesn't prove.
+
+    generic: a pattern of names that all books use; they aren't judged.
+    """
+    named = tx.strip(F.col("unit")) != ""
+    owners = pages.where(named & ~F.col("unit").rlike(generic) if generic else named).select("unit", "book_id").distinct()
     ends = owners.groupBy("unit").agg(F.min("book_id").alias("low"), F.max("book_id").alias("high"))
     rows = pages.join(ends, "unit").where("low <> high")
     words = F.filter(F.split(tx.rule_fold(F.col("unit")), " "), lambda w: F.length(w) >= 3)
-    body = F.split(tx.rule_fold(F.col("text")), " ")
-    share = F.size(F.filter(words, lambda w: F.array_contains(body, w))) / F.greatest(F.size(words), F.lit(1))
+    share = tx.once(F.split(tx.rule_fold(F.col("text")), " "), lambda body: F.size(F.array_intersect(words, body)) / F.greatest(F.size(F.array_distinct(words)), F.lit(1)))
     other = F.when(F.col("low") != F.col("book_id"), F.col("low")).otherwise(F.col("high"))
     return rows.where(share < proven).select("book_id", "physical_page", "unit", other.alias("also_in"))
 
@@ -137,11 +159,16 @@ def book_scores(books: DataFrame, found: DataFrame) -> DataFrame:
     return rows.withColumn("score", tx.round_half_up(100 - F.least(F.lit(80.0), penalty)))
 
 
-def library_score(checks: DataFrame, found: DataFrame) -> DataFrame:
-    """(checks, clean, score): a check without findings counts 5 points, with medium or low ones 2.5, with graver ones 0."""
-    worst = found.groupBy("code").agg(F.max(F.when(F.col("severity").isin("critical", "high"), 2).otherwise(1)).alias("worst"))
-    rows = checks.join(worst, "code", "left").withColumn("points", F.when(F.col("worst").isNull(), 5.0).when(F.col("worst") == 1, 2.5).otherwise(0.0))
-    return rows.agg(F.count("*").alias("checks"), F.count_if(F.col("worst").isNull()).alias("clean"), tx.round_half_up(F.sum("points") / (F.count("*") * 5) * 100).alias("score"))
+def library_score(checks: DataFrame, found: DataFrame, scores: DataFrame) -> DataFrame:
+    """(checks, clean, score, book_mean): a check without high or critical findings counts 5 points, with high ones 2.5, with critical ones 0.
+
+    clean counts the checks without any finding; book_mean is the mean of the books' scores.
+    """
+    worst = found.groupBy("code").agg(F.max(F.when(F.col("severity") == "critical", 2).when(F.col("severity") == "high", 1).otherwise(0)).alias("worst"))
+    rows = checks.join(worst, "code", "left").withColumn("points", F.when(F.coalesce("worst", F.lit(0)) == 0, 5.0).when(F.col("worst") == 1, 2.5).otherwise(0.0))
+    one = rows.agg(F.count("*").alias("checks"), F.count_if(F.col("worst").isNull()).alias("clean"), tx.round_half_up(F.sum("points") / (F.count("*") * 5) * 100).alias("score"))
+    mean = scores.agg(tx.round_half_up(F.avg("score")).alias("book_mean"))
+    return one.join(F.broadcast(mean))  # one row each
 
 
 def ranking(scores: DataFrame) -> DataFrame:

@@ -7,14 +7,22 @@ search is a projection and a filter in one scan; a batch of queries is joined by
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import arabic
 from quire.functions import text as tx
 
 FIELDS = ("text", "title", "summary", "unit", "section", "purpose")
+#: All fields that a page may be searched by; those that a table lacks are left out of its view.
+ALL_FIELDS = ("text", "title", "summary", "unit", "section", "outline_summary", "purpose", "glossary", "glossary_refs", "vocabulary", "figures", "activities", "exercises", "notes")
 
 
-def view(pages: DataFrame, fields: tuple = FIELDS) -> DataFrame:
-    """The folded fields of every page; the form in which a library that is searched often should be stored."""
-    return pages.select("book_id", "physical_page", *(tx.fold(F.col(f)).alias(f) for f in fields))
+def view(pages: DataFrame, fields: tuple | None = None) -> DataFrame:
+    """The folded fields of every page, arrays, maps and structs as JSON: the form in which a library that is searched often should be stored.
+
+    Fields are brought into NFKC first. That step is a Python function, which is handed only the values that NFKC may change.
+    """
+    kinds = dict(pages.dtypes)
+    text = lambda f: F.col(f) if kinds[f] == "string" else F.to_json(f) if kinds[f].startswith(("array", "map", "struct")) else F.col(f).cast("string")
+    return pages.select("book_id", "physical_page", *(arabic.fold_nfkc(text(f)).alias(f) for f in fields or [f for f in ALL_FIELDS if f in kinds]))
 
 
 def allowed(subject: str = "", track: str = "") -> Column:
@@ -29,18 +37,19 @@ def allowed(subject: str = "", track: str = "") -> Column:
 
 
 def terms_of(query: str, match: str) -> list[str]:
-    """The folded query as one phrase, or its words."""
-    folded = query.lower()
+    """The query, folded as the fields are, as one phrase or its words."""
+    folded = tx.fold_query(query)
     return [w for w in ([folded] if match == "phrase" else folded.split()) if w]
 
 
-def search(pages_view: DataFrame, books: DataFrame, query: str, match: str = "any", book_id: str = "", subject: str = "", track: str = "", fields: tuple = FIELDS) -> DataFrame:
+def search(pages_view: DataFrame, books: DataFrame, query: str, match: str = "any", book_id: str = "", subject: str = "", track: str = "", fields: tuple | None = None) -> DataFrame:
     """(book_id, physical_page, matched_terms, matched_in) of every page where any, all or the phrase of the terms occur.
 
     A term matches a field by containment. An unknown ``match`` behaves as any; a blank query finds nothing. matched_terms keeps
     the query's order and repeats, matched_in lists each field once in order of first match.
     """
     terms = terms_of(query, match)
+    fields = fields or [f for f in ALL_FIELDS if f in pages_view.columns]
     rows = pages_view.where(F.col("book_id") == book_id) if book_id else pages_view
     if subject or track:
         rows = rows.join(books.where(allowed(subject, track)).select("book_id"), "book_id", "left_semi")
@@ -55,6 +64,13 @@ def search(pages_view: DataFrame, books: DataFrame, query: str, match: str = "an
     return rows.where(hit).select("book_id", "physical_page", found.alias("matched_terms"), where.alias("matched_in"))
 
 
+def asked(pages_view: DataFrame, books: DataFrame, query: str | None, **options) -> DataFrame:
+    """``search`` for callers that must hear of a blank query: ValueError EMPTY_QUERY."""
+    if not (query or "").strip():
+        raise ValueError("EMPTY_QUERY")
+    return search(pages_view, books, query, **options)
+
+
 def window(hits: DataFrame, offset: int = 0, limit: int = 8) -> DataFrame:
     """One page of hits in order of book and page; offsets below 0 and limits below 1 are raised."""
     return hits.orderBy("book_id", "physical_page").offset(max(0, offset)).limit(max(1, limit))

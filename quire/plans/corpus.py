@@ -18,7 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = numbered(table(spark, sf_dir, "documents"), "source", "doc_id", name="physical_page")
+    """The page table; only (source, doc_id) is numbered, and the numbers are joined by doc_id, so that filters reach the scan of the texts."""
+    documents = table(spark, sf_dir, "documents")
+    numbers = numbered(documents.select("source", "doc_id"), "source", "doc_id", name="physical_page").select("doc_id", "physical_page")
+    docs = documents.join(numbers, "doc_id")
     types = F.array(*map(F.lit, PAGE_TYPES))
     return docs.select(
         F.col("source").alias("book_id"), "physical_page", F.when(F.col("physical_page") > 4, F.col("physical_page") - 4).alias("printed_page"), "doc_id", "text", "lang",

@@ -226,7 +226,15 @@ _text("txt_fold_variants", lambda: tx.word_fold(_T()), s.word_fold("text"))
 _text("txt_compact_key", lambda: tx.compact_key(_T()), s.replaced("text", (f"{s.SPACE}+", ""), (r"[\x{064B}-\x{065F}\x{0670}]", "")))
 _text("txt_sample_long", lambda: tx.sample_long(_T()), "CASE WHEN length(text) <= 6000 THEN text ELSE substr(text, 1, 2000) || chr(10) || '…' || chr(10) || substr(text, CAST(floor(length(text) / 2 - 1000) AS BIGINT), 2000) || chr(10) || '…' || chr(10) || right(text, 2000) END")
 _text("txt_parse_int", lambda: tx.parse_int(F.regexp_extract(_T(), "[0-9]+", 0)), "CASE WHEN regexp_matches(regexp_extract(text, '[0-9]+', 0), '^[0-9]{1,9}$') AND TRY_CAST(regexp_extract(text, '[0-9]+', 0) AS INTEGER) > 0 THEN TRY_CAST(regexp_extract(text, '[0-9]+', 0) AS INTEGER) END")
-_text("txt_contamination", lambda: F.coalesce(tx.contamination(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit('{"text": "'), _T())).when(F.col("doc_id") % 7 == 0, F.concat(_T(), F.lit("漢字"))).otherwise(_T())), F.lit("fine")), "CASE WHEN doc_id % 5 = 0 THEN 'SERIALIZED_JSON' WHEN doc_id % 7 = 0 THEN 'CJK' WHEN regexp_matches(text, '^[ \\t\\n]*[\\[{][ \\t\\n]*\"') THEN 'SERIALIZED_JSON' ELSE 'fine' END")
+_FOUL = lambda d: F.when(d % 5 == 0, F.concat(F.lit('{"text": "'), _T())).when(d % 7 == 0, F.concat(_T(), F.lit("漢字"))).when(d % 11 == 0, F.concat(_T(), F.repeat(F.lit("▓ђ"), F.ceil(F.length(_T()) / 30).cast("int")))).otherwise(_T())
+_FOUL_SQL = "CASE WHEN doc_id % 5 = 0 THEN '{\"text\": \"' || text WHEN doc_id % 7 = 0 THEN text || '漢字' WHEN doc_id % 11 = 0 THEN text || repeat('▓ђ', CAST(ceil(length(text) / 30) AS INTEGER)) ELSE text END"
+_OUT_SQL = r"[^\t\n\r\x20-\x7E\x{00A0}-\x{024F}\x{0600}-\x{06FF}\x{2000}-\x{22FF}]"
+_VISIBLE = f"regexp_replace(t, '{s.SPACE}+', '', 'g')"
+_text(
+    "txt_contamination", lambda: F.coalesce(tx.contamination(_FOUL(F.col("doc_id"))), F.lit("fine")),
+    "(SELECT CASE WHEN regexp_matches(t, '^[ \\t\\n]*[\\[{][ \\t\\n]*\"') OR regexp_matches(t, '\"(text|summary|title)\"[ \\t\\n]*:|^[ \\t\\n]*(json\\b|```)') THEN 'SERIALIZED_JSON' WHEN contains(t, '漢') THEN 'CJK' "
+    f"WHEN len(regexp_extract_all({_VISIBLE}, '{_OUT_SQL}')) / greatest(length({_VISIBLE}), 1) > 0.03 THEN 'OUT_OF_RANGE' ELSE 'fine' END FROM (SELECT {_FOUL_SQL} AS t))",
+)
 _text("txt_hours_older", lambda: tx.round_half_up((F.col("n_chars") * 1000000) / 3.6e9, 4), s.round_half_up("(n_chars * 1000000) / 3.6e9", 4))
 _text("txt_sentence_count", lambda: F.size(F.filter(F.split(tx.clean(_T()), "[.!؟?]"), lambda x: tx.flat(x) != "")), f"CAST(len(list_filter(regexp_split_to_array({s.clean('text')}, '[.!؟?]'), lambda e: {s.flat('e')} <> '')) AS INTEGER)")
 # not in SQL: lookaround, or built from other rules than one expression
@@ -284,7 +292,7 @@ def idx_csr_offsets(spark, sf):
 
 @R.add(
     f", w AS (SELECT doc_id, unnest({s.tokens('text')}) AS keyword, generate_subscripts({s.tokens('text')}, 1) AS pos FROM p), c AS (SELECT doc_id, keyword, count(*) AS n, min(pos) AS pos FROM w GROUP BY 1, 2), "
-    "r AS (SELECT doc_id, keyword, n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(keyword) DESC, pos) AS INTEGER) AS rank FROM c) SELECT * FROM r WHERE rank <= 10"
+    "r AS (SELECT doc_id, keyword, n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(keyword) DESC, pos) AS INTEGER) AS rank FROM c) SELECT * FROM r WHERE rank <= 10 AND NOT regexp_matches(keyword, '^[0-9]+$')"
 )
 def idx_top_keywords(spark, sf):
     return inverted.keywords_by_count(corpus.pages(spark, sf), _terms())
@@ -345,10 +353,25 @@ def doc_printed_source(spark, sf):
     return corpus.pages(spark, sf).select("doc_id", page.alias("printed"), source.alias("source"))
 
 
-@R.add()
+_POINTS = " + ".join(
+    ["w", "least(len(regexp_extract_all(t, '\\p{L}')), 60) / 30.0::DOUBLE"]
+    + [f"CASE WHEN {holds} THEN {documents.TITLE_POINTS[name]} ELSE 0 END" for name, holds in (("folio", "regexp_matches(t, '^[0-9]{1,4}( |$)|[ ][0-9]{1,4}$')"), ("one_word", "len(words) = 1"), ("three_words", "len(words) >= 3"), ("short", "length(t) < 8"), ("long", "length(t) > 140"), ("patch", f"regexp_matches(t, '{documents.NO_TITLE}')"))]
+    + ["CASE WHEN len(long) > 0 AND body <> '' THEN len(list_filter(long, lambda e: contains(body, e))) / len(long) * 4 ELSE 0 END"]
+)
+
+
+@R.add(
+    f", h AS (SELECT lower({s.flat('split_part(text, chr(10), 1)')}) AS line, count(*) AS n FROM p GROUP BY 1), q AS (SELECT doc_id, title, summary, purpose, {s.word_fold('text')} AS body, lower({s.flat('split_part(text, chr(10), 1)')}) AS line FROM p), "
+    "c AS (SELECT doc_id, body, unnest([0, 1, 2]) AS i, unnest([2.0::DOUBLE, 1.0, 0.0]) AS w, unnest([title, summary, purpose]) AS raw, h.n >= 2 AS common, line FROM q LEFT JOIN h USING (line)), "
+    f"k AS (SELECT *, {s.flat('raw')} AS t FROM c), f AS (SELECT *, list_filter(string_split(t, ' '), lambda e: regexp_matches(e, '\\p{{L}}')) AS words, list_distinct(list_filter(string_split({s.word_fold('t')}, ' '), lambda e: length(e) >= 4)) AS long FROM k), "
+    f"g AS (SELECT doc_id, raw, i, common AND lower(t) = line AS furniture, round({_POINTS}, 9) AS points FROM f WHERE len(words) > 0), r AS (SELECT doc_id, raw, row_number() OVER (PARTITION BY doc_id ORDER BY furniture, points DESC, i) AS n FROM g WHERE points > 0) "
+    f"SELECT p.doc_id, {s.clip_at_word('raw')} AS title FROM p JOIN r ON p.doc_id = r.doc_id AND n = 1 UNION ALL SELECT doc_id, NULL FROM p WHERE doc_id NOT IN (SELECT doc_id FROM r)"
+)
 def doc_title_argmax(spark, sf):
-    best = documents.best_title([(F.col("title"), 2), (F.col("summary"), 1), (F.col("purpose"), 0)], F.col("text"))
-    return corpus.pages(spark, sf).select("doc_id", best.alias("title"))
+    p = corpus.pages(spark, sf).withColumn("line", F.lower(tx.flat(F.split_part("text", F.lit("\n"), F.lit(1)))))
+    common = p.groupBy("line").agg(F.count("*").alias("n")).where("n >= 2").select("line", F.array("line").alias("furniture"))
+    best = documents.best_title([(F.col("title"), 2), (F.col("summary"), 1), (F.col("purpose"), 0)], F.col("text"), F.col("furniture"))
+    return p.join(common, "line", "left").select("doc_id", best.alias("title"))
 
 
 @R.add(
@@ -483,17 +506,22 @@ _COUNT = lambda pattern: f"CAST(sum(len(regexp_extract_all(text, '{pattern}')))
 
 
 @R.add(
-    f"SELECT book_id, {_COUNT(chr(0xFFFD))} AS replacement, {_COUNT(r'[\x{E000}-\x{F8FF}]')} AS private, {_COUNT('[پچژگکی]')} AS persian, {_COUNT(_OUT)} AS out_of_range, CAST(sum(length(text)) AS BIGINT) AS characters, "
+    f"SELECT book_id, {_COUNT(chr(0xFFFD))} AS replacement, {_COUNT(r'[\x{E000}-\x{F8FF}]')} AS private, {_COUNT('[پچژگکی]')} AS persian, {_COUNT(quality.BROKEN_NAMES)} AS broken_names, {_COUNT(_OUT)} AS out_of_range, CAST(sum(length(text)) AS BIGINT) AS characters, "
     f"{s.round_half_up(f'{_COUNT(_OUT)} / greatest(sum(length(text)), 1)', 4)} AS share FROM p GROUP BY book_id"
 )
 def qc_corruption_counts(spark, sf):
     return quality.corruption(corpus.pages(spark, sf))
 
 
+_PIECES = lambda name, sign, fold, size, few: (
+    f"SELECT book_id, doc_id, size, '{name}' AS kind, unnest(ps) AS piece FROM (SELECT book_id, doc_id, length(text) AS size, list_filter(list_transform(regexp_split_to_array(text, '{sign}'), lambda e: {fold('e')}), lambda e: length(e) >= {size}) AS ps FROM p WHERE length(text) >= 20) WHERE len(ps) >= {few}"
+)
+
+
 @R.add(
-    f", l AS (SELECT book_id, doc_id, length(text) AS size, unnest(string_split(text, chr(10))) AS raw FROM p), c AS (SELECT book_id, doc_id, size, {s.flat('raw')} AS line FROM l), d AS (SELECT book_id, doc_id, size, line, count(*) AS n FROM c WHERE length(line) >= 12 GROUP BY ALL), "
-    "e AS (SELECT book_id, doc_id, sum((n - 1) * length(line)) / greatest(size, 1) AS share FROM d GROUP BY book_id, doc_id, size) "
-    f"SELECT book_id, {s.round_half_up('avg(share)', 4)} AS mean_share, {s.round_half_up('max(share)', 4)} AS peak_share, count(*) FILTER (WHERE share > 0.1) AS pages_over FROM e WHERE share > 0 GROUP BY book_id"
+    f", c AS ({_PIECES('line', chr(10), s.flat, 12, 4)} UNION ALL {_PIECES('clause', '[.!؟?' + chr(10) + '،؛;]', s.rule_fold, 30, 2)}), d AS (SELECT book_id, doc_id, size, kind, piece, count(*) AS n FROM c GROUP BY ALL), "
+    "e AS (SELECT book_id, doc_id, size, kind, sum((n - 1) * length(piece)) AS extra FROM d GROUP BY ALL), f AS (SELECT book_id, doc_id, max(extra / size) AS share FROM e GROUP BY ALL) "
+    f"SELECT book_id, {s.round_half_up('avg(share)', 4)} AS mean_share, {s.round_half_up('max(share)', 4)} AS peak_share, count(*) FILTER (WHERE share > 0.1) AS pages_over FROM f WHERE share > 0 GROUP BY book_id"
 )
 def qc_inner_duplication(spark, sf):
     return quality.inner_duplication(corpus.pages(spark, sf))
@@ -577,81 +605,13 @@ def qc_title_repetition(spark, sf):
 
 
 @R.add(
-    f", o AS (SELECT unit, min(book_id) AS low, max(book_id) AS high FROM p GROUP BY unit HAVING min(book_id) <> max(book_id)), k AS (SELECT p.book_id, physical_page, p.unit, low, high, list_filter(string_split({s.rule_fold('p.unit')}, ' '), lambda e: length(e) >= 3) AS ws, string_split({s.rule_fold('text')}, ' ') AS body FROM p JOIN o ON p.unit = o.unit) "
+    f", o AS (SELECT unit, min(book_id) AS low, max(book_id) AS high FROM p GROUP BY unit HAVING min(book_id) <> max(book_id)), k AS (SELECT p.book_id, physical_page, p.unit, low, high, list_distinct(list_filter(string_split({s.rule_fold('p.unit')}, ' '), lambda e: length(e) >= 3)) AS ws, string_split({s.rule_fold('text')}, ' ') AS body FROM p JOIN o ON p.unit = o.unit) "
     "SELECT book_id, physical_page, unit, CASE WHEN low <> book_id THEN low ELSE high END AS also_in FROM k WHERE len(list_filter(ws, lambda e: list_contains(body, e))) / greatest(len(ws), 1) < 0.8"
 )
 def qc_foreign_units(spark, sf):
     return quality.foreign_units(corpus.pages(spark, sf))
 
 
-# ---- roll-up ----
-
-
-def _findings(spark, sf):
-    p = corpus.pages(spark, sf)
-    x = corpus.index(p)
-    share = F.col("share")
-    missing = consistency.missing(p, x).groupBy("book_id").agg(F.count("*").alias("n"))
-    return quality.findings(
-        (missing, "A1", F.when(F.col("n") > 1, "high").otherwise("medium")),
-        (consistency.lost_text(p, x).groupBy("book_id").agg(F.count("*").alias("n")), "A2", F.lit("critical")),
-        (quality.no_text(x), "A7", F.when(share > 0.1, "high").when(share > 0, "medium")),
-        (quality.outside_enumeration(p, "page_type", corpus.PAGE_TYPES), "B9", F.lit("medium")),
-        (quality.duplicate_share(p, "purpose"), "C12", F.when(share > 0.9, "high").when(share > 0.3, "medium")),
-        (corpus.books(p), "A1", F.when(F.col("declared_count") != F.col("page_count"), "low")),
-    )
-
-
-_FIND = f""", find AS (
-  SELECT book_id, 'A1' AS code, CASE WHEN count(*) > 1 THEN 'high' ELSE 'medium' END AS severity FROM p WHERE doc_id % 37 = 0 GROUP BY book_id
-  UNION ALL SELECT DISTINCT p.book_id, 'A2', 'critical' FROM p JOIN x USING (book_id, physical_page) WHERE p.text_length >= 20 AND length(x.text) < 20
-  UNION ALL SELECT book_id, 'A7', CASE WHEN share > 0.1 THEN 'high' ELSE 'medium' END FROM (SELECT book_id, {s.round_half_up(f"count(*) FILTER (WHERE {s.strip('text')} = '') / count(*)")} AS share FROM x GROUP BY book_id) WHERE share > 0
-  UNION ALL SELECT DISTINCT book_id, 'B9', 'medium' FROM p WHERE page_type = 'cover'
-  UNION ALL SELECT book_id, 'C12', CASE WHEN share > 0.9 THEN 'high' ELSE 'medium' END FROM (SELECT book_id, {s.round_half_up('max(n) / sum(n)', 4)} AS share FROM (SELECT book_id, purpose, count(*) AS n FROM p WHERE purpose <> '' GROUP BY ALL) GROUP BY book_id) WHERE share > 0.3
-  UNION ALL SELECT book_id, 'A1', 'low' FROM b WHERE declared_count <> page_count),
-sc AS (SELECT b.book_id, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low FROM b LEFT JOIN find ON b.book_id = find.book_id GROUP BY b.book_id),
-score AS (SELECT *, {s.round_half_up('100 - least(80.0::DOUBLE, critical * 12.0::DOUBLE + high * 6.0::DOUBLE + medium * 2.5::DOUBLE + low * 1.0::DOUBLE)')} AS score FROM sc)
-"""
-
-
-@R.add(_FIND + "SELECT * FROM find")
-def qc_findings_union(spark, sf):
-    return _findings(spark, sf)
-
-
-@R.add(_FIND + "SELECT * FROM score")
-def qc_book_scores(spark, sf):
-    return quality.book_scores(corpus.books(corpus.pages(spark, sf)), _findings(spark, sf))
-
-
-@R.add(_FIND + "SELECT * FROM score ORDER BY critical DESC, high DESC, medium DESC, low DESC, score, book_id LIMIT 5")
-def qc_book_ranking(spark, sf):
-    return quality.ranking(quality.book_scores(corpus.books(corpus.pages(spark, sf)), _findings(spark, sf))).limit(5)
-
-
-_CODES = ["A1", "A2", "A7", "B9", "C12", "D20", "D21", "D22"]
-
-
-@R.add(
-    _FIND + f", c AS (SELECT unnest({_CODES}) AS code), w AS (SELECT code, max(CASE WHEN severity IN ('critical', 'high') THEN 2 ELSE 1 END) AS worst FROM find GROUP BY code) "
-    f"SELECT count(*) AS checks, count(*) FILTER (WHERE worst IS NULL) AS clean, {s.round_half_up('sum(CASE WHEN worst IS NULL THEN 5.0 WHEN worst = 1 THEN 2.5 ELSE 0.0 END) / (count(*) * 5) * 100')}::DOUBLE AS score FROM c LEFT JOIN w USING (code)"
-)
-def qc_library_score(spark, sf):
-    return quality.library_score(spark.createDataFrame([(c,) for c in _CODES], "code string"), _findings(spark, sf))
-
-
-@R.add(_FIND + "SELECT book_id, code FROM find WHERE severity = 'critical' ORDER BY book_id, code")
-def qc_review_queue(spark, sf):
-    return _findings(spark, sf).where("severity = 'critical'").select("book_id", "code").orderBy("book_id", "code")
-
-
-@R.add(
-    _FIND + f", v AS (SELECT summary, physical_page, text FROM p) SELECT (SELECT count(*) FROM find WHERE severity = 'critical') AS critical, CAST(0 AS BIGINT) AS unverified, (SELECT count(*) FROM find WHERE severity = 'critical') > 0 AS blocked"
-)
-def qc_gate(spark, sf):
-    return quality.gate(_findings(spark, sf), _numbers(spark, sf))
-
-
 # ---- duplicates and drift ----
 
 _SIG = f", g AS (SELECT book_id, physical_page, regexp_replace({s.rule_fold('text')}, '[0-9٠-٩۰-۹]+', '#', 'g') AS f FROM p), o AS (SELECT book_id, f, min(physical_page) AS page FROM g WHERE length(f) >= 200 GROUP BY ALL)"
@@ -810,7 +770,12 @@ def probe_positions(spark, sf):
     return audit.probe_positions(corpus.pages(spark, sf))
 
 
-@R.add()
+@R.add(
+    f", q AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!؟?؛;])[ \\t]+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda e: {s.flat('e')}), lambda e: length(e) BETWEEN 60 AND 320 AND NOT regexp_matches(e, '\ufffd|[\\x{{E000}}-\\x{{F8FF}}]')) AS ss FROM p WHERE length(text) >= 260), "
+    f"k AS (SELECT doc_id, unnest(ss) AS e, generate_subscripts(ss, 1) AS i FROM q), w AS (SELECT *, list_distinct(list_filter(string_split({s.word_fold('e')}, ' '), lambda v: length(v) >= 5)) AS ws FROM k), "
+    f"r AS (SELECT doc_id, e, row_number() OVER (PARTITION BY doc_id ORDER BY len(ws) + least(3, length(e) // 110) DESC, i) AS n FROM w WHERE len(ws) >= 2 AND len(list_filter(ws, lambda v: regexp_matches(v, '{audit.SUSPECT}'))) = 0) "
+    "SELECT p.doc_id, r.e AS sentence FROM p LEFT JOIN r ON p.doc_id = r.doc_id AND n = 1"
+)
 def probe_fact_sentence(spark, sf):
     return corpus.pages(spark, sf).select("doc_id", audit.fact_sentence(F.col("text")).alias("sentence"))
 

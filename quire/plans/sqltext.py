@@ -59,6 +59,12 @@ def compact(x: str, most: int) -> str:
     return f"(SELECT CASE WHEN length(t) <= {most} THEN t ELSE {strip(f'CASE WHEN length(h) > {most} / 2.0 THEN h ELSE c END')} END FROM (SELECT t, substr(t, 1, {most}) AS c, regexp_extract(substr(t, 1, {most}), '^(.*)[ ،.؛؟!:,][^ ،.؛؟!:,]*$', 1) AS h FROM (SELECT {text} AS t)))"
 
 
+def clip_at_word(x: str, most: int = 140, share: float = 0.6) -> str:
+    cut = f"substr(t, 1, {most})"
+    head = f"regexp_extract({cut}, '(?s)^(.*) [^ ]*$', 1)"
+    return f"(SELECT CASE WHEN length(t) <= {most} THEN t ELSE {strip(f'CASE WHEN length({head}) > {most * share:g} THEN {head} ELSE {cut} END')} END FROM (SELECT {clean(x)} AS t))"
+
+
 def escaped(pattern: str) -> str:
     """A pattern inside a SQL string."""
     return pattern.replace("'", "''")

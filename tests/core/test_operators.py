@@ -178,8 +178,8 @@ def test_batch_search_of_short_queries(spark):
 
 
 def test_gate_counts_unverified_numbers(spark, monkeypatch):
-    from quire.plans import library
+    from quire.plans import checks
 
-    monkeypatch.setattr(library, "_findings", lambda *_: spark.createDataFrame([("a", "A1", "high")], "book_id string, code string, severity string"))
-    monkeypatch.setattr(library, "_numbers", lambda *_: spark.createDataFrame([("proven",), ("unverified",)], "verdict string"))
-    assert tuple(library.R.queries["qc_gate"](spark, "").first()) == (0, 1, True)
+    monkeypatch.setattr(checks, "findings", lambda *_: spark.createDataFrame([("a", "A1", "high")], "book_id string, code string, severity string"))
+    monkeypatch.setattr(checks, "_numbers", lambda *_: spark.createDataFrame([("proven",), ("unverified",)], "verdict string"))
+    assert tuple(checks.R.queries["qc_gate"](spark, "").first()) == (0, 1, True)
