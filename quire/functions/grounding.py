@@ -21,13 +21,14 @@ _MARKS = "،,;:"
 
 
 def tidy(c: Column) -> Column:
-    """A text from which numbers were taken out, mended: no empty pair of brackets, one mark where several met, none at the ends.
+    """A text from which numbers were taken out, mended: no empty pair of brackets, the first of several marks, none at the ends.
 
     It is read as pieces between marks. A piece without a letter or digit is dropped with the mark before it.
     """
     bare = c
     for pair in ("()", "[]", "{}"):
         bare = F.regexp_replace(bare, f"\\{pair[0]}{tx.SPACE}*\\{pair[1]}", "")
+    bare = F.regexp_replace(bare, f"([{_MARKS}])(?:{tx.SPACE}*[{_MARKS}.])+", "$1")
     pieces = F.filter(F.regexp_extract_all(bare, F.lit(f"[{_MARKS}]?[^{_MARKS}]+"), 0), lambda x: x.rlike("[\\p{L}\\p{N}]"))
     whole = F.array_join(F.transform(pieces, lambda x: F.regexp_replace(tx.flat(x), f"^([{_MARKS}]) +$", "$1")), "")
     spaced = tx.flat(F.regexp_replace(F.regexp_replace(whole, f"([{_MARKS}])(?=[\\p{{L}}\\p{{N}}])", "$1 "), f" +([{_MARKS}]|\\.(?= |$))", "$1"))
@@ -45,6 +46,21 @@ def grounded(c: Column, evidence: Column, allowed: Column) -> Column:
     return tidy(F.array_join(F.flatten(F.transform(F.arrays_zip(between.alias("a"), kept.alias("b")), lambda z: F.array(z["a"], F.coalesce(z["b"], F.lit(""))))), ""))
 
 
+# fixed values: parts of a book that are counted, and the stems of the words that count them
+COUNTED = "(?:ال)?(?:فصول|فصل|وحدات|وحدة|دروس|درس|مباحث|مبحث|أبواب|باب|أسئلة|سؤال|تمارين|تمرين|صفحات|صفحة)"
+COUNT_WORDS = {2: "اثنين|اثنان|ثانية|ثاني", 3: "ثلاثة|ثلاث|ثالثة|ثالث", 4: "أربعة|أربع|اربع|رابعة|رابع", 5: "خمسة|خمس|خامسة|خامس", 6: "ستة|ست|سادسة|سادس", 7: "سبعة|سبع|سابعة|سابع", 8: "ثمانية|ثمان|ثامنة|ثامن", 9: "تسعة|تسع|تاسعة|تاسع", 10: "عشرة|عشر|عاشرة|عاشر"}
+
+
+def without_count_words(c: Column, evidence: Column) -> Column:
+    """The text less counts in words before or after a part of a book, unless ``evidence`` (an array of digits) holds the number; tidied."""
+    text = F.coalesce(c, F.lit(""))
+    for n, words in COUNT_WORDS.items():
+        count = f"(?:ال)?(?:{words})"
+        bare = tx.replaced(text, (f"(^|[ \\n])({COUNTED})[ ]+{count}(?=[ \\n.،:؛]|$)", "$1$2"), (f"(^|[ \\n]){count}[ ]+({COUNTED})(?=[ \\n.،:؛]|$)", "$1$2"))
+        text = F.when(F.array_contains(evidence, F.lit(str(n))), text).otherwise(bare)
+    return tidy(text)
+
+
 def ungrounded(c: Column, evidence: Column, allowed: Column) -> Column:
     """The numbers that ``grounded`` takes out, repeats kept, in order."""
     found = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(RUN), 0), _bare)

@@ -21,16 +21,67 @@ def meta_problems(title: Column, summary: Column) -> Column:
     )
 
 
-def issues(pages: DataFrame, index: DataFrame) -> DataFrame:
-    """(book_id, physical_page, code): one row per issue of the pages and of their rows in the index."""
-    keys = ["book_id", "physical_page"]
-    text = tx.strip(F.col("text"))
-    flags = F.array_compact(F.array(F.when(text == "", "NO_TEXT"), F.when((text == "") & F.col("searchable"), "NO_TEXT_BUT_NOT_FLAGGED"), F.when(F.col("searchable") == F.col("needs_ocr"), "FLAGS_CONTRADICT")))
-    own = pages.select(*keys, F.explode(F.concat(flags, meta_problems(F.col("title"), F.col("summary")))).alias("code"))
-    held = index.select(*keys, F.col("text").alias("_t"), F.col("searchable").alias("_s"))
-    both = pages.select(*keys, "text", "searchable").join(held, keys, "left")
-    codes = F.array_compact(F.array(F.when(F.col("_t").isNull(), "SEARCH_DOC_MISSING"), F.when(F.col("_t") != F.col("text"), "SEARCH_DOC_STALE"), F.when(F.col("_s") != F.col("searchable"), "SEARCH_DOC_FLAG_MISMATCH"), F.when((F.col("_t") == "") & (F.col("text") != ""), "SEARCH_DOC_EMPTY")))
-    return own.unionByName(both.select(*keys, F.explode(codes).alias("code")))
+KEYS = ["book_id", "physical_page"]
+
+
+def issues(pages: DataFrame, index: DataFrame, bridge: DataFrame, outlines: DataFrame, short: int = 40, weak: int = 20) -> DataFrame:
+    """(book_id, physical_page, code): one row per issue of books, pages and their rows in two derived layers; a book's own issues bear page 0.
+
+    pages: keys, text, title, summary, searchable, needs_ocr, ocr_status. bridge: the pages' copy, keys, text, title and
+    summary. index: keys, title, summary, searchable, preview, n_terms. outlines: book_id, entries.
+    """
+    t = tx.strip(F.coalesce("text", F.lit("")))
+    line, title, summary = tx.flat(t), tx.flat(F.coalesce("title", F.lit(""))), tx.flat(F.coalesce("summary", F.lit("")))
+    copied = lambda c: (F.length(line) >= short) & (c != "") & line.startswith(F.substring(c, 1, 60))
+    held = pages.select(
+        *KEYS, "title", "summary", "searchable", "text", t.alias("t"), F.length(t).alias("n"), copied(summary).alias("dump_summary"), copied(title).alias("dump_title"),
+        F.coalesce("needs_ocr", F.lit(False)).alias("flag"), (F.coalesce("ocr_status", F.lit("")) == "").alias("unread"),
+    )
+    copy = bridge.select(*KEYS, F.lit(True).alias("_b"), *(F.col(c).alias(f"_b_{c}") for c in ("text", "title", "summary")))
+    doc = index.select(*KEYS, F.lit(True).alias("_d"), *(F.col(c).alias(f"_d_{c}") for c in ("title", "summary", "searchable", "preview", "n_terms")))
+    both = held.join(copy, KEYS, "left").join(doc, KEYS, "left")
+    stale = ~(F.col("_b_text").eqNullSafe(F.col("text")) & F.col("_b_title").eqNullSafe(F.col("title")) & F.col("_b_summary").eqNullSafe(F.col("summary")))
+    found, full = F.col("_d").isNotNull(), F.col("n") >= short
+    size = lambda c: F.length(F.coalesce(c, F.lit("")))
+    codes = {
+        "NO_TEXT": ~full & F.col("flag"), "NO_TEXT_BUT_NOT_FLAGGED": ~full & ~F.col("flag"), "SEARCHABLE_FLAG_MISMATCH": F.col("searchable") != (F.col("n") > 0), "NEEDSOCR_FLAG_STALE": full & F.col("flag"),
+        "OCR_STATUS_MISSING": ~F.col("flag") & F.col("unread"), "DUMP_SUMMARY": F.col("dump_summary"), "DUMP_TITLE": F.col("dump_title"),
+        "INDEX_PAGE_MISSING": F.col("_b").isNull(), "INDEX_PAGE_STALE": F.col("_b").isNotNull() & stale, "SEARCH_DOC_MISSING": ~found,
+        "SEARCH_DOC_WEAK_META": found & ((size("_d_title") <= 2) | (size("_d_summary") < weak)), "SEARCH_DOC_FLAG_MISMATCH": found & (F.col("_d_searchable") != (F.col("n") > 0)),
+        "SEARCH_DOC_EMPTY_PREVIEW": found & full & (tx.strip(F.coalesce("_d_preview", F.lit(""))) == ""), "SEARCH_DOC_NO_TERMS": found & full & (F.coalesce("_d_n_terms", F.lit(0)) == 0),
+    }
+    own = both.select(*KEYS, F.explode(F.concat(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in codes.items()))), meta_problems(F.col("title"), F.col("summary")))).alias("code"))
+    one = lambda rows, code, page=F.col("physical_page"): rows.select("book_id", page.cast("int").alias("physical_page"), F.lit(code).alias("code"))
+    counts = pages.groupBy("book_id").agg(F.count("*").alias("pages"))
+    drawn = counts.join(outlines.select("book_id", "entries"), "book_id", "left")
+    zero = F.lit(0)
+    parts = [
+        own, one(counts.join(bridge.select("book_id").distinct(), "book_id", "left_anti"), "INDEX_BOOK_MISSING", zero), one(drawn.where("coalesce(entries, 0) <> pages"), "OUTLINE_COUNT_MISMATCH", zero),
+        one(pages.join(outlines.where("entries > 0").select("book_id"), "book_id", "left_anti"), "OUTLINE_FILE_MISSING"), one(index.join(pages.select(*KEYS), KEYS, "left_anti"), "SEARCH_DOC_ORPHAN"),
+    ]
+    for column, code, more in (("summary", "DUP_SUMMARY_SAME_BOOK", 1), ("title", "DUP_TITLE_SAME_BOOK", 3)):
+        folded = pages.select(*KEYS, tx.flat(F.coalesce(column, F.lit(""))).alias("v")).where("v <> ''")
+        often = folded.groupBy("book_id", "v").agg(F.count("*").alias("k")).where(F.col("k") > more)
+        parts.append(one(folded.join(often, ["book_id", "v"]), code))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+#: Counters of an audit: the codes that each of them counts.
+COUNTERS = {
+    "no_text": ("NO_TEXT", "NO_TEXT_BUT_NOT_FLAGGED"), "placeholders": ("PLACEHOLDER_TITLE", "PLACEHOLDER_SUMMARY"), "weak_summaries": ("WEAK_SUMMARY", "PLACEHOLDER_SUMMARY"), "weak_titles": ("WEAK_TITLE", "PLACEHOLDER_TITLE"),
+    "junk_meta": ("JUNK_META",), "dump_titles": ("DUMP_TITLE",), "dump_summaries": ("DUMP_SUMMARY",), "flag_mismatches": ("SEARCHABLE_FLAG_MISMATCH", "NEEDSOCR_FLAG_STALE"), "dup_summaries": ("DUP_SUMMARY_SAME_BOOK",),
+    "dup_titles": ("DUP_TITLE_SAME_BOOK",), "index_mismatches": ("INDEX_PAGE_STALE",), "missing_docs": ("SEARCH_DOC_MISSING",), "weak_docs": ("SEARCH_DOC_WEAK_META",), "missing_outlines": ("OUTLINE_FILE_MISSING",),
+}
+
+
+def audit_statistics(pages: DataFrame, found: DataFrame, short: int = 40) -> DataFrame:
+    """One row: books, pages, searchable, vision, and the ``COUNTERS`` of the issues found."""
+    size = pages.agg(F.countDistinct("book_id").alias("books"), F.count("*").alias("pages"), F.count_if(F.length(tx.strip(F.col("text"))) >= short).alias("searchable"), F.count_if("needs_ocr").alias("vision"))
+    counts = found.agg(*(F.count_if(F.col("code").isin(*codes)).alias(n) for n, codes in COUNTERS.items()))
+    return size.join(F.broadcast(counts))  # one row each
 
 
 def rollup(found: DataFrame) -> DataFrame:

@@ -91,10 +91,25 @@ def searchable_text(columns: list[str]) -> Column:
     return F.array_join(F.filter(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), lambda x: tx.strip(x) != ""), "\n")
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """The index's statistics in one aggregation."""
-    return docs.agg(
-        F.count("*").alias("pages"), F.countDistinct("book_id").alias("books"), F.count_if("searchable").alias("searchable"), F.count_if(~F.col("searchable")).alias("needs_ocr"),
-        F.sum(F.length("text")).alias("characters"), F.count("printed_page").alias("with_printed_page"), F.count_if(F.col("title") != "").alias("with_title"), F.countDistinct("unit").alias("units"),
-        F.min(F.length("text")).alias("shortest"), F.max(F.length("text")).alias("longest"),
+def scan_meta(docs: DataFrame) -> DataFrame:
+    """The columns that a scan reads, with defaults, and none of a page's text but its search form.
+
+    docs: also evidence_status and enriched.
+    """
+    words = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("title", "section", "unit", "page_type")]
+    return docs.select(
+        F.concat_ws(":", "book_id", F.col("physical_page").cast("string")).alias("id"), "book_id", "physical_page", "printed_page", *words, "searchable", "needs_ocr", "evidence_status", F.coalesce("text_length", F.lit(0)).alias("text_length"),
+        (F.col("printed_page") - F.col("physical_page")).alias("page_offset"), tx.is_damaged(F.col("text")).alias("text_damaged"), F.coalesce("enriched", F.lit(False)).alias("enriched"), tx.letters_only(F.col("text")).alias("normalized"),
+    )
+
+
+def statistics(docs: DataFrame, arrays: dict | None = None, statuses: tuple = ()) -> DataFrame:
+    """The index's statistics in one aggregation: sizes, totals of ``arrays`` (name to Column), and a count of each evidence status."""
+    arrays = arrays or {}
+    held = docs.withColumns({f"_n_{n}": F.coalesce(F.size(c), F.lit(0)) for n, c in arrays.items()}) if arrays else docs
+    some = F.greatest(F.lit(0), F.lit(0), *(F.col(f"_n_{n}") for n in arrays)) > 0
+    return held.agg(
+        F.count("*").alias("pages"), F.countDistinct("book_id").alias("books"), F.count_if(F.col("searchable") | (F.coalesce("summary", F.lit("")) != "")).alias("indexed"), F.count_if("searchable").alias("searchable"), F.count_if(~F.col("searchable")).alias("needs_ocr"),
+        F.sum(F.length("text")).alias("characters"), F.count_if(F.length("text") > 0).alias("with_text"), F.count("printed_page").alias("with_printed_page"), F.count_if(F.col("title") != "").alias("with_title"), F.countDistinct("unit").alias("units"),
+        F.min(F.length("text")).alias("shortest"), F.max(F.length("text")).alias("longest"), F.count_if(some).alias("structured"), *(F.sum(f"_n_{n}").alias(n) for n in arrays), *(F.count_if(F.col("evidence_status") == k).alias(k.replace("-", "_")) for k in statuses),
     )

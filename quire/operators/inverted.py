@@ -9,6 +9,11 @@ def document_frequency(docs: DataFrame, terms: Column) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
+def distinct_terms(docs: DataFrame, terms: Column, key: str) -> DataFrame:
+    """(key, term): the terms of each key, every one once; repeats go inside a row before they are shuffled."""
+    return docs.select(key, F.explode(F.array_distinct(terms)).alias("term")).distinct()
+
+
 def postings(docs: DataFrame, terms: Column, key: str = "doc_id", span: int = 1 << 16) -> DataFrame:
     """(term, key): one row per posting, sorted within partitions by term and key.
 
@@ -25,6 +30,11 @@ def first_postings(docs: DataFrame, terms: Column, key: str = "doc_id") -> DataF
     return rows.groupBy("term").agg(F.count("*").alias("df"), F.min(key).alias("first_doc"), F.max(key).alias("last_doc"))
 
 
+def with_global(frequencies: DataFrame, known: DataFrame) -> DataFrame:
+    """(term, df): the df of ``known`` (term, df) where it has the term, else the own one."""
+    return frequencies.join(known.select("term", F.col("df").alias("_df")), "term", "left").select("term", F.coalesce("_df", "df").alias("df"))
+
+
 def offsets(frequencies: DataFrame, prefix: int = 2) -> DataFrame:
     """(term, df, start): where each term's postings begin if all terms lie in code point order.
 

@@ -17,12 +17,13 @@ def deduplicated(items: DataFrame, grid: float = 1.0) -> DataFrame:
 
 
 def rows(items: DataFrame, height: float = 2.0, gap: float = 6.0, cell: float = 28.0) -> DataFrame:
-    """(page, row, line, cells): one line per baseline bucket from the top down.
+    """(page, row, line, cells): one line per row from the top down; the rows of ``baselines``, or else buckets of ``height``.
 
     Items lie in order of x, in rows that are mostly of a right-to-left script in the other order. A gap of ``gap`` is a
     blank, one of ``cell`` a new cell.
     """
-    real = items.where(F.trim("str") != "").withColumn("row", F.round(F.col("y") / height).cast("int"))
+    real = items.where(F.trim("str") != "")
+    real = real if "row" in items.columns else real.withColumn("row", F.round(F.col("y") / height).cast("int"))
     grouped = real.groupBy("page", "row").agg(F.array_sort(F.collect_list(F.struct("x", "at", "w", F.col("str").alias("s")))).alias("i"), F.sum(F.when(F.col("str").rlike(_RTL), 1).otherwise(-1)).alias("r"))
     ordered = F.when(F.col("r") > 0, F.reverse("i")).otherwise(F.col("i"))
 
@@ -36,6 +37,28 @@ def rows(items: DataFrame, height: float = 2.0, gap: float = 6.0, cell: float =
     return done.select("page", "row", F.col("l.text").alias("line"), F.col("l.cells").alias("cells"))
 
 
+def baselines(items: DataFrame, tolerance: float = 0.34, least: float = 0.9) -> DataFrame:
+    """Items with their row: a new one begins where the next lower baseline is farther than ``tolerance`` of the item's height.
+
+    Unlike fixed buckets this has no edges that tear a line; items of one page lie in one window. items: also h, the height.
+    """
+    down = Window.partitionBy("page").orderBy(F.desc("y"), "x", "at")
+    apart = (F.lag("y").over(down) - F.col("y")) > F.greatest(F.lit(least), F.greatest("h", F.lag("h").over(down)) * tolerance)
+    return items.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("row", -F.sum("_new").over(down.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def tables(lines: DataFrame, least: int = 2) -> DataFrame:
+    """(page, first, last, columns, rows): runs of consecutive rows with ``least`` cells or more, as tables: rows of cells from the top down.
+
+    A line's cells are what `` | `` divides.
+    """
+    order = Window.partitionBy("page").orderBy(F.desc("row"))
+    ranked = lines.withColumn("at", F.row_number().over(order)).where(F.col("cells") >= least)
+    runs = ranked.withColumn("run", F.col("at") - F.row_number().over(order)).groupBy("page", "run")
+    rows = runs.agg(F.max("row").alias("first"), F.min("row").alias("last"), F.max("cells").alias("columns"), F.array_sort(F.collect_list(F.struct("at", F.split("line", " \\| ").alias("c")))).alias("r"))
+    return rows.where(F.size("r") >= 2).select("page", "first", "last", "columns", F.transform("r", lambda x: x["c"]).alias("rows"))
+
+
 def columns(lines: DataFrame, most: int = 3) -> DataFrame:
     """(page, columns): how many columns a page has, by the cells of its widest row."""
     return lines.groupBy("page").agg(F.least(F.greatest(F.max("cells"), F.lit(1)), F.lit(most)).alias("columns"))

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import text as tx
+
 
 def subjects(books: DataFrame) -> DataFrame:
     """Distinct subjects that aren't empty, sorted."""
@@ -59,6 +61,45 @@ def resolve(requests: DataFrame, pages: DataFrame) -> DataFrame:
     return done.unionByName(none)
 
 
+def resolve_book(requests: DataFrame, books: DataFrame) -> DataFrame:
+    """(request_id, book_id): the book whose folded title or subject equals the folded query; null unless it is the only one. requests: request_id, query."""
+    keys = books.select("book_id", F.explode(F.array(*(tx.fold(F.col(c)) for c in ("title", "subject")))).alias("_key")).distinct()
+    ends = keys.groupBy("_key").agg(F.when(F.min("book_id") == F.max("book_id"), F.min("book_id")).alias("book_id"))
+    return requests.select("request_id", tx.fold(F.col("query")).alias("_key")).join(ends, "_key", "left").select("request_id", "book_id")
+
+
+def page_map(pages: DataFrame, status: Column) -> DataFrame:
+    """A book's map: numbers, where the printed one comes from, title, type, status and whether the page can be searched."""
+    source = F.when(F.col("printed_page").isNotNull(), "stored").otherwise("unverified")
+    return pages.select("book_id", "physical_page", "printed_page", source.alias("printed_page_source"), "title", "page_type", status.alias("evidence_status"), "searchable")
+
+
+def full_page(index: DataFrame, stored: DataFrame, books: DataFrame, columns: list[str]) -> DataFrame:
+    """The indexed rows with the stored page's ``columns`` in their place, whether the indexed text differs, and the page numbers next to it.
+
+    Pages that one side lacks have no row.
+    """
+    held = stored.select("book_id", "physical_page", "text", *(F.col(c).alias(f"_s_{c}") for c in columns))
+    both = index.withColumnRenamed("text", "_indexed").join(held, ["book_id", "physical_page"]).join(books.select("book_id", "page_count"), "book_id")
+    page = F.col("physical_page")
+    kept = [F.coalesce(f"_s_{c}", c).alias(c) for c in columns]
+    return both.select("book_id", page, "text", *kept, (~F.col("_indexed").eqNullSafe(F.col("text"))).alias("indexed_text_differs"), F.when(page > 1, page - 1).alias("previous"), F.when(page < F.col("page_count"), page + 1).alias("next"))
+
+
+def outline_map(pages: DataFrame, most: int = 60_000) -> DataFrame:
+    """(book_id, physical_page, line): a line per page, in order, while a book's lines fit into ``most`` characters.
+
+    A line has 8 characters at least, so only the first ``most`` / 8 pages of a book are looked at.
+    """
+    printed = F.when(F.col("printed_page").isNotNull() & (F.col("printed_page") != F.col("physical_page")), F.concat(F.lit(" (printed "), F.col("printed_page").cast("string"), F.lit(")"))).otherwise("")
+    label = F.concat(F.lit("page "), F.col("physical_page").cast("string"), printed, F.lit(": "), F.coalesce(F.expr("nullif(title, '')"), F.col("page_type"), F.lit("page")))
+    rows = pages.where(F.col("physical_page") <= most // 8).select("book_id", "physical_page", label.alias("line"))
+    order = Window.partitionBy("book_id").orderBy("physical_page")
+    used = F.coalesce(F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    over = rows.withColumn("over", (used + F.length("line") > most).cast("int"))
+    return over.withColumn("stop", F.max("over").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("stop = 0").select("book_id", "physical_page", "line")
+
+
 def in_range(pages: DataFrame, number: str, first: int, last: int) -> DataFrame:
     """Pages whose ``number`` lies in the range; order by that number, then by the physical page."""
     if last < first:

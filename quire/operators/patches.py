@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 
+# fixed values: openings of descriptions that describe a book and no page
+DEAD_TEMPLATE = "^(نص الصفحه مستخرج من كتاب|صفحه مصوره من كتاب|محتوي الصفحه صفحه (مقدمه|غلاف|فاصله))"
+
 #: Characters to which an accepted value is cut; other fields to 200.
 CLIP = {"title": 90, "summary": 600}
 
@@ -18,7 +21,7 @@ def problems(field: Column, value: Column) -> Column:
     text = tx.flat(value)
     codes = {
         "EMPTY": text == "", "SERIALIZED_JSON": text.rlike(tx.SERIALISED), "CJK": text.rlike(tx.CJK), "U_FFFD": text.contains("�"),
-        "PRESS_SLAB": text.rlike(tx.PRINTER_SLUG) | text.rlike(tx.PRINTER_STAMP), "TITLE_FOLIO": (field == "title") & text.rlike("^[0-9]{1,4}( |$)"),
+        "DEAD_TEMPLATE": F.translate(text, "ةى", "هي").rlike(DEAD_TEMPLATE), "PRESS_SLAB": text.rlike(tx.PRINTER_SLUG) | text.rlike(tx.PRINTER_STAMP), "TITLE_FOLIO": (field == "title") & text.rlike("^[0-9]{1,4}( |$)"),
     }
     return F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in codes.items())))
 
@@ -30,10 +33,10 @@ def warnings(field: Column, value: Column) -> Column:
 
 
 def validated(patches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejects): accepted values are clipped; a reject has a row per code and its value's first 160 characters."""
+    """(accepted, rejects): accepted values are clipped and bear their warnings; a reject has a row per code and its value's first 160 characters."""
     limit = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in CLIP.items() for x in kv)), F.col("field")), F.lit(200))
     rows = patches.withColumn("codes", problems(F.col("field"), F.col("value")))
-    accepted = rows.where(F.size("codes") == 0).withColumn("value", F.substring(tx.flat(F.col("value")), F.lit(1), limit)).drop("codes")
+    accepted = rows.where(F.size("codes") == 0).withColumn("warnings", warnings(F.col("field"), F.col("value"))).withColumn("value", F.substring(tx.flat(F.col("value")), F.lit(1), limit)).drop("codes")
     rejects = rows.select("source", "book_id", "physical_page", "field", F.explode("codes").alias("code"), F.substring("value", 1, 160).alias("value"))
     return accepted, rejects
 
@@ -71,15 +74,42 @@ def outcome(pages: DataFrame, winners: DataFrame, fields: list[str]) -> DataFram
     return both.select("book_id", "physical_page", "field", state.alias("state"))
 
 
+def subject_phrases(books: DataFrame) -> DataFrame:
+    """(book_id, phrase): a book's title, its subject, and the subject before a dash: whole if of two words, and the first two of three or more."""
+    sources = F.array("subject", F.split_part("subject", F.lit("—"), F.lit(1)), "title")
+    words = books.select("book_id", F.explode(F.transform(sources, lambda x: F.filter(F.split(tx.word_fold(x), " "), lambda w: w != ""))).alias("w"))
+    whole = F.when(F.size("w") >= 2, F.array_join("w", " "))
+    return words.select("book_id", F.explode(F.array_compact(F.array(whole, F.when(F.size("w") >= 3, F.array_join(F.slice("w", 1, 2), " "))))).alias("phrase")).distinct()
+
+
 def foreign_phrases(phrases: DataFrame, least: int = 6) -> DataFrame:
     """(book_id, phrase): phrases of other books that the book doesn't have itself. phrases: book_id, phrase.
 
-    Built from the few phrases that titles and subjects have; a phrase of all books is foreign to none.
+    The result has a row per book and phrase by its meaning; to find such phrases in texts use ``foreign_values``, which never
+    makes these rows.
     """
     rows = phrases.where(F.length("phrase") >= least).distinct()
-    owned = rows.groupBy("phrase").agg(F.collect_set("book_id").alias("owners"))
-    every = rows.agg(F.collect_set("book_id").alias("books"))
-    return owned.join(F.broadcast(every)).select(F.explode(F.array_except("books", "owners")).alias("book_id"), "phrase")  # one row of book ids
+    each = rows.select("book_id").distinct().join(rows.select("phrase").distinct())
+    return each.join(rows, ["book_id", "phrase"], "left_anti")
+
+
+def foreign_values(values: DataFrame, phrases: DataFrame, pages: DataFrame, least: int = 6, words: int = 6, proof: int = 300) -> DataFrame:
+    """(book_id, physical_page, field, phrase): values that name another book's phrase, the longest of each, then the first by its letters.
+
+    Values and phrases meet by runs of two to ``words`` folded words. Phrases that the book has too don't count, nor does one
+    that the page's own text of ``proof`` characters holds. values: book_id, physical_page, field, value.
+    """
+    said = values.select("book_id", "physical_page", "field", F.split(tx.word_fold(F.col("value")), " ").alias("w")).where(F.size("w") >= 2)
+    run = lambda i, n: F.when(i + n <= F.size("w"), F.array_join(F.slice("w", i + 1, F.lit(n)), " "))
+    runs = F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.array_compact(F.array(*(run(i, n) for n in range(2, words + 1))))))
+    grams = said.select("book_id", "physical_page", "field", F.explode(F.array_distinct(runs)).alias("phrase"))
+    known = phrases.where(F.length("phrase") >= least).select("book_id", "phrase").distinct()
+    ends = known.groupBy("phrase").agg(F.min("book_id").alias("low"), F.max("book_id").alias("high"))
+    hits = grams.join(ends, "phrase").where("low <> book_id or high <> book_id").join(known, ["book_id", "phrase"], "left_anti")
+    own = pages.select("book_id", "physical_page", tx.word_fold(F.col("text")).alias("own"))
+    proven = (F.length("own") >= proof) & F.contains(F.col("own"), F.col("phrase"))
+    open_ = hits.join(own, ["book_id", "physical_page"], "left").where(~F.coalesce(proven, F.lit(False)))
+    return open_.groupBy("book_id", "physical_page", "field").agg(F.min(F.struct((-F.length("phrase")).alias("n"), "phrase")).alias("f")).select("book_id", "physical_page", "field", "f.phrase")
 
 
 def duplication_report(pages: DataFrame, fields: list[str]) -> DataFrame:

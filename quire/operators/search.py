@@ -36,6 +36,11 @@ def allowed(subject: str = "", track: str = "") -> Column:
     return ok
 
 
+def tracked(track: str) -> Column:
+    """Whether a book is of the track, folded, and no supplementary one; a book without track is of the general one. books: track, supplementary."""
+    return (tx.fold(F.coalesce(F.expr("nullif(track, '')"), F.lit("general"))) == F.lit(tx.fold_query(track))) & ~F.coalesce("supplementary", F.lit(False))
+
+
 def terms_of(query: str, match: str) -> list[str]:
     """The query, folded as the fields are, as one phrase or its words."""
     folded = tx.fold_query(query)

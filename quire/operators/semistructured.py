@@ -76,9 +76,45 @@ def quiz_questions(c: Column) -> Column:
     return F.transform(F.filter(parsed, ok), lambda q: F.struct(q["question"].alias("question"), q["options"].alias("options"), place(q).alias("answer_at")))
 
 
+_PARTS = "array<struct<type:string,text:string,image_url:struct<url:string>>>"
+
+
+def text_of(content: Column) -> Column:
+    """A message's text: the content itself, or the text parts of a JSON array, a line each."""
+    parts = F.from_json(content, _PARTS)
+    return F.when(content.rlike("^[ \\t\\n]*\\["), F.coalesce(F.array_join(F.filter(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: p["text"]), lambda t: t.isNotNull()), "\n"), F.lit(""))).otherwise(content)
+
+
+def images_of(content: Column, most: int = 1_500_000) -> Column:
+    """The image parts of a message that are PNG, JPEG or WebP data URLs of at most ``most`` characters."""
+    urls = F.transform(F.filter(F.from_json(content, _PARTS), lambda p: p["type"] == "image_url"), lambda p: p["image_url"]["url"])
+    return F.coalesce(F.filter(urls, lambda u: u.rlike("^data:image/(png|jpe?g|webp);base64,[A-Za-z0-9+/=]+$") & (F.length(u) <= most)), F.array().cast("array<string>"))
+
+
 def history(conversations: DataFrame, roles: tuple = ("user", "assistant"), most: int = 4000) -> DataFrame:
-    """The turns that are kept of a conversation, their text cut to ``most`` characters; empty ones go."""
-    return conversations.where(F.col("role").isin(*roles) & (tx.strip(F.col("text")) != "")).select("conv_id", "turn", "role", F.substring("text", 1, most).alias("text"))
+    """The turns that are kept of a conversation, their text cut to ``most`` characters; empty, abandoned and incomplete ones go.
+
+    A column ``model_content`` that isn't null goes before the text; columns ``abandoned`` and ``incomplete`` are read where they are.
+    """
+    has = conversations.columns
+    body = text_of(F.coalesce("model_content", "text") if "model_content" in has else F.col("text"))
+    gone = F.lit(False)
+    for c in ("abandoned", "incomplete"):
+        gone = gone | F.coalesce(F.col(c), F.lit(False)) if c in has else gone
+    rows = conversations.where(F.col("role").isin(*roles) & ~gone).select("conv_id", "turn", "role", F.substring(body, 1, most).alias("text"))
+    return rows.where(tx.strip(F.col("text")) != "")
+
+
+def messages(raw: Column, most: int = 8000) -> Column:
+    """A conversation's messages, read from JSON: known roles only, ids and texts cleaned and cut; null and bad JSON give none."""
+    read = F.from_json(raw, "array<struct<id:string,role:string,content:string>>")
+    good = F.filter(F.coalesce(read, F.from_json(F.lit("[]"), "array<struct<id:string,role:string,content:string>>")), lambda m: m["role"].isin("user", "assistant") & (tx.strip(F.coalesce(m["content"], F.lit(""))) != ""))
+    return F.transform(good, lambda m: F.struct(safe_id(m["id"]).alias("id"), m["role"].alias("role"), F.substring(m["content"], 1, most).alias("text")))
+
+
+def latest(conversations: DataFrame) -> DataFrame:
+    """(conv_id, last_turn, last_role): conversations by their last turn, the latest first, then by id."""
+    return conversations.groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.max_by("role", "turn").alias("last_role")).orderBy(F.desc("last_turn"), "conv_id")
 
 
 def safe_id(c: Column, most: int = 64, fallback: str = "default") -> Column:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.operators import checks, quality, titles
-from quire.operators.duplicates import signature  # noqa: F401  the signature behind D22
 from quire.plans import corpus
 from quire.plans import sqltext as s
 from quire.plans.library import _COUNT, _OUT, _SIG, R, _numbers
@@ -34,6 +33,17 @@ def _expected():
     return tx.evidence_status(F.col("text"), F.col("lang") == "de")
 
 
+def _moved(p: DataFrame) -> DataFrame:
+    """The pages, every tenth but one with the title of the page after it."""
+    page = F.col("physical_page")
+    titles_ = p.where(page % 10 != 9).select("book_id", page, "title").union(p.where(page % 10 == 0).select("book_id", (page - 1).alias("physical_page"), "title"))
+    return p.drop("title").join(titles_, ["book_id", "physical_page"])
+
+
+def _last():
+    return F.ascii(F.right("book_id", F.lit(1))) % 5
+
+
 class _Layers:
     """The tables that the checks read."""
 
@@ -128,8 +138,12 @@ CHECKS = {
         f", w AS (SELECT book_id, physical_page, 'title' AS field, unnest(list_distinct(string_split({s.word_fold('title')}, ' '))) AS token FROM y UNION ALL SELECT book_id, physical_page, 'summary', unnest(list_distinct(string_split({s.word_fold('summary')}, ' '))) FROM y), o AS (SELECT unnest(['that', 'with', 'from']) AS token, unnest(['src1', 'src2', 'src3']) AS owner)",
         _F("B10", "CASE WHEN n > 5 THEN 'high' ELSE 'medium' END", "(SELECT book_id, count(DISTINCT (physical_page, field)) AS n FROM w JOIN o USING (token) WHERE owner <> book_id GROUP BY book_id)"),
     ),
-    "B11": (lambda t: checks.b11_unquotable(t.y, "src[12]$"), "", _F("B11", "'critical'", _n(f"regexp_matches(book_id, 'src[12]$') AND regexp_matches(text, '{_PRIVATE}')"))),
-    "B14": (lambda t: checks.b14_drifted(t.y), f", d AS (SELECT book_id, physical_page, {s.word_fold('title')} AS t, {s.word_fold('text')} AS w FROM y)", _F("B14", "'medium'", _DRIFT)),
+    "B11": (lambda t: checks.b11_unquotable(t.y, "src[0-9]$"), "", _F("B11", "'critical'", _n(f"regexp_matches(book_id, 'src[0-9]$') AND regexp_matches(text, '{_PRIVATE}')"))),
+    "B14": (
+        lambda t: checks.b14_drifted(_moved(t.source)),
+        f", d AS (SELECT p.book_id, p.physical_page, {s.word_fold('q.title')} AS t, {s.word_fold('p.text')} AS w FROM p JOIN p q ON p.book_id = q.book_id AND q.physical_page = p.physical_page + CASE WHEN p.physical_page % 10 = 9 THEN 1 ELSE 0 END)",
+        _F("B14", "'medium'", _DRIFT),
+    ),
     "C12": (
         lambda t: checks.c12_boilerplate(t.y, ["summary", "purpose", "title"]), "",
         _F("C12", "CASE WHEN share > 0.9 THEN 'high' ELSE 'medium' END", f"(SELECT book_id, max(share) AS share FROM ({_ALL(*(f'SELECT * FROM {_share(f)}' for f in ('summary', 'purpose', 'title')))}) GROUP BY book_id)") + " WHERE share > 0.5",
@@ -168,10 +182,10 @@ CHECKS = {
     ),
     "D20": (
         lambda t: checks.d20_checksum(
-            t.books.select("book_id", F.col("page_count").alias("bytes"), F.when(F.col("page_count") % 5 == 1, "").when(F.col("page_count") % 5 == 2, "none").otherwise(F.sha2("book_id", 256)).alias("checksum")),
-            t.books.select(F.sha2("book_id", 256).alias("digest"), F.when(F.col("page_count") % 5 == 3, F.col("page_count") + 1).otherwise(F.col("page_count")).alias("bytes")),
+            t.books.select("book_id", F.col("page_count").alias("bytes"), F.when(_last() == 1, "").when(_last() == 2, "none").otherwise(F.sha2("book_id", 256)).alias("checksum")),
+            t.books.select(F.sha2("book_id", 256).alias("digest"), F.when(_last() == 3, F.col("page_count") + 1).otherwise(F.col("page_count")).alias("bytes")),
         ), "",
-        "SELECT book_id, 'D20' AS code, CASE WHEN page_count % 5 = 2 THEN 'critical' ELSE 'high' END AS severity FROM b WHERE page_count % 5 IN (1, 2, 3)",
+        "SELECT book_id, 'D20' AS code, CASE WHEN ascii(right(book_id, 1)) % 5 = 2 THEN 'critical' ELSE 'high' END AS severity FROM b WHERE ascii(right(book_id, 1)) % 5 IN (1, 2, 3)",
     ),
     "D21": (
         lambda t: checks.d21_dead(t.books.select(F.col("book_id").alias("layer")), t.source.where("lang = 'fr' and doc_id % 7 = 0").select(F.col("book_id").alias("layer"), F.col("doc_id").alias("reader"))), "",

@@ -117,14 +117,21 @@ def manifest_freshness(spark, sf):
 # ---- pages ----
 
 
-@R.add("SELECT physical_page, printed_page, title, searchable FROM p WHERE book_id = 'src3'")
+_EVIDENCE = f"CASE WHEN length({s.strip('text')}) < 1 THEN 'no-text' WHEN {s.damaged('text')} THEN 'damaged-text' WHEN lang = 'de' THEN 'ocr-text' ELSE 'clean-extracted-text' END AS evidence_status"
+
+
+def _evidence():
+    return tx.evidence_status(F.col("text"), F.col("lang") == "de")
+
+
+@R.add(f"SELECT book_id, physical_page, printed_page, CASE WHEN printed_page IS NULL THEN 'unverified' ELSE 'stored' END AS printed_page_source, title, page_type, {_EVIDENCE}, searchable FROM p WHERE book_id = 'src3'")
 def book_page_map(spark, sf):
-    return corpus.pages(spark, sf).where("book_id = 'src3'").select("physical_page", "printed_page", "title", "searchable")
+    return pages.page_map(corpus.pages(spark, sf).where("book_id = 'src3'"), _evidence())
 
 
-@R.add("SELECT title, text, printed_page FROM p WHERE book_id = 'src3' AND physical_page = 5")
+@R.add(f"SELECT title, text, printed_page, {_EVIDENCE} FROM p WHERE book_id = 'src3' AND physical_page = 5")
 def read_page_point(spark, sf):
-    return pages.read(corpus.pages(spark, sf), "src3", 5, "title", "text", "printed_page")
+    return pages.read(corpus.pages(spark, sf).withColumn("evidence_status", _evidence()), "src3", 5, "title", "text", "printed_page", "evidence_status")
 
 
 _CLASH = ", g AS (SELECT book_id, physical_page, CASE WHEN doc_id % 11 = 0 THEN 7 ELSE printed_page END AS printed_page FROM p)"
@@ -310,11 +317,27 @@ def idx_shard_pointer(spark, sf):
 
 
 @R.add(
-    "SELECT count(*) AS pages, count(DISTINCT book_id) AS books, count(*) FILTER (WHERE searchable) AS searchable, count(*) FILTER (WHERE NOT searchable) AS needs_ocr, CAST(sum(length(text)) AS BIGINT) AS characters, "
-    "count(printed_page) AS with_printed_page, count(*) FILTER (WHERE title <> '') AS with_title, count(DISTINCT unit) AS units, CAST(min(length(text)) AS INTEGER) AS shortest, CAST(max(length(text)) AS INTEGER) AS longest FROM x"
+    f", e AS (SELECT *, {_EVIDENCE}, len({s.digit_runs('text')}) AS figures, len(regexp_extract_all(text, '[{{}}]')) AS glossary FROM x) SELECT count(*) AS pages, count(DISTINCT book_id) AS books, count(*) FILTER (WHERE searchable OR summary <> '') AS indexed, count(*) FILTER (WHERE searchable) AS searchable, "
+    "count(*) FILTER (WHERE NOT searchable) AS needs_ocr, CAST(sum(length(text)) AS BIGINT) AS characters, count(*) FILTER (WHERE length(text) > 0) AS with_text, count(printed_page) AS with_printed_page, count(*) FILTER (WHERE title <> '') AS with_title, count(DISTINCT unit) AS units, "
+    "CAST(min(length(text)) AS INTEGER) AS shortest, CAST(max(length(text)) AS INTEGER) AS longest, count(*) FILTER (WHERE figures > 0 OR glossary > 0) AS structured, CAST(sum(figures) AS BIGINT) AS figures, CAST(sum(glossary) AS BIGINT) AS glossary, "
+    + ", ".join(f"count(*) FILTER (WHERE evidence_status = '{k}') AS {k.replace('-', '_')}" for k in (tx.NO_TEXT, tx.DAMAGED, tx.OCR, tx.CLEAN)) + " FROM e"
 )
 def idx_build_stats(spark, sf):
-    return documents.statistics(corpus.index(corpus.pages(spark, sf)))
+    arrays = {"figures": tx.digit_runs(F.col("text")), "glossary": F.regexp_extract_all("text", F.lit("[{}]"), 0)}
+    return documents.statistics(corpus.index(corpus.pages(spark, sf)).withColumn("evidence_status", _evidence()), arrays, (tx.NO_TEXT, tx.DAMAGED, tx.OCR, tx.CLEAN))
+
+
+@R.add(_TOK + " SELECT term, count(*) AS df FROM t GROUP BY term UNION ALL SELECT 'ال' || term, count(*) FROM t WHERE length(term) > 3 GROUP BY term")
+def idx_expanded_frequency(spark, sf):
+    from quire.functions import arabic
+
+    return inverted.document_frequency(corpus.pages(spark, sf), arabic.search_tokens(F.col("text")))
+
+
+@R.add(_TOK + ", f AS (SELECT term, count(*) AS df FROM t GROUP BY term), k AS (SELECT term, CASE WHEN df > 1 THEN df + 1000 ELSE df END AS df FROM f) SELECT term, df, CAST(sum(df) OVER (ORDER BY term ROWS UNBOUNDED PRECEDING) - df AS BIGINT) AS start FROM k")
+def idx_csr_global(spark, sf):
+    own = inverted.document_frequency(corpus.pages(spark, sf), _terms())
+    return inverted.offsets(inverted.with_global(own, own.where("df > 1").select("term", (F.col("df") + 1000).alias("df"))))
 
 
 # ---- document build ----
@@ -403,9 +426,13 @@ def flag_searchable_needs_ocr(spark, sf):
     return corpus.index(corpus.pages(spark, sf)).select("doc_id", (n >= 20).alias("searchable"), (n < 20).alias("needs_ocr"))
 
 
-@R.add("SELECT book_id || ':' || CAST(physical_page AS VARCHAR) AS id, book_id, physical_page, printed_page, title, page_type, text_length FROM x")
+@R.add(
+    f"SELECT book_id || ':' || CAST(physical_page AS VARCHAR) AS id, book_id, physical_page, printed_page, coalesce(title, '') AS title, coalesce(section, '') AS section, coalesce(unit, '') AS unit, coalesce(page_type, '') AS page_type, searchable, needs_ocr, {_EVIDENCE}, coalesce(text_length, 0) AS text_length, "
+    f"printed_page - physical_page AS page_offset, {s.damaged('text')} AS text_damaged, doc_id % 6 = 0 AS enriched, {s.letters_only('text')} AS normalized FROM x"
+)
 def proj_scan_meta(spark, sf):
-    return corpus.index(corpus.pages(spark, sf)).select(F.concat_ws(":", "book_id", F.col("physical_page").cast("string")).alias("id"), "book_id", "physical_page", "printed_page", "title", "page_type", "text_length")
+    docs = corpus.index(corpus.pages(spark, sf)).withColumn("evidence_status", _evidence()).withColumn("enriched", F.col("doc_id") % 6 == 0)
+    return documents.scan_meta(docs)
 
 
 @R.add("SELECT DISTINCT p.book_id || ':' || CAST(p.physical_page AS VARCHAR) AS id, b.title AS book_title, p.printed_page FROM p JOIN b USING (book_id) WHERE contains(p.text, 'that')")
@@ -415,9 +442,10 @@ def proj_citation(spark, sf):
     return p.where(F.col("text").contains("that")).join(names, "book_id").select(F.concat_ws(":", "book_id", F.col("physical_page").cast("string")).alias("id"), "book_title", "printed_page").distinct()
 
 
-@R.add("SELECT book_id FROM b WHERE track = 'en' AND page_count % 2 = 0")
+@R.add("SELECT book_id FROM b WHERE track = 'en' AND NOT (page_count % 2 = 1 AND title <> '')")
 def filter_tracked(spark, sf):
-    return corpus.books(corpus.pages(spark, sf)).where((F.col("track") == "en") & (F.col("page_count") % 2 == 0)).select("book_id")
+    b = corpus.books(corpus.pages(spark, sf)).withColumn("supplementary", F.when(F.col("page_count") % 2 == 1, True))
+    return b.where(search.tracked("EN")).select("book_id")
 
 
 # ---- consistency ----
@@ -492,11 +520,11 @@ def join_layer_missing(spark, sf):
     return consistency.missing(b, b.where("page_count % 3 <> 0"), ["book_id"])
 
 
-@R.add("SELECT p.book_id, p.physical_page FROM p JOIN x USING (book_id, physical_page) WHERE length(p.text) < 60 AND length(x.text) >= 20")
+@R.add(f"SELECT book_id, physical_page FROM x WHERE doc_id % 29 = 0 AND doc_id % 2 = 0 AND length({s.strip('text')}) >= 20")
 def qc_outline_contradiction(spark, sf):
     p = corpus.pages(spark, sf)
-    claims = p.where(F.length("text") < 60).select("book_id", "physical_page")
-    return claims.join(corpus.index(p).where(F.length("text") >= 20).select("book_id", "physical_page"), ["book_id", "physical_page"])
+    outline = p.where("doc_id % 29 = 0").select("book_id", "physical_page", F.when(F.col("doc_id") % 2 == 0, F.concat("title", F.lit(": لا يوجد نص هنا"))).otherwise(F.col("title")).alias("description"))
+    return consistency.contradicted(outline, corpus.index(p))
 
 
 # ---- quality ----
@@ -539,12 +567,12 @@ def qc_leaks(spark, sf):
 
 def _numbers(spark, sf):
     page = F.array(F.col("physical_page").cast("string"), F.coalesce(F.col("printed_page").cast("string"), F.lit("")))
-    p = corpus.pages(spark, sf).withColumn("summary", F.concat("summary", F.lit(" 1234 99 unit 77 "), F.col("physical_page").cast("string")))
+    p = corpus.pages(spark, sf).withColumn("summary", F.concat("summary", F.lit(" 1234 99 "), F.when(F.col("doc_id") % 7 == 0, "").otherwise("unit 77 "), F.col("physical_page").cast("string")))
     return quality.number_verdicts(p, ["title", "summary"], page, F.array(F.lit("99")))
 
 
 @R.add(
-    f", q AS (SELECT book_id, physical_page, text, [CAST(physical_page AS VARCHAR), coalesce(CAST(printed_page AS VARCHAR), '')] AS own, {s.digit_runs('text')} AS proof, title, summary || ' 1234 99 unit 77 ' || CAST(physical_page AS VARCHAR) AS summary FROM p), "
+    f", q AS (SELECT book_id, physical_page, text, [CAST(physical_page AS VARCHAR), coalesce(CAST(printed_page AS VARCHAR), '')] AS own, {s.digit_runs('text')} AS proof, title, summary || ' 1234 99 ' || CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'unit 77 ' END || CAST(physical_page AS VARCHAR) AS summary FROM p), "
     f"f AS (SELECT book_id, physical_page, text, own, proof, 'title' AS field, title AS value FROM q UNION ALL SELECT book_id, physical_page, text, own, proof, 'summary', summary FROM q), n AS (SELECT *, unnest(list_distinct({s.digit_runs('value')})) AS number FROM f) "
     f"SELECT book_id, physical_page, field, number, CASE WHEN length(number) < 2 OR list_contains(own, number) OR list_contains(proof, number) THEN 'proven' WHEN number = '99' THEN 'verified' WHEN regexp_matches(value, '(?i)(unit|lesson|chapter|part|page|الوحدة|الفصل|الدرس)[ ]*[0-9]') THEN 'structural' WHEN {s.strip('text')} = '' THEN 'layerless' ELSE 'unverified' END AS verdict FROM n"
 )
@@ -742,24 +770,59 @@ def patch_pending_exclusion(spark, sf):
 # ---- audit and probes ----
 
 _WEAK = f"list_filter([CASE WHEN length(t) < 4 THEN 'WEAK_TITLE' WHEN regexp_matches(t, '(?i)^(untitled|no title|page|continued)\\b') THEN 'PLACEHOLDER_TITLE' END, CASE WHEN length(s) < 40 THEN 'WEAK_SUMMARY' WHEN regexp_matches(s, '(?i)^(untitled|no title|page|continued)\\b') THEN 'PLACEHOLDER_SUMMARY' END, CASE WHEN regexp_matches(t || ' ' || s, '(?i)(\\.indb|undefined|null null|\\[object)') THEN 'JUNK_META' END, CASE WHEN t = s AND t <> '' THEN 'TITLE_EQUALS_SUMMARY' END], lambda e: e IS NOT NULL)"
-_ISSUES = f""", a AS (SELECT book_id, physical_page, {s.strip('title')} AS t, {s.strip('summary')} AS s, {s.strip('text')} AS b, searchable, needs_ocr, text FROM p),
+_CODED = ", ".join(
+    f"CASE WHEN {holds} THEN '{code}' END"
+    for code, holds in {
+        "NO_TEXT": "n < 40 AND flag", "NO_TEXT_BUT_NOT_FLAGGED": "n < 40 AND NOT flag", "SEARCHABLE_FLAG_MISMATCH": "searchable <> (n > 0)", "NEEDSOCR_FLAG_STALE": "n >= 40 AND flag", "OCR_STATUS_MISSING": "NOT flag AND doc_id % 4 = 0",
+        "DUMP_SUMMARY": "length(line) >= 40 AND fs <> '' AND starts_with(line, substr(fs, 1, 60))", "DUMP_TITLE": "length(line) >= 40 AND ft <> '' AND starts_with(line, substr(ft, 1, 60))",
+        "INDEX_PAGE_MISSING": "nobridge", "INDEX_PAGE_STALE": "NOT nobridge AND doc_id % 33 = 0", "SEARCH_DOC_MISSING": "NOT found", "SEARCH_DOC_WEAK_META": "found AND (length(title) <= 2 OR length(summary) < 20)",
+        "SEARCH_DOC_FLAG_MISMATCH": "found AND ds <> (n > 0)", "SEARCH_DOC_EMPTY_PREVIEW": f"found AND n >= 40 AND {s.strip('dp')} = ''", "SEARCH_DOC_NO_TERMS": "found AND n >= 40 AND doc_id % 49 = 0",
+    }.items()
+)
+_ISSUES = f""", pg AS (SELECT * FROM p WHERE doc_id % 101 <> 0),
+a AS (
+  SELECT pg.book_id, pg.physical_page, pg.doc_id, pg.title, pg.summary, pg.searchable, {s.strip('pg.title')} AS t, {s.strip('pg.summary')} AS s, length({s.strip('pg.text')}) AS n, {s.flat('pg.text')} AS line, {s.flat('pg.title')} AS ft, {s.flat('pg.summary')} AS fs,
+    pg.needs_ocr OR pg.doc_id % 97 = 0 AS flag, pg.doc_id % 31 = 0 OR pg.book_id = 'src7' AS nobridge, x.doc_id IS NOT NULL AS found, x.searchable AS ds, CASE WHEN pg.doc_id % 45 = 0 THEN '' ELSE substr(x.text, 1, 50) END AS dp
+  FROM pg LEFT JOIN x ON pg.doc_id = x.doc_id),
+o AS (SELECT book_id, count(*) - CASE WHEN count(*) % 3 = 0 THEN 1 ELSE 0 END AS entries, count(*) AS pages FROM pg GROUP BY book_id),
 issue AS (
-  SELECT book_id, physical_page, unnest({_WEAK}) AS code FROM a
-  UNION ALL SELECT book_id, physical_page, unnest(list_filter([CASE WHEN b = '' THEN 'NO_TEXT' END, CASE WHEN b = '' AND searchable THEN 'NO_TEXT_BUT_NOT_FLAGGED' END, CASE WHEN searchable = needs_ocr THEN 'FLAGS_CONTRADICT' END], lambda e: e IS NOT NULL)) FROM a
-  UNION ALL SELECT a.book_id, a.physical_page, unnest(list_filter([CASE WHEN x.text IS NULL THEN 'SEARCH_DOC_MISSING' END, CASE WHEN x.text <> a.text THEN 'SEARCH_DOC_STALE' END, CASE WHEN x.searchable <> a.searchable THEN 'SEARCH_DOC_FLAG_MISMATCH' END, CASE WHEN x.text = '' AND a.text <> '' THEN 'SEARCH_DOC_EMPTY' END], lambda e: e IS NOT NULL)) FROM a LEFT JOIN x USING (book_id, physical_page))
+  SELECT book_id, physical_page, unnest(list_filter([{_CODED}], lambda e: e IS NOT NULL) || {_WEAK}) AS code FROM a
+  UNION ALL SELECT DISTINCT book_id, 0, 'INDEX_BOOK_MISSING' FROM a WHERE book_id NOT IN (SELECT book_id FROM a WHERE NOT nobridge)
+  UNION ALL SELECT book_id, 0, 'OUTLINE_COUNT_MISMATCH' FROM o WHERE book_id = 'src9' OR entries <> pages
+  UNION ALL SELECT book_id, physical_page, 'OUTLINE_FILE_MISSING' FROM a WHERE book_id = 'src9'
+  UNION ALL SELECT book_id, physical_page, 'SEARCH_DOC_ORPHAN' FROM x WHERE doc_id % 101 = 0
+  UNION ALL SELECT book_id, physical_page, 'DUP_SUMMARY_SAME_BOOK' FROM (SELECT book_id, physical_page, count(*) OVER (PARTITION BY book_id, fs) AS k FROM a WHERE fs <> '') WHERE k > 1
+  UNION ALL SELECT book_id, physical_page, 'DUP_TITLE_SAME_BOOK' FROM (SELECT book_id, physical_page, count(*) OVER (PARTITION BY book_id, ft) AS k FROM a WHERE ft <> '') WHERE k > 3)
 """
 
 
+def _audited(spark, sf):
+    d = F.col("doc_id")
+    whole = corpus.pages(spark, sf)
+    p = whole.where(d % 101 != 0).withColumn("needs_ocr", F.col("needs_ocr") | (d % 97 == 0)).withColumn("ocr_status", F.when(d % 4 == 0, "").otherwise("done"))
+    bridge = p.where((d % 31 != 0) & (F.col("book_id") != "src7")).withColumn("title", F.when(d % 33 == 0, F.concat("title", F.lit(" old"))).otherwise(F.col("title")))
+    index = corpus.index(whole).withColumn("preview", F.when(d % 45 == 0, "").otherwise(F.substring("text", 1, 50))).withColumn("n_terms", F.when(d % 49 == 0, 0).otherwise(5))
+    n = F.count("*")
+    outlines = p.where("book_id <> 'src9'").groupBy("book_id").agg((n - F.when(n % 3 == 0, 1).otherwise(0)).alias("entries"))
+    return p, audit.issues(p, index, bridge, outlines)
+
+
 @R.add(_ISSUES + "SELECT * FROM issue")
 def audit_issue_codes(spark, sf):
-    p = corpus.pages(spark, sf)
-    return audit.issues(p, corpus.index(p))
+    return _audited(spark, sf)[1]
 
 
 @R.add(_ISSUES + "SELECT code, book_id, count(*) AS n FROM issue GROUP BY ROLLUP (code, book_id)")
 def audit_by_code_book(spark, sf):
-    p = corpus.pages(spark, sf)
-    return audit.rollup(audit.issues(p, corpus.index(p)))
+    return audit.rollup(_audited(spark, sf)[1])
+
+
+@R.add(
+    _ISSUES + f"SELECT (SELECT count(DISTINCT book_id) FROM pg) AS books, (SELECT count(*) FROM pg) AS pages, (SELECT count(*) FROM a WHERE n >= 40) AS searchable, (SELECT count(*) FROM a WHERE flag) AS vision, "
+    + ", ".join(f"count(*) FILTER (WHERE code IN ({', '.join(map(repr, codes))},'')) AS {name}" for name, codes in audit.COUNTERS.items()) + " FROM issue"
+)
+def audit_statistics(spark, sf):
+    return audit.audit_statistics(*_audited(spark, sf))
 
 
 @R.add(
@@ -803,9 +866,11 @@ def probe_summary(spark, sf):
 # ---- semi-structured ----
 
 
-@R.add("SELECT conv_id, turn, role, substr(text, 1, 4000) AS text FROM conversations WHERE role IN ('user', 'assistant') AND " + s.strip("text") + " <> ''", base=False)
+@R.add("SELECT conv_id, turn, role, substr(text, 1, 4000) AS text FROM conversations WHERE role IN ('user', 'assistant') AND turn % 5 <> 4 AND " + s.strip("text") + " <> ''", base=False)
 def live_context(spark, sf):
-    return semistructured.history(table(spark, sf, "conversations"))
+    parts = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")), F.struct(F.lit("image_url").alias("type"), F.lit(None).cast("string").alias("text"))))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.when(F.col("turn") % 2 == 0, parts).alias("model_content"), "text", (F.col("turn") % 5 == 4).alias("incomplete"))
+    return semistructured.history(rows)
 
 
 @R.add("SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM events GROUP BY event_type", base=False)
@@ -813,9 +878,9 @@ def event_props_json(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("total"), F.count("*").alias("n"))
 
 
-@R.add("SELECT conv_id, max(turn) AS last_turn, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id", base=False)
+@R.add("SELECT conv_id, max(turn) AS last_turn, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id ORDER BY last_turn DESC, conv_id", base=False)
 def ord_latest_conversations(spark, sf):
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.max_by("role", "turn").alias("last_role"))
+    return semistructured.latest(table(spark, sf, "conversations"))
 
 
 @R.add("SELECT conv_id, turn, " + "coalesce(nullif(substr(" + s.replaced("role || ' ' || CAST(turn AS VARCHAR)", ("[^A-Za-z0-9_-]", "")) + ", 1, 64), ''), 'default') AS session FROM conversations", base=False)
@@ -823,9 +888,9 @@ def proj_messages(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", semistructured.safe_id(F.concat_ws(" ", "role", F.col("turn").cast("string"))).alias("session"))
 
 
-@R.add("SELECT DISTINCT lang, source FROM documents", base=False)
+@R.add(f"SELECT DISTINCT book_id, unnest({s.tokens('title')}) AS term FROM p")
 def set_distinct_tokens(spark, sf):
-    return table(spark, sf, "documents").select("lang", "source").distinct()
+    return inverted.distinct_terms(corpus.pages(spark, sf), tx.tokens(F.col("title")), "book_id")
 
 
 @R.add(f", t AS (SELECT book_id, unnest(list_distinct({s.tokens('title', 8)})) AS term FROM p) SELECT term, min(book_id) AS book_id FROM t GROUP BY term HAVING count(DISTINCT book_id) = 1")
@@ -869,9 +934,9 @@ def agg_field_transfer(spark, sf):
     return rows.where("v <> ''").groupBy("field").agg(F.count("*").alias("carried"))
 
 
-@R.add("SELECT doc_id, sha1(text) AS value, sha256(text) AS digest FROM documents", base=False)
+@R.add(f"SELECT doc_id, CASE WHEN length(f) >= 200 THEN sha1(f) END AS value FROM (SELECT doc_id, regexp_replace({s.rule_fold('text')}, '[0-9٠-٩۰-۹]+', '#', 'g') AS f FROM documents)", base=False)
 def js_sha1_signature(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.sha1("text").alias("value"), F.sha2("text", 256).alias("digest"))
+    return table(spark, sf, "documents").select("doc_id", duplicates.signature(F.col("text")).alias("value"))
 
 
 @R.add("SELECT doc_id, '{\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}' AS value FROM documents", base=False)
@@ -879,20 +944,39 @@ def js_canonical_map(spark, sf):
     return table(spark, sf, "documents").select("doc_id", semistructured.canonical(F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"))).alias("value"))
 
 
-@R.add("SELECT layer FROM (SELECT source AS layer, count(*) FILTER (WHERE lang = 'fr') AS readers, count(*) AS n FROM documents GROUP BY source) WHERE readers < 5", base=False)
+@R.add("SELECT DISTINCT source AS layer FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'fr' AND doc_id % 7 = 0)", base=False)
 def js_dead_layers(spark, sf):
-    layers = table(spark, sf, "documents").groupBy(F.col("source").alias("layer")).agg(F.count_if(F.col("lang") == "fr").alias("readers"))
-    return layers.where("readers < 5").select("layer")
+    docs = table(spark, sf, "documents")
+    return consistency.dead_layers(docs.select(F.col("source").alias("layer")), docs.where("lang = 'fr' and doc_id % 7 = 0").select(F.col("source").alias("layer"), F.col("doc_id").alias("reader")))
 
 
-@R.add("SELECT doc_id, list_contains(regexp_extract_all(text, '[0-9]+'), '7') AS declared FROM documents", base=False)
+@R.add("SELECT doc_id, coalesce(list_contains([CAST(physical_page AS VARCHAR), coalesce(CAST(printed_page AS VARCHAR), '')], CAST(doc_id % 60 AS VARCHAR)), FALSE) AS declared FROM p")
 def js_array_evidence(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.array_contains(F.regexp_extract_all("text", F.lit("[0-9]+"), 0), F.lit("7")).alias("declared"))
+    numbers = F.array(F.translate(F.col("physical_page").cast("string"), "0123456789", tx.ARABIC_DIGITS), F.col("printed_page").cast("string"))
+    return corpus.pages(spark, sf).select("doc_id", tx.declared(F.col("doc_id") % 60, numbers).alias("declared"))
+
+
+_PHRASED = f", w AS (SELECT book_id, list_filter(string_split({s.word_fold('v')}, ' '), lambda e: e <> '') AS w FROM (SELECT book_id, unnest([subject || ' — of all', subject, title || ' of ' || track]) AS v FROM b)), phrase AS (SELECT DISTINCT book_id, unnest(list_filter([CASE WHEN len(w) >= 2 THEN array_to_string(w, ' ') END, CASE WHEN len(w) >= 3 THEN array_to_string(w[1:2], ' ') END], lambda e: e IS NOT NULL)) AS phrase FROM w)"
 
 
-@R.add("SELECT book_id, array_to_string(list_filter([subject, title, substr(title, 1, 4)], lambda e: length(e) >= 6), '|') AS phrases FROM b")
+def _subject_phrases(spark, sf):
+    b = corpus.books(corpus.pages(spark, sf))
+    return patches.subject_phrases(b.withColumns({"title": F.concat("title", F.lit(" of "), "track"), "subject": F.concat("subject", F.lit(" — of all"))}))
+
+
+@R.add(_PHRASED + " SELECT * FROM phrase")
 def js_subject_phrases(spark, sf):
-    return corpus.books(corpus.pages(spark, sf)).select("book_id", F.array_join(F.filter(F.array("subject", "title", F.substring("title", 1, 4)), lambda x: F.length(x) >= 6), "|").alias("phrases"))
+    return _subject_phrases(spark, sf)
+
+
+@R.add(
+    _PHRASED + f", v AS (SELECT book_id, physical_page, {s.word_fold("'see Subject ' || CAST(doc_id % 7 AS VARCHAR) || ' of all that'")} AS v, {s.word_fold('text')} AS own FROM p), h AS (SELECT v.book_id, v.physical_page, q.phrase, row_number() OVER (PARTITION BY v.book_id, v.physical_page ORDER BY length(q.phrase) DESC, q.phrase) AS r "
+    "FROM v JOIN (SELECT DISTINCT phrase FROM phrase WHERE length(phrase) >= 6) q ON contains(' ' || v.v || ' ', ' ' || q.phrase || ' ') WHERE NOT EXISTS (SELECT 1 FROM phrase o WHERE o.book_id = v.book_id AND o.phrase = q.phrase) AND NOT (length(own) >= 300 AND contains(own, q.phrase))) SELECT book_id, physical_page, 'summary' AS field, phrase FROM h WHERE r = 1"
+)
+def patch_foreign_values(spark, sf):
+    p = corpus.pages(spark, sf)
+    values = p.select("book_id", "physical_page", F.lit("summary").alias("field"), F.concat(F.lit("see Subject "), (F.col("doc_id") % 7).cast("string"), F.lit(" of all that")).alias("value"))
+    return patches.foreign_values(values, _subject_phrases(spark, sf), p)
 
 
 @R.add("SELECT book_id, array_to_string((list_sort(list(physical_page)))[1:5], ',') AS sample FROM p WHERE doc_id % 37 = 0 GROUP BY book_id")
@@ -919,8 +1003,90 @@ def json_salvage(spark, sf):
     return table(spark, sf, "documents").select("doc_id", semistructured.unwrapped(wrapped).alias("value"))
 
 
+def _items(spark, sf):
+    words = table(spark, sf, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "[ \n]+")).alias("at", "str"))
+    wave = F.floor(F.col("at") % 8 / 3) * 0.4  # baselines of one row differ a little
+    return words.select("page", "at", "str", ((F.col("at") % 8) * 60.0).alias("x"), (800.0 - F.floor(F.col("at") / 8) * 12 - wave).alias("y"), (F.length("str") * 5.0).alias("w"), F.lit(10.0).alias("h"))
+
+
+_ITEMS = (
+    "WITH i AS (SELECT doc_id AS page, unnest(w) AS str, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '[ \n]+') AS w FROM documents)), "
+    "r AS (SELECT page, -(pos // 8) - 1 AS row, str, (pos % 8) * 60.0::DOUBLE AS x, length(str) * 5.0::DOUBLE AS w FROM i), "
+)
+
+
+@R.add(_ITEMS + "k AS (SELECT * FROM r WHERE trim(str) <> '') SELECT page, CAST(row AS BIGINT) AS row, count(*) AS items FROM k GROUP BY ALL", base=False)
+def layout_rows(spark, sf):
+    return layout.baselines(_items(spark, sf)).where(F.trim("str") != "").groupBy("page", "row").agg(F.count("*").alias("items"))
+
+
+@R.add(
+    _ITEMS + "k AS (SELECT page, row, x, w, lag(x + w) OVER (PARTITION BY page, row ORDER BY x) AS before FROM r WHERE trim(str) <> ''), c AS (SELECT page, row, count(*) FILTER (WHERE (CASE WHEN before <= x THEN x - before ELSE -60 END) > 28) + 1 AS cells FROM k GROUP BY ALL) "
+    "SELECT page, CAST(least(greatest(max(cells), 1), 3) AS INTEGER) AS columns FROM c GROUP BY page", base=False,
+)
+def layout_columns(spark, sf):
+    return layout.columns(layout.rows(layout.baselines(_items(spark, sf)).where(~F.col("str").rlike("[\u0590-\u08FF]"))))
+
+
+@R.add("WITH w AS (SELECT doc_id AS page, regexp_split_to_array(text, '[ \n]+') AS w FROM documents) SELECT page, CAST(len(w) AS BIGINT) AS items FROM w", base=False)
+def layout_dedup(spark, sf):
+    """Every item is drawn twice, a fraction of a point apart; one of each stays."""
+    once = _items(spark, sf)
+    copy = once.withColumn("at", F.col("at") + 1_000_000)
+    return layout.deduplicated(once.unionByName(copy)).groupBy("page").agg(F.count("*").alias("items"))
+
+
 @R.add()
 def layout_page_text(spark, sf):
-    words = table(spark, sf, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "[ \n]+")).alias("at", "str"))
-    items = words.select("page", "at", "str", ((F.col("at") % 8) * 60.0).alias("x"), (800.0 - F.floor(F.col("at") / 8) * 12).alias("y"), (F.length("str") * 5.0).alias("w"))
-    return layout.page_text(layout.rows(layout.deduplicated(items)))
+    return layout.page_text(layout.rows(layout.deduplicated(layout.baselines(_items(spark, sf)).drop("h"))))
+
+
+# ---- books, maps and flags ----
+
+
+@R.add(
+    f", k AS (SELECT DISTINCT book_id, unnest([{s.fold('title')}, {s.fold('subject')}]) AS k FROM b), e AS (SELECT k, CASE WHEN count(*) = 1 THEN min(book_id) END AS book_id FROM k GROUP BY k), r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'book ' || book_id WHEN 1 THEN 'subject ' || right(book_id, 1) ELSE 'none' END AS q FROM p) "
+    "SELECT r.doc_id AS request_id, e.book_id FROM r LEFT JOIN e ON r.q = e.k"
+)
+def resolve_book(spark, sf):
+    p = corpus.pages(spark, sf)
+    query = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("BOOK "), "book_id")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Subject "), F.right("book_id", F.lit(1)))).otherwise("none")
+    return pages.resolve_book(p.select(F.col("doc_id").alias("request_id"), query.alias("query")), corpus.books(p))
+
+
+@R.add(
+    "SELECT x.book_id, x.physical_page, p.text, p.title, p.searchable, x.text <> p.text AS indexed_text_differs, CASE WHEN x.physical_page > 1 THEN x.physical_page - 1 END AS previous, CASE WHEN x.physical_page < page_count THEN x.physical_page + 1 END AS next FROM x JOIN p USING (book_id, physical_page) JOIN b ON b.book_id = x.book_id"
+)
+def full_page(spark, sf):
+    p = corpus.pages(spark, sf)
+    return pages.full_page(corpus.index(p).withColumn("title", F.lit("from the index")), p, corpus.books(p), ["title", "searchable"])
+
+
+@R.add(
+    ", l AS (SELECT book_id, physical_page, 'page ' || physical_page || CASE WHEN printed_page IS NOT NULL AND printed_page <> physical_page THEN ' (printed ' || printed_page || ')' ELSE '' END || ': ' || coalesce(nullif(title, ''), page_type) AS line FROM p WHERE physical_page <= 250), "
+    "u AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY book_id ORDER BY physical_page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(line) > 2000 AS over FROM l), m AS (SELECT book_id, min(physical_page) AS stop FROM u WHERE over GROUP BY book_id) "
+    "SELECT u.book_id, physical_page, line FROM u LEFT JOIN m ON u.book_id = m.book_id WHERE stop IS NULL OR physical_page < stop"
+)
+def txt_outline_map(spark, sf):
+    return pages.outline_map(corpus.pages(spark, sf), 2000)
+
+
+@R.add(
+    f"SELECT doc_id, CASE WHEN doc_id % 41 = 0 THEN 'forced' WHEN book_id = 'src4' THEN 'corrupt-book' WHEN {s.strip('text')} = '' THEN 'empty' WHEN doc_id % 5 = 0 OR regexp_matches(text, '^[ \\t\\n]*[\\[{{][ \\t\\n]*\"|\"(text|summary|title)\"[ \\t\\n]*:|^[ \\t\\n]*(json\\b|```)') THEN 'contaminated' "
+    "WHEN doc_id % 7 = 0 THEN 'rejected' WHEN doc_id % 11 = 0 THEN 'other-parser' WHEN needs_ocr THEN 'flagged' END AS reason FROM p"
+)
+def flag_needs_ocr_chain(spark, sf):
+    from quire.functions import kinds
+
+    d = F.col("doc_id")
+    text = F.when(d % 5 == 0, F.concat(F.lit('{"text": "'), "text")).otherwise(F.col("text"))
+    reason = kinds.needs_ocr(text, d % 41 == 0, F.col("book_id") == "src4", F.when(d % 7 == 0, "rejected"), F.when(d % 11 == 0, "layout"), F.col("needs_ocr"))
+    return corpus.pages(spark, sf).select("doc_id", reason.alias("reason"))
+
+
+_THRICE = "len(list_filter(range(1, length(e) - 1), lambda i: lower(e)[i] = lower(e)[i + 1] AND lower(e)[i] = lower(e)[i + 2]))"
+
+
+@R.add(f"SELECT doc_id, len(list_filter(string_split(text, ' '), lambda e: regexp_matches(e, '^\\p{{L}}{{2,}}$') AND regexp_matches(e, '(?i)[aeiouyäöüáéíóúàèìòùâêîôû]|[\\x{{0621}}-\\x{{064A}}]') AND {_THRICE} = 0)) AS words FROM documents", base=False)
+def txt_word_like(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(F.filter(F.split("text", " "), tx.looks_like_word)).alias("words"))

@@ -109,7 +109,7 @@ def test_titles_and_facts(spark):
     best = documents.best_title([(F.col("a"), 3), (F.col("b"), 1)], F.col("text"))
     assert [r["t"] for r in rows.select(best.alias("t")).collect()] == ["A proper title here", None]
     text = "Too short. The quick animal jumped across several enormous wooden fences yesterday. Nothing else happened at all that day in the old town."
-    assert spark.range(1).select(audit.fact_sentence(F.lit(text)).alias("v")).first()["v"].startswith("The quick animal")
+    assert spark.range(1).select(audit.fact_sentence(F.lit(text), page=0).alias("v")).first()["v"].startswith("The quick animal")
 
 
 def test_sources_and_sinks(spark, tmp_path):
