@@ -21,26 +21,26 @@ from pyspark.sql import types as T
 from quire.llm._scratch import stored
 from quire.llm._text import SPACE, by_row, hash_spans, mix, raw, slices, words
 
-SIDES = 64
-HEAD, TAIL = 48 * SIDES, 16 * SIDES  # words and endings that the network tells apart
+SIDES = 32
+HEAD, TAIL = 24 * SIDES, 8 * SIDES  # words and endings that the network tells apart
 IDS = HEAD + TAIL
 COMMON = 1 << 18  # further words whose counts are sent to the tasks; the counts of all others are joined
 SIDE, WIDTH, HIDDEN = 2, 16, 32
 _OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 _SHAPES = {"embed": (IDS + 1, WIDTH), "w1": (len(_OFFSETS) * WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, SIDES), "b2": (SIDES,), "w3": (SIDES, HIDDEN, SIDES), "b3": (SIDES, SIDES)}
 _SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
+_ENDINGS = (mix(np.arange(1 << 16, dtype=np.uint64), 77) % np.uint64(TAIL)).astype(np.int64)  # of the last two bytes of a word
 _PIECE = 1 << 13  # numbers of a network that travel in one row
 
 
 def tokens(column: pa.Array):
-    """Of a column of texts: the distinct words' hashes and endings (0 to TAIL - 1), each word's place in them, and the rows' places."""
+    """Of a column of texts: each word's hash and ending (0 to TAIL - 1), and the rows' places."""
     data, offsets = raw(pc.utf8_lower(column))
     begin, end, first = words(data, offsets, SPACE)
-    hashes = hash_spans(data, begin, end)
-    known, at, place = np.unique(hashes, return_index=True, return_inverse=True)
-    last = data[end[at] - 1].astype(np.uint64) if len(at) else np.zeros(0, np.uint64)
-    before = np.where(end[at] - begin[at] > 1, data[np.maximum(end[at] - 2, 0)] if len(at) else 0, 0).astype(np.uint64)
-    return known, (mix(last * np.uint64(256) + before, 77) % np.uint64(TAIL)).astype(np.int64), place, first
+    if not len(begin):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), first
+    last, before = data[end - 1].astype(np.int64), data[np.maximum(end - 2, begin)].astype(np.int64)
+    return hash_spans(data, begin, end), _ENDINGS[last * 256 + before], first
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -49,8 +49,9 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for piece in slices(batch, "text", 8 << 20):
-                known, ending, place, _ = tokens(piece.column("text"))
-                yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(ending), pa.array(np.bincount(place, minlength=len(known)))], ["word", "ending", "n"])
+                hashes, ending, _ = tokens(piece.column("text"))
+                known, at, n = np.unique(hashes, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(ending[at]), pa.array(n)], ["word", "ending", "n"])
 
     counted = docs.mapInArrow(run, "word long, ending long, n long").groupBy("word", "ending").agg(F.sum("n").alias("n"))
     return stored(counted, "vocabulary")
@@ -103,21 +104,18 @@ def _find(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(sorted_[at] == wanted, at, -1)
 
 
-def ids_of(known: np.ndarray, ending: np.ndarray, lex: dict) -> np.ndarray:
-    """The ids of distinct words: a head word's own, or that of its ending."""
-    at = _find(lex["head"], known)
+def ids_of(hashes: np.ndarray, ending: np.ndarray, lex: dict) -> np.ndarray:
+    """The ids of words: a head word's own, or that of its ending."""
+    at = _find(lex["head"], hashes)
     return np.where(at >= 0, lex["ids"][at] if len(lex["ids"]) else 0, HEAD + ending)
 
 
 def windows(word: np.ndarray, first: np.ndarray) -> np.ndarray:
     """For each position the ids around it; IDS stands for what lies outside the text."""
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    at = np.arange(len(word))
-    out = np.full((len(word), len(_OFFSETS)), IDS, np.int64)
-    for i, o in enumerate(_OFFSETS):
-        there = (at + o >= first[row]) & (at + o < first[row + 1])
-        out[there, i] = word[at[there] + o]
-    return out
+    at = np.arange(len(word)) + SIDE * (np.repeat(np.arange(len(first) - 1), np.diff(first)) + 1)
+    apart = np.full(len(word) + SIDE * len(first), IDS, np.int64)  # the texts with room between them
+    apart[at] = word
+    return np.stack([apart[at + o] for o in _OFFSETS], 1)
 
 
 def start(totals: np.ndarray, seed: int = 0) -> dict:
@@ -215,11 +213,11 @@ def unflat(numbers: np.ndarray) -> dict:
     return out
 
 
-def learned(columns, lex: dict, trainer: Trainer, batch: int = 2048) -> Trainer:
+def learned(columns, lex: dict, trainer: Trainer, batch: int = 4096) -> Trainer:
     """``trainer`` after every position of some columns of texts."""
     for column in columns:
-        known, ending, place, first = tokens(column)
-        word = ids_of(known, ending, lex)[place]
+        hashes, ending, first = tokens(column)
+        word = ids_of(hashes, ending, lex)
         around = windows(word, first)
         for i in range(0, len(word), batch):
             trainer.step(around[i : i + batch], word[i : i + batch])
@@ -277,15 +275,18 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = 2, common: int = COMM
 
 def scores(column: pa.Array, net: dict, lex: dict):
     """Of every text: words, log-probability without the rare words' counts, and the rare words (rows, hashes, times)."""
-    known, ending, place, first = tokens(column)
-    ids = ids_of(known, ending, lex)
-    at = _find(lex["common"], known)
-    inside = np.where(ids < HEAD, 0.0, (lex["logs"][at] if len(lex["logs"]) else 0.0) * (at >= 0) - np.log(lex["totals"][ids] + 1.0))
-    each = log_probabilities(net, windows(ids[place], first), ids[place]) + inside[place]
-    odd = np.flatnonzero(((ids >= HEAD) & (at < 0))[place])
+    hashes, ending, first = tokens(column)
+    ids = ids_of(hashes, ending, lex)
+    each = log_probabilities(net, windows(ids, first), ids)
+    tail = np.flatnonzero(ids >= HEAD)
+    at = _find(lex["common"], hashes[tail])
+    each[tail] += np.where(at >= 0, lex["logs"][at] if len(lex["logs"]) else 0.0, 0.0) - np.log(lex["totals"][ids[tail]] + 1.0)
+    odd = tail[at < 0]
     row = np.searchsorted(first, odd, "right") - 1
-    pairs, times = np.unique(row * np.int64(len(known) + 1) + place[odd], return_counts=True)
-    return np.diff(first), by_row(each, first), pairs // (len(known) + 1), known[pairs % (len(known) + 1)], times
+    order = np.lexsort((hashes[odd], row))
+    row, rare = row[order], hashes[odd][order]
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (rare[1:] != rare[:-1])])) if len(row) else np.zeros(0, np.int64)
+    return np.diff(first), by_row(each, first), row[new], rare[new], np.diff(np.append(new, len(row)))
 
 
 def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
