@@ -82,15 +82,18 @@ def subject_phrases(books: DataFrame) -> DataFrame:
     return words.select("book_id", F.explode(F.array_compact(F.array(whole, F.when(F.size("w") >= 3, F.array_join(F.slice("w", 1, 2), " "))))).alias("phrase")).distinct()
 
 
-def foreign_phrases(phrases: DataFrame, least: int = 6) -> DataFrame:
+def foreign_phrases(phrases: DataFrame, least: int = 6, block: int = 1024) -> DataFrame:
     """(book_id, phrase): phrases of other books that the book doesn't have itself. phrases: book_id, phrase.
 
-    The result has a row per book and phrase by its meaning; to find such phrases in texts use ``foreign_values``, which never
-    makes these rows.
+    The result has a row per book and phrase by its meaning: phrases meet the books in blocks of about ``block``. To find such
+    phrases in texts use ``foreign_values``, which never makes these rows.
     """
     rows = phrases.where(F.length("phrase") >= least).distinct()
-    each = rows.select("book_id").distinct().join(rows.select("phrase").distinct())
-    return each.join(rows, ["book_id", "phrase"], "left_anti")
+    books = rows.select("book_id").distinct()
+    blocks = max(1, -(-books.count() // block))
+    dealt = books.withColumn("_block", F.pmod(F.xxhash64("book_id"), F.lit(blocks)))
+    every = rows.select("phrase").distinct().withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return dealt.join(every, "_block").drop("_block").join(rows, ["book_id", "phrase"], "left_anti").select("book_id", "phrase")
 
 
 def foreign_values(values: DataFrame, phrases: DataFrame, pages: DataFrame, least: int = 6, words: int = 6, proof: int = 300) -> DataFrame:
