@@ -2,9 +2,10 @@
 
 The benchmark's distinct texts are dealt to blocks of bounded size, one block unless it has over 16 million characters, and
 every block meets all documents in one pass: its seeds (hashes of ``seed`` consecutive words) are joined with the documents'
-rolling Karp-Rabin hashes inside the scan, so nothing of a document is shuffled. Every document and item that share a seed are tiled: the longest common runs of words that do not
-overlap earlier tiles are marked again and again until none of ``seed`` words is left. Tiles may lie in any order, so a
-passage whose sentences were moved is still covered.
+rolling Karp-Rabin hashes inside the scan, so nothing of a document is shuffled. Every document and item that share as many
+seeds as the wanted coverage needs are tiled: the longest common runs of words that do not overlap earlier tiles are marked
+again and again until none of ``seed`` words is left. Tiles may lie in any order, so a passage whose sentences were moved is
+still covered.
 """
 
 import numpy as np
@@ -110,16 +111,30 @@ def _near(places: np.ndarray, reach: int, total: int):
 
 
 class _Block:
-    """The word hashes and seeds of some benchmark texts; bounded by the characters of a block."""
+    """The word hashes and seeds of some benchmark texts; bounded by the characters of a block.
 
-    def __init__(self, items: list, texts: list, seed: int):
+    Tiles that cover ``least`` of an item lie over at least ``need`` of its seeds, as a tile of n words has n - seed + 1 of them.
+    So a document that holds the item meets it even without the ``need`` - 1 seeds that most items share: these are left out of
+    ``seeds``, the index by which documents find items, and openings that many items have in common stay out of it.
+    """
+
+    def __init__(self, items: list, texts: list, seed: int, least: float):
         hashes, first = hashed_words(pa.array(texts, pa.string()))
         self.items = items
         self.words = [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+        size = np.diff(first)
         rolled, at = shingle_hashes(hashes, first, seed)
+        self.whole = [rolled[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        self.need = np.maximum(np.ceil(np.ceil(least * size - 1e-9) / seed).astype(np.int64), 1)
         owner = np.repeat(np.arange(len(texts)), np.diff(at))
-        whole = np.diff(first)[owner] >= seed  # shorter texts cannot be tiled
-        rolled, owner = rolled[whole], owner[whole]
+        tiled = size[owner] >= seed  # shorter texts cannot be tiled
+        rolled, owner = rolled[tiled], owner[tiled]
+        _, kind, times = np.unique(rolled, return_inverse=True, return_counts=True)
+        order = np.lexsort((rolled, -times[kind], owner))
+        rolled, owner = rolled[order], owner[order]
+        turn = np.arange(len(owner)) - np.searchsorted(owner, owner)  # among the item's seeds, the commonest first
+        rare = turn >= self.need[owner] - 1
+        rolled, owner = rolled[rare], owner[rare]
         order = np.lexsort((owner, rolled))
         rolled, owner = rolled[order], owner[order]
         new = np.ones(len(rolled), bool)
@@ -130,36 +145,59 @@ class _Block:
         self.maybe[self.seeds >> self.shift] = True
 
 
+def _candidates(rolled: np.ndarray, at: np.ndarray, block: _Block, at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(row, item) of every row that holds one of the item's indexed seeds, in order; about ``at_once`` hits are spread at a time."""
+    place = np.flatnonzero(block.maybe[rolled >> block.shift])
+    begin, end = np.searchsorted(block.seeds, rolled[place], "left"), np.searchsorted(block.seeds, rolled[place], "right")
+    hit = np.flatnonzero(end > begin)
+    row, begin, wide = np.searchsorted(at, place[hit], "right") - 1, begin[hit], (end - begin)[hit]
+    ends = np.cumsum(wide)
+    codes, i = np.zeros(0, np.int64), 0
+    while i < len(hit):
+        stop = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + at_once, "right")))
+        w = wide[i:stop]
+        spread = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        owner = block.owner[np.repeat(begin[i:stop], w) + spread]
+        codes = np.union1d(codes, np.repeat(row[i:stop], w) * len(block.items) + owner)
+        i = stop
+    return codes // len(block.items), codes % len(block.items)
+
+
+def _places(seeds: np.ndarray, order: np.ndarray, held: np.ndarray, need: int) -> np.ndarray | None:
+    """Where a row, whose sorted hashes are ``held`` and lie at ``order``, has an item's seeds; None if it holds fewer than ``need``."""
+    begin, end = np.searchsorted(held, seeds, "left"), np.searchsorted(held, seeds, "right")
+    there = end > begin
+    if np.count_nonzero(there) < need:
+        return None
+    ranges = np.unique(np.stack([begin[there], end[there]], 1), axis=0)  # a seed that the item repeats has one range
+    return np.sort(np.concatenate([order[x:y] for x, y in ranges]))
+
+
 def _scan(batches, block: _Block, seed: int, least: float):
     for batch in batches:
         for piece in slices(batch, "text"):
             keys = piece.column("key")
             hashes, first = hashed_words(piece.column("text"))
             rolled, at = shingle_hashes(hashes, first, seed)
-            place = np.flatnonzero(block.maybe[rolled >> block.shift])
-            begin, end = np.searchsorted(block.seeds, rolled[place], "left"), np.searchsorted(block.seeds, rolled[place], "right")
-            wide = end - begin
-            place, spread = np.repeat(place, wide), np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
-            owner = block.owner[np.repeat(begin, wide) + spread] if len(block.owner) else place
-            row = np.searchsorted(at, place, "right") - 1
-            order = np.lexsort((place, owner, row))
-            row, owner, place = row[order], owner[order], place[order]
-            cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (owner[1:] != owner[:-1])])) if len(row) else np.zeros(0, np.int64)
-            out = []
-            for a, b in zip(cut, np.append(cut, len(row))[1:], strict=True):
-                item = block.words[owner[a]]
-                text = hashes[first[row[a]] : first[row[a] + 1]]
+            out, last = [], -1
+            for row, owner in zip(*_candidates(rolled, at, block), strict=True):
+                if row != last:
+                    last, text, own = row, hashes[first[row] : first[row + 1]], rolled[at[row] : at[row + 1]]
+                    order = np.argsort(own)
+                    held = own[order]
+                places = _places(block.whole[owner], order, held, block.need[owner])
+                if places is None:
+                    continue
+                item = block.words[owner]
                 # words farther from every seed than the item is long cannot belong to a tile
-                parts = [np.arange(x, y) for x, y in _near(place[a:b] - at[row[a]], len(item) + seed, len(text))]
-                where = np.concatenate(parts)
+                where = np.concatenate([np.arange(x, y) for x, y in _near(places, len(item) + seed, len(text))])
                 gaps = np.flatnonzero(np.diff(where) != 1) + 1
-                held = np.insert(text[where], gaps, 0)
                 real = np.insert(where, gaps, -1)
-                tiles = [(x, int(real[y]), n) for x, y, n in tile(item, held, seed)]
+                tiles = [(x, int(real[y]), n) for x, y, n in tile(item, np.insert(text[where], gaps, 0), seed)]
                 covered = sum(n for _, _, n in tiles)
                 if covered >= least * len(item):
                     tiles.sort()
-                    out.append((keys[int(row[a])].as_py(), block.items[owner[a]], covered, len(item), [{"item_word": x, "doc_word": y, "words": n} for x, y, n in tiles]))
+                    out.append((keys[int(row)].as_py(), block.items[owner], covered, len(item), [{"item_word": x, "doc_word": y, "words": n} for x, y, n in tiles]))
             if out:
                 yield [list(x) for x in zip(*out, strict=True)]
 
@@ -203,7 +241,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     found = spark.createDataFrame([], kind)
     for part in parts:
         held = bounded.where(F.col("part") == part).select("node", "text").orderBy("node").collect()  # block_chars characters, or one text
-        sent = spark.sparkContext.broadcast(_Block([bytes(r["node"]) for r in held], [r["text"] for r in held], seed))
+        sent = spark.sparkContext.broadcast(_Block([bytes(r["node"]) for r in held], [r["text"] for r in held], seed, least))
 
         def run(batches, sent=sent):
             from pyspark.sql.pandas.types import to_arrow_schema

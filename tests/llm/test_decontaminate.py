@@ -92,3 +92,35 @@ def test_reordered_passages_and_edge_cases(spark):
     assert sorted(r["text"] or "" for r in decontaminate.clean(docs, bench).collect()) == ["", "", part, "too short"]  # document 1 goes with all its rows
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
     assert decontaminate.contamination(docs, bench.limit(0)).count() == 0
+
+
+def test_few_words_and_common_openings_lose_nothing(spark):
+    rng = random.Random(3)
+    opening = "choose the right answer to this question"
+    items, docs = [], []
+    for i in range(60):
+        body = [rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 40))]
+        items.append((i, " ".join([*(opening.split() if i % 3 else []), *body])))
+    for d in range(120):
+        parts = [items[rng.randrange(60)][1].split() for _ in range(2)]
+        parts = [w[rng.randrange(3) : len(w) - rng.randrange(4)] for w in parts]
+        half = len(parts[0]) // 2
+        docs.append((d, " ".join([*parts[0][half:], *rng.choices("abcxyz", k=5), *parts[0][:half], *opening.split(), *parts[1]])))
+    want = set()
+    for i, item in items:
+        for d, doc in docs:
+            covered = naive(item.split(), doc.split(), 5)
+            if len(item.split()) >= 5 and covered >= 0.8 * len(item.split()):
+                want.add((d, i, covered))
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert len(want) > 60 and {(r["doc_id"], r["item_id"], r["covered"]) for r in got.collect()} == want
+
+
+def test_a_common_opening_is_not_indexed():
+    opening = "choose the right answer to this question"
+    texts = [f"{opening} " + " ".join(f"w{i}x{k}" for k in range(40)) for i in range(500)]
+    block = decontaminate._Block(list(range(500)), texts, 5, 0.8)
+    _, items = np.unique(block.seeds, return_counts=True)
+    assert items.max() == 1
+    hashes, first = decontaminate.hashed_words(decontaminate.pa.array([opening, f"{opening} {texts[7]}"]))
+    assert [x.tolist() for x in decontaminate._candidates(*decontaminate.shingle_hashes(hashes, first, 5), block)] == [[1], [7]]
