@@ -171,14 +171,14 @@ CHECKS = {
     ),
     "D18": (
         lambda t: checks.d18_stale(
-            t.books.select("book_id", F.lit("outline").alias("layer"), (F.col("page_count") % 4 - 1).alias("hours")),
+            t.books.select("book_id", F.lit("outline").alias("layer"), F.expr(f"{corpus.TURN} % 4 - 1").alias("hours")),
             t.source.where("doc_id % 29 = 0").select("book_id", "physical_page", F.when(F.col("doc_id") % 2 == 0, "صفحة مصورة").otherwise("fine").alias("description")), t.y,
         ), "",
-        _ALL("SELECT book_id, 'D18' AS code, 'medium' AS severity FROM b WHERE page_count % 4 > 1", _F("D18", "'high'", _n(f"doc_id % 58 = 0 AND length({s.strip('text')}) >= 20"))),
+        _ALL(f"SELECT book_id, 'D18' AS code, 'medium' AS severity FROM b WHERE {corpus.TURN} % 4 > 1", _F("D18", "'high'", _n(f"doc_id % 58 = 0 AND length({s.strip('text')}) >= 20"))),
     ),
     "D19": (
-        lambda t: checks.d19_structured(titles.structured_totals(t.source, {"numbers": tx.digit_runs(F.col("text")), "braces": F.regexp_extract_all("text", F.lit("[{}]"), 0)}), t.books.where("page_count % 3 <> 0")), f", z AS {_TOTALS}",
-        _ALL("SELECT book_id, 'D19' AS code, 'medium' AS severity FROM b WHERE page_count % 3 = 0", "SELECT book_id, 'D19', 'medium' FROM z WHERE numbers = 0 OR braces = 0", "SELECT 'library', 'D19', 'medium' FROM (SELECT count(*) AS n FROM b WHERE page_count % 3 = 0) WHERE n > 0"),
+        lambda t: checks.d19_structured(titles.structured_totals(t.source, {"numbers": tx.digit_runs(F.col("text")), "braces": F.regexp_extract_all("text", F.lit("[{}]"), 0)}), t.books.where(f"{corpus.TURN} % 3 <> 0")), f", z AS {_TOTALS}",
+        _ALL(f"SELECT book_id, 'D19' AS code, 'medium' AS severity FROM b WHERE {corpus.TURN} % 3 = 0", "SELECT book_id, 'D19', 'medium' FROM z WHERE numbers = 0 OR braces = 0", f"SELECT 'library', 'D19', 'medium' FROM (SELECT count(*) AS n FROM b WHERE {corpus.TURN} % 3 = 0) WHERE n > 0"),
     ),
     "D20": (
         lambda t: checks.d20_checksum(

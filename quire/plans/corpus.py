@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from quire.operators.numbering import numbered
 
+#: A number that differs from book to book, for Spark and DuckDB alike: what the tables lack is made up by it.
+TURN = "ascii(right(book_id, 1))"
+
 # fixed values: the types a page may have
 PAGE_TYPES = ("divider", "lesson_content", "parallel_text", "boxed_recap", "matching", "exercises", "glossary", "contents")
 
@@ -39,7 +42,7 @@ def books(pages: DataFrame) -> DataFrame:
         F.min("lang").alias("track"), F.count("*").alias("page_count"), F.count_if("searchable").alias("searchable_page_count"), F.max("physical_page").alias("last_page"),
     ).select(
         "book_id", F.concat(F.lit("Book "), "book_id").alias("title"), F.concat(F.lit("subject "), F.right("book_id", F.lit(1))).alias("subject"), "track", "page_count", "searchable_page_count",
-        (F.col("page_count") + F.when(F.col("page_count") % 7 == 0, 1).otherwise(0)).alias("declared_count"), "last_page",
+        (F.col("page_count") + F.when(F.expr(f"{TURN} % 7 = 0"), 1).otherwise(0)).alias("declared_count"), "last_page",
     )
 
 
@@ -63,7 +66,7 @@ p AS (
   FROM pages_),
 b AS (
   SELECT book_id, 'Book ' || book_id AS title, 'subject ' || right(book_id, 1) AS subject, min(lang) AS track, count(*) AS page_count,
-    count(*) FILTER (WHERE searchable) AS searchable_page_count, count(*) + CASE WHEN count(*) % 7 = 0 THEN 1 ELSE 0 END AS declared_count, max(physical_page) AS last_page
+    count(*) FILTER (WHERE searchable) AS searchable_page_count, count(*) + CASE WHEN ascii(right(book_id, 1)) % 7 = 0 THEN 1 ELSE 0 END AS declared_count, max(physical_page) AS last_page
   FROM p GROUP BY book_id),
 x AS (
   SELECT * REPLACE (CASE WHEN doc_id % 41 = 0 THEN substr(text, 1, text_length // 2) WHEN doc_id % 89 = 0 THEN '' ELSE text END AS text,

@@ -105,9 +105,9 @@ def health_counts(spark, sf):
     return pages.health(corpus.index(corpus.pages(spark, sf)), _status(), (tx.NO_TEXT, tx.DAMAGED, tx.OCR, tx.CLEAN))
 
 
-@R.add("SELECT book_id, CASE WHEN page_count % 5 = 0 THEN 'unknown' WHEN page_count % 3 = 0 OR page_count % 4 = 1 THEN 'stale' ELSE 'fresh' END AS state FROM b")
+@R.add(f"SELECT book_id, CASE WHEN {corpus.TURN} % 5 = 0 THEN 'unknown' WHEN {corpus.TURN} % 3 = 0 OR {corpus.TURN} % 4 = 1 THEN 'stale' ELSE 'fresh' END AS state FROM b")
 def manifest_freshness(spark, sf):
-    n = F.col("page_count")
+    n = F.expr(corpus.TURN)
     b = corpus.books(corpus.pages(spark, sf))
     manifest = b.select("book_id", F.when(n % 5 != 0, F.concat("book_id", F.lit(".json"))).alias("file_name"), n.alias("bytes"), F.lit(1).alias("mtime"))
     found = b.where(n % 3 != 0).select(F.concat("book_id", F.lit(".json")).alias("file_name"), F.when(n % 4 == 1, n + 1).otherwise(n).alias("bytes"), F.lit(1).alias("mtime"))
@@ -442,10 +442,10 @@ def proj_citation(spark, sf):
     return p.where(F.col("text").contains("that")).join(names, "book_id").select(F.concat_ws(":", "book_id", F.col("physical_page").cast("string")).alias("id"), "book_title", "printed_page").distinct()
 
 
-@R.add("SELECT book_id FROM b WHERE track = 'en' AND NOT (page_count % 2 = 1 AND title <> '')")
+@R.add(f"SELECT book_id FROM b WHERE track = 'de' AND {corpus.TURN} % 2 = 0")
 def filter_tracked(spark, sf):
-    b = corpus.books(corpus.pages(spark, sf)).withColumn("supplementary", F.when(F.col("page_count") % 2 == 1, True))
-    return b.where(search.tracked("EN")).select("book_id")
+    b = corpus.books(corpus.pages(spark, sf)).withColumn("supplementary", F.when(F.expr(f"{corpus.TURN} % 2 = 1"), True))
+    return b.where(search.tracked("DE")).select("book_id")
 
 
 # ---- consistency ----
@@ -497,27 +497,27 @@ def qc_orphan_docs(spark, sf):
 
 
 @R.add(
-    ", k AS (SELECT book_id, page_count, CASE WHEN page_count % 5 = 1 THEN '' WHEN page_count % 5 = 2 THEN 'none' ELSE sha256(book_id) END AS checksum FROM b), f AS (SELECT book_id, CASE WHEN checksum = '' THEN 'NO_CHECKSUM' WHEN checksum = 'none' THEN 'CHECKSUM_MISMATCH' WHEN page_count % 5 = 3 THEN 'SIZE_DIFFERS' END AS code FROM k) "
+    f", k AS (SELECT book_id, CASE WHEN {corpus.TURN} % 5 = 1 THEN '' WHEN {corpus.TURN} % 5 = 2 THEN 'none' ELSE sha256(book_id) END AS checksum FROM b), f AS (SELECT book_id, CASE WHEN checksum = '' THEN 'NO_CHECKSUM' WHEN checksum = 'none' THEN 'CHECKSUM_MISMATCH' WHEN {corpus.TURN} % 5 = 3 THEN 'SIZE_DIFFERS' END AS code FROM k) "
     "SELECT book_id, code, CASE WHEN code = 'CHECKSUM_MISMATCH' THEN 'critical' ELSE 'high' END AS severity FROM f WHERE code IS NOT NULL"
 )
 def qc_checksum(spark, sf):
-    n = F.col("page_count")
-    b = corpus.books(corpus.pages(spark, sf)).select("book_id", n.alias("bytes"), F.when(n % 5 == 1, "").when(n % 5 == 2, "none").otherwise(F.sha2("book_id", 256)).alias("checksum"), n)
+    n = F.expr(corpus.TURN)
+    b = corpus.books(corpus.pages(spark, sf)).select("book_id", n.alias("bytes"), F.when(n % 5 == 1, "").when(n % 5 == 2, "none").otherwise(F.sha2("book_id", 256)).alias("checksum"))
     digests = b.select(F.sha2("book_id", 256).alias("digest"), F.when(n % 5 == 3, n + 1).otherwise(n).alias("bytes"))
-    return consistency.checksum_findings(b.drop("page_count"), digests)
+    return consistency.checksum_findings(b, digests)
 
 
-@R.add("SELECT book_id, b.title, CASE WHEN page_count % 2 = 0 THEN 'file-' || book_id END AS file FROM b")
+@R.add(f"SELECT book_id, b.title, CASE WHEN {corpus.TURN} % 2 = 0 THEN 'file-' || book_id END AS file FROM b")
 def join_catalog_source(spark, sf):
     b = corpus.books(corpus.pages(spark, sf))
-    sources = b.where("page_count % 2 = 0").select("book_id", F.concat(F.lit("file-"), "book_id").alias("file"))
+    sources = b.where(f"{corpus.TURN} % 2 = 0").select("book_id", F.concat(F.lit("file-"), "book_id").alias("file"))
     return b.select("book_id", "title").join(sources, "book_id", "left")
 
 
-@R.add("SELECT book_id FROM b WHERE page_count % 3 = 0")
+@R.add(f"SELECT book_id FROM b WHERE {corpus.TURN} % 3 = 0")
 def join_layer_missing(spark, sf):
     b = corpus.books(corpus.pages(spark, sf))
-    return consistency.missing(b, b.where("page_count % 3 <> 0"), ["book_id"])
+    return consistency.missing(b, b.where(f"{corpus.TURN} % 3 <> 0"), ["book_id"])
 
 
 @R.add(f"SELECT book_id, physical_page FROM x WHERE doc_id % 29 = 0 AND doc_id % 2 = 0 AND length({s.strip('text')}) >= 20")
