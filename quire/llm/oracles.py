@@ -18,6 +18,8 @@ passes AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0
 """
 _MIX = "SELECT doc_id, size, source_size, target, CAST(n * size + greatest(0, least(budget - n * source_size - before, size)) AS BIGINT) AS taken FROM passes"
 
+_TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+
 SQL = {
     "op3_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -45,4 +47,17 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(24 + length(role) + length(text) + marks) AS BIGINT) AS formatted_chars
 FROM m GROUP BY conv_id""",
     "op10_mixing": "WITH" + _SOURCES.format(docs="documents") + _MIX,
+    "op11_ranked_lexical_search": f"""
+WITH i AS (SELECT DISTINCT item_id, {_TERMS} AS t FROM benchmark WHERE item_id IS NOT NULL),
+d0 AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+d AS MATERIALIZED (SELECT r, doc_id, {_TERMS} AS t FROM d0),
+tf AS (SELECT r, t, CAST(count(*) AS BIGINT) AS tf FROM d GROUP BY r, t),
+n AS (SELECT r, any_value(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS n FROM d GROUP BY r),
+g AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS length FROM n),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, g GROUP BY t, docs),
+s AS (
+  SELECT i.item_id, n.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // length)))) AS BIGINT) AS score
+  FROM i JOIN tf USING (t) JOIN w USING (t) JOIN n USING (r), g GROUP BY i.item_id, r, n.doc_id),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""",
 }
