@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import align, chat, decontaminate, lm, mixing, oracles, quality, ranked, simhash, topk, toxicity, urls, warc
+from quire.llm import align, chat, decontaminate, html, lm, mixing, oracles, quality, ranked, simhash, topk, toxicity, urls, warc
 from quire.llm._scratch import stored
 
 #: (verdict, host, path)
@@ -63,12 +63,16 @@ def op11_ranked_lexical_search(spark, sf_dir):
     return ranked.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_html_extraction(spark, sf_dir):
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op13_cross_tokenizer_alignment(spark, sf_dir):
     return align.align(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    named = (op1_lm_scoring, op2_simhash_near_dedup, op3_warc, op4_url_filters, op5_exact_top_k, op6_quality_classifier, op7_toxicity, op8_chat_formatting, op9_benchmark_decontamination, op10_mixing, op11_ranked_lexical_search, op13_cross_tokenizer_alignment)
+    named = (op1_lm_scoring, op2_simhash_near_dedup, op3_warc, op4_url_filters, op5_exact_top_k, op6_quality_classifier, op7_toxicity, op8_chat_formatting, op9_benchmark_decontamination, op10_mixing, op11_ranked_lexical_search, op12_html_extraction, op13_cross_tokenizer_alignment)
     return {f.__name__: f for f in named}
 
 
