@@ -135,8 +135,8 @@ def rank(docs: DataFrame, items: DataFrame, k: int = 10, key: str = "doc_id", te
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     floors = uses.select("term", "floor").distinct()
     known = postings.join(floors, "term")
-    entries = known.where("c >= floor").select("term", "row", "c", F.pmod(F.xxhash64("row"), F.lit(across)).alias("col"), every(down).alias("line"))
-    wanted = uses.select("q", "term", "rest", "low", F.pmod("q", F.lit(down)).alias("line"), every(across).alias("col"))
+    entries = known.where("c >= floor").select("term", "row", "c", F.pmod(F.xxhash64("row"), F.lit(across)).cast("int").alias("col"), every(down).alias("line"))
+    wanted = uses.select("q", "term", "rest", "low", F.pmod("q", F.lit(down)).cast("int").alias("line"), every(across).alias("col"))
     gathered = wanted.groupBy("line", "col").cogroup(entries.groupBy("line", "col")).applyInArrow(_gather(k), "q long, row long, part long, most long")
     gathered = stored(gathered, "gathered")
 
