@@ -12,6 +12,7 @@ that is read from its pieces), so a piece is encoded by itself, and once for all
 import re
 from functools import lru_cache, reduce
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 _SPAN = re.compile(rb"[^\x03]*\x03")
 _CUT = re.compile(r"(?<=\S)(?= )")
 _UNCUT = re.compile(r"\s ")
-_HELD = 1 << 17  # pieces that a task keeps between batches
+_HELD = 1 << 19  # pieces that a task keeps between batches
 
 
 @lru_cache(maxsize=2)
@@ -60,47 +61,45 @@ def pieces_of(text: str) -> list[str]:
 
 
 class Aligned:
-    """What is known of the pieces that a task has met: token counts, groups as text, and links as codes of (B id, A id)."""
+    """What is known of the pieces that a task has met: counts, groups as text, and links as codes of (B id, A id).
+
+    table: codes, counts and whether it is its B id's highest, of the pairs that n_best and count_sum are summed for.
+    """
 
     def __init__(self, folder: str, a: str, b: str, table=None):
         self.a, self.b, self.a_bytes, self.b_bytes, self.cuts = tokenizers(folder, a, b)
         self.a_size, self.b_size = np.array([len(x) for x in self.a_bytes]), np.array([len(x) for x in self.b_bytes])
         self.table = table
+        if table is not None:
+            # ids as they stand in the text of groups: inside a run, and at its end
+            self.said_a, self.said_b = (np.array([f"{i}{sign}" for sign in (",", end) for i in range(len(x))], object) for x, end in ((self.a_bytes, "|"), (self.b_bytes, ";")))
         self.clear()
 
     def clear(self):
         self.place: dict[str, int] = {}
         self.groups: list[bytes] = []
-        self.counts = np.zeros((0, 7), np.int64)  # n_a, n_b, n_groups, n_links, n_best, count_sum, lost
+        self.counts = np.zeros((0, 7), np.int64)  # COUNTS, and whether the piece is lost
         self.links, self.starts = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def learn(self, new: list[str]) -> None:
         """Encode pieces and keep what their labels say."""
         a = [x.ids for x in self.a.encode_batch_fast([f" {p}" for p in new], add_special_tokens=False)]
         b = self.b.encode(new, num_threads=1)
-        good = [b"".join([self.a_bytes[i] for i in x]) == (own := f" {p}".encode()) == b"".join([self.b_bytes[i] for i in y]) for p, x, y in zip(new, a, b, strict=True)]
-        kept_a, kept_b = ([x if ok else [] for x, ok in zip(ids, good, strict=True)] for ids in (a, b))
-        n_a, n_b = np.array([len(x) for x in kept_a]), np.array([len(x) for x in kept_b])
-        ids_a, ids_b = (np.array([i for x in kept for i in x], np.int64) for kept in (kept_a, kept_b))
+        lost = np.zeros(len(new), bool)
+        own = [f" {p}".encode() for p in new]
+        back_a, back_b = (list(map(known.__getitem__, chain.from_iterable(ids))) for ids, known in ((a, self.a_bytes), (b, self.b_bytes)))
+        sizes = [np.array([len(x) for x in own])] + [np.add.reduceat(np.append(size[np.fromiter(chain.from_iterable(ids), np.int64)], 0), np.cumsum([0, *map(len, ids)])[:-1]) for ids, size in ((a, self.a_size), (b, self.b_size))]
+        if not (all(map(len, b)) and b"".join(own) == b"".join(back_a) == b"".join(back_b) and all((sizes[0] == x).all() for x in sizes[1:])):
+            lost = np.array([not b"".join([self.a_bytes[i] for i in x]) == o == b"".join([self.b_bytes[i] for i in y]) for o, x, y in zip(own, a, b, strict=True)])
+            a, b = ([[] if gone else x for x, gone in zip(ids, lost, strict=True)] for ids in (a, b))
+        n_a, n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+        of_a, of_b = np.cumsum(n_a), np.cumsum(n_b)
+        ids_a, ids_b = np.fromiter(chain.from_iterable(a), np.int64, of_a[-1]), np.fromiter(chain.from_iterable(b), np.int64, of_b[-1])
         ends_a, ends_b = np.cumsum(self.a_size[ids_a]), np.cumsum(self.b_size[ids_b])
         labels = np.zeros(ends_a[-1] if len(ends_a) else 0, np.uint8)
         labels[ends_a - 1] |= A_END
         labels[ends_b - 1] |= B_END
-        of_a, of_b = np.cumsum(n_a), np.cumsum(n_b)
-        said_a, said_b = [str(i) for i in ids_a.tolist()], [str(i) for i in ids_b.tolist()]
-        at_a = at_b = 0
-        mine, made, piece, edges = [], np.zeros(len(new), np.int64), 0, of_a.tolist()
-        for span in _SPAN.findall(labels.tobytes()):
-            to_a, to_b = at_a + span.count(A_END) + 1, at_b + span.count(B_END) + 1
-            while edges[piece] <= at_a:
-                self.groups.append(";".join(mine).encode())
-                mine, piece = [], piece + 1
-            mine.append(f"{','.join(said_a[at_a:to_a])}|{','.join(said_b[at_b:to_b])}")
-            made[piece] += 1
-            at_a, at_b = to_a, to_b
-        for _ in range(piece, len(new)):
-            self.groups.append(";".join(mine).encode())
-            mine = []
+        made = self.group(labels, ids_a, ids_b, of_a) if self.table is not None else np.zeros(len(new), np.int64)
         ended = np.flatnonzero(labels)
         i, j = ((np.cumsum(labels & kind > 0) - (labels & kind > 0))[ended] for kind in (A_END, B_END))
         links = ids_b[j] << 32 | ids_a[i]
@@ -112,22 +111,40 @@ class Aligned:
             there = codes[found] == links
             np.cumsum(there & top[found], out=best[1:])
             np.cumsum(np.where(there, times[found], 0), out=total[1:])
-        lost = ~np.array(good)
         self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, made, np.diff(edge), np.diff(best[edge]), np.diff(total[edge]), lost], 1).astype(np.int64)])
         self.links, self.starts = np.concatenate([self.links, links]), np.concatenate([self.starts, self.starts[-1] + edge[1:]])
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
 
+    def group(self, labels: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, of_a: np.ndarray) -> np.ndarray:
+        """Keep each piece's groups as text, each with a semicolon behind it; how many there are. The spans' label counts say how many tokens of A and of B a group has."""
+        spans = _SPAN.findall(labels.tobytes())
+        many = [np.array([x.count(kind) for x in spans], np.int64) + 1 for kind in (A_END, B_END)]
+        start = np.cumsum(many[0] + many[1]) - many[0] - many[1]
+        said = np.empty(len(ids_a) + len(ids_b), object)
+        for ids, n, first, words in ((ids_a, many[0], start, self.said_a), (ids_b, many[1], start + many[0], self.said_b)):
+            before = np.cumsum(n) - n
+            turn = np.arange(len(ids)) - np.repeat(before, n)
+            said[np.repeat(first, n) + turn] = words[ids + (turn == np.repeat(n, n) - 1) * (len(words) // 2)]
+        text = "".join(said.tolist()).encode()
+        length = np.zeros(len(said) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, said), np.int64, len(said)), out=length[1:])
+        held = np.searchsorted(np.cumsum(many[0]), np.concatenate([[0], of_a]), "right")  # groups before each piece
+        held[np.concatenate([[0], of_a]) == 0] = 0
+        cut = length[np.append(start, len(said))[held]].tolist()
+        self.groups += [text[x:y] for x, y in zip(cut, cut[1:], strict=False)]
+        return np.diff(held)
+
     def texts(self, column: pa.Array) -> list[np.ndarray]:
         """The places of each text's pieces; of a null or empty text, and of one that a tokenizer doesn't give back, none."""
         if len(self.place) > _HELD:
             self.clear()
         cut = [(pieces_of(t) if self.cuts else [t]) if t else [] for t in column.to_pylist()]
-        new = list(dict.fromkeys(p for x in cut for p in x if p not in self.place))
+        new = list(set(chain.from_iterable(cut)).difference(self.place))
         if new:
             self.learn(new)
         out = [np.fromiter(map(self.place.__getitem__, x), np.int64, len(x)) for x in cut]
-        lost = self.counts[:, 6]
-        return [x if not lost[x].any() else x[:0] for x in out]
+        lost = self.counts[:, 6] > 0
+        return [x[:0] if lost[x].any() else x for x in out] if lost.any() else out
 
 
 def pair_counts(docs: DataFrame, names: tuple, text: str = "text") -> DataFrame:
@@ -158,7 +175,7 @@ def _aligned(docs: DataFrame, names: tuple, table, key: str, text: str) -> DataF
             for piece in slices(batch, text, 1 << 20):
                 met = known.texts(piece.column(text))
                 sums = np.array([known.counts[x, :6].sum(0) for x in met], np.int64).reshape(len(met), 6)
-                signed = [sha256(b";".join([known.groups[i] for i in x.tolist()])).hexdigest() if len(x) else "" for x in met]
+                signed = [sha256(b"".join([known.groups[i] for i in x.tolist()])[:-1]).hexdigest() if len(x) else "" for x in met]
                 yield pa.RecordBatch.from_arrays([piece.column(key), *map(pa.array, sums.T.copy()), pa.array(signed)], [key, *COUNTS, "groups_sha256"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, {', '.join(f'{c} long' for c in COUNTS)}, groups_sha256 string")
