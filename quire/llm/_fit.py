@@ -1,6 +1,7 @@
 """Bounded samples of labelled rows, models fitted on them in one task, and small numpy helpers for sparse rows."""
 
 import pickle
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +16,12 @@ def held_out(key: str, folds: int, fold: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, key: str, label: str, out: Column, bound: int) -> DataFrame:
-    """Columns of ``docs`` and ``_y`` for at most ``bound`` labelled keys that ``out`` doesn't hold out, the same at each run.
+    """Columns of ``docs`` and ``_y`` for at most ``bound`` labelled keys of ``docs`` that ``out`` doesn't hold out, the same at each run.
 
-    Of a key with several labels the highest counts, of a key with several rows the one whose columns have the smallest hash.
+    Labels of keys that ``docs`` doesn't have take no place in the sample. Of a key with several labels the highest counts, of a key with several rows the one whose columns have the smallest hash.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).where(~out).groupBy(key).agg(F.max(label).alias("_y"))
+    known = known.join(docs.select(key), key, "left_semi")
     chosen = known.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(5)), key).limit(bound).select(F.col(key).alias("_k"), "_y")
     rows = docs.join(F.broadcast(chosen), docs[key] == F.col("_k"))  # bound rows at most
     held = [c for c in docs.columns if c != key]
@@ -49,6 +51,8 @@ def fitted(rows: DataFrame, fit, text: str, most_bytes: int = 256 << 20):
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.concat_tables(kept)))])], ["model"])
 
     got = rows.repartition(1).sortWithinPartitions(F.xxhash64(text), *rows.columns).mapInArrow(run, "model binary").collect()  # one model of fixed size
+    if not got:
+        warnings.warn("no labelled rows: there is no model", stacklevel=2)
     return pickle.loads(got[0][0]) if got else None
 
 

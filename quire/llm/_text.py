@@ -69,6 +69,11 @@ def _power(kind: str, base: int, n: int) -> np.ndarray:
     return _powers[kind]
 
 
+def power(kind: str, n: int) -> np.ndarray:
+    """The first n powers of the base of Karp-Rabin sums ("up") or of its inverse ("down"), modulo 2**64."""
+    return _power(kind, _BASE if kind == "up" else _INVERSE, n)[:n]
+
+
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every input bit over all output bits."""
     h = h + np.uint64((seed * _BASE + _BASE) & (2**64 - 1))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm._scratch import stored
-from quire.llm._text import PUNCTUATION, shingle_hashes, slices, word_hashes
+from quire.llm._text import PUNCTUATION, power, shingle_hashes, slices, word_hashes
 
 #: Signs beyond ASCII that divide words: Latin-1 marks, general and CJK punctuation.
 MARKS = "[\\x{00A0}-\\x{00A9}\\x{00AB}-\\x{00B1}\\x{00B4}-\\x{00B8}\\x{00BB}\\x{00BF}\\x{00D7}\\x{00F7}\\x{2000}-\\x{206F}\\x{3000}-\\x{303F}]+"
@@ -30,51 +30,62 @@ def hashed_words(column: pa.Array):
     return word_hashes(column, PUNCTUATION)
 
 
+class _Words:
+    """A sequence of word hashes with the sums that give the Karp-Rabin hash of any run by one subtraction, and the words that no tile has marked."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.free = words, np.ones(len(words), bool)
+        self.sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * power("up", len(words)), out=self.sums[1:])
+        self.down = power("down", len(words))
+
+    def runs(self, n: int):
+        """Hashes of all runs of n free words, and their places."""
+        if len(self.words) < n:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        used = np.concatenate([[0], np.cumsum(~self.free)])
+        place = np.flatnonzero(used[n:] == used[:-n])
+        return (self.sums[place + n] - self.sums[place]) * self.down[place], place
+
+    def equal(self, at: int, other: "_Words", to: int, n: int) -> bool:
+        return np.array_equal(self.words[at : at + n], other.words[to : to + n])
+
+
 def tile(item: np.ndarray, doc: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
     """Greedy tiling of two sequences of word hashes: (place in item, place in doc, length), longest first.
 
     Words are compared by value. Of equal lengths the tile that begins first in the item, then in the document, is taken.
     """
-    free_a, free_b = np.ones(len(item), bool), np.ones(len(doc), bool)
+    one, two = _Words(item), _Words(doc)
     tiles = []
-    length = _longest(item, doc, free_a, free_b, min(len(item), len(doc)), seed)
+    length = _longest(one, two, min(len(item), len(doc)), seed)
     while length:
-        for a, places in _matches(item, doc, free_a, free_b, length):
-            if not free_a[a : a + length].all():
+        for a, places in _matches(one, two, length):
+            if not one.free[a : a + length].all():
                 continue
             for b in places:
-                if free_b[b : b + length].all() and np.array_equal(item[a : a + length], doc[b : b + length]):
+                if two.free[b : b + length].all() and one.equal(a, two, b, length):
                     tiles.append((int(a), int(b), length))
-                    free_a[a : a + length] = False
-                    free_b[b : b + length] = False
+                    one.free[a : a + length] = False
+                    two.free[b : b + length] = False
                     break
-        length = _longest(item, doc, free_a, free_b, length - 1, seed)
+        length = _longest(one, two, length - 1, seed)
     return tiles
 
 
-def _runs(hashes: np.ndarray, free: np.ndarray, n: int):
-    """Rolling Karp-Rabin hashes of n free words in a row, and their places."""
-    if len(hashes) < n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rolled, _ = shingle_hashes(hashes, np.array([0, len(hashes)]), n)
-    used = np.concatenate([[0], np.cumsum(~free)])
-    place = np.flatnonzero(used[n:] == used[:-n])
-    return rolled[place], place
-
-
-def _matches(item, doc, free_a, free_b, n):
+def _matches(one: _Words, two: _Words, n: int):
     """(place in item, its places in doc in order) of every run of n free words that both sides hold by their hash, in order of the item.
 
     The places of one hash are walked on by all its items together: a place that is taken stays so.
     """
-    ha, pa_ = _runs(item, free_a, n)
-    hb, pb = _runs(doc, free_b, n)
+    ha, pa_ = one.runs(n)
+    hb, pb = two.runs(n)
     order = np.argsort(hb, kind="stable")
     hb, pb = hb[order], pb[order]
     begin, end = np.searchsorted(hb, ha, "left"), np.searchsorted(hb, ha, "right")
     walked = {}
     for i in np.flatnonzero(end > begin):
-        yield pa_[i], _untaken(walked, int(begin[i]), int(end[i]), pb, free_b, n)
+        yield pa_[i], _untaken(walked, int(begin[i]), int(end[i]), pb, two.free, n)
 
 
 def _untaken(walked: dict, begin: int, end: int, places, free, n):
@@ -87,15 +98,15 @@ def _untaken(walked: dict, begin: int, end: int, places, free, n):
         at += 1
 
 
-def _longest(item, doc, free_a, free_b, most, seed) -> int:
+def _longest(one: _Words, two: _Words, most: int, seed: int) -> int:
     """The length of the longest common run of free words, from seed to most, or 0; by halving, as a run of n words holds one of n - 1."""
     low, high, best = seed, most, 0
     while low <= high:
         n = (low + high) // 2
-        ha, pa_ = _runs(item, free_a, n)
-        hb, pb = _runs(doc, free_b, n)
+        ha, pa_ = one.runs(n)
+        hb, pb = two.runs(n)
         both, at, to = np.intersect1d(ha, hb, return_indices=True)
-        if any(np.array_equal(item[pa_[i] : pa_[i] + n], doc[pb[j] : pb[j] + n]) for i, j in zip(at, to, strict=True)):
+        if any(one.equal(pa_[i], two, pb[j], n) for i, j in zip(at, to, strict=True)):
             best, low = n, n + 1
         else:
             high = n - 1
@@ -127,7 +138,11 @@ class _Block:
         self.whole = [rolled[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         self.need = np.maximum(np.ceil(np.ceil(least * size - 1e-9) / seed).astype(np.int64), 1)
         owner = np.repeat(np.arange(len(texts)), np.diff(at))
-        tiled = size[owner] >= seed  # shorter texts cannot be tiled
+        #: Of each length under ``seed`` the texts of that many words, by their hash; they are matched whole.
+        self.short: dict[int, dict[int, list]] = {}
+        for i in np.flatnonzero((size > 0) & (size < seed)):
+            self.short.setdefault(int(size[i]), {}).setdefault(int(rolled[at[i]]), []).append(i)
+        tiled = size[owner] >= seed
         rolled, owner = rolled[tiled], owner[tiled]
         _, kind, times = np.unique(rolled, return_inverse=True, return_counts=True)
         order = np.lexsort((rolled, -times[kind], owner))
@@ -173,13 +188,27 @@ def _places(seeds: np.ndarray, order: np.ndarray, held: np.ndarray, need: int) -
     return np.sort(np.concatenate([order[x:y] for x, y in ranges]))
 
 
+def _whole(hashes: np.ndarray, first: np.ndarray, keys, block: _Block):
+    """Every row that holds a text of fewer words than a seed has: one tile, where it stands first."""
+    for n, known in block.short.items():
+        rolled, at = shingle_hashes(hashes, first, n)
+        place = np.flatnonzero(np.isin(rolled, np.fromiter(known, np.uint64, len(known))))
+        row = np.searchsorted(at, place, "right") - 1
+        _, new = np.unique(np.stack([row.astype(np.uint64), rolled[place]]), axis=1, return_index=True)
+        for k in np.sort(new):
+            begin = int(place[k] - at[row[k]])
+            for owner in known[int(rolled[place[k]])]:
+                if np.array_equal(hashes[first[row[k]] + begin : first[row[k]] + begin + n], block.words[owner]):
+                    yield keys[int(row[k])].as_py(), block.items[owner], n, n, [{"item_word": 0, "doc_word": begin, "words": n}]
+
+
 def _scan(batches, block: _Block, seed: int, least: float):
     for batch in batches:
         for piece in slices(batch, "text"):
             keys = piece.column("key")
             hashes, first = hashed_words(piece.column("text"))
             rolled, at = shingle_hashes(hashes, first, seed)
-            out, last = [], -1
+            out, last = list(_whole(hashes, first, keys, block)), -1
             for row, owner in zip(*_candidates(rolled, at, block), strict=True):
                 if row != last:
                     last, text, own = row, hashes[first[row] : first[row + 1]], rolled[at[row] : at[row + 1]]
@@ -225,10 +254,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """(key, item, covered, words, tiles, coverage) for every document that holds ``least`` of an item's words in tiles.
 
     Words are what ASCII signs, blanks, controls and the ``MARKS`` leave between them, lower-cased. Items of fewer than ``seed``
-    words cannot be tiled and never match; null and empty texts on either side match nothing. Repeated documents and items
+    words cannot be tiled: they match as a whole, as one run of their own length. Items without a word and null and empty texts match nothing. Repeated documents and items
     give a row each. tiles lists item_word, doc_word and words of every tile. The benchmark may have any size: each block of at
     most ``block_chars`` characters of distinct texts (one text at least) is sent to the tasks, where it takes about 10 bytes a
-    character, and costs one pass over ``docs``.
+    character, and costs one pass over ``docs``. Where there are several, each pass's rows are stored and its block is released before the next.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -250,7 +279,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
             for out in _scan(batches, sent.value, seed, least):
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
-        found = found.union(rows.mapInArrow(run, kind))
+        met = rows.mapInArrow(run, kind)
+        if len(parts) > 1:
+            met = stored(met, "met")
+            sent.destroy()
+        found = found.union(met)
     # a text that many items share, found in many documents, is a product of both: each pair is a row of the result
     out = found.join(named.withColumnRenamed("item", item), "node").withColumn("coverage", F.col("covered") / F.col("words"))
     return out.select(key, item, "covered", "words", "tiles", "coverage")

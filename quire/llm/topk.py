@@ -56,6 +56,11 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return place[np.lexsort((ids[place], -scores[place] if len(scores) else scores))[:k]]
 
 
+def dealt(rows: DataFrame, parts: int, across: str = "col") -> DataFrame:
+    """Candidates with their block; rows that repeat an id, or are equal, are spread too."""
+    return rows.withColumn(across, F.pmod(F.xxhash64("id", "v", F.rand(seed=2)), F.lit(parts)).cast("int"))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "vector", query_rows: int = 1024, block_rows: int = 16384) -> DataFrame:
     """(query_id, rank, key, score): for each query its ``k`` highest integer inner products with all rows of other keys.
 
@@ -68,10 +73,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     n, asked = rows.agg(F.count("*"), F.count_if("ask")).first()
     across = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // block_rows))
     down = max(1, -(-asked // query_rows))
-    block = lambda parts, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    queries = rows.where("ask").groupBy("id").agg(F.min("v").alias("v")).select("id", "v", block(down, 1).alias("row"), every(across).alias("col"))
-    candidates = rows.select("id", "v", block(across, 2).alias("col"), every(down).alias("row"))
+    queries = rows.where("ask").groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(down)).cast("int").alias("row"), every(across).alias("col"))
+    candidates = dealt(rows.select("id", "v"), across).withColumn("row", every(down))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {c: [np.zeros(0, np.int64)] for c in ("query_id", "id", "score")}

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm._scratch import folder, stored
+from quire.llm._scratch import folder, is_used, qualified, stored
 
 SMALLEST = 100  # bytes of a payload from which equal payloads are revisits
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -28,6 +28,14 @@ def _place(uri: str):
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
+def opened(uri: str) -> None:
+    """Refuse a folder that tasks can't reach by its own scheme."""
+    try:
+        _place(uri)
+    except (pa.ArrowInvalid, NotImplementedError) as e:
+        raise ValueError(f"tasks can't write archives to {uri}: {e}") from e
+
+
 def _put(uri: str, write) -> None:
     """Write a file under a name of this attempt and rename it, so that a half-written file is never seen."""
     fs, path = _place(uri)
@@ -180,11 +188,14 @@ def archive(pages: DataFrame, out: str | None = None, key: str = "page_id", url:
     The rows: key, payload_bytes, payload_digest, record_type, refers_to, archive record. Of records with equal payloads of at
     least 100 bytes, the one with the smallest key is a response and the others are revisits of it; a null key comes last, and rows
     with equal keys follow in archive order, so that exactly one is the response. A null payload is empty, a null URL is written as
-    an empty one. An empty table gives no archives and no rows. Other columns are not read. Keys are cast to long: a string that
+    an empty one. ``out`` must be new or empty, and of a scheme that pyarrow opens (file, hdfs, s3, gs, abfss). An empty table gives no archives and no rows. Other columns are not read. Keys are cast to long: a string that
     is no whole number raises an error.
     """
     spark = pages.sparkSession
-    top = out or folder(spark)
+    top = qualified(spark, out) if out else folder(spark)
+    if is_used(spark, top):
+        raise ValueError(f"{top} holds files already; each run needs a folder of its own")
+    opened(top)
     raw = f"{top}/raw"
     written = stored(write_archives(pages, raw, key, url, html, archive_bytes), "written")
     rank = F.struct(F.col("page").isNull(), "page", "archive", "seq")

@@ -122,3 +122,13 @@ def test_samples_are_bounded_in_bytes(spark):
     rows = spark.createDataFrame([(f"{i:03d}" * 100, i) for i in range(50)], "text string, y int")
     kept = fitted(rows, lambda t: sorted(t.column("y").to_pylist()), "text", 3000)
     assert len(kept) == 10 and kept == fitted(rows.repartition(9), lambda t: sorted(t.column("y").to_pylist()), "text", 3000)
+
+
+def test_labels_of_absent_documents_take_no_place(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(300)], "doc_id long, text string")
+    labels = spark.range(300).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    more = labels.union(spark.range(1000, 101_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic"))
+    one, two = (sorted(map(tuple, sample(docs, x, "doc_id", "toxic", held_out("doc_id", 5, 0), 200).collect())) for x in (labels, more))
+    assert one == two and len(one) == 200
+    with pytest.warns(UserWarning, match="no labelled rows"):
+        assert fitted(sample(docs, labels.where("doc_id < 0"), "doc_id", "toxic", held_out("doc_id", 5, 0), 200), len, "text") is None

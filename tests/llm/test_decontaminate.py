@@ -88,8 +88,8 @@ def test_reordered_passages_and_edge_cases(spark):
     bench = spark.createDataFrame([(1, item, "a"), (2, None, "b"), (3, "", "c"), (4, "too short", "d"), (1, item, "e"), (None, "alpha beta gamma delta epsilon", "f")], "item_id long, text string, words string")
     docs = spark.createDataFrame([(1, moved), (2, part), (3, None), (4, ""), (5, "too short"), (None, moved), (6, "z " * 40_000 + moved), (7, "alpha beta gamma delta epsilon"), (1, "clean")], "doc_id long, text string")
     got = decontaminate.contamination(docs, bench)
-    assert sorted((str(r["doc_id"]), str(r["item_id"]), r["coverage"]) for r in got.collect()) == sorted([("1", "1", 1.0), ("1", "1", 1.0), ("6", "1", 1.0), ("6", "1", 1.0), ("None", "1", 1.0), ("None", "1", 1.0), ("7", "None", 1.0)])
-    assert sorted(r["text"] or "" for r in decontaminate.clean(docs, bench).collect()) == ["", "", part, "too short"]  # document 1 goes with all its rows
+    assert sorted((str(r["doc_id"]), str(r["item_id"]), r["coverage"]) for r in got.collect()) == sorted([("1", "1", 1.0), ("1", "1", 1.0), ("6", "1", 1.0), ("6", "1", 1.0), ("None", "1", 1.0), ("None", "1", 1.0), ("5", "4", 1.0), ("7", "None", 1.0)])
+    assert sorted(r["text"] or "" for r in decontaminate.clean(docs, bench).collect()) == ["", "", part]  # document 1 goes with all its rows
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
     assert decontaminate.contamination(docs, bench.limit(0)).count() == 0
 
@@ -109,8 +109,8 @@ def test_few_words_and_common_openings_lose_nothing(spark):
     want = set()
     for i, item in items:
         for d, doc in docs:
-            covered = naive(item.split(), doc.split(), 5)
-            if len(item.split()) >= 5 and covered >= 0.8 * len(item.split()):
+            covered = naive(item.split(), doc.split(), min(5, len(item.split())))
+            if covered >= 0.8 * len(item.split()):
                 want.add((d, i, covered))
     got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert len(want) > 60 and {(r["doc_id"], r["item_id"], r["covered"]) for r in got.collect()} == want
@@ -124,3 +124,24 @@ def test_a_common_opening_is_not_indexed():
     assert items.max() == 1
     hashes, first = decontaminate.hashed_words(decontaminate.pa.array([opening, f"{opening} {texts[7]}"]))
     assert [x.tolist() for x in decontaminate._candidates(*decontaminate.shingle_hashes(hashes, first, 5), block)] == [[1], [7]]
+
+
+def test_items_shorter_than_a_seed_match_whole(spark):
+    bench = spark.createDataFrame([(1, "Red fox"), (2, "red, FOX!"), (3, "owl"), (4, "..."), (5, "one two three four"), (6, None), (7, "fox ran far away today")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a red fox ran far away today"), (2, "red. fox. red fox owl"), (3, "fox red"), (4, "one two three"), (5, ""), (6, None), (7, "owl"), (8, "x one two three four")], "doc_id long, text string")
+    for chars in (1 << 24, 10):
+        got = decontaminate.contamination(docs, bench, block_chars=chars).collect()
+        found = sorted((r["doc_id"], r["item_id"], r["covered"], r["words"], r["coverage"]) for r in got)
+        assert found == [(1, 1, 2, 2, 1.0), (1, 2, 2, 2, 1.0), (1, 7, 5, 5, 1.0), (2, 1, 2, 2, 1.0), (2, 2, 2, 2, 1.0), (2, 3, 1, 1, 1.0), (7, 3, 1, 1, 1.0), (8, 5, 4, 4, 1.0)]
+        assert [t["doc_word"] for r in got if (r["doc_id"], r["item_id"]) == (2, 3) for t in r["tiles"]] == [4]
+
+
+def test_long_items_are_tiled_in_time():
+    rng = np.random.default_rng(3)
+    text = rng.integers(1, 2**63, 10_000).astype(np.uint64)
+    decontaminate.tile(text[:100], text[:100], 5)
+    began = time.time()
+    assert decontaminate.tile(text, text.copy(), 5) == [(0, 0, 10_000)]
+    assert time.time() - began < 0.3
+    moved = np.concatenate([text[5000:], text[:5000]])
+    assert sorted(decontaminate.tile(text, moved, 5)) == [(0, 5000, 5000), (5000, 0, 5000)]

@@ -37,3 +37,12 @@ def test_few_rows(spark):
     assert topk.top_k(make([]), F.col("vec_id") % 50 == 0).count() == 0
     assert topk.top_k(make([(0, [1.0])]), F.col("vec_id") % 50 == 0).count() == 0
     assert [tuple(r) for r in topk.top_k(make([(0, [1.0]), (1, [-0.001])]), F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1, -256)]
+
+
+def test_a_repeated_id_is_spread(spark):
+    rows = [(1, [float(i % 7)]) for i in range(3000)] + [(1, [9.0])] * 3000 + [(i, [1.0]) for i in range(2, 3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("vector", topk.whole_numbers(F.col("embedding")))
+    got = topk.top_k(df, F.col("vec_id") == 2, 5, block_rows=1000)
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in got.orderBy("rank").collect()] == [(n, 1, 9 * 256 * 256) for n in range(1, 6)]
+    sizes = [r["count"] for r in topk.dealt(df.select(F.col("vec_id").alias("id"), F.col("vector").alias("v")), 9).groupBy("col").count().collect()]
+    assert len(sizes) == 9 and max(sizes) < 1.3 * len(rows) / 9

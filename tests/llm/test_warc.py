@@ -1,7 +1,9 @@
 import gzip
 import hashlib
 
-from quire.llm import warc
+import pytest
+
+from quire.llm import _scratch, warc
 
 
 def test_round_trip_and_edge_cases(spark):
@@ -33,3 +35,22 @@ def test_every_record_is_a_member_of_its_own(spark):
 
 def test_empty_table(spark):
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string"))[1].count() == 0
+
+
+def test_a_used_folder_and_a_scheme_that_tasks_cannot_open_are_refused(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string")
+    out, got = warc.archive(pages, f"{tmp_path}/new")
+    assert out.startswith("file:/") and got.count() == 1
+    with pytest.raises(ValueError, match="holds files already"):
+        warc.archive(pages, f"{tmp_path}/new")
+    with pytest.raises(ValueError, match="tasks can't"):
+        warc.opened("odd://none/x")
+
+
+def test_scratch_tables_go_after_an_error(spark):
+    before = list(_scratch._made)
+    with pytest.raises(RuntimeError), _scratch.passing() as keep:
+        path = keep(spark.range(3))._quire_path
+        raise RuntimeError
+    assert _scratch._made == before and not _scratch.is_used(spark, path)
+    assert _scratch.qualified(spark, "/x/y") == "file:/x/y"
