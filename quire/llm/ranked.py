@@ -134,14 +134,14 @@ def rank(docs: DataFrame, items: DataFrame, k: int = 10, key: str = "doc_id", te
     across, down = max(1, -(-n // block_docs)), max(1, -(-uses.select("q").distinct().count() // block_items))
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     floors = uses.select("term", "floor").distinct()
-    known = postings.join(floors, "term")
-    entries = known.where("c >= floor").select("term", "row", "c", F.pmod(F.xxhash64("row"), F.lit(across)).cast("int").alias("col"), every(down).alias("line"))
+    entries = postings.join(floors, "term").where("c >= floor").select("term", "row", "c", F.pmod(F.xxhash64("row"), F.lit(across)).cast("int").alias("col"), every(down).alias("line"))
     wanted = uses.select("q", "term", "rest", "low", F.pmod("q", F.lit(down)).cast("int").alias("line"), every(across).alias("col"))
     gathered = wanted.groupBy("line", "col").cogroup(entries.groupBy("line", "col")).applyInArrow(_gather(k), "q long, row long, part long, most long")
     gathered = stored(gathered, "gathered")
 
-    raised = gathered.join(_kth(gathered, k, "part", "kth"), "q", "left").where("most >= coalesce(kth, 1)").select("q", "row", "part")
-    missing = raised.join(uses.where("rest > 0").select("q", "term"), "q").join(known.where("c < floor").select("term", "row", "c"), ["term", "row"]).select("q", "row", F.col("c").alias("part"))
+    raised = stored(gathered.join(_kth(gathered, k, "part", "kth"), "q", "left").where("most >= coalesce(kth, 1)").select("q", "row", "part"), "raised")
+    below = raised.join(uses.where("rest > 0").select("q", "term", "floor"), "q").select("q", "row", "term", "floor")
+    missing = postings.join(raised.select("row").distinct(), "row").join(below, ["term", "row"]).where("c < floor").select("q", "row", F.col("c").alias("part"))
     scores = raised.union(missing).groupBy("q", "row").agg(F.sum("part").alias("score")).where("score > 0")
     named = scores.join(counted.select("row", F.col(key).alias("_key")), "row")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("_key"), "row"))
