@@ -85,8 +85,16 @@ def b9_types(index: DataFrame, known: tuple) -> DataFrame:
     return found(n.where("bad > 0"), "B9", F.when(F.col("bad") > 0.2 * F.col("pages"), "high").otherwise("medium"))
 
 
-def b10_misattributed(index: DataFrame, names: DataFrame, fields: list[str]) -> DataFrame:
-    return found(counted(quality.misattribution(index, names, fields)), "B10", F.when(F.col("n") > 5, "high").otherwise("medium"))
+def b10_misattributed(index: DataFrame, books: DataFrame, fields: list[str], catalog: DataFrame, materials: DataFrame) -> DataFrame:
+    """Fields that claim to be of another book: medium, above five of them high; an empty catalogue: high, and books that the materials lack: medium, for the library.
+
+    books: book_id, title; catalog and materials: book_id.
+    """
+    own = found(counted(quality.claims(index, books.select("book_id", F.col("title").alias("name")), fields)), "B10", F.when(F.col("n") > 5, "high").otherwise("medium"))
+    library = lambda n: n.select(F.lit(LIBRARY).alias("book_id"), "n")
+    empty = library(catalog.agg(F.count("*").alias("n")))
+    gap = library(books.join(materials, "book_id", "left_anti").agg(F.count("*").alias("n")))
+    return own.unionByName(found(empty, "B10", F.when(F.col("n") == 0, "high"))).unionByName(found(gap, "B10", F.when(F.col("n") > 0, "medium")))
 
 
 def b11_unquotable(index: DataFrame, quoted: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
+from quire.operators import patterns
 from quire.operators.numbering import upper_medians
 
 # fixed values: penalty of a finding, share of the points of a check
@@ -90,6 +91,25 @@ def misattribution(pages: DataFrame, names: DataFrame, fields: list[str]) -> Dat
     return hits.groupBy("book_id", "physical_page", "field").agg(F.min("owner").alias("other"))
 
 
+# fixed values: words that a claim opens with, and the article before a name
+CLAIM_OPENERS, ARTICLE = ("كتاب", "ملف"), "ال"
+
+
+def claims(pages: DataFrame, names: DataFrame, fields: list[str], openers: tuple = CLAIM_OPENERS, article: str = ARTICLE) -> DataFrame:
+    """(book_id, physical_page, field, other): fields that claim to be of another book and don't name their own; the smallest id of each field.
+
+    A claim is an opener, a blank and a name of one or more words, with or without the article, in the folded field. Names are
+    patterns of one automaton. names: book_id, name; blank names are no names.
+    """
+    folded = names.select(F.col("book_id").alias("owner"), tx.word_fold(F.col("name")).alias("name")).where("name <> ''")
+    claim = F.explode(F.array(*(F.concat(F.lit(f" {o} {a}"), "name", F.lit(" ")) for o in openers for a in ("", article))))
+    asked = folded.select("owner", claim.alias("pattern")).unionByName(folded.select("owner", F.concat(F.lit(" "), "name", F.lit(" ")).alias("pattern")).withColumn("own", F.lit(True)), allowMissingColumns=True)
+    values = pages.select("book_id", "physical_page", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.concat(F.lit(" "), tx.word_fold(F.coalesce(F.col(f), F.lit(""))), F.lit(" ")).alias("value")) for f in fields))).alias("f"))
+    met = patterns.contained(values.select("book_id", "physical_page", "f.field", "f.value"), asked, "value", "pattern").join(asked, "pattern")
+    by = met.groupBy("book_id", "physical_page", "field").agg(F.min(F.when(F.col("own").isNull() & (F.col("owner") != F.col("book_id")), F.col("owner"))).alias("other"), F.count_if(F.col("own") & (F.col("owner") == F.col("book_id"))).alias("named"))
+    return by.where("other is not null and named = 0").drop("named")
+
+
 def summary_coverage(pages: DataFrame, thin: float = 0.015) -> DataFrame:
     """(book_id, median_coverage, thin): upper median of summary length over text length, and pages below ``thin``."""
     ratio = pages.where(F.length("text") > 0).select("book_id", (F.length("summary") / F.length("text")).alias("r"))

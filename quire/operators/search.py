@@ -1,7 +1,7 @@
 """Filtered substring search over pages, with stable order and paging.
 
 A view is a DataFrame of ``book_id``, ``physical_page`` and folded text fields. The terms of one query are constants, so the
-search is a projection and a filter in one scan; a batch of queries is joined by one word each and then verified.
+search is a projection and a filter in one scan; a batch of queries is one automaton that runs over each text.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import arabic
 from quire.functions import text as tx
+from quire.operators import patterns
 
 FIELDS = ("text", "title", "summary", "unit", "section", "purpose")
 #: All fields that a page may be searched by; those that a table lacks are left out of its view.
@@ -90,22 +91,10 @@ def paged(hits: DataFrame, offset: int = 0, limit: int = 8) -> DataFrame:
 
 
 def batch(pages: DataFrame, queries: DataFrame, key: str, query: str, text: str = "text", page_key: str = "doc_id") -> DataFrame:
-    """(page_key, key) for every page whose text holds the query's as a substring.
+    """(page_key, key) for every page whose text holds the query's as a substring; all queries are looked for in one pass over the pages.
 
-    Both sides are joined by the query's longest inner word (the smallest of the longest), which a page that holds the query must hold as well,
-    and verified by containment; so no page meets every such query. Queries without an inner word (empty, or of one or two words) are
-    compared with every page, partition by partition.
+    The empty query matches every page with a text. Equal queries have a row each.
     """
-    words = lambda c: F.split(c, " ")
     asked = queries.select(F.col(key).alias("_q"), F.col(query).alias("_text"))
-    inner = F.slice(words(F.col("_text")), F.lit(2), F.greatest(F.size(words(F.col("_text"))) - 2, F.lit(0)))
-    best = F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    asked = asked.withColumn("_word", F.get(best, F.lit(0))["w"])
-    held = pages.select(F.col(page_key).alias("_p"), F.col(text).alias("_body"))
-    near = held.select("_p", "_body", F.explode(F.array_distinct(words(F.col("_body")))).alias("_word"))
-    seeds = asked.where("_word is not null and _word <> ''")
-    pairs = near.select("_p", "_word").join(seeds.select("_q", "_word"), "_word").select("_p", "_q").distinct()
-    found = pairs.join(held, "_p").join(asked, "_q").where(F.col("_body").contains(F.col("_text"))).select("_p", "_q")
-    rest = asked.where("_word is null or _word = ''").select("_q", "_text")
-    short = held.join(rest, F.col("_body").contains(F.col("_text"))).select("_p", "_q")
-    return found.union(short).distinct().select(F.col("_p").alias(page_key), F.col("_q").alias(key))
+    found = patterns.contained(pages.select(F.col(page_key).alias("_p"), F.col(text).alias("_body")), asked, "_body", "_text")
+    return found.join(asked, "_text").select(F.col("_p").alias(page_key), F.col("_q").alias(key)).distinct()

@@ -16,7 +16,6 @@ from quire.plans.library import _COUNT, _OUT, _SIG, R, _numbers
 
 _EXPECTED = f"CASE WHEN length({s.strip('text')}) < 1 THEN 'no-text' WHEN {s.damaged('text')} THEN 'damaged-text' WHEN lang = 'de' THEN 'ocr-text' ELSE 'clean-extracted-text' END"
 _KNOWN = (tx.NO_TEXT, tx.DAMAGED, tx.OCR, tx.CLEAN)
-_NAMES = [("that", "src1"), ("with", "src2"), ("from", "src3")]
 _RULES = [("src1", 5, 60, -4), ("src2", 1, 1000, -4), ("src3", 1, 1000, 3)]
 
 Y = f""", y0 AS (
@@ -40,6 +39,22 @@ def _moved(p: DataFrame) -> DataFrame:
     return p.drop("title").join(titles_, ["book_id", "physical_page"])
 
 
+def _claiming(p: DataFrame) -> DataFrame:
+    """Pages whose summaries claim to be of some book, every other one with the article, some with their own name too."""
+    d = F.col("doc_id")
+    said = F.concat(F.when(d % 2 == 0, "In كتاب Book src").otherwise("see: ملف الBook src"), (d % 12).cast("string"), F.when(d % 4 == 1, F.concat(F.lit(", or Book "), "book_id")).otherwise(F.lit(" (p. 3)")))
+    return p.withColumn("summary", F.when(d % 31 == 0, said).otherwise(F.col("summary")))
+
+
+#: Fields of a table's pages that claim to be of another book, with ``_claiming``'s summaries.
+CLAIMS = (
+    "SELECT book_id, physical_page, field, min(o.id) AS other FROM (SELECT book_id, physical_page, field, ' ' || " + s.word_fold("value") + " || ' ' AS v FROM (SELECT book_id, physical_page, 'title' AS field, title AS value FROM {0} UNION ALL SELECT book_id, physical_page, 'summary', CASE WHEN doc_id % 31 = 0 "
+    "THEN CASE WHEN doc_id % 2 = 0 THEN 'In كتاب Book src' ELSE 'see: ملف الBook src' END || CAST(doc_id % 12 AS VARCHAR) || CASE WHEN doc_id % 4 = 1 THEN ', or Book ' || book_id ELSE ' (p. 3)' END ELSE summary END FROM {0})) f "
+    "JOIN (SELECT book_id AS id, lower(title) AS name FROM b) o ON o.id <> f.book_id AND (contains(v, ' كتاب ' || name || ' ') OR contains(v, ' كتاب ال' || name || ' ') OR contains(v, ' ملف ' || name || ' ') OR contains(v, ' ملف ال' || name || ' ')) "
+    "WHERE NOT contains(v, ' book ' || lower(f.book_id) || ' ') GROUP BY ALL"
+)
+
+
 def _last():
     return F.ascii(F.right("book_id", F.lit(1))) % 5
 
@@ -134,9 +149,8 @@ CHECKS = {
     "B8": (lambda t: checks.b8_numbers(t.verdicts), None, "SELECT DISTINCT book_id, 'B8' AS code, 'high' AS severity FROM ({numbers}) WHERE verdict IN ('unverified', 'layerless')"),
     "B9": (lambda t: checks.b9_types(t.y, corpus.PAGE_TYPES), "", _F("B9", "CASE WHEN n > 0.2 * m THEN 'high' ELSE 'medium' END", "(SELECT book_id, count(*) FILTER (WHERE page_type = 'cover') AS n, count(*) AS m FROM y GROUP BY book_id)") + " WHERE n > 0"),
     "B10": (
-        lambda t: checks.b10_misattributed(t.y, t.rows(_NAMES, "token string, book_id string"), ["title", "summary"]),
-        f", w AS (SELECT book_id, physical_page, 'title' AS field, unnest(list_distinct(string_split({s.word_fold('title')}, ' '))) AS token FROM y UNION ALL SELECT book_id, physical_page, 'summary', unnest(list_distinct(string_split({s.word_fold('summary')}, ' '))) FROM y), o AS (SELECT unnest(['that', 'with', 'from']) AS token, unnest(['src1', 'src2', 'src3']) AS owner)",
-        _F("B10", "CASE WHEN n > 5 THEN 'high' ELSE 'medium' END", "(SELECT book_id, count(DISTINCT (physical_page, field)) AS n FROM w JOIN o USING (token) WHERE owner <> book_id GROUP BY book_id)"),
+        lambda t: checks.b10_misattributed(_claiming(t.y), t.books, ["title", "summary"], t.books.where("page_count > 1000000000").select("book_id"), t.books.where(f"{corpus.TURN} % 3 <> 1").select("book_id")), "",
+        _ALL(_F("B10", "CASE WHEN n > 5 THEN 'high' ELSE 'medium' END", f"(SELECT book_id, count(*) AS n FROM ({CLAIMS.format('y')}) GROUP BY book_id)"), "SELECT 'library', 'B10', 'high' FROM (SELECT count(*) AS n FROM b WHERE page_count > 1000000000) WHERE n = 0", f"SELECT 'library', 'B10', 'medium' FROM (SELECT count(*) AS n FROM b WHERE {corpus.TURN} % 3 = 1) WHERE n > 0"),
     ),
     "B11": (lambda t: checks.b11_unquotable(t.y, "src[0-9]$"), "", _F("B11", "'critical'", _n(f"regexp_matches(book_id, 'src[0-9]$') AND regexp_matches(text, '{_PRIVATE}')"))),
     "B14": (
@@ -224,6 +238,12 @@ def qc_broken_math(spark, sf):
     return quality.broken_math(p.withColumn("text", F.when(F.col("doc_id") % 61 == 0, F.concat("text", F.lit(" x ^ 2 "))).otherwise(F.col("text"))))
 
 
+@R.add(" " + CLAIMS.format("p"))
+def qc_claims(spark, sf):
+    p = corpus.pages(spark, sf)
+    return quality.claims(_claiming(p), corpus.books(p).select("book_id", F.col("title").alias("name")), ["title", "summary"])
+
+
 # ---- roll-up ----
 
 

@@ -7,7 +7,9 @@ same views as common table expressions) define the columns; a change in one need
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators import grams, search
 from quire.operators.numbering import numbered
+from quire.sources import tables
 
 #: A number that differs from book to book, for Spark and DuckDB alike: what the tables lack is made up by it.
 TURN = "ascii(right(book_id, 1))"
@@ -21,13 +23,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The page table; only (source, doc_id) is numbered, and the numbers are joined by doc_id, so that filters reach the scan of the texts."""
-    documents = table(spark, sf_dir, "documents")
-    numbers = numbered(documents.select("source", "doc_id"), "source", "doc_id", name="physical_page").select("doc_id", "physical_page")
-    docs = documents.join(numbers, "doc_id")
+    """The page table: documents numbered within their book, written once in order of book and page and read from there.
+
+    Texts move when the table is written, and in no query: a filter on books or pages reaches the scan and skips row groups.
+    """
+    path = f"{sf_dir}/documents.parquet"
+    numbers = lambda docs: numbered(docs.select("source", "doc_id"), "source", "doc_id", name="physical_page").select("doc_id", "physical_page")
+
+    def make() -> DataFrame:
+        documents = spark.read.parquet(path)
+        rows = documents.join(numbers(documents), "doc_id").withColumnRenamed("source", "book_id").select("book_id", "physical_page", "doc_id", "text", "lang")
+        return rows.repartitionByRange("book_id", "physical_page").sortWithinPartitions("book_id", "physical_page")
+
+    return described(tables.derived(spark, "pages", [path], make))
+
+
+def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searchable view of all pages, folded once and laid out by book and stretch of pages."""
+    view = lambda: grams.stretched(search.view(pages(spark, sf_dir), search.FIELDS))
+    return tables.derived(spark, "folded", [f"{sf_dir}/documents.parquet"], view, grams.KEYS)
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """The columns that every query reads, made up where the documents lack them. docs: book_id, physical_page, doc_id, text, lang."""
     types = F.array(*map(F.lit, PAGE_TYPES))
     return docs.select(
-        F.col("source").alias("book_id"), "physical_page", F.when(F.col("physical_page") > 4, F.col("physical_page") - 4).alias("printed_page"), "doc_id", "text", "lang",
+        "book_id", "physical_page", F.when(F.col("physical_page") > 4, F.col("physical_page") - 4).alias("printed_page"), "doc_id", "text", "lang",
         F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 90).alias("title"), F.substring("text", 1, 200).alias("summary"), F.col("lang").alias("section"),
         F.concat(F.lit("unit "), F.floor(F.col("physical_page") / 25).cast("string")).alias("unit"),
         F.when(F.col("doc_id") % 3 == 0, "read the page and answer").otherwise(F.substring("text", 1, 60)).alias("purpose"),

@@ -202,32 +202,38 @@ def _count(*patterns):
     return "len(list_filter(l, lambda e: " + " AND ".join(f"regexp_matches(e, '{s.escaped(p)}')" for p in patterns) + "))"
 
 
+def _features():
+    """The features of ``kinds.page_type`` as SQL over l (lines), head and t (the text)."""
+    counts = [f"{_count(*patterns)} AS {name}" for name, patterns in kinds.LINE_COUNTS.items()]
+    marks = [f"regexp_matches({'head' if where == 'head' else 't'}, '{s.escaped(p)}')::INT AS {name}" for name, (where, p) in kinds.MARKS.items()]
+    size = f"length({s.replaced('t', (f'{s.SPACE}+', ''), (r'[\x{064B}-\x{065F}\x{0670}\x{0640}]', ''))}) AS size"
+    opens = f"len(list_filter(l[1:2], lambda e: regexp_matches(e, '{s.escaped(kinds.CHAPTER)}'))) > 0 AS opens"
+    return ", ".join([*counts, *marks, f"len(regexp_extract_all(t, '{s.escaped(kinds.EXERCISE_WORDS)}')) AS exercise_words", size, opens])
+
+
+_POINTS = ", ".join("(" + " + ".join(f"least({name}, {most}) * {n}::DOUBLE" for name, n, most in parts) + f", {-i}, '{kind}')" for i, (kind, parts) in enumerate(kinds.POINTS.items()))
+
+
 @R.add(
-    f", l AS (SELECT doc_id, {_LINES} AS l FROM p), t AS (SELECT *, array_to_string(l, chr(10)) AS t, array_to_string(l[1:3], ' ') AS first FROM l), "
-    f"c AS (SELECT *, length({s.replaced('t', (f'{s.SPACE}+', ''), (r'[\x{064B}-\x{065F}\x{0670}\x{0640}]', ''))}) AS size, {_count(kinds.FOLIO)} AS folios, {_count(kinds.NUMBERED)} AS numbered, len(regexp_extract_all(t, '{s.escaped(kinds.EXERCISE_WORDS)}')) AS words FROM t) "
-    f"SELECT doc_id, CASE WHEN size < 12 THEN 'divider' WHEN regexp_matches(first, '{s.escaped(kinds.CONTENTS)}') OR {_count(kinds.LEADERS)} >= 4 OR (folios >= 6 AND len(l) <= folios + 6) THEN 'contents' "
-    "WHEN numbered >= 4 OR (words >= 3 AND numbered >= 1) OR (words >= 2 AND numbered >= 2) THEN 'exercises' "
-    f"WHEN regexp_matches(t, '{s.escaped(kinds.RECAP)}') THEN 'boxed_recap' WHEN regexp_matches(t, '{s.escaped(kinds.MATCHING)}') AND numbered >= 1 THEN 'matching' "
-    f"WHEN {_count(kinds.TERMS)} >= 4 OR regexp_matches(first, '{s.escaped(kinds.GLOSSARY)}') THEN 'glossary' WHEN {_count(kinds.ARABIC, '[A-Za-z]')} >= 4 THEN 'parallel_text' "
-    f"WHEN (len(list_filter(l[1:2], lambda e: regexp_matches(e, '{s.escaped(kinds.CHAPTER)}'))) > 0 AND size < 420) OR (size < 180 AND len(l) <= 4) THEN 'divider' ELSE 'lesson_content' END AS value FROM c"
+    f", l AS (SELECT doc_id, {_LINES} AS l FROM p), t AS (SELECT *, array_to_string(l, chr(10)) AS t, array_to_string(l[1:3], ' ') AS head FROM l), f AS (SELECT doc_id, {_features()} FROM t), "
+    f"g AS (SELECT *, list_max([{_POINTS}]) AS best FROM f) "
+    f"SELECT doc_id, CASE WHEN size < 12 THEN 'divider' WHEN best[1] >= {kinds.LEAST} THEN best[3] WHEN size < CASE WHEN opens THEN {kinds.UNDER_HEADING} ELSE {kinds.BARE} END THEN 'divider' ELSE 'lesson_content' END AS value FROM g"
 )
 def txt_page_type(spark, sf):
     return corpus.pages(spark, sf).select("doc_id", kinds.page_type(_kind_text()).alias("value"))
 
 
 def _points(x):
-    has = lambda p: f"regexp_matches({x}, '{s.escaped(p)}')"
-    n = lambda p: f"len(regexp_extract_all({x}, '{s.escaped(p)}'))"
-    return (
-        f"(CASE WHEN {has(kinds.HEADING)} THEN 4 ELSE 0 END + CASE WHEN i <= 3 THEN 2 - (i - 1) * 0.5 ELSE 0 END + CASE WHEN length({x}) <= 90 THEN 1 ELSE 0 END - CASE WHEN {has(kinds.SENTENCE_END)} AND length({x}) > 40 THEN 3 ELSE 0 END "
-        f"- CASE WHEN {has('[0-9٠-٩۰-۹]')} AND NOT {has(kinds.ARABIC)} THEN 2 ELSE 0 END - CASE WHEN {n(r'\p{L}')} < 4 THEN 3 ELSE 0 END - CASE WHEN contains({x}, chr(65533)) THEN 4 ELSE 0 END "
-        f"- CASE WHEN {n(r'[\x{00A0}-\x{024F}]')} >= 2 THEN 3 ELSE 0 END - CASE WHEN {n(kinds.ARABIC)} > 0 AND {n(kinds.ARABIC)} / greatest({n(r'\p{L}')}, 1) < 0.4 THEN 2 ELSE 0 END)"
-    )
+    signs = "".join(f" + CASE WHEN regexp_matches({x}, '{s.escaped(p)}') THEN {n}::DOUBLE ELSE 0 END" for p, n in kinds.TITLE_SIGNS)
+    letters = f"len(regexp_extract_all({x}, '\\p{{L}}'))"
+    return f"(greatest(0, 4.0::DOUBLE - (i - 1)) * {kinds.EARLY}::DOUBLE + greatest(0, 1 - abs(length({x}) - 30) / 60.0::DOUBLE) * {kinds.BRIEF}::DOUBLE + {letters}::DOUBLE / length({x}) * {kinds.LETTERS}::DOUBLE{signs})"
+
+
+_CANDIDATES = f", l AS (SELECT doc_id, list_filter({_LINES}, lambda e: length(e) BETWEEN 3 AND 150 AND regexp_matches(e, '\\p{{L}}')) AS l FROM p), k AS (SELECT doc_id, unnest(l) AS e, generate_subscripts(l, 1) AS i FROM l)"
 
 
 @R.add(
-    f", l AS (SELECT doc_id, list_filter({_LINES}, lambda e: length(e) BETWEEN 4 AND 140 AND NOT regexp_matches(e, '{kinds.FOLIO}') AND regexp_matches(e, '\\p{{L}}|[0-9٠-٩۰-۹]')) AS l FROM p), "
-    f"k AS (SELECT doc_id, unnest(l) AS e, generate_subscripts(l, 1) AS i FROM l), r AS (SELECT doc_id, e, row_number() OVER (PARTITION BY doc_id ORDER BY {_points('e')} DESC, i) AS r FROM k) "
+    _CANDIDATES + f", r AS (SELECT doc_id, substr(e, 1, 140) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY {_points('e')} DESC, i) AS r FROM k) "
     "SELECT p.doc_id, r.e AS value FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND r.r = 1"
 )
 def txt_title_lines(spark, sf):

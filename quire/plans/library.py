@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.operators import audit, consistency, documents, duplicates, inverted, layout, pages, patches, quality, search, semistructured
+from quire.operators import audit, consistency, documents, duplicates, grams, inverted, layout, pages, patches, quality, search, semistructured
 from quire.operators.numbering import numbered
 from quire.plans import corpus
 from quire.plans import sqltext as s
 from quire.plans.corpus import table
+from quire.sources import tables
 
 R = corpus.Registry()
 
@@ -26,8 +27,13 @@ def _search_sql(terms, match="any", where="TRUE", tail="", columns=""):
 
 
 def _found(spark, sf, query, match="any", **filters):
-    p = corpus.pages(spark, sf)
-    return search.search(search.view(p), corpus.books(p), query, match, **filters)
+    return search.search(corpus.folded(spark, sf), corpus.books(corpus.pages(spark, sf)), query, match, **filters)
+
+
+def _found_by_grams(spark, sf, query, match="any", **filters):
+    view = corpus.folded(spark, sf)
+    held = tables.derived(spark, "grams", [f"{sf}/documents.parquet"], lambda: grams.index(view, search.FIELDS))
+    return grams.find(view, held, corpus.books(corpus.pages(spark, sf)), query, match, **filters)
 
 
 def _joined(hits):
@@ -67,6 +73,21 @@ def search_page_offset(spark, sf):
     return search.paged(_found(spark, sf, "that with", "all"), 8, 8).select("book_id", "physical_page", "total", "next_offset")
 
 
+@R.add(_search_sql(["the", "ung"]))
+def search_grams_any(spark, sf):
+    return _joined(_found_by_grams(spark, sf, "the ung"))
+
+
+@R.add(_search_sql(["answer", "unit", "für"], "all"))
+def search_grams_all(spark, sf):
+    return _joined(_found_by_grams(spark, sf, "answer unit FÜR", "all"))
+
+
+@R.add(_search_sql(["and the"], where="book_id = 'src3'"))
+def search_grams_phrase(spark, sf):
+    return _joined(_found_by_grams(spark, sf, "and the", "phrase", book_id="src3"))
+
+
 @R.add("SELECT d.doc_id, q.item_id FROM documents d JOIN benchmark q ON contains(d.text, q.text)", base=False)
 def search_batch_benchmark(spark, sf):
     return search.batch(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "item_id", "text")
