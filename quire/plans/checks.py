@@ -48,8 +48,8 @@ def _claiming(p: DataFrame) -> DataFrame:
 
 #: Fields of a table's pages that claim to be of another book, with ``_claiming``'s summaries.
 CLAIMS = (
-    "SELECT book_id, physical_page, field, min(o.id) AS other FROM (SELECT book_id, physical_page, field, ' ' || " + s.word_fold("value") + " || ' ' AS v FROM (SELECT book_id, physical_page, 'title' AS field, title AS value FROM {0} UNION ALL SELECT book_id, physical_page, 'summary', CASE WHEN doc_id % 31 = 0 "
-    "THEN CASE WHEN doc_id % 2 = 0 THEN 'In كتاب Book src' ELSE 'see: ملف الBook src' END || CAST(doc_id % 12 AS VARCHAR) || CASE WHEN doc_id % 4 = 1 THEN ', or Book ' || book_id ELSE ' (p. 3)' END ELSE summary END FROM {0})) f "
+    "SELECT book_id, physical_page, field, min(o.id) AS other FROM (SELECT book_id, physical_page, field, ' ' || " + s.word_fold("value") + " || ' ' AS v FROM (SELECT book_id, physical_page, 'title' AS field, title AS value FROM @pages UNION ALL SELECT book_id, physical_page, 'summary', CASE WHEN doc_id % 31 = 0 "
+    "THEN CASE WHEN doc_id % 2 = 0 THEN 'In كتاب Book src' ELSE 'see: ملف الBook src' END || CAST(doc_id % 12 AS VARCHAR) || CASE WHEN doc_id % 4 = 1 THEN ', or Book ' || book_id ELSE ' (p. 3)' END ELSE summary END FROM @pages)) f "
     "JOIN (SELECT book_id AS id, lower(title) AS name FROM b) o ON o.id <> f.book_id AND (contains(v, ' كتاب ' || name || ' ') OR contains(v, ' كتاب ال' || name || ' ') OR contains(v, ' ملف ' || name || ' ') OR contains(v, ' ملف ال' || name || ' ')) "
     "WHERE NOT contains(v, ' book ' || lower(f.book_id) || ' ') GROUP BY ALL"
 )
@@ -150,7 +150,7 @@ CHECKS = {
     "B9": (lambda t: checks.b9_types(t.y, corpus.PAGE_TYPES), "", _F("B9", "CASE WHEN n > 0.2 * m THEN 'high' ELSE 'medium' END", "(SELECT book_id, count(*) FILTER (WHERE page_type = 'cover') AS n, count(*) AS m FROM y GROUP BY book_id)") + " WHERE n > 0"),
     "B10": (
         lambda t: checks.b10_misattributed(_claiming(t.y), t.books, ["title", "summary"], t.books.where("page_count > 1000000000").select("book_id"), t.books.where(f"{corpus.TURN} % 3 <> 1").select("book_id")), "",
-        _ALL(_F("B10", "CASE WHEN n > 5 THEN 'high' ELSE 'medium' END", f"(SELECT book_id, count(*) AS n FROM ({CLAIMS.format('y')}) GROUP BY book_id)"), "SELECT 'library', 'B10', 'high' FROM (SELECT count(*) AS n FROM b WHERE page_count > 1000000000) WHERE n = 0", f"SELECT 'library', 'B10', 'medium' FROM (SELECT count(*) AS n FROM b WHERE {corpus.TURN} % 3 = 1) WHERE n > 0"),
+        _ALL(_F("B10", "CASE WHEN n > 5 THEN 'high' ELSE 'medium' END", f"(SELECT book_id, count(*) AS n FROM ({CLAIMS.replace('@pages', 'y')}) GROUP BY book_id)"), "SELECT 'library', 'B10', 'high' FROM (SELECT count(*) AS n FROM b WHERE page_count > 1000000000) WHERE n = 0", f"SELECT 'library', 'B10', 'medium' FROM (SELECT count(*) AS n FROM b WHERE {corpus.TURN} % 3 = 1) WHERE n > 0"),
     ),
     "B11": (lambda t: checks.b11_unquotable(t.y, "src[0-9]$"), "", _F("B11", "'critical'", _n(f"regexp_matches(book_id, 'src[0-9]$') AND regexp_matches(text, '{_PRIVATE}')"))),
     "B14": (
@@ -238,7 +238,7 @@ def qc_broken_math(spark, sf):
     return quality.broken_math(p.withColumn("text", F.when(F.col("doc_id") % 61 == 0, F.concat("text", F.lit(" x ^ 2 "))).otherwise(F.col("text"))))
 
 
-@R.add(" " + CLAIMS.format("p"))
+@R.add(" " + CLAIMS.replace("@pages", "p"))
 def qc_claims(spark, sf):
     p = corpus.pages(spark, sf)
     return quality.claims(_claiming(p), corpus.books(p).select("book_id", F.col("title").alias("name")), ["title", "summary"])
