@@ -9,6 +9,7 @@ A text is cut before every space that follows no white space. Neither tokenizer
 that is read from its pieces), so a piece is encoded by itself, and once for all of its repeats in a task.
 """
 
+import os
 import re
 from functools import lru_cache, reduce
 from hashlib import sha256
@@ -34,6 +35,7 @@ _HELD = 1 << 19  # pieces that a task keeps between batches
 @lru_cache(maxsize=2)
 def tokenizers(folder: str, a: str, b: str):
     """Both tokenizers, the bytes of their tokens, and whether B's tokens never reach over a space that follows another character."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from sentencepiece import SentencePieceProcessor
     from tokenizers import Tokenizer
 
@@ -60,6 +62,12 @@ def pieces_of(text: str) -> list[str]:
     return out
 
 
+def _flat(ids: list) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens in one array, and how many each text has."""
+    n = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int64, n.sum()), n
+
+
 class Aligned:
     """What is known of the pieces that a task has met: counts, groups as text, and links as codes of (B id, A id).
 
@@ -68,11 +76,12 @@ class Aligned:
 
     def __init__(self, folder: str, a: str, b: str, table=None):
         self.a, self.b, self.a_bytes, self.b_bytes, self.cuts = tokenizers(folder, a, b)
-        self.a_size, self.b_size = np.array([len(x) for x in self.a_bytes]), np.array([len(x) for x in self.b_bytes])
+        self.a_known, self.b_known = ((np.frombuffer(b"".join(x), np.uint8), n := np.array([len(t) for t in x]), np.cumsum(n) - n) for x in (self.a_bytes, self.b_bytes))
         self.table = table
         if table is not None:
-            # ids as they stand in the text of groups: inside a run, and at its end
-            self.said_a, self.said_b = (np.array([f"{i}{sign}" for sign in (",", end) for i in range(len(x))], object) for x, end in ((self.a_bytes, "|"), (self.b_bytes, ";")))
+            # ids as they stand in the text of groups, inside a run and at its end, and their lengths
+            said = [[f"{i}{sign}" for sign in (",", end) for i in range(len(x))] for x, end in ((self.a_bytes, "|"), (self.b_bytes, ";"))]
+            self.said_a, self.said_b = ((np.array(x, object), np.array([len(t) for t in x])) for x in said)
         self.clear()
 
     def clear(self):
@@ -83,19 +92,17 @@ class Aligned:
 
     def learn(self, new: list[str]) -> None:
         """Encode pieces and keep what their labels say."""
-        a = [x.ids for x in self.a.encode_batch_fast([f" {p}" for p in new], add_special_tokens=False)]
+        new.sort(key=lambda p: not p or p[-1].isspace())  # these last, as a following piece could change them
         b = self.b.encode(new, num_threads=1)
-        lost = np.zeros(len(new), bool)
         own = [f" {p}".encode() for p in new]
-        back_a, back_b = (list(map(known.__getitem__, chain.from_iterable(ids))) for ids, known in ((a, self.a_bytes), (b, self.b_bytes)))
-        sizes = [np.array([len(x) for x in own])] + [np.add.reduceat(np.append(size[np.fromiter(chain.from_iterable(ids), np.int64)], 0), np.cumsum([0, *map(len, ids)])[:-1]) for ids, size in ((a, self.a_size), (b, self.b_size))]
-        if not (all(map(len, b)) and b"".join(own) == b"".join(back_a) == b"".join(back_b) and all((sizes[0] == x).all() for x in sizes[1:])):
-            lost = np.array([not b"".join([self.a_bytes[i] for i in x]) == o == b"".join([self.b_bytes[i] for i in y]) for o, x, y in zip(own, a, b, strict=True)])
-            a, b = ([[] if gone else x for x, gone in zip(ids, lost, strict=True)] for ids in (a, b))
-        n_a, n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-        of_a, of_b = np.cumsum(n_a), np.cumsum(n_b)
-        ids_a, ids_b = np.fromiter(chain.from_iterable(a), np.int64, of_a[-1]), np.fromiter(chain.from_iterable(b), np.int64, of_b[-1])
-        ends_a, ends_b = np.cumsum(self.a_size[ids_a]), np.cumsum(self.b_size[ids_b])
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        (ids_a, n_a, good_a), (ids_b, n_b, good_b) = self.back(*self.encode_a(new, size), self.a_known, size, own), self.back(*_flat(b), self.b_known, size, own)
+        lost = ~(good_a & good_b)
+        if lost.any():
+            ids_a, ids_b = ids_a[np.repeat(~lost, n_a)], ids_b[np.repeat(~lost, n_b)]
+            n_a, n_b = np.where(lost, 0, n_a), np.where(lost, 0, n_b)
+        of_a = np.cumsum(n_a)
+        ends_a, ends_b = np.cumsum(self.a_known[1][ids_a]), np.cumsum(self.b_known[1][ids_b])
         labels = np.zeros(ends_a[-1] if len(ends_a) else 0, np.uint8)
         labels[ends_a - 1] |= A_END
         labels[ends_b - 1] |= B_END
@@ -115,22 +122,53 @@ class Aligned:
         self.links, self.starts = np.concatenate([self.links, links]), np.concatenate([self.starts, self.starts[-1] + edge[1:]])
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
 
+    def encode_a(self, new: list[str], size: np.ndarray):
+        """A's tokens of all pieces, and how many each has. Pieces are joined to longer texts, in whose tokens their ends are found again; else each is encoded by itself."""
+        if self.cuts:
+            stop = next((i for i in range(len(new) - 1, -1, -1) if new[i] and not new[i][-1].isspace()), -1) + 1
+            texts = ["".join([f" {p}" for p in new[i : min(i + 256, stop)]]) for i in range(0, stop, 256)] + [f" {p}" for p in new[stop:]]
+            every, _ = _flat([x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)])
+            ends, wanted = np.cumsum(self.a_known[1][every]), np.cumsum(size)
+            place = np.searchsorted(ends, wanted)
+            if len(ends) and place[-1] == len(ends) - 1 and (ends[place] == wanted).all():
+                return every, np.diff(np.concatenate([[-1], place]))
+        return _flat([x.ids for x in self.a.encode_batch_fast([f" {p}" for p in new], add_special_tokens=False)])
+
+    @staticmethod
+    def back(every: np.ndarray, n: np.ndarray, known: tuple, size: np.ndarray, own: list):
+        """The tokens of all pieces, how many each has, and whether their bytes join to the piece's own ``size`` bytes."""
+        flat, length, start = known
+        wide = length[every]
+        made = np.diff(np.concatenate([[0], np.cumsum(wide)])[np.concatenate([[0], np.cumsum(n)])])
+        if not (made == size).all():
+            good = made == size
+            at = np.cumsum(n) - n
+            good[good] = [b"".join([flat[start[t] : start[t] + length[t]].tobytes() for t in every[at[i] : at[i] + n[i]]]) == own[i] for i in np.flatnonzero(good)]
+            return every, n, good
+        ends = np.cumsum(wide)
+        joined = flat[np.repeat(start[every] - ends + wide, wide) + np.arange(ends[-1] if len(ends) else 0)]
+        differ = np.flatnonzero(joined != np.frombuffer(b"".join(own), np.uint8))
+        good = np.ones(len(n), bool)
+        good[np.searchsorted(np.cumsum(size), differ, "right")] = False
+        return every, n, good
+
     def group(self, labels: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, of_a: np.ndarray) -> np.ndarray:
-        """Keep each piece's groups as text, each with a semicolon behind it; how many there are. The spans' label counts say how many tokens of A and of B a group has."""
+        """Keep each piece's groups as text, each with a semicolon behind it; how many there are. The labels of each span are counted: so many tokens of A and of B has the group."""
         spans = _SPAN.findall(labels.tobytes())
-        many = [np.array([x.count(kind) for x in spans], np.int64) + 1 for kind in (A_END, B_END)]
+        wide = np.fromiter(map(len, spans), np.int64, len(spans))
+        first = np.cumsum(wide) - wide
+        many = [np.add.reduceat((labels & kind > 0).astype(np.int64), first) if len(first) else first for kind in (A_END, B_END)]
         start = np.cumsum(many[0] + many[1]) - many[0] - many[1]
-        said = np.empty(len(ids_a) + len(ids_b), object)
-        for ids, n, first, words in ((ids_a, many[0], start, self.said_a), (ids_b, many[1], start + many[0], self.said_b)):
-            before = np.cumsum(n) - n
-            turn = np.arange(len(ids)) - np.repeat(before, n)
-            said[np.repeat(first, n) + turn] = words[ids + (turn == np.repeat(n, n) - 1) * (len(words) // 2)]
+        said, length = np.empty(len(ids_a) + len(ids_b), object), np.zeros(len(ids_a) + len(ids_b) + 1, np.int64)
+        for ids, n, begin, (words, sizes) in ((ids_a, many[0], start, self.said_a), (ids_b, many[1], start + many[0], self.said_b)):
+            turn = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
+            place, form = np.repeat(begin, n) + turn, ids + (turn == np.repeat(n, n) - 1) * (len(words) // 2)
+            said[place], length[place + 1] = words[form], sizes[form]
         text = "".join(said.tolist()).encode()
-        length = np.zeros(len(said) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, said), np.int64, len(said)), out=length[1:])
-        held = np.searchsorted(np.cumsum(many[0]), np.concatenate([[0], of_a]), "right")  # groups before each piece
-        held[np.concatenate([[0], of_a]) == 0] = 0
-        cut = length[np.append(start, len(said))[held]].tolist()
+        edge = np.concatenate([[0], of_a])
+        held = np.searchsorted(np.cumsum(many[0]), edge, "right")  # groups before each piece
+        held[edge == 0] = 0
+        cut = np.cumsum(length)[np.append(start, len(said))[held]].tolist()
         self.groups += [text[x:y] for x, y in zip(cut, cut[1:], strict=False)]
         return np.diff(held)
 
