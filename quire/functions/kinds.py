@@ -118,14 +118,14 @@ def title_points(x: Column, place: Column) -> Column:
 
 
 def ranked_titles(c: Column) -> Column:
-    """A page's candidates from the best down, in 140 characters each, the first of equals first."""
+    """A page's candidates as (title, points) from the best down, in 140 characters each, the first of equals first."""
     scored = lambda x, i: F.struct((-title_points(x, i)).alias("s"), i.alias("i"), F.substring(x, 1, 140).alias("t"))
-    return F.transform(F.array_sort(F.transform(candidates(lines_of(c)), scored)), lambda x: x["t"])
+    return F.transform(F.array_sort(F.transform(candidates(lines_of(c)), scored)), lambda x: F.struct(x["t"].alias("title"), (-x["s"]).alias("points")))
 
 
 def title_line(c: Column) -> Column:
     """The line that reads most like a title; null if no line can be one."""
-    return F.get(ranked_titles(c), F.lit(0))
+    return F.get(ranked_titles(c), F.lit(0))["title"]
 
 
 def token(c: Column) -> Column:
