@@ -3,6 +3,8 @@
 Every function takes whole texts. A null text counts as an empty one.
 """
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,6 +21,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 _powers: dict[str, np.ndarray] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
@@ -30,6 +33,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
         stop = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
         yield batch.slice(at, stop - at)
         at, done = stop, int(ends[stop - 1])
+    _hand_back()
+
+
+def _hand_back() -> None:
+    """Give freed memory back to the system, which allocators else keep in every Python worker."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -144,7 +144,7 @@ def score(docs: DataFrame, model: dict | None, key: str = "doc_id", text: str =
 
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, "_t"):
+            for piece in slices(batch, "_t", 1 << 19):
                 yield pa.RecordBatch.from_arrays([piece.column("_k"), piece.column("_o"), pa.array(scores(piece.column("_t"), _metadata(piece, columns), sent.value))], [key, "held_out", "score"])
 
     rows = docs.select(F.col(key).alias("_k"), held_out(key, folds, fold).alias("_o"), F.col(text).alias("_t"), *(F.col(c).cast("double").alias(m) for c, m in zip(metadata, columns, strict=True)))
@@ -163,7 +163,7 @@ def without_poor(docs: DataFrame, labels: DataFrame, text: str = "text", metadat
 
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, text):
+            for piece in slices(batch, text, 1 << 19):
                 yield piece.filter(pa.array(scores(piece.column(text), _metadata(piece, metadata), sent.value) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -3,7 +3,7 @@
 A text's features are the distinct n-grams of its lower-cased code points, white space made one blank, hashed. Each is
 scaled by r = log((p + 1) / |p + 1|) - log((q + 1) / |q + 1|), where p and q count the toxic and the other labelled texts that
 hold it; logistic regression is fitted on the scaled features. A task holds one text's n-grams at a time, or those of several
-that make up a megabyte: about 40 bytes for each character of the longest text.
+that make up a quarter of a megabyte: about 100 bytes for each character of the longest text.
 """
 
 import numpy as np
@@ -18,6 +18,7 @@ from quire.llm._text import by_row, mix, slices
 
 _BITS = 20
 _ORDERS = (3, 4, 5, 6, 7)
+_PIECE = 1 << 18  # bytes of texts whose n-grams are held at a time
 
 
 def features(column: pa.Array, used: np.ndarray | None = None):
@@ -54,7 +55,7 @@ def fit(column: pa.Array, y: np.ndarray, steps: int = 150, errors: float = 3.0,
     """
     width = 1 << _BITS
     p, q = np.zeros(width, np.int64), np.zeros(width, np.int64)
-    pieces = lambda: slices(pa.RecordBatch.from_arrays([column, pa.array(y)], ["text", "y"]), "text", 1 << 20)
+    pieces = lambda: slices(pa.RecordBatch.from_arrays([column, pa.array(y)], ["text", "y"]), "text", _PIECE)
     for piece in pieces():
         code, at = features(piece.column("text"))
         toxic = np.repeat(piece.column("y").to_numpy() == 1, np.diff(at))
@@ -104,7 +105,7 @@ def score(docs: DataFrame, model: dict | None, key: str = "doc_id", text: str =
 
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, "text", 1 << 20):
+            for piece in slices(batch, "text", _PIECE):
                 yield pa.RecordBatch.from_arrays([piece.column("key"), piece.column("out"), pa.array(scores(piece.column("text"), sent.value))], [key, "held_out", "score"])
 
     rows = docs.select(F.col(key).alias("key"), held_out(key, folds, fold).alias("out"), F.col(text).alias("text"))
@@ -123,7 +124,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", thresh
 
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, text, 1 << 20):
+            for piece in slices(batch, text, _PIECE):
                 yield piece.filter(pa.array(scores(piece.column(text), sent.value) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
