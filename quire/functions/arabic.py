@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions import repairs
 from quire.functions import text as tx
 
 #: Default stop words; pass another tuple to the functions that take one.
@@ -31,7 +32,7 @@ def fold_nfkc(c: Column) -> Column:
 
 def normalise(c: Column) -> Column:
     """Basic Arabic and Latin letters and digits, variants of one letter united, blanks between words."""
-    bare = tx.replaced(F.lower(nfkc(tx.normalise_digits(tx.clean(c)))), (tx.VOWEL_MARKS, ""), ("ـ", ""))
+    bare = tx.replaced(F.lower(nfkc(tx.normalise_digits(repairs.clean(c)))), (tx.VOWEL_MARKS, ""), ("ـ", ""))
     united = F.translate(bare, "إأآٱىئؤةگچپ", "اااايي" + "وهكجب")
     return tx.flat(F.regexp_replace(united, "[^\\u0621-\\u063A\\u0641-\\u064Aa-z0-9]+", " "))
 

@@ -13,6 +13,7 @@ from quire.operators import checks, quality, titles
 from quire.plans import corpus
 from quire.plans import sqltext as s
 from quire.plans.library import _COUNT, _OUT, _SIG, R, _numbers
+from quire.sources import tables
 
 _EXPECTED = f"CASE WHEN length({s.strip('text')}) < 1 THEN 'no-text' WHEN {s.damaged('text')} THEN 'damaged-text' WHEN lang = 'de' THEN 'ocr-text' ELSE 'clean-extracted-text' END"
 _KNOWN = (tx.NO_TEXT, tx.DAMAGED, tx.OCR, tx.CLEAN)
@@ -74,8 +75,11 @@ class _Layers:
             "unit": F.when((book == "src8") & (d % 2 == 0), "").when(book.isin("src2", "src9") & (d % 83 == 0), "a shared chapter of algebra").otherwise(F.col("unit")),
             "section": F.when(book.isin("src1", "src9"), "one").otherwise(F.col("section")),
         })
-        self.y = changed.withColumn("status", F.when(d % 53 == 0, None).when(d % 47 == 0, tx.OCR).otherwise(_expected()))
-        self.verdicts = _numbers(spark, sf)
+        path = [f"{sf}/documents.parquet"]
+        # what several checks read is worked out once, and each reads its own columns of it
+        self.y = tables.derived(spark, "checked", path, lambda: changed.withColumn("status", F.when(d % 53 == 0, None).when(d % 47 == 0, tx.OCR).otherwise(_expected())))
+        self.books = tables.derived(spark, "books", path, lambda: corpus.books(self.source))
+        self.verdicts = tables.derived(spark, "verdicts", path, lambda: _numbers(spark, sf))
 
     def rows(self, values, schema) -> DataFrame:
         return self.spark.createDataFrame(values, schema)

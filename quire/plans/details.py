@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.functions import arabic, grounding, kinds
+from quire.functions import arabic, grounding, kinds, repairs
 from quire.functions import text as tx
 from quire.operators import documents, search, semistructured, titles
 from quire.plans import corpus
@@ -262,3 +262,17 @@ def txt_evidence_label(spark, sf):
         of(3, "curriculum", "pdf-fallback", None), of(11, True, False, None, True, False, None, True, False, None, True, False), d % 13 == 0, d % 2 == 0, d % 17 < 9, F.col("needs_ocr"),
     )
     return corpus.pages(spark, sf).select("doc_id", label.alias("e")).select("doc_id", "e.*")
+
+
+#: What stands behind each page's text, and what it is put right to; by doc_id % 11.
+_REPAIRS = (
+    (" \uf048 \uf056", " صلى الله عليه وسلم رحمه الله"), (" اﷲ و\ufdf2", " الله والله"), (" الكرمي الكرمية", " الكريم الكرمية"), (" االسالمية", " الاسلامية"), (" بسم اهلل وهلل هللا", " بسم الله والله الله"),
+    (" (االقتصاد واالقتصاد", " (القتصاد واالقتصاد"), (" املدرسة كامل امل", " المدرسة كامل امل"), (" \ufefb \ufedf\ufea0", " لا لج"), (" الر\u200fحمي", " الرحيم"), (" ½ ﬁ", " ½ ﬁ"), ("", ""),
+)
+_SET = lambda i: "list_extract([" + ", ".join(f"'{pair[i]}'" for pair in _REPAIRS) + "], CAST(doc_id % 11 AS INTEGER) + 1)"
+
+
+@R.add(f"SELECT doc_id, {s.clean('text || ' + _SET(1))} AS value FROM p")
+def txt_repaired(spark, sf):
+    added = F.get(F.array(*(F.lit(pair[0]) for pair in _REPAIRS)), (F.col("doc_id") % 11).cast("int"))
+    return corpus.pages(spark, sf).select("doc_id", repairs.clean(F.concat("text", added)).alias("value"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quire.functions import grounding, kinds
+from quire.functions import answers, arabic, grounding, kinds, repairs
 from quire.operators import titles
 
 
@@ -79,3 +79,24 @@ def test_years(spark):
 def test_damage(spark):
     rows = spark.createDataFrame([(" االكتاب",), (" االكتاب �",), ("�",), ("fine",), (None,)], "text string")
     assert tuple(titles.damage_decomposition(rows, "(^|[ ])اال", "$1ال").first()) == (1, 1, 1)
+
+
+def test_repairs(spark):
+    put = lambda t: _one(spark, repairs.clean(F.col("text")), t)
+    assert put(None) == "" and put("a  b\r\n\n\n\nc \u200f") == "a b\n\nc" and put("½ ﬁ Ⅸ") == "½ ﬁ Ⅸ"
+    assert put("قال \uf048 و\uf04a") == "قال صلى الله عليه وسلم ورضي الله عنهم" and put("\uf001") == "\uf001"
+    assert put("القرآن الكرمي، الكرميين") == "القرآن الكريم، الكرميين" and put("باهلل اهلل هلل") == "بالله الله هلل"
+    assert put("االنتاج واالنتاج (االله") == "النتاج واالنتاج (الله" and put("املعلم العاملون معامل") == "المعلم العاملون معامل"
+    assert put(put("االنتاج اﷲ")) == put("االنتاج اﷲ") == "النتاج الله" and put("\ufee3\ufea4\ufee4\ufeaa") == "محمد"
+    assert _one(spark, arabic.normalise(F.col("text")), "االقتصاد \uf056") == "القتصاد رحمه الله"
+
+
+def test_answers(spark):
+    read = lambda t: tuple(_one(spark, answers.reading(F.col("text")), t))
+    assert read(None) == read("\ufeff \n") == (None, answers.EMPTY) and read("words {not} json") == (None, answers.NOT_JSON)
+    assert read('x ```json\n{"text": "a\\n\u00e9"}\n``` {"text": "b"}') == ("a\n\u00e9", None) and read('say {"fullText": "f", "text": 3} ok') == ("f", None)
+    assert read('{"note": {"text": "deep"}}') == (None, answers.MISSING) and read('{"text": "cut') == (None, answers.SERIALISED) and read('["text"]') == (None, answers.NOT_JSON)
+    assert read('```\nno\n``` {"text": ""}') == ("", None)
+    canonical = lambda t: _one(spark, answers.canonical(F.col("text")), t)
+    assert canonical('{"b":[{"z":1,"a":null}], "a" : {"d":"x","c":true}}') == '{"a":{"c":true,"d":"x"},"b":[{"a":null,"z":1}]}'
+    assert canonical("{") is None and canonical(None) is None and canonical('{"a":1,"a":2}') is None and canonical("[2,1]") == "[2,1]"
