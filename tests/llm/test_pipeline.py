@@ -114,3 +114,28 @@ def test_mixing_equals_its_sql(stages):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{stages['decontamination'][2]}/*.parquet'")
     want = con.sql(oracles.SQL["op10_mixing"])
     assert Counter(tuple(r[c] for c in want.columns) for r in after.collect()) == Counter(want.fetchall())
+
+
+def test_edge_cases_through_run(spark, tmp_path):
+    """Nulls, empty texts, copies, repeated rows and columns with names that the stages use; then no rows at all."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+    text = lambda n: " ".join(words[(n * 7 + i * (n + 1)) % len(words)] + str(n % 5) for i in range(30))
+    leak = "this very passage of the benchmark has nine words"
+    rows = [(i, text(i), "en", "s" if i % 2 else None) for i in range(12)] + [(50, text(3), "en", "s"), (51, text(3) + " more", None, "s"), (60, f"before {leak} after it all", "en", "t"), (None, text(4) + " unlike", "en", "t"), (70, None, "en", "s"), (71, "", "en", "s"), (1, text(1), "en", "s")]
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    clash = "score double, size int, held_out string, predicted int, _k int, _y int, key string, keep int, _bad int, taken string"
+    docs = spark.createDataFrame([(*r, None if r[0] == 5 else len(r[1] or ""), 0.5, 1, "x", 1, 1, 1, "k", 1, 1, "t") for r in rows], f"{names}, {clash}")
+    bench = spark.createDataFrame([(1, leak), (2, None), (3, "")], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(4)] + [(None, 1, 1), (9999, 0, 1)], "doc_id long, quality int, toxic int")
+    for name, made in (("full", docs), ("none", docs.limit(0))):
+        made.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        labels.where("doc_id < 0").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/full")
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    kept = sorted((r["doc_id"] for r in got.collect()), key=str)
+    assert 60 not in kept and 50 not in kept and 51 not in kept and {3, 5, 7} <= set(kept) and None in kept
+    assert kept.count(1) <= 2 and len({70, 71} & set(kept)) >= 1
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    labels.write.mode("overwrite").parquet(f"{tmp_path}/full/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/full").count() <= len(kept)
