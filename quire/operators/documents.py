@@ -91,6 +91,61 @@ def searchable_text(columns: list[str]) -> Column:
     return F.array_join(F.filter(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), lambda x: tx.strip(x) != ""), "\n")
 
 
+# fixed values: words under which structured content is found
+FIGURE, GLOSSARY, ACTIVITIES, EXERCISES, EXERCISE = "صورة", "مفردات معجم", "نشاط تمارين", "تمارين", "التمرين"
+#: The nested content that ``whole_search_text`` reads; each may be null or empty, as may be its parts.
+NESTED = {
+    "figures": "array<struct<kind:string,caption:string,description:string,figure_text:array<string>>>",
+    "glossary": "array<struct<term:string,pos:string,definition:string>>",
+    "activities": "array<struct<type:string,instruction:string,answer_format:string,dispatch:struct<target:string,printed_from:int,printed_to:int>,questions:array<string>>>",
+    "exercises": "array<struct<letter:string,instruction:string,items:array<struct<kind:string,stem:string>>>>",
+}
+
+
+def _said(*parts: Column | str) -> Column:
+    return F.concat_ws(" ", *(F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts))
+
+
+def _each(c: Column, told, sign: str) -> Column:
+    return F.coalesce(F.array_join(F.transform(c, told), sign), F.lit(""))
+
+
+def _words(c: Column) -> Column:
+    """A list's texts with a blank before each, so that an empty list adds nothing; nulls count as empty."""
+    return F.coalesce(F.array_join(F.transform(c, lambda x: F.concat(F.lit(" "), F.coalesce(x, F.lit("")))), ""), F.lit(""))
+
+
+def nested_text(name: str, c: Column) -> Column:
+    """What a page's figures, glossary, activities or exercises add to its search text."""
+    if name == "figures":
+        return _each(c, lambda f: _said(FIGURE, f["kind"], f["caption"], f["description"], F.array_join(F.coalesce(f["figure_text"], F.array().cast("array<string>")), " ", "")), "\n")
+    if name == "glossary":
+        return F.concat(F.lit(f"{GLOSSARY}\n"), _each(c, lambda g: _said(g["term"], g["pos"], g["definition"]), " "))
+    if name == "activities":
+        to = lambda a: F.when(a["dispatch"].isNotNull(), _said(a["dispatch"]["target"], a["dispatch"]["printed_from"], a["dispatch"]["printed_to"]))
+        return F.concat(F.lit(f"{ACTIVITIES}\n"), _each(c, lambda a: F.concat(_said(a["type"], a["instruction"], a["answer_format"], to(a)), _words(a["questions"])), " "))
+    items = lambda e: _words(F.transform(e["items"], lambda i: _said(i["kind"], i["stem"])))
+    return F.concat(F.lit(f"{EXERCISES}\n"), _each(c, lambda e: F.concat(_said(EXERCISE, e["letter"], e["instruction"]), items(e)), "\n"))
+
+
+def whole_search_text(plain: list[str]) -> Column:
+    """All 17 parts of a page that are searched, a line each: the ``plain`` columns in their order, then the ``NESTED`` ones; nulls are empty."""
+    return F.concat_ws("\n", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in plain), *(nested_text(name, F.col(name)) for name in NESTED))
+
+
+def with_layers(pages: DataFrame, outline: DataFrame, extra: DataFrame, keys: tuple = ("book_id", "physical_page")) -> DataFrame:
+    """Pages with what the outline and the enrichment say of them, under ``outline`` and ``extra``; null where a layer lacks the page.
+
+    A layer that has a page twice gives its smallest row, so that no page is doubled.
+    """
+    out = pages
+    for name, layer in (("outline", outline), ("extra", extra)):
+        rest = [c for c in layer.columns if c not in keys]
+        held = layer.groupBy(*keys).agg(F.min(F.struct(*rest)).alias(name))
+        out = out.join(held, list(keys), "left")
+    return out
+
+
 def scan_meta(docs: DataFrame) -> DataFrame:
     """The columns that a scan reads, with defaults, and none of a page's text but its search form.
 

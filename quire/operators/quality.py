@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
@@ -118,6 +118,13 @@ def summary_coverage(pages: DataFrame, thin: float = 0.015) -> DataFrame:
     return few.join(middle, "book_id").select("book_id", tx.round_half_up(F.col("median"), 4).alias("median_coverage"), "thin")
 
 
+def top_values(rows: DataFrame, value: str, most: int = 5, group: str = "book_id") -> DataFrame:
+    """(group, rank, value, n): each group's commonest values, of equals the smaller first; null and empty ones don't count."""
+    counts = rows.where(F.coalesce(F.col(value), F.lit("")) != "").groupBy(group, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "value"))
+    return counts.withColumn("rank", place).where(F.col("rank") <= most).select(group, "rank", "value", "n")
+
+
 def field_quality(pages: DataFrame) -> DataFrame:
     """Empty, short and distinct purposes, units and sections per book."""
     blank = lambda c: tx.strip(F.coalesce(F.col(c), F.lit(""))) == ""

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import arabic, grounding, kinds, repairs
 from quire.functions import text as tx
-from quire.operators import documents, search, semistructured, titles
+from quire.operators import documents, quality, search, semistructured, titles
 from quire.plans import corpus
 from quire.plans import sqltext as s
 from quire.plans.corpus import table
@@ -276,3 +276,59 @@ _SET = lambda i: "list_extract([" + ", ".join(f"'{pair[i]}'" for pair in _REPAIR
 def txt_repaired(spark, sf):
     added = F.get(F.array(*(F.lit(pair[0]) for pair in _REPAIRS)), (F.col("doc_id") % 11).cast("int"))
     return corpus.pages(spark, sf).select("doc_id", repairs.clean(F.concat("text", added)).alias("value"))
+
+
+_PLAIN = ["book_title", "subject", "title", "section", "unit", "work", "author", "section_path", "page_type", "purpose", "summary", "text", "outline_summary"]
+
+
+def _structured(spark, sf):
+    """Pages with their book and with nested content on some of them."""
+    p = corpus.pages(spark, sf)
+    rows = p.join(corpus.books(p).select("book_id", F.col("title").alias("book_title"), "subject"), "book_id")
+    d, none = F.col("doc_id"), F.lit(None).cast("string")
+    text = lambda c: F.lit(c) if c is not None else none
+    figure = lambda kind, caption, said: F.struct(kind.alias("kind"), caption.alias("caption"), none.alias("description"), said.alias("figure_text"))
+    figures = F.array(figure(F.col("lang"), F.col("title"), F.array(text("a"), F.col("section"))), figure(none, F.col("unit"), F.lit(None).cast("array<string>")))
+    word = lambda term, pos, said: F.struct(term.alias("term"), pos.alias("pos"), said.alias("definition"))
+    glossary = F.array(word(F.col("lang"), none, F.col("unit")), word(text("t"), text("n"), F.col("title")))
+    dispatch = F.struct(text("page").alias("target"), F.lit(1).alias("printed_from"), F.lit(2).alias("printed_to"))
+    activity = lambda to, asked: F.struct(text("read").alias("type"), F.col("title").alias("instruction"), none.alias("answer_format"), to.alias("dispatch"), asked.alias("questions"))
+    activities = F.array(activity(dispatch, F.array(text("q1"), F.col("unit"))), activity(F.lit(None).cast("struct<target:string,printed_from:int,printed_to:int>"), F.lit(None).cast("array<string>")))
+    exercises = F.array(F.struct(text("D").alias("letter"), F.col("title").alias("instruction"), F.array(F.struct(text("k").alias("kind"), F.col("unit").alias("stem")), F.struct(none.alias("kind"), text("s").alias("stem"))).alias("items")))
+    nested = {"figures": F.when(d % 2 == 0, figures), "glossary": F.when(d % 3 == 0, glossary), "activities": F.when(d % 4 == 0, activities), "exercises": F.when(d % 5 == 0, exercises)}
+    plain = {"work": F.when(d % 2 == 1, "a work"), "author": F.when(d % 3 == 1, F.col("lang")), "section_path": F.concat(F.lit("1/"), F.col("section")), "outline_summary": F.when(d % 7 == 0, F.col("summary"))}
+    return rows.withColumns(plain).withColumns({k: v.cast(documents.NESTED[k]) for k, v in nested.items()})
+
+
+@R.add(
+    "SELECT doc_id, concat_ws(chr(10), 'Book ' || p.book_id, 'subject ' || right(p.book_id, 1), title, section, unit, CASE WHEN doc_id % 2 = 1 THEN 'a work' ELSE '' END, CASE WHEN doc_id % 3 = 1 THEN lang ELSE '' END, '1/' || section, page_type, purpose, summary, text, CASE WHEN doc_id % 7 = 0 THEN summary ELSE '' END, "
+    "CASE WHEN doc_id % 2 = 0 THEN 'صورة ' || lang || ' ' || title || '  a ' || section || chr(10) || 'صورة  ' || unit || '  ' ELSE '' END, 'مفردات معجم' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN lang || '  ' || unit || ' t n ' || title ELSE '' END, "
+    "'نشاط تمارين' || chr(10) || CASE WHEN doc_id % 4 = 0 THEN 'read ' || title || '  page 1 2 q1 ' || unit || ' read ' || title || '  ' ELSE '' END, 'تمارين' || chr(10) || CASE WHEN doc_id % 5 = 0 THEN 'التمرين D ' || title || ' k ' || unit || '  s' ELSE '' END) AS value FROM p"
+)
+def proj_whole_search_text(spark, sf):
+    """All 17 parts, nested ones included."""
+    return _structured(spark, sf).select("doc_id", documents.whole_search_text(_PLAIN).alias("value"))
+
+
+@R.add("SELECT p.book_id, p.physical_page, CASE WHEN doc_id % 3 <> 0 THEN 'outline of ' || title END AS outlined, CASE WHEN doc_id % 4 = 0 THEN 'better ' || section END AS section, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS enriched FROM p")
+def join_page_layers(spark, sf):
+    """Pages with outline and enrichment; the outline has every fifth of its pages twice."""
+    p = corpus.pages(spark, sf)
+    outline = p.where("doc_id % 3 <> 0").select("book_id", "physical_page", F.concat(F.lit("outline of "), "title").alias("title"))
+    outline = outline.unionByName(outline.where("physical_page % 5 = 0"))
+    extra = p.where("doc_id % 4 = 0").select("book_id", "physical_page", F.concat(F.lit("better "), "section").alias("section"))
+    rows = documents.with_layers(p.select("book_id", "physical_page", "text"), outline, extra)
+    return rows.select("book_id", "physical_page", F.col("outline.title").alias("outlined"), F.col("extra.section").alias("section"), F.col("extra").isNotNull().cast("int").alias("enriched"))
+
+
+@R.add("SELECT book_id, CAST(rank AS INTEGER) AS rank, value, n FROM (SELECT book_id, value, n, row_number() OVER (PARTITION BY book_id ORDER BY n DESC, value) AS rank FROM (SELECT book_id, title AS value, count(*) AS n FROM p WHERE title <> '' GROUP BY 1, 2)) WHERE rank <= 5")
+def qc_title_top5(spark, sf):
+    return quality.top_values(corpus.pages(spark, sf), "title")
+
+
+@R.add("SELECT book_id, CAST(rank AS INTEGER) AS rank, value, n FROM (SELECT book_id, value, n, row_number() OVER (PARTITION BY book_id ORDER BY n DESC, value) AS rank FROM (SELECT book_id, page_type || '-' || doc_id % 9 AS value, count(*) AS n FROM p WHERE doc_id % 2 = 0 GROUP BY 1, 2)) WHERE rank <= 5")
+def qc_type_top5(spark, sf):
+    """The commonest page types that are no known one."""
+    kind = F.when(F.col("doc_id") % 2 == 0, F.concat_ws("-", "page_type", (F.col("doc_id") % 9).cast("string"))).otherwise(F.col("page_type"))
+    odd = corpus.pages(spark, sf).withColumn("page_type", kind).where(~F.col("page_type").isin("cover", *corpus.PAGE_TYPES))
+    return quality.top_values(odd, "page_type")
