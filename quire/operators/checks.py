@@ -3,6 +3,8 @@
 A severity is null where nothing is wrong, and such rows are dropped. Library-wide checks bear the book_id ``library``.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,15 +123,17 @@ def c13_coverage(index: DataFrame) -> DataFrame:
     return found(quality.summary_coverage(index.where(F.length("text") >= 20)), "C13", F.when(median < 0.015, "high").when(median < 0.03, "medium"))
 
 
-def c14_purpose(index: DataFrame) -> DataFrame:
+def c14_purpose(index: DataFrame, measured: DataFrame | None = None) -> DataFrame:
+    """The commonest purpose above 90 %: high; empty purposes above 20 %: medium. measured: book_id, pages, purpose_empty, where they are known."""
     shares = quality.duplicate_share(index, "purpose").select("book_id", (F.col("most") / F.col("filled")).alias("same"))
-    rows = quality.field_quality(index).join(shares, "book_id", "left")
+    rows = (quality.field_quality(index) if measured is None else measured).join(shares, "book_id", "left")
     return found(rows, "C14", F.when(F.col("same") > 0.9, "high").when(F.col("purpose_empty") > 0.2 * F.col("pages"), "medium"))
 
 
-def c15_units(index: DataFrame, generic: str = GENERIC_UNIT) -> DataFrame:
+def c15_units(index: DataFrame, generic: str = GENERIC_UNIT, measured: DataFrame | None = None) -> DataFrame:
+    """Units of other books: high; empty units above 30 %: medium. measured: book_id, pages, unit_empty, where they are known."""
     foreign = counted(quality.foreign_units(index, generic=generic))
-    rows = quality.field_quality(index).join(foreign, "book_id", "left")
+    rows = (quality.field_quality(index) if measured is None else measured).join(foreign, "book_id", "left")
     return found(rows, "C15", F.when(F.col("n") > 0, "high").when(F.col("unit_empty") > 0.3 * F.col("pages"), "medium"))
 
 
@@ -173,3 +177,40 @@ def d21_dead(layers: DataFrame, readers: DataFrame) -> DataFrame:
 
 def d22_duplicated(index: DataFrame, least: int = 3) -> DataFrame:
     return found(duplicates.cross_book_pairs(index, least).select(F.lit(LIBRARY).alias("book_id")), "D22", F.lit("medium"))
+
+
+#: The checks whose findings ``of_measures`` reads from one row per book.
+MEASURED = ("A4", "A6", "A7", "A8", "B7", "B9", "B11", "C16")
+
+
+def measures(index: DataFrame, expected: Column, statuses: tuple, types: tuple, quoted: str, fields: list[str]) -> DataFrame:
+    """One row per book with all that the ``MEASURED`` checks count, in one pass over the pages."""
+    text, status = F.col("text"), F.col("status")
+    blank = lambda c: tx.strip(F.coalesce(F.col(c), F.lit(""))) == ""
+    seen = lambda pattern: F.sum(F.regexp_count("text", F.lit(pattern)))
+    missing, empty = ~F.coalesce(status.isin(*statuses), F.lit(False)), tx.strip(text) == ""
+    json = [F.coalesce(F.col(f).rlike(tx.SERIALISED), F.lit(False)) for f in fields]
+    other = [F.coalesce(F.col(f).rlike(tx.CJK) | F.col(f).rlike(tx.HEBREW), F.lit(False)) for f in fields]
+    some = lambda holds: F.count_if(reduce(lambda a, b: a | b, holds))
+    return index.groupBy("book_id").agg(
+        F.count("*").alias("pages"), F.sum(F.length("text")).alias("characters"), seen("\ufffd").alias("replacement"), seen(tx.PRIVATE).alias("private"), seen(quality.BROKEN_NAMES).alias("broken_names"), seen("[پچژگکی]").alias("persian"),
+        seen(tx.OUT_OF_RANGE).alias("out_of_range"), F.count_if(text.rlike(quality.BROKEN_MATH)).alias("math"), F.count_if(empty).alias("empty"), F.count_if(empty & (tx.strip(F.concat_ws("", "title", "summary")) != "")).alias("described"),
+        F.count_if(missing).alias("status_missing"), F.count_if(~missing & (status != expected)).alias("status_differing"), some(json).alias("json"), some(other).alias("foreign_script"),
+        F.count_if((F.coalesce(F.col("page_type"), F.lit("")) != "") & ~F.col("page_type").isin(*types)).alias("odd_types"), F.count_if(F.col("book_id").rlike(quoted) & text.rlike(f"\ufffd|{tx.PRIVATE}")).alias("unquotable"),
+        F.min("section").alias("first_section"), F.max("section").alias("last_section"), F.count_if(blank("purpose")).alias("purpose_empty"), F.count_if(blank("unit")).alias("unit_empty"),
+    )
+
+
+def of_measures(measured: DataFrame) -> DataFrame:
+    """The findings of the ``MEASURED`` checks; the same as those of each by itself."""
+    n = F.col
+    share = lambda c, digits=2: tx.round_half_up(n(c) / n("pages"), digits)
+    told = (
+        ("A4", F.when(n("replacement") > 0, "high")), ("A4", F.when(n("private") > 0, "high")), ("A4", F.when(n("broken_names") > 0, "high")), ("A4", F.when(n("persian") > 0, "medium")), ("A4", F.when(n("out_of_range") > 0.02 * n("characters"), "medium")),
+        ("A6", F.when(n("math") > 0, F.when(share("math", 4) > 0.3, "high").when(share("math", 4) > 0.1, "medium").otherwise("low"))), ("A7", F.when(n("empty") > 0, F.when((share("empty") > 0.1) | (n("described") > 0), "high").otherwise("medium"))),
+        ("A8", F.when(n("status_missing") + n("status_differing") > 0, F.when((n("status_missing") == n("pages")) & (n("status_differing") == 0), "medium").otherwise("high"))),
+        ("B7", F.when(n("json") > 0, "critical").when(n("foreign_script") > 0, "high")), ("B9", F.when(n("odd_types") > 0, F.when(n("odd_types") > 0.2 * n("pages"), "high").otherwise("medium"))), ("B11", F.when(n("unquotable") > 0, "critical")),
+        ("C16", F.when(n("first_section").eqNullSafe(n("last_section")) & (n("pages") > 1), F.when(n("pages") > 50, "high").otherwise("medium"))),
+    )
+    each = F.explode(F.array(*(F.struct(F.lit(code).alias("code"), severity.alias("severity")) for code, severity in told))).alias("f")
+    return measured.select("book_id", each).select("book_id", "f.code", "f.severity").where("severity is not null")

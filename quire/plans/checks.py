@@ -252,9 +252,13 @@ def qc_claims(spark, sf):
 
 
 def findings(spark, sf) -> DataFrame:
-    """All findings of all checks."""
+    """All findings of all checks; those that count pages of the indexed layer read one table of measures."""
     layers = _Layers(spark, sf)
-    return reduce(DataFrame.unionByName, (run(layers) for run, _, _ in CHECKS.values()))
+    path = [f"{sf}/documents.parquet"]
+    measured = tables.derived(spark, "measures", path, lambda: checks.measures(layers.y, _expected(), _KNOWN, corpus.PAGE_TYPES, "src[0-9]$", ["title", "summary"]))
+    own = {"C14": lambda: checks.c14_purpose(layers.y, measured), "C15": lambda: checks.c15_units(layers.y, measured=measured)}
+    rest = (own[code]() if code in own else run(layers) for code, (run, _, _) in CHECKS.items() if code not in checks.MEASURED)
+    return reduce(DataFrame.unionByName, rest, checks.of_measures(measured))
 
 
 _FIND = Y + ", find AS (" + " UNION ALL ".join(map(_whole, CHECKS)) + f"""),
