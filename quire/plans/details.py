@@ -31,6 +31,9 @@ def doc_spread_summary(spark, sf):
     return corpus.pages(spark, sf).select("doc_id", F.when(value == "", F.col("title")).otherwise(value).alias("value"))
 
 
+R.sql["txt_spread_summary"] = R.sql["doc_spread_summary"].replace("CASE WHEN value = '' THEN title ELSE value END AS value", "value")
+
+
 @R.add("SELECT doc_id, title AS question, CAST(1 AS INTEGER) AS answer_at FROM p WHERE title <> '' AND doc_id % 3 < 2")
 def quiz_valid(spark, sf):
     answer = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("of "), "book_id")).when(F.col("doc_id") % 3 == 1, "1").otherwise("none of them")

@@ -1012,7 +1012,7 @@ def ord_histogram(spark, sf):
     return table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
 
 
-@R.add()
+@R.add("SELECT conv_id || '#' || turn AS stream, 0 AS at, role AS event, text AS data FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL UNION ALL SELECT conv_id || '#' || turn, 1, 'message', '[DONE]' FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL".replace(" AS at", ' AS "at"'), base=False)
 def sse_events(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("event: "), "role", F.lit("\ndata: "), F.replace("text", F.lit("\n"), F.lit("\ndata: ")), F.lit("\n\ndata: [DONE]")).alias("raw"))
     return semistructured.sse_events(rows.withColumn("stream", F.concat_ws("#", F.col("conv_id").cast("string"), F.col("turn").cast("string"))), "stream", "raw")
@@ -1057,7 +1057,10 @@ def layout_dedup(spark, sf):
     return layout.deduplicated(once.unionByName(copy)).groupBy("page").agg(F.count("*").alias("items"))
 
 
-@R.add()
+@R.add(
+    _ITEMS + "k AS (SELECT page, row, x, w, str, lag(x) OVER o AS b, lag(x + w) OVER o AS e FROM r WHERE trim(str) <> '' WINDOW o AS (PARTITION BY page, row ORDER BY x)), m AS (SELECT *, CASE WHEN e <= x THEN x - e ELSE b - x - w END AS gap FROM k), "
+    "l AS (SELECT page, row, string_agg(CASE WHEN b IS NULL THEN '' WHEN gap > 28 THEN ' | ' WHEN gap >= 6 THEN ' ' ELSE '' END || str, '' ORDER BY x) AS line FROM m GROUP BY page, row) SELECT page, string_agg(line, chr(10) ORDER BY row DESC) AS text FROM l GROUP BY page", base=False,
+)
 def layout_page_text(spark, sf):
     return layout.page_text(layout.rows(layout.deduplicated(layout.baselines(_items(spark, sf)).drop("h"))))
 
