@@ -132,3 +132,47 @@ def test_labels_of_absent_documents_take_no_place(spark):
     assert one == two and len(one) == 200
     with pytest.warns(UserWarning, match="no labelled rows"):
         assert fitted(sample(docs, labels.where("doc_id < 0"), "doc_id", "toxic", held_out("doc_id", 5, 0), 200), len, "text") is None
+
+
+def test_machine_is_trained_as_plain_steps_over_all_pairs():
+    """Mini-batch AdaGrad with the gradient of each weight taken from the pairwise definition, feature by feature."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("ab cd ef gh ij kl mn".split()) for _ in range(rng.randint(0, 6))) for _ in range(45)]
+    y, meta = np.array([rng.randint(0, 1) for _ in texts]), np.array([[rng.random()] for _ in texts])
+    factors, epochs, batch, rate, ridge = 3, 2, 8, 0.05, 1e-4
+    model = quality.fit(pa.array(texts), meta, y, factors, epochs, batch, rate, ridge)
+    code, value, at, stats = quality.features(pa.array(texts))
+    dense = np.concatenate([stats, meta], 1)
+    dense = np.clip((dense - dense.mean(0)) / (dense.std(0) + 1e-6), -4, 4)
+    draw, width, n = np.random.default_rng(0), 1 << 16, dense.shape[1]
+    v, u = draw.normal(0, 0.02, (width, factors)), draw.normal(0, 0.02, (n, factors))
+    words = sorted(set(code.tolist()))
+    names = [("w", c) for c in words] + [("d", j) for j in range(n)]
+    single, inner = dict.fromkeys(names, 0.0), {k: (v if k[0] == "w" else u)[k[1]].copy() for k in names}
+    shift, seen_shift, seen_single, seen_inner = 0.0, 1e-8, dict.fromkeys(names, 1e-8), {k: np.full(factors, 1e-8) for k in names}
+    rows = [{**{("w", int(c)): float(x) for c, x in zip(code[at[i] : at[i + 1]], value[at[i] : at[i + 1]], strict=True)}, **{("d", j): dense[i, j] for j in range(n)}} for i in range(len(texts))]
+
+    def margin(x):
+        keys = list(x)
+        return shift + sum(single[k] * x[k] for k in keys) + sum(x[p] * x[q] * (inner[p] @ inner[q]) for i, p in enumerate(keys) for q in keys[:i])
+
+    train = np.flatnonzero(np.arange(len(y)) % 5 != 4)
+    for _ in range(epochs):
+        draw.shuffle(train)
+        for i in range(0, len(train), batch):
+            chosen = sorted(train[i : i + batch].tolist())
+            errors = {r: (1 / (1 + math.exp(-margin(rows[r]))) - y[r]) / len(chosen) for r in chosen}
+            met = {k for r in chosen for k in rows[r]}
+            slopes = {k: (sum(errors[r] * rows[r].get(k, 0) for r in chosen) + ridge * single[k], sum(errors[r] * rows[r][k] * sum(inner[q] * x for q, x in rows[r].items() if q != k) for r in chosen if k in rows[r]) + ridge * inner[k]) for k in met}
+            for k, (one, many) in slopes.items():
+                seen_single[k] += one**2
+                seen_inner[k] = seen_inner[k] + many**2
+                single[k] -= rate * one / math.sqrt(seen_single[k])
+                inner[k] = inner[k] - rate * many / np.sqrt(seen_inner[k])
+            seen_shift += sum(errors.values()) ** 2
+            shift -= rate * sum(errors.values()) / math.sqrt(seen_shift)
+    assert model["w0"] == pytest.approx(shift, rel=1e-3, abs=1e-4)
+    assert [model["w"][c] for c in words] == pytest.approx([single["w", c] for c in words], rel=1e-3, abs=1e-4)
+    assert model["wd"].tolist() == pytest.approx([single["d", j] for j in range(n)], rel=1e-3, abs=1e-4)
+    assert np.allclose([model["v"][c] for c in words], [inner["w", c] for c in words], rtol=1e-3, atol=1e-4)
+    assert np.allclose(model["u"], [inner["d", j] for j in range(n)], rtol=1e-3, atol=1e-4)
