@@ -55,7 +55,7 @@ _SLIM = ["printed_page", "title", "summary", "section", "unit", "page_type", "pu
 def _shards(spark, sf) -> str:
     """The library behind shard pointers, of 16 pages each; written once."""
     key = ("shards", spark.sparkContext.applicationId, sf, str(tables.stamp(spark, f"{sf}/documents.parquet")))
-    if key not in _folders:
+    if key not in _folders or not tables.is_there(spark, f"{_folders[key]}/docs/_SUCCESS"):
         path = f"{tables.shared_folder(spark)}/shards"
         shards.write(corpus.pages(spark, sf).withColumn("evidence_status", _evidence()), path, _SLIM, 16)
         _folders[key] = path

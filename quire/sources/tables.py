@@ -1,6 +1,6 @@
 """Derived tables that many queries read: written once to the folder that all executors share, and read from there.
 
-A table is derived again when a file of its sources changes. Sessions have tables of their own.
+A table is derived again when a file of its sources changes, or when what was written is gone. Sessions have tables of their own.
 """
 
 import tempfile
@@ -39,11 +39,16 @@ def stamp(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted(out))
 
 
+def is_there(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def derived(spark: SparkSession, name: str, sources: list[str], make: Callable[[], DataFrame], partitions: tuple = ()) -> DataFrame:
     """What ``make`` gives, written as Parquet at the first call; ``partitions``: columns that the files are laid out by."""
     key = (spark.sparkContext.applicationId, name, tuple(sources))
     now = str([stamp(spark, p) for p in sources])
-    if key not in _made or _made[key][0] != now:
+    if key not in _made or _made[key][0] != now or not is_there(spark, f"{_made[key][1]}/_SUCCESS"):
         path, df = f"{shared_folder(spark)}/{name}", make()
         writer = df.write.partitionBy(*partitions) if partitions else df.write
         writer.parquet(path)

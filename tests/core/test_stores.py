@@ -117,3 +117,22 @@ def test_a_point_read_opens_one_shard(spark, tmp_path):
     assert shards.page(spark, f"{tmp_path}/none", "b3", 15, f"{tmp_path}/whole").count() == 1
     with pytest.raises(ValueError, match="nothing to write"):
         shards.write(docs.limit(0), path, ["title"])
+
+
+def test_derived_tables_follow_their_sources(spark, tmp_path):
+    from quire.sources import tables
+
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.read.parquet(f"{tmp_path}/in").withColumn("twice", F.col("id") * 2)
+
+    spark.range(3).write.parquet(f"{tmp_path}/in")
+    read = lambda: sorted(r["twice"] for r in tables.derived(spark, "test", [f"{tmp_path}/in"], make).collect())
+    assert read() == read() == [0, 2, 4] and len(made) == 1
+    spark.range(3, 5).write.mode("append").parquet(f"{tmp_path}/in")
+    assert read() == [0, 2, 4, 6, 8] and len(made) == 2
+    path = next(p for (_, name, _), (_, p) in tables._made.items() if name == "test").removeprefix("file:").replace("//", "/")
+    os.rename(path, f"{path}-gone")
+    assert read() == [0, 2, 4, 6, 8] and len(made) == 3
