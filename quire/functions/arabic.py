@@ -27,7 +27,7 @@ _MAY_CHANGE = "[^\\x00-\\x9F\\u00A1-\\u00A7\\u00A9\\u00AB-\\u00AE\\u00B0\\u00B1\
 
 def fold_nfkc(c: Column) -> Column:
     """``fold`` of the NFKC form; only values that NFKC may change are handed to Python."""
-    return tx.fold(F.coalesce(nfkc(F.when(c.rlike(_MAY_CHANGE), c)), c))
+    return tx.fold(F.coalesce(nfkc(F.when(tx.beyond_ascii(c).rlike(_MAY_CHANGE), c)), c))
 
 
 def normalise(c: Column) -> Column:

@@ -72,14 +72,16 @@ TOOLS = {
 }
 
 
-def register(spark: SparkSession, pages: DataFrame, books: DataFrame, folded: DataFrame, prefix: str = PREFIX) -> list[str]:
-    """Register the tools over a library's tables; their names. pages: the page table, folded: its searchable view."""
+def register(spark: SparkSession, pages: DataFrame, books: DataFrame, folded: DataFrame | None = None, prefix: str = PREFIX) -> list[str]:
+    """Register the tools over a library's tables; their names. pages: the page table, folded: its searchable view, without which there is no search."""
     for name, df in (("pages", pages), ("books", books), ("folded", folded)):
-        df.createOrReplaceTempView(f"{prefix}{name}")
-    for name, (parameters, columns, query) in TOOLS.items():
+        if df is not None:
+            df.createOrReplaceTempView(f"{prefix}{name}")
+    ready = {name: tool for name, tool in TOOLS.items() if folded is not None or "{p}folded" not in tool[2]}
+    for name, (parameters, columns, query) in ready.items():
         body = query.replace("{p}", prefix).replace("{f}", f"{prefix}{name}")
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}({parameters}) RETURNS TABLE({columns}) RETURN {body}")
-    return [f"{prefix}{name}" for name in TOOLS]
+    return [f"{prefix}{name}" for name in ready]
 
 
 def call(spark: SparkSession, tool: str, prefix: str = PREFIX, **arguments) -> DataFrame:
