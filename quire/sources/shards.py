@@ -1,7 +1,8 @@
 """Pages behind shard pointers: a slim table says in which shard a page lies, and only that shard's files are opened.
 
-Layout under one folder: ``docs`` by shard, and ``meta`` (book_id, physical_page, shard, shard_offset and the slim columns) by
-bucket of books. Reads go from the pointers to the shards, whose partitions Spark prunes while it runs.
+Layout under one folder: ``docs`` by volume, in order of shards, and ``meta`` (book_id, physical_page, shard, shard_offset and the
+slim columns) by bucket of books. A volume is ``VOLUME`` shards, so that folders stay few. Reads go from the pointers to the
+volumes, whose partitions Spark prunes while it runs, and inside them to the row groups that may hold the wanted shards.
 """
 
 from pyspark.errors import AnalysisException
@@ -12,6 +13,7 @@ from quire.operators import inverted
 from quire.operators.numbering import numbered
 
 BUCKETS = 64
+VOLUME = 256
 #: Rows of pointers up to which they are sent to all tasks, so that shards are pruned; more are joined by a shuffle.
 FEW = 100_000
 
@@ -20,6 +22,10 @@ def bucket(book: Column) -> Column:
     return F.pmod(F.xxhash64(book), F.lit(BUCKETS)).cast("int")
 
 
+def volume(shard: Column) -> Column:
+    return F.floor(shard / VOLUME).cast("int")
+
+
 def write(docs: DataFrame, path: str, slim: list[str], rows: int = 250) -> None:
     """Write pages and pointers. docs: book_id, physical_page and more; slim: further columns that the pointers bear.
 
@@ -35,7 +41,8 @@ def write(docs: DataFrame, path: str, slim: list[str], rows: int = 250) -> None:
     meta = pointed.withColumn("bucket", bucket(F.col("book_id")))
     meta.repartition("bucket", F.floor(F.col("physical_page") / 65536)).sortWithinPartitions("book_id", "physical_page").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/meta")
     held = docs.sparkSession.read.parquet(f"{path}/meta").groupBy("book_id", "physical_page").agg(F.min("shard").alias("shard"))
-    docs.join(held, ["book_id", "physical_page"]).repartition("shard").sortWithinPartitions("book_id", "physical_page").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/docs")
+    placed = docs.join(held, ["book_id", "physical_page"]).withColumn("volume", volume(F.col("shard")))
+    placed.repartition("volume").sortWithinPartitions("volume", "shard", "book_id", "physical_page").write.mode("overwrite").partitionBy("volume").parquet(f"{path}/docs")
 
 
 def pointers(spark: SparkSession, path: str, book_id: str | None = None) -> DataFrame:
@@ -49,9 +56,12 @@ def pointers(spark: SparkSession, path: str, book_id: str | None = None) -> Data
 
 def read(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """Whole pages of the pointers ``wanted`` (book_id, physical_page, shard); shards that hold none of them aren't opened."""
-    keys = wanted.select("book_id", "physical_page", "shard").distinct()
-    few = len(keys.take(FEW + 1)) <= FEW
-    return spark.read.parquet(f"{path}/docs").join(F.broadcast(keys) if few else keys, ["book_id", "physical_page", "shard"], "left_semi")
+    keys = wanted.select("book_id", "physical_page", "shard", volume(F.col("shard")).alias("volume")).distinct()
+    docs, some = spark.read.parquet(f"{path}/docs"), keys.take(FEW + 1)
+    few = len(some) <= FEW
+    if few and some:  # row groups outside are skipped
+        docs = docs.where(F.col("shard").between(min(r["shard"] for r in some), max(r["shard"] for r in some)))
+    return docs.join(F.broadcast(keys) if few else keys, ["book_id", "physical_page", "shard", "volume"], "left_semi").drop("volume")
 
 
 def page(spark: SparkSession, path: str, book_id: str, physical_page: int, whole: str | None = None) -> DataFrame:
