@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -181,17 +182,86 @@ def _cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
-def overlapping(boxes: DataFrame, share: float = 0.5, cell: float = 64.0) -> DataFrame:
+# fixed value: pairs that are looked at in one go
+_PAIRS = 1 << 20
+
+
+def _met(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray):
+    """Pairs of boxes whose extents meet along the axis on which fewer do, a bounded number at a time: places of both."""
+    found = []
+    for low, high in ((y, y + h), (x, x + w)):
+        order = np.argsort(low, kind="stable")
+        count = np.searchsorted(low[order], high[order], "left") - np.arange(len(order)) - 1  # those that begin later and before its end
+        found.append((int(np.maximum(count, 0).sum()), order, np.maximum(count, 0)))
+    _, order, count = min(found, key=lambda f: f[0])
+    upto, start = np.cumsum(count), 0
+    while start < len(count):
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + _PAIRS, "right")))
+        n = count[start:end]
+        first = np.repeat(np.arange(start, end), n)
+        second = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + first + 1
+        yield order[first], order[second]
+        start = end
+
+
+def _packed(boxes: DataFrame) -> DataFrame:
+    """(page, i, j, b): boxes of one batch and cell as one compressed value, columns after each other; they are regular, and little moves."""
+
+    keys = ("page", "i", "j")
+
+    def begins(table: pa.Table) -> np.ndarray:
+        new = np.zeros(len(table), bool)
+        new[:1] = True
+        for column in (table.column(c).combine_chunks() for c in keys):
+            new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(new)
+
+    def run(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            starts = begins(table)
+            if len(starts) * 16 > len(table):  # boxes that don't come cell by cell
+                table = table.sort_by([(c, "ascending") for c in keys])
+                starts = begins(table)
+            values = [table.column(c).to_numpy() for c in ("at", "x", "y", "w", "h")]
+            ends = np.append(starts[1:], len(table))
+            b = [pa.compress(b"".join(v[s:e].tobytes() for v in values), "zstd", asbytes=True) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+            kept = table.select(keys).take(pa.array(starts))
+            yield from kept.append_column("n", pa.array(ends - starts, pa.int32())).append_column("b", pa.array(b, pa.binary())).combine_chunks().to_batches()
+
+    return boxes.mapInArrow(run, f"page {dict(boxes.dtypes)['page']}, i long, j long, n int, b binary")
+
+
+def overlapping(boxes: DataFrame, share: float = 0.5, cell: float = 4096.0) -> DataFrame:
     """(page, first, second, share): pairs of boxes of one page whose rectangles overlap by ``share`` of the smaller one, by their places.
 
-    Boxes meet in the cells of a grid that they touch; of the cells that a pair shares, the one where the overlap begins tells of
-    it, so no pair is told twice. Boxes without extent overlap nothing.
+    Boxes meet in the cells of a coarse grid that they touch, which are packed before they move and swept there; of the cells that
+    a pair shares, the one where the overlap begins tells of it, so no pair is told twice. Boxes without extent overlap nothing.
     """
-    held = boxes.where("w > 0 and h > 0").select("page", "at", "x", "y", (F.col("x") + F.col("w")).alias("r"), (F.col("y") + F.col("h")).alias("t"), (F.col("w") * F.col("h")).alias("area"))
-    dealt = held.withColumn("i", F.explode(_cells(F.col("x"), F.col("r"), cell))).withColumn("j", F.explode(_cells(F.col("y"), F.col("t"), cell)))
-    other = dealt.select("page", "i", "j", *(F.col(c).alias(f"_{c}") for c in ("at", "x", "y", "r", "t", "area")))
-    left, low = F.greatest("x", "_x"), F.greatest("y", "_y")
-    wide, high = F.least("r", "_r") - left, F.least("t", "_t") - low
-    pairs = dealt.join(other, ["page", "i", "j"]).where((F.col("at") < F.col("_at")) & (wide > 0) & (high > 0) & (F.floor(left / cell) == F.col("i")) & (F.floor(low / cell) == F.col("j")))
-    part = (wide * high / F.least("area", "_area")).alias("share")
-    return pairs.select("page", F.col("at").alias("first"), F.col("_at").alias("second"), part).where(F.col("share") >= share)
+    kinds = dict(boxes.dtypes)
+    held = boxes.where("w > 0 and h > 0").select("page", F.col("at").cast("long"), *(F.col(c).cast("double") for c in ("x", "y", "w", "h"))).dropna()
+    dealt = held.withColumn("i", F.explode(_cells(F.col("x"), F.col("x") + F.col("w"), cell))).withColumn("j", F.explode(_cells(F.col("y"), F.col("y") + F.col("h"), cell)))
+    sizes = np.cumsum([0, *(np.dtype(t).itemsize for t in ("i8", "f8", "f8", "f8", "f8"))])
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [[], [], [], [], []]
+        for n, b in zip(table.column("n").to_pylist(), table.column("b").to_pylist(), strict=True):
+            data = pa.decompress(b, n * int(sizes[-1]), "zstd", asbytes=True)
+            for k, part in enumerate(parts):
+                part.append(np.frombuffer(data, np.int64 if k == 0 else np.float64, n, n * int(sizes[k])))
+        at, x, y, w, h = (np.concatenate(p) for p in parts)
+        i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
+        r, t, area, out = x + w, y + h, w * h, []
+        for a, b in _met(x, y, w, h):
+            left, low = np.maximum(x[a], x[b]), np.maximum(y[a], y[b])
+            wide, high = np.minimum(r[a], r[b]) - left, np.minimum(t[a], t[b]) - low
+            part = wide * high / np.minimum(area[a], area[b])
+            good = (at[a] != at[b]) & (wide > 0) & (high > 0) & (np.floor(left / cell) == i) & (np.floor(low / cell) == j) & (part >= share)
+            one, two = at[a[good]], at[b[good]]
+            out.append((np.minimum(one, two), np.maximum(one, two), part[good]))
+        first, second, part = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        page = pa.repeat(table.column("page")[0], len(first))
+        return pa.table({"page": page, "first": first, "second": second, "share": part})
+
+    pairs = _packed(dealt.select("page", "i", "j", "at", "x", "y", "w", "h")).groupBy("page", "i", "j").applyInArrow(run, f"page {kinds['page']}, first long, second long, share double")
+    return pairs.select("page", *(F.col(c).cast(kinds["at"]) for c in ("first", "second")), "share")

@@ -49,8 +49,9 @@ _TWICE = (
 def layout_overlaps(spark, sf):
     """Every box and its copy, painted a little off: those that cover half of each other."""
     once = _items(spark, sf)
-    copy = once.withColumns({"at": F.col("at") + 1_000_000, "x": F.col("x") + 2, "y": F.col("y") + 0.5})
-    return boxes.overlapping(once.unionByName(copy).withColumn("at", F.col("at").cast("long"))).select("page", "first", "second")
+    both = once.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    moved = both.withColumns({"at": F.col("at").cast("long") + F.col("k") * 1_000_000, "x": F.col("x") + F.col("k") * 2, "y": F.col("y") + F.col("k") * 0.5})
+    return boxes.overlapping(moved.drop("k")).select("page", "first", "second")
 
 
 @R.add()

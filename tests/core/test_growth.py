@@ -6,14 +6,14 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.operators import grams, quality, search
+from quire.operators import boxes, grams, quality, search
 from quire.operators.numbering import numbered
 from quire.sources import shards, tools
 
 
 def _exchanges(df, column: str) -> int:
     plan = df._jdf.queryExecution().executedPlan()
-    todo, seen = [plan.inputPlan() if "AdaptiveSparkPlan" in plan.getClass().getName() else plan], 0
+    todo, seen = [plan.initialPlan() if "AdaptiveSparkPlan" in plan.getClass().getName() else plan], 0
     while todo:
         node = todo.pop()
         if node.nodeName().startswith("Exchange") and column in [node.output().apply(i).name() for i in range(node.output().size())]:
@@ -92,3 +92,14 @@ def test_signs_out_of_range_are_counted_beside_ascii(spark):
     kept = [t.replace("�", "") for t in texts if t is not None] + ["ɐ" + "y" * n for n in (38, 39, 48, 49, 50)]
     got = spark.createDataFrame(list(enumerate(kept)), "id int, text string").select("id", tx.is_damaged(F.col("text"))).collect()
     assert {r[0]: r[1] for r in got} == {i: damaged(t) for i, t in enumerate(kept)}
+
+
+def test_boxes_move_once_and_packed(spark):
+    rows = spark.range(4000).selectExpr("id div 1000 AS page", "id % 1000 AS at", "'s' AS str", "double(id % 8 * 60) AS x", "double(-(id % 1000 div 8) * 12) AS y", "50D AS w", "10D AS h")
+    twice = rows.unionByName(rows.selectExpr("page", "at + 1000000 AS at", "str", "x + 2 AS x", "y + 0.5 AS y", "w", "h"))
+    got = boxes.overlapping(twice)
+    assert _exchanges(got, "page") == 1 and _exchanges(got, "x") == 0
+    want = {(p, i, i + 1_000_000) for p in range(4) for i in range(1000)}
+    for cell in (4096.0, 50.0):
+        found = [(r["page"], r["first"], r["second"]) for r in boxes.overlapping(twice.repartition(5), cell=cell).collect()]
+        assert len(found) == len(want) and set(found) == want
