@@ -1,13 +1,15 @@
 """What must not grow with the tables: how often a text moves, how many folders a stored table has, what a call derives."""
 
 import os
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.operators import boxes, grams, quality, search
+from quire.operators import boxes, duplicates, grams, quality, search
 from quire.operators.numbering import numbered
+from quire.plans import checks as plans
 from quire.sources import shards, tools
 
 
@@ -103,3 +105,41 @@ def test_boxes_move_once_and_packed(spark):
     for cell in (4096.0, 50.0):
         found = [(r["page"], r["first"], r["second"]) for r in boxes.overlapping(twice.repartition(5), cell=cell).collect()]
         assert len(found) == len(want) and set(found) == want
+
+
+def test_checks_leave_texts_where_they_are(spark):
+    pages = spark.createDataFrame([("b", i, f"{i} Tiger Horse Mouse", f"text of {i + 1} tiger horse mouse" if i % 4 == 0 else "another") for i in range(12)], "book_id string, physical_page int, title string, text string")
+    assert _exchanges(quality.inner_duplication(pages), "piece") == _exchanges(quality.inner_duplication(pages), "text") == 0
+    drifted = duplicates.drifted(pages)
+    assert _exchanges(drifted, "text") + _exchanges(drifted, "before") + _exchanges(drifted, "after") <= 1
+    assert sorted(r["physical_page"] for r in drifted.collect()) == [1, 3, 5, 7, 9]
+
+
+def test_repeats_are_those_of_lines_and_clauses(spark):
+    line, clause = "a line of some length", "one clause that - is long (enough) to count"
+    texts = [f"{line}\n {line} \nother line of words\nyet another line\n", f"{line}\n{line}", f"{clause}. x! One  CLAUSE that is long; one clause\u064e that is long, enough, to count؟ end", "short", None, ""]
+    texts += [f"{clause}\t.{clause.upper()}\n" * 3 + f"{line}\n" * 4]
+
+    def share(t):
+        marks, space = {*map(chr, range(0x64B, 0x653)), "\u0670", "\u0640"}, " \t\n\x0b\f\r"
+        flat = lambda x: re.sub("[ \t\n\x0b\f\r]+", " ", x).strip(space)
+        rule = lambda x: flat("".join(" " if c in "-–—:،,؛;.()[]{}«»\"'’“”" else c for c in x if c not in marks)).lower()
+        out = []
+        for pieces, size, few in (([flat(p) for p in t.split("\n")], 12, 4), ([rule(p) for p in re.split("[.!؟?\n،؛;]", t)], 30, 2)):
+            kept = [p for p in pieces if len(p) >= size]
+            out += [(sum(map(len, kept)) - sum(map(len, set(kept)))) / len(t)] if len(kept) >= few else []
+        return max(out) if out else None
+
+    got = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", quality.repeated_share(F.col("text")).alias("s")).collect()
+    assert {r[0]: r[1] for r in got} == {i: share(t) if t and len(t) >= 20 else None for i, t in enumerate(texts)}
+
+
+def test_findings_are_worked_out_once(spark):
+    dir_ = "/root/testdata/sf0.001"
+    want = sorted(plans.findings(spark, dir_).collect())
+    layers = plans._Layers(spark, dir_)
+    each = [r for run, _, _ in plans.CHECKS.values() for r in run(layers).collect()]
+    assert sorted(each) == want
+    for query in (plans.qc_findings_union, plans.qc_book_scores, plans.qc_library_score, plans.qc_gate):
+        plan = query(spark, dir_)._jdf.queryExecution().optimizedPlan().toString()
+        assert "/pages" not in plan and plan.count("Relation [") <= 4
