@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.operators import boxes, duplicates, grams, quality, search
+from quire.operators import boxes, duplicates, grams, layout, quality, search
 from quire.operators.numbering import numbered
 from quire.plans import checks as plans
 from quire.sources import shards, tools
@@ -143,3 +143,21 @@ def test_findings_are_worked_out_once(spark):
     for query in (plans.qc_findings_union, plans.qc_book_scores, plans.qc_library_score, plans.qc_gate):
         plan = query(spark, dir_)._jdf.queryExecution().optimizedPlan().toString()
         assert "/pages" not in plan and plan.count("Relation [") <= 4
+
+
+def test_layout_moves_packed_pages(spark, monkeypatch):
+    said = ["a", "b", None, " ", "ب", "tail"]
+    items = [(p, said[(i * 7 + (p or 0)) % 6], float(i % 5) * 20 + (0.2 if i % 3 else 0.0), float(i // 5 * 6), None if i % 29 == 0 else 9.5, i) for p in (1, 2, 3, None) for i in range(60)]
+    items += [(p, s, x and x + 0.1, y, w, at + 100) for p, s, x, y, w, at in items[::2]]
+    df = spark.createDataFrame(items, "page int, str string, x double, y double, w double, at int")
+    once = layout.deduplicated(df)
+    assert _exchanges(once, "str") == 0 and _exchanges(layout.rows(df), "str") == 0 and _exchanges(once, "b") == 1
+    want = {}
+    for p, s, x, y, w, at in items:
+        want.setdefault((p, s, int(x + 0.5), int(y + 0.5)), []).append((at, x, y, w))
+    want = sorted(((p, s, *min(v, key=lambda f: f[0])) for (p, s, _, _), v in want.items()), key=str)
+    for most, parts in ((1 << 18, 1), (10, 3)):
+        monkeypatch.setattr(layout, "ITEMS", most)
+        assert sorted(map(tuple, layout.deduplicated(df.repartition(parts)).collect()), key=str) == want
+    sizes = [r["size"] for r in layout.packed(spark.range(20_000).selectExpr("id div 1000 AS page", "id AS at", "double(id % 8) AS x")).selectExpr("length(b) AS size").collect()]
+    assert sum(sizes) < 20_000  # below a byte an item
