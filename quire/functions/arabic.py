@@ -50,10 +50,12 @@ def search_forms(term: Column) -> Column:
     swap = lambda f, old, new, over: F.when((F.length(f) > over) & f.endswith(old), F.concat(F.left(f, F.length(f) - len(old)), F.lit(new)))
     other = F.when(~term.startswith("ال"), F.when(F.length(term) > 3, F.concat(F.lit("ال"), term))).otherwise(F.when(F.length(term) > 4, F.right(term, F.length(term) - 2)))
     forms = F.array_compact(F.array(term, other))
+    least = forms
     grown = lambda rules: lambda held: F.array_union(held, F.array_compact(F.flatten(F.transform(held, lambda f: F.array(*(swap(f, *rule) for rule in rules))))))
     for rules in (*([(suffix, "", len(suffix) + 3)] for suffix in _SUFFIXES), _ENDINGS):
         forms = tx.once(forms, grown(rules))
-    return forms
+    # both forms end as the term does: where no rule's ending is, none applies, and most words are done
+    return F.when(term.rlike(f"[{''.join(sorted({e[-1] for e in (*_SUFFIXES, *(old for old, _, _ in _ENDINGS))}))}]$"), forms).otherwise(least)
 
 
 def search_tokens(c: Column, stop: tuple = STOP_WORDS) -> Column:

@@ -2,6 +2,7 @@
 
 import re
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -49,21 +50,18 @@ _FORMS = re.compile("[ﭐ-﷿ﹰ-﻿]+")
 @F.pandas_udf(T.StringType())
 def plain_forms(s: pd.Series) -> pd.Series:
     """NFKC of presentation forms alone; other signs that NFKC would change stay."""
-    return s.map(lambda x: None if x is None else _FORMS.sub(lambda m: unicodedata.normalize("NFKC", m[0]), x))
+    return s.map(lambda x: x if x is None or x.isascii() else _FORMS.sub(lambda m: unicodedata.normalize("NFKC", m[0]), x))
 
 
 def repaired(c: Column) -> Column:
-    """Private signs and misread words put right, then presentation forms made plain; only values that hold such forms go through Python.
+    """Private signs and misread words put right, then presentation forms made plain. Each step is computed once: Python sees all values, for what it is spared would be worked out again beside it.
 
     Direction marks and controls are to be gone before, as they may stand inside a word.
     """
     signs = "".join(PRIVATE_PHRASES)
-    out = c
-    for sign, phrase in PRIVATE_PHRASES.items():
-        out = F.replace(out, F.lit(sign), F.lit(phrase))
-    out = F.when(c.rlike(f"[{signs}]"), out).otherwise(c)
-    out = tx.once(out, lambda t: F.when(t.rlike("[اهﷲو]"), tx.replaced(t, *MISREAD)).otherwise(t))
-    return F.coalesce(plain_forms(F.when(out.rlike(PRESENTATION), out)), out)
+    spelt = lambda t: reduce(lambda out, p: F.replace(out, F.lit(p[0]), F.lit(p[1])), PRIVATE_PHRASES.items(), t)
+    out = tx.once(c, lambda t: F.when(t.rlike(f"[{signs}]"), spelt(t)).otherwise(t))
+    return plain_forms(tx.once(out, lambda t: F.when(t.rlike("[اهﷲو]"), tx.replaced(t, *MISREAD)).otherwise(t)))
 
 
 def clean(c: Column) -> Column:

@@ -6,6 +6,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
+from quire.functions import arabic
 from quire.functions import text as tx
 from quire.operators import boxes, duplicates, grams, layout, quality, search
 from quire.operators.numbering import numbered
@@ -161,3 +162,21 @@ def test_layout_moves_packed_pages(spark, monkeypatch):
         assert sorted(map(tuple, layout.deduplicated(df.repartition(parts)).collect()), key=str) == want
     sizes = [r["size"] for r in layout.packed(spark.range(20_000).selectExpr("id div 1000 AS page", "id AS at", "double(id % 8) AS x")).selectExpr("length(b) AS size").collect()]
     assert sum(sizes) < 20_000  # below a byte an item
+
+
+def _nodes(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_search_forms_are_worked_out_once(spark):
+    texts = spark.createDataFrame([("ﻛﺘﺎﺑﺎﺕ in Ｗｏｒｄ and هللا",), (None,), ("plain words of plain text",), ("",)], "text string")
+    plan = _nodes(texts.select(arabic.search_tokens(F.col("text")).alias("f")))
+    cleaning = tx.BIDI_MARKS  # in both steps of cleaning, which each later one had worked out again
+    assert plan.count(cleaning) == 2
+    got = [r["f"] for r in texts.select(arabic.search_tokens(F.col("text")).alias("f")).collect()]
+    assert set(got[0]) >= {"كتابات", "كتاب", "in", "word", "الword", "and"} and got[1] == got[3] == []
+    assert got[2] == ["plain", "الplain", "words", "الwords", "of", "text", "الtext"]
+    bare = F.when(F.lit(True), F.col("w"))
+    for word, forms in (("words", ["words", "الwords"]), ("abc", ["abc"]), ("بيت", 2), ("قلم", 1)):
+        found = spark.createDataFrame([(word,)], "w string").select(arabic.search_forms(bare).alias("f")).first()["f"]
+        assert found == forms if isinstance(forms, list) else found[0] == word and len(found) >= 1
