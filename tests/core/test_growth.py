@@ -110,7 +110,7 @@ def test_boxes_move_once_and_packed(spark):
 
 def test_checks_leave_texts_where_they_are(spark):
     pages = spark.createDataFrame([("b", i, f"{i} Tiger Horse Mouse", f"text of {i + 1} tiger horse mouse" if i % 4 == 0 else "another") for i in range(12)], "book_id string, physical_page int, title string, text string")
-    assert _exchanges(quality.inner_duplication(pages), "piece") == _exchanges(quality.inner_duplication(pages), "text") == 0
+    assert _exchanges(quality.inner_duplication(pages, "physical_page"), "piece") == _exchanges(quality.inner_duplication(pages, "physical_page"), "text") == 0
     drifted = duplicates.drifted(pages)
     assert _exchanges(drifted, "text") + _exchanges(drifted, "before") + _exchanges(drifted, "after") <= 1
     assert sorted(r["physical_page"] for r in drifted.collect()) == [1, 3, 5, 7, 9]
@@ -180,3 +180,12 @@ def test_search_forms_are_worked_out_once(spark):
     for word, forms in (("words", ["words", "الwords"]), ("abc", ["abc"]), ("بيت", 2), ("قلم", 1)):
         found = spark.createDataFrame([(word,)], "w string").select(arabic.search_forms(bare).alias("f")).first()["f"]
         assert found == forms if isinstance(forms, list) else found[0] == word and len(found) >= 1
+
+
+def test_rows_of_one_key_repeat_each_other(spark):
+    line = "a line of some length"
+    text = "\n".join(f"{line} {i}" for i in range(4))
+    pages = spark.createDataFrame([("b", 1, text), ("b", 1, text), ("b", 2, text), (None, None, text), (None, None, text)], "book_id string, doc_id long, text string")
+    got = {r["book_id"]: (r["mean_share"], r["pages_over"]) for r in quality.inner_duplication(pages).collect()}
+    share = round(4 * (len(line) + 2) / len(text), 4)
+    assert got == {"b": (share, 1), None: (share, 1)}
