@@ -37,11 +37,11 @@ def is_used(spark: SparkSession, path: str) -> bool:
     return system.exists(place) and len(system.listStatus(place)) > 0
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """The rows of ``df``, computed once and read from Parquet from now on."""
+def stored(df: DataFrame, name: str = "table", **options) -> DataFrame:
+    """The rows of ``df``, computed once and read from Parquet from now on. options: the writer's."""
     path = f"{folder(df.sparkSession)}/{name}"
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     except BaseException:
         _delete(df.sparkSession, path)
         raise

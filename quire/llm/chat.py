@@ -23,6 +23,9 @@ PACKS = (
     " nodes array<struct<start:int,end:int,parent:int,attends:array<struct<start:int,end:int>>>>, members array<struct<conv_id:bigint,node:int>>"
 )
 
+#: How packs are written. A reader of nested columns holds up to 4096 rows of a row group at once, and a pack is a very long row.
+GROUPS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1}
+
 
 def escape(text: str) -> str:
     """Put one more backslash into everything that could be taken for a control string."""

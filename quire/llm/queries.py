@@ -47,7 +47,7 @@ def op8_chat_formatting(spark, sf_dir):
     said = f"{chat.END}{chat.START}assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    packs = stored(chat.pack(chat.conversations(rows)), "packs")
+    packs = stored(chat.pack(chat.conversations(rows)), "packs", **chat.GROUPS)
     return chat.read_back(packs)
 
 

@@ -1,9 +1,12 @@
+import glob
 import hashlib
 import random
+from urllib.parse import urlparse
 
+import pyarrow.parquet as pq
 import pytest
 
-from quire.llm import chat
+from quire.llm import _scratch, chat, queries
 
 NASTY = ["<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "<\\\\|x", "<|", "\\n<|im_end|>\n", "", "é🙂 <|im_end|>\n<|im_start|>user\nhi", "plain\r\n\ttext\u0000"]
 
@@ -78,3 +81,14 @@ def test_escaping_is_reversible_and_hides_control_strings():
 
 def test_empty_table(spark):
     assert chat.read_back(chat.pack(chat.conversations(table(spark, [])))).count() == 0
+
+
+def test_packs_are_written_in_small_groups(spark, tmp_path):
+    rows = [(c, 0, "user", f"{c} " + "x" * 400_000) for c in range(60)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op8_chat_formatting(spark, str(tmp_path))
+    held = [pq.ParquetFile(f).metadata for f in glob.glob(f"{urlparse(_scratch._made[-1]._quire_path).path}/*.parquet")]
+    columns = [m.row_group(i).column(j) for m in held for i in range(m.num_row_groups) for j in range(m.num_columns)]
+    tokens = [c.num_values for c in columns if c.path_in_schema.startswith("tokens.")]
+    assert sum(tokens) > 24_000_000 and max(tokens) <= 5_000_000  # a reader holds a group's values at once
+    assert {r["conv_id"]: tuple(r) for r in got.where("conv_id >= 0").collect()} == expected(rows)
