@@ -1,11 +1,10 @@
 """Lines of a page from its boxes, where the order of steps matters: rows, fractions, segments, and what was painted twice.
 
-boxes: page, str, x, y, w, h and at (the box's place in its page); y grows upwards. Spark groups the boxes by page, and a small
-kernel works on one page at a time; what needs no order (overlapping boxes, ghost lines) is joins and grouping.
+boxes: page, str, x, y, w, h and at (the box's place in its page); y grows upwards. Boxes move packed by page, and a kernel works on
+many whole pages at once; what needs no order (overlapping boxes, ghost lines) is joins and grouping.
 """
 
-import re
-from collections import defaultdict
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
+from quire.operators.layout import _by_page
 
 # fixed values: how far a box may lie from a row's baseline, in its height and at least
 ROW_REACH, ROW_LEAST = 0.34, 0.9
@@ -25,25 +25,12 @@ GAP_WIDTHS, GAP_HEIGHTS, GAP_LEAST = 1.6, 2.4, 26.0
 # fixed values: twins in a row lie so many heights apart at most; a block is repeated from so many boxes on; a ghost line has so many signs
 TWIN_REACH, BLOCK, GHOST = 0.6, 6, 6
 
-_ARABIC, _LATIN = re.compile("[؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿]"), re.compile("[A-Za-zÀ-ɏ]")
+_ARABIC, _LATIN = "[؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿]", "[A-Za-zÀ-ɏ]"
 _BLANKS = frozenset("-—–_.•\xb7…")
 
 
-class _Box:
-    __slots__ = ("at", "h", "said", "w", "x", "y")
-
-    def __init__(self, said, x, y, w, h, at):
-        self.said, self.x, self.y, self.w, self.h, self.at = said, x, y, w, h, at
-
-    @property
-    def end(self):
-        return self.x + self.w
-
-
-def repeats(words: list, size: int = BLOCK) -> np.ndarray:
-    """Which words lie in a run of ``size`` or more that an earlier place has: from each place, the run along one diagonal, as far as it goes."""
-    n = len(words)
-    codes = np.unique(np.array(words, object).astype(str), return_inverse=True)[1] if n else np.zeros(0, int)
+def _repeated(codes: np.ndarray, size: int) -> np.ndarray:
+    n = len(codes)
     gone, seen, i = np.zeros(n, bool), {}, 0
     while i + size <= n:
         first = seen.setdefault(codes[i : i + size].tobytes(), i)
@@ -57,87 +44,231 @@ def repeats(words: list, size: int = BLOCK) -> np.ndarray:
     return gone
 
 
-def rows_of(boxes: list) -> list[list]:
-    """Rows from the top down: a box joins the first row whose baseline (its first box's) is near enough."""
-    rows: list[list] = []
-    heights: list[float] = []
-    low = 0  # rows above it are out of reach for good
-    for box in sorted(boxes, key=lambda b: (-b.y, b.x, b.at)):
-        while low < len(rows) and rows[low][0].y - box.y > max(ROW_LEAST, ROW_REACH * max(max(heights), box.h)):
+def repeats(words: list, size: int = BLOCK) -> np.ndarray:
+    """Which words lie in a run of ``size`` or more that an earlier place has: from each place, the run along one diagonal, as far as it goes."""
+    return _repeated(np.unique(np.array(words, object).astype(str), return_inverse=True)[1] if words else np.zeros(0, int), size)
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _order(*keys: np.ndarray) -> np.ndarray | slice:
+    """The order by ``keys``, the first one leading; boxes mostly come in it already."""
+    tied, right = np.ones(max(len(keys[0]) - 1, 0), bool), True
+    for k in keys:
+        right = right and not (tied & (k[1:] < k[:-1])).any()
+        tied &= k[1:] == k[:-1]
+    return slice(None) if right else np.lexsort(keys[::-1])
+
+
+def _per_page_repeated(page: np.ndarray, codes: np.ndarray, size: int = BLOCK) -> np.ndarray:
+    """``repeats`` of each page; only pages where the hash of a run occurs twice are walked through."""
+    gone, n = np.zeros(len(codes), bool), max(len(codes) - size + 1, 0)
+    hashes = page[:n].astype(np.uint64)
+    for k in range(size):
+        hashes = (hashes ^ codes[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        hashes ^= hashes >> np.uint64(29)
+    whole = page[:n] == page[size - 1 :][:n]
+    order = np.argsort(hashes[whole], kind="stable")
+    twice = np.flatnonzero(np.diff(hashes[whole][order]) == 0)
+    starts = _runs(page)
+    for p in np.unique(page[:n][whole][order][twice]):
+        k = np.searchsorted(page[starts], p)
+        span = slice(starts[k], starts[k + 1] if k + 1 < len(starts) else len(page))
+        gone[span] = _repeated(codes[span], size)
+    return gone
+
+
+def _row_reach(height):
+    return np.maximum(ROW_LEAST, ROW_REACH * height)
+
+
+def _joined(y: list, h: list, tallest: list) -> list[int]:
+    """Boxes from the top down: the place of the first box of each one's row."""
+    first, base, height, out, low = [], [], [], [], 0
+    for i, (at, own, tall) in enumerate(zip(y, h, tallest, strict=True)):
+        while low < len(base) and base[low] - at > max(ROW_LEAST, ROW_REACH * tall):
             low += 1
-        for k in range(low, len(rows)):
-            if abs(rows[k][0].y - box.y) <= max(ROW_LEAST, ROW_REACH * max(heights[k], box.h)):
-                rows[k].append(box)
-                heights[k] = max(heights[k], box.h)
+        for k in range(low, len(base)):
+            if abs(base[k] - at) <= max(ROW_LEAST, ROW_REACH * max(height[k], own)):
+                height[k] = max(height[k], own)
                 break
         else:
-            rows.append([box])
-            heights.append(box.h)
-    return rows
-
-
-def without_twins(row: list) -> list:
-    """A row from the left without boxes that say the same as one kept before, about where it lies."""
-    kept: dict = defaultdict(list)
-    out = []
-    for box in sorted(row, key=lambda b: (b.x, b.at)):
-        if not any(abs(k.x - box.x) <= TWIN_REACH * max(k.h, box.h) for k in kept[box.said]):
-            kept[box.said].append(box)
-            out.append(box)
+            k = len(base)
+            first.append(i)
+            base.append(at)
+            height.append(own)
+        out.append(first[k])
     return out
 
 
-def is_rule(box: _Box) -> bool:
-    signs = set("".join(box.said.split()))
-    return len(signs) == 1 and not (signs <= _BLANKS or signs.copy().pop().isalnum()) and box.w >= RULE_WIDTH * box.h
-
+def _rows_of(page: np.ndarray, y: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Rows of boxes that come by page and from the top down: a box joins the first row whose baseline (its first box's) is near enough.
 
-def fractions(rows: list[list]) -> tuple[list[list], int]:
-    """Each rule takes the nearest part above and below it and says both; the parts' boxes go. Also how many there are."""
-    baselines = [row[0].y for row in rows]
-    taken: set = set()
-    made = 0
-    for own, row in enumerate(rows):
-        for rule in row:
-            if id(rule) in taken or not is_rule(rule):
-                continue
-            parts = {}
-            for k, other in enumerate(rows):
-                off = baselines[k] - rule.y
-                if k == own or not PART_NEAR * rule.h <= abs(off) <= PART_FAR * rule.h:
-                    continue
-                inside = sorted((b for b in other if b.x >= rule.x - PART_OUT * rule.h and b.end <= rule.end + PART_OUT * rule.h), key=lambda b: b.x)
-                if 0 < len(inside) <= PART_BOXES and abs((inside[0].x - rule.x) - (rule.end - inside[-1].end)) <= PART_OFF * rule.w and abs(off) < parts.get(off > 0, (np.inf,))[0]:
-                    parts[off > 0] = (abs(off), inside)
-            if parts:
-                over, under = (parts.get(side, (0, []))[1] for side in (True, False))
-                side = lambda part: " ".join(s for b in sorted(part, key=lambda b: -b.x) if (s := b.said.strip()))
-                rule.said = f"{side(over)} / {side(under)}" if over else f"/ {side(under)}"
-                taken |= {id(b) for b in over + under}
-                made += 1
-    left = [[b for b in row if id(b) not in taken] for row in rows]
-    return [row for row in left if row], made
-
-
-def segments(row: list) -> list[list]:
-    """A row from the left, cut where a gap is wider than words and letters explain."""
-    row = sorted(row, key=lambda b: (b.x, b.at))
-    limit = max(GAP_WIDTHS * (float(np.median([b.w for b in row])) or 10), GAP_HEIGHTS * (float(np.median([b.h for b in row])) or 10), GAP_LEAST)
-    out = [[row[0]]]
-    for before, box in zip(row, row[1:], strict=False):
-        if box.x - before.end > limit:
-            out.append([])
-        out[-1].append(box)
-    return out
+    What is farther apart than the page's tallest box reaches never joins; what lies within the lowest one's reach is one row. Only the rest
+    is joined box by box. A row's number is the place of its first box.
+    """
+    starts = _runs(page)
+    sizes = np.diff(np.append(starts, len(page)))
+    most, least = (np.repeat(_row_reach(f.reduceat(h, starts)), sizes) for f in (np.maximum, np.minimum))
+    new = np.append(True, (page[1:] != page[:-1]) | (y[:-1] - y[1:] > most[1:]))
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(page))
+    row = np.repeat(begin, end - begin)
+    held, tallest = -1, None
+    for i in np.flatnonzero(~(y[begin] - y[end - 1] <= least[begin])).tolist():
+        a, b = int(begin[i]), int(end[i])
+        k = int(np.searchsorted(starts, a, "right")) - 1
+        if k != held:
+            held, tallest = k, np.maximum.accumulate(h[starts[k] : starts[k] + sizes[k]])
+        own = tallest[a - starts[k] : b - starts[k]]
+        row[a:b] = a + np.array(_joined(y[a:b].tolist(), h[a:b].tolist(), own.tolist()))
+    return row
+
+
+def _twins(page: np.ndarray, row: np.ndarray, code: np.ndarray, x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which boxes, in order of their row from the left, say the same as one kept before, about where it lies."""
+    order = np.lexsort((code, row))
+    starts = _runs(row[order], code[order])
+    sizes = np.diff(np.append(starts, len(order)))
+    tallest = np.repeat(np.maximum.reduceat(h[order], starts), sizes)
+    near = np.append(False, (x[order][1:] - x[order][:-1] <= TWIN_REACH * tallest[1:]))
+    near[starts] = False
+    gone = np.zeros(len(order), bool)
+    for s in np.flatnonzero(np.add.reduceat(near, starts, dtype=int)).tolist():
+        same = order[starts[s] : starts[s] + sizes[s]]
+        reach, kept = TWIN_REACH * float(tallest[starts[s]]), []
+        for i, at, own in zip(same.tolist(), x[same].tolist(), h[same].tolist(), strict=True):
+            for left, high in reversed(kept):
+                if at - left > reach:
+                    kept.append((at, own))
+                    break
+                if abs(left - at) <= TWIN_REACH * max(high, own):
+                    gone[i] = True
+                    break
+            else:
+                kept.append((at, own))
+    return gone
 
 
-def line_of(row: list) -> tuple[str, int]:
-    """A row's text, from the right if it has more Arabic than Latin letters; two blanks between segments. Also how many there are."""
-    letters = lambda p: sum(len(b.said) for b in row if p.search(b.said))
-    back = -1 if letters(_ARABIC) > letters(_LATIN) else 1
-    said = [" ".join(" ".join(b.said for b in part[::back]).split()) for part in segments(row)[::back]]
-    said = [s for s in said if s]
-    return "  ".join(said), len(said)
+def _one_sign(said: str) -> bool:
+    signs = set("".join(said.split()))
+    return len(signs) == 1 and not (signs <= _BLANKS or signs.copy().pop().isalnum())
+
+
+def _rules(values: pa.Array, code: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of the boxes that are rules of fractions: wide, and of one sign."""
+    may = np.flatnonzero(~pc.match_substring_regex(values, "[0-9A-Za-z]").to_numpy(zero_copy_only=False)[code] & (w >= RULE_WIDTH * h))
+    each, back = np.unique(code[may], return_inverse=True)
+    return may[np.array([_one_sign(s) for s in values.take(pa.array(each)).to_pylist()], bool)[back]] if len(may) else may
+
+
+def _fractions(page: np.ndarray, row: np.ndarray, rules: np.ndarray, values: pa.Array, code: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict]:
+    """Each rule takes the nearest part above and below it. Which boxes go, and what the rules that took parts say."""
+    starts = _runs(row)
+    ends, base = np.append(starts[1:], len(row)), y[starts]
+    order = np.lexsort((base, page[starts]))
+    pages = _runs(page[starts])
+    begins = np.searchsorted(page[starts][pages], page[rules])
+    upto = np.append(pages[1:], len(starts))
+    low, high = pages[begins].tolist(), upto[begins].tolist()
+    owns = (np.searchsorted(starts, rules, "right") - 1).tolist()
+    heights, order, starts, ends = base[order].tolist(), order.tolist(), starts.tolist(), ends.tolist()
+    base, xs, rights, ys, hs, ws = base.tolist(), x.tolist(), (x + w).tolist(), y.tolist(), h.tolist(), w.tolist()
+    taken, made, wide = np.zeros(len(row), bool), {}, bool((w >= 0).all())
+    said = lambda i: made[i] if i in made else values[code[i]].as_py()
+    for rule, own, a, b in zip(rules.tolist(), owns, low, high, strict=True):
+        if taken[rule]:
+            continue
+        left, right, at, tall, parts = xs[rule], rights[rule], ys[rule], hs[rule], {}
+        reach = abs(2 * PART_FAR * tall)
+        for k in sorted(order[bisect_left(heights, at - reach, a, b) : bisect_right(heights, at + reach, a, b)]):
+            off = base[k] - at
+            if k == own or not PART_NEAR * tall <= abs(off) <= PART_FAR * tall:
+                continue
+            inside = []
+            for i in range(bisect_left(xs, left - PART_OUT * tall, starts[k], ends[k]), ends[k]):
+                if rights[i] <= right + PART_OUT * tall:
+                    inside.append(i)
+                if len(inside) > PART_BOXES or wide and xs[i] > right + PART_OUT * tall:
+                    break
+            if 0 < len(inside) <= PART_BOXES and abs((xs[inside[0]] - left) - (right - rights[inside[-1]])) <= PART_OFF * ws[rule] and abs(off) < parts.get(off > 0, (np.inf,))[0]:
+                parts[off > 0] = (abs(off), inside)
+        if parts:
+            over, under = (parts.get(side, (0, []))[1] for side in (True, False))
+            side = lambda part: " ".join(s for i in sorted(part, key=lambda i: -xs[i]) if (s := said(i).strip()))
+            made[rule] = f"{side(over)} / {side(under)}" if over else f"/ {side(under)}"
+            taken[over + under] = True
+    return taken, made
+
+
+def _medians(values: np.ndarray, row: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    held, n = values[np.lexsort((values, row))], np.diff(np.append(starts, len(row)))
+    found = (held[starts + (n - 1) // 2] + held[starts + n // 2]) / 2
+    return np.where(found == 0, 10, found)
+
+
+def _told(row: np.ndarray, values: pa.Array, code: np.ndarray, x: np.ndarray, w: np.ndarray, h: np.ndarray) -> tuple[list, list]:
+    """Each row's text and how many segments it has; boxes come by row, from the left.
+
+    A row is cut where a gap is wider than words and letters explain, and read from the right if it has more Arabic than Latin letters.
+    """
+    starts = _runs(row)
+    ends = np.append(starts[1:], len(row))
+    length = pc.utf8_length(values).to_numpy()
+    arabic, latin = (np.add.reduceat(np.where(pc.match_substring_regex(values, p).to_numpy(zero_copy_only=False), length, 0)[code], starts) for p in (_ARABIC, _LATIN))
+    limit = np.maximum(np.maximum(GAP_WIDTHS * _medians(w, row, starts), GAP_HEIGHTS * _medians(h, row, starts)), GAP_LEAST)
+    cut = np.append(True, x[1:] - (x + w)[:-1] > np.repeat(limit, ends - starts)[1:])
+    cut[starts] = True
+    at = np.arange(len(row))
+    at = np.where(np.repeat(arabic > latin, ends - starts), np.repeat(starts + ends - 1, ends - starts) - at, at)
+    begin = _runs(np.cumsum(cut)[at])
+    parts = pa.ListArray.from_arrays(pa.array(np.append(begin, len(row)), pa.int32()), values.take(pa.array(code[at])))
+    said = [" ".join(s.split()) for s in pc.binary_join(parts, " ").to_pylist()]
+    upto = np.searchsorted(begin, np.append(starts, len(row))).tolist()
+    kept = [[s for s in said[a:b] if s] for a, b in zip(upto, upto[1:], strict=False)]
+    return ["  ".join(k) for k in kept], [len(k) for k in kept]
+
+
+def _lines(table: pa.Table) -> pa.Table:
+    """(p, line, text, segments, fractions) of many pages' boxes."""
+    held = table.column("str").combine_chunks().dictionary_encode()
+    values = held.dictionary
+    b = {c: table.column(c).to_numpy() for c in ("p", "x", "y", "w", "h", "at")} | {"code": held.indices.to_numpy().astype(np.int64)}
+    sub = lambda which: {k: v[which] for k, v in b.items()}
+    b = sub(_order(b["p"], b["at"]))
+    b = sub(~_per_page_repeated(b["p"], b["code"]))
+    b = sub(_order(b["p"], -b["y"], b["x"], b["at"]))
+    made = np.zeros(0, np.int64)
+    if len(b["p"]):
+        b["row"] = _rows_of(b["p"], b["y"], b["h"])
+        b = sub(_order(b["row"], b["x"], b["at"]))
+        b = sub(~_twins(b["p"], b["row"], b["code"], b["x"], b["h"]))
+        rules = _rules(values, b["code"], b["w"], b["h"])
+        if len(rules):
+            taken, merged = _fractions(b["p"], b["row"], rules, values, *(b[c] for c in ("code", "x", "y", "w", "h")))
+            at = np.array(list(merged), np.int64)
+            made, b["code"][at] = b["p"][at], len(values) + np.arange(len(at))
+            values = pa.concat_arrays([values, pa.array(merged.values(), values.type)])
+            b = sub(~taken)
+    if not len(b["p"]):
+        return pa.table({"p": pa.array([], pa.int64()), "line": pa.array([], pa.int32()), "text": pa.array([], pa.string()), "segments": pa.array([], pa.int32()), "fractions": pa.array([], pa.int32())})
+    text, parts = _told(b["row"], values, *(b[c] for c in ("code", "x", "w", "h")))
+    starts = _runs(b["row"])
+    page, top = b["p"][starts], b["y"][starts]
+    order = np.lexsort((-top, page))
+    order = order[np.array([t != "" for t in text], bool)[order]]
+    page = page[order]
+    line = np.arange(len(page)) - np.searchsorted(page, page) + 1
+    count = np.bincount(made, minlength=int(page.max(initial=0)) + 1)[page]
+    text, segments = pa.array(text, pa.string()).take(pa.array(order)), pa.array(np.array(parts)[order], pa.int32())
+    return pa.table({"p": pa.array(page, pa.int64()), "line": pa.array(line, pa.int32()), "text": text, "segments": segments, "fractions": pa.array(count, pa.int32())})
 
 
 def lines(boxes: DataFrame) -> DataFrame:
@@ -145,19 +276,8 @@ def lines(boxes: DataFrame) -> DataFrame:
 
     Boxes that say nothing, or have a null place or size, have no part. fractions: how many the page has.
     """
-    kind = dict(boxes.dtypes)["page"]
-
-    def run(table: pa.Table) -> pa.Table:
-        made = sorted((_Box(*x) for x in zip(*(table.column(c).to_pylist() for c in ("str", "x", "y", "w", "h", "at")), strict=True)), key=lambda b: b.at)
-        gone = repeats([b.said for b in made])
-        rows = [without_twins(r) for r in rows_of([b for b, g in zip(made, gone, strict=True) if not g])]
-        rows, n = fractions(rows)
-        said = [x for x in (line_of(r) for r in sorted(rows, key=lambda r: -r[0].y)) if x[0]]
-        page = table.column("page").slice(0, 1).to_pylist() * len(said)
-        return pa.table({"page": pa.array(page, table.schema.field("page").type), "line": pa.array(range(1, len(said) + 1), pa.int32()), "text": pa.array([t for t, _ in said], pa.string()), "segments": pa.array([s for _, s in said], pa.int32()), "fractions": pa.array([n] * len(said), pa.int32())})
-
     real = boxes.where(F.trim("str") != "").select("page", "str", *(F.col(c).cast("double") for c in ("x", "y", "w", "h")), F.col("at").cast("long")).dropna()
-    return real.groupBy("page").applyInArrow(run, f"page {kind}, line int, text string, segments int, fractions int")
+    return _by_page(real, _lines, "line int, text string, segments int, fractions int")
 
 
 def without_ghosts(page_lines: DataFrame, least: int = GHOST) -> DataFrame:

@@ -20,9 +20,10 @@ def _laid(spark, sf):
     row, column = F.floor(F.col("at") / 8), F.col("at") % 8
     laid = each.select("page", "str", (column * 60.0 + F.when(column >= 4, 200.0).otherwise(0.0)).alias("x"), (-row * 60.0).alias("y"), F.lit(40.0).alias("w"), F.lit(10.0).alias("h"), "at")
     rows = words.where(F.size("w") > 0).select("page", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 8).cast("int"))).alias("row")).where("row % 5 = 2")
-    part = lambda said, x, off, w, i: rows.select("page", said.alias("str"), F.lit(x).alias("x"), (-F.col("row") * 60.0 - off).alias("y"), F.lit(w).alias("w"), F.lit(10.0).alias("h"), (F.lit(10_000_000) + F.col("row") * 3 + i).alias("at"))
+    part = lambda said, x, off, w, i: F.struct(said.alias("str"), F.lit(x).alias("x"), (-F.col("row") * 60.0 - off).alias("y"), F.lit(w).alias("w"), F.lit(10.0).alias("h"), (F.lit(10_000_000) + F.col("row") * 3 + i).alias("at"))
     number = F.col("row").cast("string")
-    return laid.unionByName(part(F.concat(F.lit("n"), number), 95.0, 22.0, 20.0, 0)).unionByName(part(F.lit("===="), 80.0, 30.0, 50.0, 1)).unionByName(part(F.concat(F.lit("d"), number), 95.0, 38.0, 20.0, 2))
+    parts = F.array(part(F.concat(F.lit("n"), number), 95.0, 22.0, 20.0, 0), part(F.lit("===="), 80.0, 30.0, 50.0, 1), part(F.concat(F.lit("d"), number), 95.0, 38.0, 20.0, 2))
+    return laid.unionByName(rows.select("page", F.inline(parts)))
 
 
 @R.add(

@@ -164,6 +164,13 @@ def test_layout_moves_packed_pages(spark, monkeypatch):
     assert sum(sizes) < 20_000  # below a byte an item
 
 
+def test_lines_are_made_of_packed_pages(spark):
+    held = spark.range(4000).selectExpr("id div 1000 AS page", "id % 1000 AS at", "concat('s', id) AS str", "double(id % 8 * 60) AS x", "double(-(id % 1000 div 8) * 12) AS y", "50D AS w", "10D AS h")
+    got = boxes.lines(held)
+    assert _exchanges(got, "str") == 0 and _exchanges(got, "b") == 1
+    assert got.count() == 4 * 125
+
+
 def _nodes(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
