@@ -1,6 +1,7 @@
 """What must not grow with the tables: how often a text moves, how many folders a stored table has, what a call derives."""
 
 import os
+import random
 import re
 
 import numpy as np
@@ -11,6 +12,7 @@ from quire.functions import text as tx
 from quire.operators import boxes, duplicates, grams, layout, quality, search
 from quire.operators.numbering import numbered
 from quire.plans import checks as plans
+from quire.plans import library
 from quire.sources import shards, tools
 
 
@@ -164,6 +166,37 @@ def test_layout_moves_packed_pages(spark, monkeypatch):
     assert sum(sizes) < 20_000  # below a byte an item
 
 
+ITEMS = "page int, at int, str string, x double, y double, w double, h double"
+
+
+def test_page_texts_follow_baselines(spark, monkeypatch):
+    # a line that wavers over the edge of two buckets, which lie 2 apart, and one that was painted twice
+    items = [(1, 0, "one", 0.0, 101.2, 15.0, 10.0), (1, 1, "line", 25.0, 100.8, 20.0, 10.0), (1, 2, "wavers", 55.0, 98.8, 30.0, 10.0), (1, 3, "below", 0.0, 90.0, 25.0, 10.0), (1, 9, "below", 0.1, 90.1, 25.0, 10.0)]
+    df = spark.createDataFrame(items, ITEMS)
+    monkeypatch.setattr(library, "_items", lambda spark, sf: df)
+    got = library.layout_page_text(spark, None)
+    one_by_one = layout.page_text(layout.rows(layout.deduplicated(layout.baselines(df))))
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in one_by_one.collect()] == [(1, "one line wavers\nbelow")]
+    assert _exchanges(got, "str") == _exchanges(got, "line") == 0 and _exchanges(got, "b") == 1
+
+
+def test_page_texts_equal_their_stages(spark, monkeypatch):
+    pick = random.Random(3)
+    odd = lambda v: pick.choice([None, float("nan"), v, v, v, v, v, v, v, v])
+    items = []
+    for page in [*range(30), None]:
+        for at in range(pick.choice([1, 5, 40, 120])):
+            y, h = pick.choice([pick.randrange(20) * 16.0, pick.uniform(0, 320)]), pick.choice([1.0, 10.0, 10.0, 30.0])
+            items.append((page, at if at else None, pick.choice(["a", "b c", "", " ", None, "\t", "سلام", "دنيا", "end"]), odd(pick.randrange(12) * 20.0), odd(y) if at % 3 == 0 else y, pick.choice([0.0, 9.0, 18.0, None]), odd(h)))
+    df = spark.createDataFrame(items, ITEMS)
+    want = sorted(map(tuple, layout.page_text(layout.rows(layout.deduplicated(layout.baselines(df)))).collect()), key=str)
+    assert sum(text.count("\n") for _, text in want) > 200
+    for most in (1 << 18, 50):
+        monkeypatch.setattr(layout, "ITEMS", most)
+        assert sorted(map(tuple, layout.page_texts(df.repartition(3)).collect()), key=str) == want
+    assert layout.page_texts(df.where("page < 0")).count() == 0
+
+
 def test_lines_are_made_of_packed_pages(spark):
     held = spark.range(4000).selectExpr("id div 1000 AS page", "id % 1000 AS at", "concat('s', id) AS str", "double(id % 8 * 60) AS x", "double(-(id % 1000 div 8) * 12) AS y", "50D AS w", "10D AS h")
     got = boxes.lines(held)
